@@ -91,31 +91,39 @@ rv as (select * from pruned where (lower(ext) in {_in(K.TEXT_EXTENSIONS)} or nam
 LANG_CASE = ("case lower(ext) " + " ".join(f"when {_q(k)} then {_q(v)}" for k, v in K.EXTENSION_LANGUAGE.items())
              + f" else {_q(K.OTHER_LANGUAGE)} end")
 
-# next-fit walk as a recursive CTE (one row per file, state = last chunk id, open tokens)
-PACK = FILES + f""",
-f as (select project, relative, tokens, size, lines, length(text)::bigint as chars, text,
-        row_number() over (partition by project order by lower(relative), relative) as rn from rv),
-walk as (
-  select project, 0::bigint as rn, 0::bigint as cid, 0::bigint as cur from (select distinct project from f)
+def pack_cte(src: str, p: str = "") -> str:
+    """Next-fit walk as a recursive CTE over corpus CTE ``src`` (one row per
+    file; state = last chunk id and open tokens).  CTE names get prefix p."""
+    return f"""{p}f as (select project, relative, tokens, size, lines, length(text)::bigint as chars, text,
+        row_number() over (partition by project order by lower(relative), relative) as rn from {src}),
+{p}walk as (
+  select project, 0::bigint as rn, 0::bigint as cid, 0::bigint as cur from (select distinct project from {p}f)
   union all
   select f.project, f.rn,
     case when f.tokens > {BUDGET} then w.cid + ceil(f.chars / {WIDTH}.0)::bigint
          when w.cur = 0 or w.cur + f.tokens > {BUDGET} then w.cid + 1 else w.cid end,
     case when f.tokens > {BUDGET} then 0
          when w.cur = 0 or w.cur + f.tokens > {BUDGET} then f.tokens else w.cur + f.tokens end
-  from walk w join f on f.project = w.project and f.rn = w.rn + 1),
-placed as (select f.*, w.cid from f join walk w on f.project = w.project and f.rn = w.rn),
-small as (select project, cid as chunk_id, (row_number() over (partition by project, cid order by rn) - 1)::int as pos,
+  from {p}walk w join {p}f f on f.project = w.project and f.rn = w.rn + 1),
+{p}placed as (select f.*, w.cid from {p}f f join {p}walk w on f.project = w.project and f.rn = w.rn),
+{p}small as (select project, cid as chunk_id, (row_number() over (partition by project, cid order by rn) - 1)::int as pos,
     relative, null::int as part_no, null::int as part_count, size, lines, tokens, chars, text, rn
-  from placed where tokens <= {BUDGET}),
-big as (select project, relative, text, cid, ceil(chars / {WIDTH}.0)::bigint as pc, rn from placed where tokens > {BUDGET}),
-bigp as (select project, relative, text, cid, pc, rn, unnest(range(1, pc + 1)) as part_no from big),
-parts as (select project, (cid - pc + part_no)::bigint as chunk_id, 0::int as pos,
+  from {p}placed where tokens <= {BUDGET}),
+{p}big as (select project, relative, text, cid, ceil(chars / {WIDTH}.0)::bigint as pc, rn from {p}placed
+  where tokens > {BUDGET}),
+{p}bigp as (select project, relative, text, cid, pc, rn, unnest(range(1, pc + 1)) as part_no from {p}big),
+{p}parts as (select project, (cid - pc + part_no)::bigint as chunk_id, 0::int as pos,
     relative || ' [part ' || part_no || '/' || pc || ']' as relative, part_no::int as part_no, pc::int as part_count,
     strlen(pt)::bigint as size, {part_loc('pt')} as lines, {tokens('pt')} as tokens, length(pt)::bigint as chars,
     pt as text, rn
-  from (select *, substr(text, ((part_no - 1) * {WIDTH} + 1)::bigint, {WIDTH}) as pt from bigp)),
-members as (select * from small union all select * from parts)"""
+  from (select *, substr(text, ((part_no - 1) * {WIDTH} + 1)::bigint, {WIDTH}) as pt from {p}bigp)),
+{p}members as (select * from {p}small union all select * from {p}parts),
+{p}chunks as (select project, chunk_id, count(*)::bigint as n_files, sum(tokens)::bigint as tokens,
+    sha256(string_agg(concat_ws(':', relative, lines::varchar, tokens::varchar, chars::varchar), '|' order by pos))
+    as signature from {p}members group by project, chunk_id)"""
+
+
+PACK = FILES + ",\n" + pack_cte("rv")
 
 PARSED = RESPONSES_V + r""",
 c as (select project, chunk_id, raw, prompt_tokens, completion_tokens,
@@ -338,3 +346,218 @@ SQL["e16_finding_html"] = (
     f"with {PARSED}, x as (select *, {_LABEL} as lab from ranked), h as (select project, finding_rank, {_HTML} as html "
     f"from x) select project, finding_rank::bigint as finding_rank, sha256(html) as html_sha, "
     f"length(html)::bigint as html_chars from h")
+
+
+# ---------------------------------------------------------------- D5 retry split
+def retry_cte(p: str, q: str = "r") -> str:
+    """Retry split of every chunk of ``{p}members`` (CTE names prefixed q)."""
+    return f"""{q}ch as (select project, chunk_id, sum(tokens) as total, count(*) as n from {p}members group by all),
+{q}mm as (select m.*, greatest(1000, ch.total // 2) as target from {p}members m join {q}ch ch using (project, chunk_id)
+  where ch.total > {K.RETRY_SPLIT_MIN_TOTAL} and ch.n > 1),
+{q}fold as (
+  select project, chunk_id, -1 as pos, 0::bigint as cur, 1 as g from (select distinct project, chunk_id from {q}mm)
+  union all
+  select mm.project, mm.chunk_id, mm.pos,
+    case when f.cur > 0 and f.cur + mm.tokens > mm.target then mm.tokens else f.cur + mm.tokens end,
+    case when f.cur > 0 and f.cur + mm.tokens > mm.target then f.g + 1 else f.g end
+  from {q}fold f join {q}mm mm on mm.project = f.project and mm.chunk_id = f.chunk_id and mm.pos = f.pos + 1),
+{q}multi0 as (select mm.project, mm.chunk_id, fo.g as sub_id, mm.pos as pos_old, mm.relative, mm.size, mm.lines,
+    mm.tokens from {q}mm mm join {q}fold fo on fo.project = mm.project and fo.chunk_id = mm.chunk_id and fo.pos = mm.pos),
+{q}multi as (select project, chunk_id, sub_id::int as sub_id,
+    (row_number() over (partition by project, chunk_id, sub_id order by pos_old) - 1)::int as pos, relative, size,
+    lines, tokens from {q}multi0 where (project, chunk_id) in
+    (select (project, chunk_id) from {q}multi0 group by project, chunk_id having max(sub_id) > 1)),
+{q}one as (select m.project, m.chunk_id, m.relative, m.text, greatest(1000, m.tokens // 2) as t2
+  from {p}members m join {q}ch ch using (project, chunk_id) where ch.total > {K.RETRY_SPLIT_MIN_TOTAL} and ch.n = 1),
+{q}one2 as (select *, greatest(1000, 3 * t2) as w, ceil(length(text) / greatest(1000, 3 * t2)::double)::bigint as pc
+  from {q}one where length(text) > 0),
+{q}one3 as (select *, unnest(range(1, pc + 1)) as part_no from {q}one2 where pc > 1),
+{q}pieces as (select project, chunk_id, part_no::int as sub_id, 0::int as pos,
+    relative || ' [retry-part ' || part_no || '/' || pc || ']' as relative, strlen(pt)::bigint as size,
+    {part_loc('pt')} as lines, {tokens('pt')} as tokens
+  from (select *, substr(text, ((part_no - 1) * w + 1)::bigint, w) as pt from {q}one3)),
+{q}split as (select * from {q}multi union all select * from {q}pieces)"""
+
+
+SQL["d5_retry_split"] = (f"with recursive {PACK}, {retry_cte('')} select project, chunk_id, sub_id, pos, relative, "
+                         f"size, lines, tokens from rsplit")
+
+# ---------------------------------------------------------------- G catalog
+_TRUTHY = "nullif(json_extract_string(item, '{0}'), '')"
+MODELS = CATALOG_V + f""",
+pj as (select payload_id, provider, payload from catalog_v where json_valid(payload)),
+arrs as (select payload_id, provider, case
+   when provider in ('gemini', 'ollama') then case when json_type(payload) = 'OBJECT' then json_extract(payload, '$.models') end
+   when json_type(payload) = 'ARRAY' then payload::json
+   when json_type(payload) = 'OBJECT' and json_type(payload, '$.data') is null then null
+   when json_type(payload) = 'OBJECT' and json_type(payload, '$.data') = 'ARRAY' then json_extract(payload, '$.data')
+   when json_type(payload) = 'OBJECT' then json_extract(payload, '$.models') end as arr from pj),
+items as (select payload_id, provider, arr, unnest(range(0, json_array_length(arr)::bigint)) as pos
+  from arrs where json_type(arr) = 'ARRAY'),
+it as (select * from (select payload_id, provider, pos::int as pos, json_extract(arr, '$[' || pos || ']') as item
+  from items) where json_type(item) = 'OBJECT'),
+mt as (select *,
+  regexp_replace(coalesce(json_extract_string(item, '$.name'), ''), '^models/', '') as gem_id,
+  coalesce(json_array_length(item, '$.supportedGenerationMethods'), 0) = 0
+    or list_contains(json_extract_string(item, '$.supportedGenerationMethods[*]'), 'generateContent') as gem_ok,
+  coalesce({_TRUTHY.format('$.name')}, {_TRUTHY.format('$.model')}) as tag_id,
+  coalesce({_TRUTHY.format('$.id')}, {_TRUTHY.format('$.name')}, {_TRUTHY.format('$.model')}) as gen_id,
+  (json_type(item, '$.active') = 'BOOLEAN' and json_extract_string(item, '$.active') = 'false')
+    or (json_type(item, '$.archived') = 'BOOLEAN' and json_extract_string(item, '$.archived') = 'true') as inactive,
+  coalesce({", ".join(f"nullif(try_cast(json_extract_string(item, '{p}') as bigint), 0)" for p in K.CONTEXT_PATHS)})
+    as gen_ctx,
+  try_cast(json_extract_string(item, '$.inputTokenLimit') as bigint) as gem_ctx,
+  {_TRUTHY.format('$.displayName')} as gem_dn, {_TRUTHY.format('$.display_name')} as gen_dn
+  from it),
+models as (select provider, payload_id, pos,
+    case provider when 'gemini' then gem_id when 'ollama' then tag_id else gen_id end as id,
+    case provider when 'gemini' then coalesce(gem_dn, gem_id) when 'ollama' then tag_id
+      else coalesce(gen_dn, {_TRUTHY.format('$.name')}, gen_id) end as name,
+    case provider when 'gemini' then gem_ctx when 'ollama' then null::bigint else gen_ctx end as context,
+    true as active
+  from mt where case provider when 'gemini' then gem_ok and gem_id <> '' when 'ollama' then tag_id is not null
+    else gen_id is not null and not coalesce(inactive, false) end),
+ranked as (select *, row_number() over (partition by provider order by penalty, -coalesce(context, 0), lower(id),
+    payload_id, pos)::bigint as model_rank
+  from (select *, case when {" or ".join(f"contains(lower(id), '{t}')" for t in K.NON_CHAT_TERMS)} then 1 else 0 end
+    as penalty from models))"""
+
+_KNOWN = "(values " + ", ".join(f"({_q(k)}, {v}, {i})" for i, (k, v) in enumerate(K.MODEL_CONTEXTS.items())) + \
+    ") as kn(known_id, known_context, ord)"
+
+SQL["g1_normalize_catalog"] = f"with {MODELS} select provider, payload_id, pos, id, name, context, active from models"
+SQL["g2_provider_shapes"] = (f"with {MODELS} select provider, count(*)::bigint as models, count(context)::bigint as "
+                             f"with_context, sum(starts_with(id, 'models/')::int)::bigint as prefixed from models "
+                             f"group by provider")
+SQL["g3_rank_models"] = f"with {MODELS} select provider, payload_id, pos, id, penalty, model_rank from ranked"
+SQL["g4_search_models"] = (
+    f"with {MODELS}, h as (select provider, id, model_rank, row_number() over (partition by provider order by "
+    f"model_rank)::bigint as match_rank from ranked where contains(lower(id), 'red') or contains(lower(name), 'red'))"
+    f" select * from h where match_rank <= {K.SEARCH_LIMIT}")
+SQL["g5_model_page"] = (f"with {MODELS} select provider, id, model_rank from ranked where model_rank > {K.PAGE_SIZE} "
+                        f"and model_rank <= {2 * K.PAGE_SIZE}")
+SQL["g6_context_lookup"] = (
+    f"with {MODELS}, kn as (select * from {_KNOWN}), "
+    f"fo as (select lower(known_id) as f, arg_min(known_context, ord) as folded from kn group by lower(known_id)) "
+    f"select m.provider, m.payload_id, m.pos, m.id as model, coalesce(nullif(m.context, 0), e.known_context, "
+    f"fo.folded, {K.DEFAULT_CONTEXT})::bigint as context_assumed, case when nullif(m.context, 0) is not null then 'live' "
+    f"when e.known_context is not null then 'exact' when fo.folded is not null then 'case_insensitive' "
+    f"else 'default' end as context_source from models m left join kn e on e.known_id = trim(m.id) "
+    f"left join fo on fo.f = lower(trim(m.id))")
+SQL["d7_context_budget"] = (f"with {MODELS} select provider, id, context, greatest(1500, least(100000, "
+                            f"trunc(coalesce(context, 8192) * 0.5)::bigint))::bigint as budget from models")
+SQL["g7_in_active_list"] = (
+    f"with {MODELS}, a as (select id, max(context) as live_context from models where provider = 'generic' "
+    f"group by id) select p_partkey, p_name as model, a.id is not null as active, a.live_context "
+    f"from part left join a on a.id = part.p_name")
+
+# ---------------------------------------------------------------- H hygiene
+_WS = r"[\p{Z}\s]"
+
+
+def sanitize_sql(x: str) -> str:
+    k = f"regexp_replace({x}, '[\\p{{Cf}}\\p{{Cc}}]', '', 'g')"
+    k = f"regexp_replace({k}, '^{_WS}+|{_WS}+$', '', 'g')"
+    k = f"regexp_replace({k}, '^\"+|\"+$', '', 'g')"
+    k = f"regexp_replace({k}, '^''+|''+$', '', 'g')"
+    k = f"regexp_replace({k}, '^{_WS}+|{_WS}+$', '', 'g')"
+    k = f"(case when starts_with(lower({k}), 'bearer ') then substr({k}, 8) else {k} end)"
+    return f"coalesce(regexp_replace({k}, '{_WS}+', '', 'g'), '')"
+
+
+def mask_sql(k: str) -> str:
+    return (f"case when length({k}) = 0 then 'NOT SET' when length({k}) <= {K.MASK_SHORT_MAX} then "
+            f"'SET (' || length({k}) || ' chars)' else left({k}, 4) || '...' || right({k}, 4) || ' (' || length({k}) "
+            f"|| ' chars)' end")
+
+
+def fp_sql(k: str) -> str:
+    return f"case when length({k}) = 0 then 'empty' else left(sha256({k}), {K.FINGERPRINT_HEX}) end"
+
+
+SEC = SECRETS_V + f", sk as (select doc_id, owner, {sanitize_sql('value')} as key from secrets_v)"
+SQL["h1_sanitize"] = f"with {SEC} select doc_id, owner, key from sk"
+SQL["h2_mask"] = f"with {SEC} select doc_id, {mask_sql('key')} as masked from sk"
+SQL["h3_fingerprint"] = f"with {SEC} select doc_id, {fp_sql('key')} as fingerprint, length(key)::bigint as length from sk"
+SQL["h4_format_check"] = (
+    f"with {SEC} select doc_id, length(key) >= {K.MIN_KEY_LENGTH} as valid, starts_with(key, 'gsk_') as prefix_ok, "
+    f"case when length(key) = 0 then 'API key is empty.' when length(key) < {K.MIN_KEY_LENGTH} then "
+    f"'API key is too short (' || length(key) || ' characters). The key was probably pasted incorrectly.' "
+    f"when not starts_with(key, 'gsk_') then 'Prefix does not match the provider''s common key format (gsk_). "
+    f"A live connection test will decide. | Length check passed: ' || length(key) || ' characters.' "
+    f"else 'Length check passed: ' || length(key) || ' characters.' end as messages from sk")
+SQL["h5_key_status"] = (
+    f"with {SEC}, o as (select distinct source as owner from documents), j as (select o.owner, "
+    f"coalesce(sk.key, '') as key from o left join sk on sk.owner = o.owner) select owner, {mask_sql('key')} as status,"
+    f" {fp_sql('key')} as fingerprint, length(key)::bigint as length from j")
+from revlens.operators.hygiene import ASSIGNMENT_PATTERN, PREFIX_PATTERN  # noqa: E402
+
+SQL["h6_scan_secrets"] = (
+    f"with h as (select doc_id, source as owner, list_concat("
+    f"list_transform(regexp_extract_all(text, {_q(ASSIGNMENT_PATTERN)}, 1), lambda x: {{'kind': 'assignment', 'v': x}}), "
+    f"list_transform(regexp_extract_all(text, {_q(PREFIX_PATTERN)}, 1), lambda x: {{'kind': 'prefix', 'v': x}})) as hits "
+    f"from documents), e as (select doc_id, owner, unnest(hits) as h, unnest(range(0, len(hits))) as hit_no from h), "
+    f"k as (select doc_id, owner, hit_no::int as hit_no, h.kind as kind, {sanitize_sql('h.v')} as key from e) "
+    f"select doc_id, owner, hit_no, kind, {mask_sql('key')} as masked, {fp_sql('key')} as fingerprint, "
+    f"length(key)::bigint as length from k")
+
+# ---------------------------------------------------------------- F attempts
+DOCS = SNAPSHOT_V + f""",
+cur0 as (select source as project, 'doc/' || doc_id || '.txt' as relative, text from documents),
+snap0 as (select project, 'doc/' || doc_id || '.txt' as relative, text from snapshot_v),
+cur as (select project, relative, text, strlen(text)::bigint as size,
+  (case when length(text) = 0 then 0 else length(text) - length(replace(text, chr(10), '')) + 1 end)::bigint as lines,
+  {tokens('text')} as tokens from cur0),
+snap as (select project, relative, text, strlen(text)::bigint as size,
+  (case when length(text) = 0 then 0 else length(text) - length(replace(text, chr(10), '')) + 1 end)::bigint as lines,
+  {tokens('text')} as tokens from snap0)"""
+
+
+def _sig(src: str) -> str:
+    return (f"select project, sha256(string_agg(concat_ws(':', relative, size::varchar, lines::varchar, "
+            f"tokens::varchar), '|' order by lower(relative), relative)) as signature from {src} group by project")
+
+
+SQL["f1_valid_checkpoints"] = (
+    f"with {DOCS}, c as ({_sig('cur')}), s as ({_sig('snap')}) select s.project, 'groq' as provider, "
+    f"'openai/gpt-oss-20b' as model, c.project is not null as valid from s left join c "
+    f"on c.project = s.project and c.signature = s.signature")
+PEND = (f"{DOCS},\n{pack_cte('cur', 'c_')},\n{pack_cte('snap', 's_')},\n"
+        f"pend as (select * from c_chunks where (project, signature) not in (select (project, signature) from s_chunks))")
+SQL["f2_pending_chunks"] = f"with recursive {PEND} select project, chunk_id, n_files, tokens, signature from pend"
+SQL["f7_pacing_plan"] = (
+    f"with recursive {PEND}, q as (select project, chunk_id, row_number() over (partition by project order by "
+    f"chunk_id)::bigint as queue_pos from pend) select project, chunk_id, queue_pos, round((queue_pos - 1) * "
+    f"{DELAY}::double, 6) as start_offset_sec, max(round((queue_pos - 1) * {DELAY}::double, 6)) over (partition by "
+    f"project) as projected_finish_sec from q")
+SQL["f8_requeue"] = (
+    f"with recursive {PEND}, p_members as (select * from c_members where (project, chunk_id) in "
+    f"(select (project, chunk_id) from pend)), {retry_cte('p_', 'r')}, "
+    f"u as (select project, chunk_id, sub_id, 0 as priority from rsplit union all select project, chunk_id, 0, 1 "
+    f"from pend where (project, chunk_id) not in (select (project, chunk_id) from rsplit)) "
+    f"select project, chunk_id, sub_id::int as sub_id, priority, row_number() over (partition by project order by "
+    f"priority, chunk_id, sub_id)::bigint as queue_pos from u")
+_RETRY_WORDS = " or ".join(f"contains(lower(coalesce(detail, '')), {_q(w)})" for w in K.RETRYABLE_WORDS)
+_CTX_WORDS = " or ".join(f"contains(lower(coalesce(detail, '')), {_q(w)})" for w in K.CONTEXT_ERROR_MARKERS)
+_RETRYABLE = (f"case when status is not null then status in ({', '.join(map(str, K.RETRYABLE_STATUSES))}) "
+              f"else ({_RETRY_WORDS}) end")
+_CTXERR = f"coalesce(status in (400, 413) and ({_CTX_WORDS}), false)"
+SQL["f3_latest_failures"] = (
+    f"with {ATTEMPTS_V}, fa as (select * from attempts_v where status is null or not (status >= 200 and status < 300)),"
+    f" su as (select provider, chunk_id, max({{'ts': ts, 'event_id': event_id}}) as ok from attempts_v "
+    f"where status >= 200 and status < 300 group by provider, chunk_id), "
+    f"la as (select * from (select *, row_number() over (partition by provider, chunk_id order by ts desc, "
+    f"event_id desc) as rn from fa) where rn = 1) "
+    f"select la.provider, la.chunk_id, attempt, event_id, status, detail from la left join su "
+    f"on su.provider = la.provider and su.chunk_id = la.chunk_id "
+    f"where su.ok is null or {{'ts': la.ts, 'event_id': la.event_id}} > su.ok")
+SQL["f4_retryable"] = f"with {ATTEMPTS_V} select event_id, {_RETRYABLE} as retryable from attempts_v"
+SQL["f5_context_error"] = (
+    f"with {ATTEMPTS_V} select event_id, {_CTXERR} as context_error, coalesce(case status "
+    + " ".join(f"when {s} then {_q(h)}" for s, h in K.STATUS_HINTS.items()) + " end, '') as hint from attempts_v")
+SQL["f6_next_wait"] = (
+    f"with {ATTEMPTS_V}, a as (select *, case when status >= 200 and status < 300 then 'done' when {_CTXERR} then "
+    f"'split' when ({_RETRYABLE}) and attempt < {K.MAX_ATTEMPTS} then 'retry' else 'fail' end as action from attempts_v)"
+    f" select event_id, action, case when action = 'retry' then round(case when status is not null and retry_after "
+    f"is not null then greatest(0.5, least(120.0, retry_after)) else least(120.0, pow(2.0, attempt - 1)) end, 6) end "
+    f"as wait_sec from a")

@@ -270,5 +270,184 @@ def e16_finding_html(spark, d):
                     F.length("html").cast("bigint").alias("html_chars"))
 
 
+# ---------------------------------------------------------------- F
+def docs_corpus(df: DataFrame) -> DataFrame:
+    """Documents as a corpus: project = source, relative = doc/<id>.txt."""
+    return C.corpus_from_table(df.select(F.col("project"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"),
+                                                                    F.lit(".txt")).alias("relative"), "text"))
+
+
+def current_docs(spark, d):
+    docs = V.read_table(spark, d, "documents").select(F.col("source").alias("project"), "doc_id", "text")
+    return docs_corpus(docs)
+
+
+def snapshot_docs(spark, d):
+    return docs_corpus(V.snapshot_v(spark, d))
+
+
+def f1_valid_checkpoints(spark, d):
+    from revlens.operators import attempts as A
+    cur = C.codebase_signature(current_docs(spark, d)).select("project", "signature")
+    states = C.codebase_signature(snapshot_docs(spark, d)).select("project", "signature")
+    ctx = dict(provider=F.lit(PROVIDER), model=F.lit(MODEL))
+    cur, states = cur.withColumns(ctx), states.withColumns(ctx)
+    ok = A.valid_checkpoints(states, cur).withColumn("valid", F.lit(True))
+    return (states.join(ok, ["project", "provider", "model", "signature"], "left")
+            .select("project", "provider", "model", F.coalesce("valid", F.lit(False)).alias("valid")))
+
+
+def pending(spark, d) -> DataFrame:
+    from revlens.operators import attempts as A
+    cur = D.chunk_headers(D.pack_chunks(current_docs(spark, d), BUDGET))
+    done = D.chunk_headers(D.pack_chunks(snapshot_docs(spark, d), BUDGET))
+    return A.pending_chunks(cur, done)
+
+
+def f2_pending_chunks(spark, d):
+    return pending(spark, d).select("project", "chunk_id", "n_files", "tokens", "signature")
+
+
+def failures_successes(spark, d):
+    a = V.attempts_v(spark, d)
+    ok = F.col("status").isNotNull() & (F.col("status") >= 200) & (F.col("status") < 300)
+    return a.where(~ok | F.col("status").isNull()), a.where(ok)
+
+
+def f3_latest_failures(spark, d):
+    from revlens.operators import attempts as A
+    fail, succ = failures_successes(spark, d)
+    r = A.latest_failures(fail, succ)
+    return r.select("provider", "chunk_id", "attempt", "event_id", "status", "detail")
+
+
+def f4_retryable(spark, d):
+    from revlens.operators import attempts as A
+    a = V.attempts_v(spark, d)
+    return a.select("event_id", A.retryable(F.col("status"), F.col("detail")).alias("retryable"))
+
+
+def f5_context_error(spark, d):
+    from revlens.operators import attempts as A
+    a = V.attempts_v(spark, d)
+    return a.select("event_id", A.context_error(F.col("status"), F.col("detail")).alias("context_error"),
+                    A.status_hint(F.col("status")).alias("hint"))
+
+
+def f6_next_wait(spark, d):
+    from revlens.operators import attempts as A
+    p = A.plan_attempts(V.attempts_v(spark, d), with_jitter=False)
+    return p.select("event_id", "action", "wait_sec")
+
+
+def f7_pacing_plan(spark, d):
+    from revlens.operators import attempts as A
+    q = A.pacing_plan(pending(spark, d), DELAY)
+    return q.select("project", "chunk_id", "queue_pos", "start_offset_sec", "projected_finish_sec")
+
+
+def f8_requeue(spark, d):
+    from revlens.operators import attempts as A
+    cur = current_docs(spark, d)
+    mem = D.pack_chunks(cur, BUDGET)
+    heads = D.chunk_headers(mem)
+    done = D.chunk_headers(D.pack_chunks(snapshot_docs(spark, d), BUDGET))
+    pend = A.pending_chunks(heads, done)
+    pm = D.member_text(mem.join(pend.select("project", "chunk_id"), ["project", "chunk_id"], "left_semi"), cur, BUDGET)
+    split = D.retry_split(pm)
+    return A.requeue(split, pend).select("project", "chunk_id", "sub_id", "priority", "queue_pos")
+
+
+# ---------------------------------------------------------------- G
+def models(spark, d):
+    from revlens.operators import catalog as G
+    return G.normalize_catalog(V.catalog_v(spark, d))
+
+
+def g1_normalize_catalog(spark, d):
+    return models(spark, d)
+
+
+def g2_provider_shapes(spark, d):
+    m = models(spark, d)
+    return m.groupBy("provider").agg(F.count(F.lit(1)).alias("models"),
+                                     F.count("context").alias("with_context"),
+                                     F.sum(F.col("id").startswith("models/").cast("int")).cast("bigint").alias("prefixed"))
+
+
+def ranked_models(spark, d):
+    from revlens.operators import catalog as G
+    return G.rank_models(models(spark, d))
+
+
+def g3_rank_models(spark, d):
+    return ranked_models(spark, d).select("provider", "payload_id", "pos", "id", "penalty", "model_rank")
+
+
+SEARCH_TEXT = "red"
+
+
+def g4_search_models(spark, d):
+    from revlens.operators import catalog as G
+    return G.search_models(ranked_models(spark, d), SEARCH_TEXT).select("provider", "id", "model_rank", "match_rank")
+
+
+def g5_model_page(spark, d):
+    from revlens.operators import catalog as G
+    return G.model_page(ranked_models(spark, d), 1).select("provider", "id", "model_rank")
+
+
+def g6_context_lookup(spark, d):
+    from revlens.operators import catalog as G
+    r = G.context_lookup(models(spark, d).withColumnRenamed("id", "model"), "model", live="context")
+    return r.select("provider", "payload_id", "pos", "model", "context_assumed", "context_source")
+
+
+def g7_in_active_list(spark, d):
+    from revlens.operators import catalog as G
+    req = V.read_table(spark, d, "part").select(F.lit("generic").alias("provider"), "p_partkey",
+                                                F.col("p_name").alias("model"))
+    r = G.in_active_list(req, models(spark, d))
+    return r.select("p_partkey", "model", "active", "live_context")
+
+
+# ---------------------------------------------------------------- H
+def h1_sanitize(spark, d):
+    from revlens.operators import hygiene as H
+    return V.secrets_v(spark, d).select("doc_id", "owner", H.sanitize(F.col("value")).alias("key"))
+
+
+def h2_mask(spark, d):
+    from revlens.operators import hygiene as H
+    return V.secrets_v(spark, d).select("doc_id", H.mask(H.sanitize(F.col("value"))).alias("masked"))
+
+
+def h3_fingerprint(spark, d):
+    from revlens.operators import hygiene as H
+    k = H.sanitize(F.col("value"))
+    return V.secrets_v(spark, d).select("doc_id", H.fingerprint(k).alias("fingerprint"),
+                                        F.length(k).cast("bigint").alias("length"))
+
+
+def h4_format_check(spark, d):
+    from revlens.operators import hygiene as H
+    s = V.secrets_v(spark, d).select("doc_id", F.lit("groq").alias("provider"),
+                                     H.sanitize(F.col("value")).alias("key"))
+    r = H.format_check(s, "provider", "key")
+    return r.select("doc_id", "valid", "prefix_ok", F.array_join("messages", " | ").alias("messages"))
+
+
+def h5_key_status(spark, d):
+    from revlens.operators import hygiene as H
+    owners = V.read_table(spark, d, "documents").select(F.col("source").alias("owner")).distinct()
+    r = H.key_status(owners, V.secrets_v(spark, d))
+    return r.select("owner", "status", "fingerprint", "length")
+
+
+def h6_scan_secrets(spark, d):
+    from revlens.operators import hygiene as H
+    return H.scan_secrets(V.read_table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {name: fn for name, fn in dict(globals()).items()
                              if callable(fn) and name[:1] in "abcdefghjs" and name[1:2].isdigit()}
