@@ -140,57 +140,126 @@ def _chase(jump: DataFrame, heads: DataFrame, max_rounds: int = 64) -> DataFrame
     raise RuntimeError("chunk chase did not converge")
 
 
-def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None) -> DataFrame:
-    """D3: chunk members (no text): project, chunk_id (1-based), pos (0-based
-    in chunk), relative (with ' [part i/n]' for parts), part_no, part_count,
-    size, lines, tokens, chars."""
+FOLD_MAX_FILES = 50_000
+_PLACED = ("project string, relative string, chunk_id bigint, pos int, over boolean, size bigint, "
+           "lines bigint, tokens bigint, chars bigint")
+
+
+def _fold_pack(narrow: DataFrame, budget: int, width: int) -> DataFrame:
+    """Next-fit per project in one task (projects of at most
+    ``FOLD_MAX_FILES`` files: a bounded group).  Numeric columns only."""
+    B, W = int(budget), int(width)
+
+    def fold(pdf):
+        import numpy as np
+        import pandas as pd
+        pdf = pdf.sort_values(["lkey", "relative"], kind="mergesort")
+        toks = pdf["tokens"].to_numpy()
+        chars = pdf["chars"].to_numpy()
+        n = len(pdf)
+        cids = np.zeros(n, dtype="int64")
+        poss = np.zeros(n, dtype="int32")
+        cid = cur = pos = 0
+        for i in range(n):
+            t = int(toks[i])
+            if t > B:
+                cid += 1
+                cids[i] = cid
+                cid += -(-int(chars[i]) // W) - 1
+                cur = 0
+            elif cur == 0 or cur + t > B:
+                cid += 1
+                cur, pos = t, 0
+                cids[i] = cid
+            else:
+                cur += t
+                pos += 1
+                cids[i], poss[i] = cid, pos
+        return pd.DataFrame({"project": pdf["project"].to_numpy(), "relative": pdf["relative"].to_numpy(),
+                             "chunk_id": cids, "pos": poss, "over": toks > B,
+                             "size": pdf["size"].to_numpy(), "lines": pdf["lines"].to_numpy(),
+                             "tokens": toks, "chars": chars})
+
+    return narrow.groupBy("project").applyInPandas(fold, _PLACED)
+
+
+def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: int | None) -> DataFrame:
+    """Next-fit for projects of any size: prefix sums, bucketed next-start
+    search and pointer doubling; every task is bounded."""
     B = int(budget)
-    spark = files.sparkSession
-    ensure_checkpoint_dir(spark)
-    narrow = files.select("project", "relative", "tokens", "size", "lines",
-                          F.length("text").cast("bigint").alias("chars"),
-                          (F.col("tokens") > B).alias("over"))
     over = F.col("over")
+    order = [F.col("lkey"), F.col("relative")]
     rs = running_sums(
-        narrow, "project", [F.lower(F.col("relative")), F.col("relative")],
+        narrow, "project", order,
         {"nsmall": F.when(over, 0).otherwise(1),
          "ssum": F.when(over, 0).otherwise(F.col("tokens")),
          "nover": F.when(over, 1).otherwise(0)},
-        num_partitions)
-    small = rs.where(~over).select("project", "relative", "tokens", "size", "lines", "chars",
+        num_partitions, materialize=True)
+    small = rs.where(~over).select("project", "relative", "lkey", "tokens", "size", "lines", "chars",
                                    F.col("nsmall").alias("idx"), (F.col("ssum") - F.col("tokens")).alias("s"),
                                    F.col("nover").alias("isl"))
     bounds = rs.where(over).select("project", (F.col("nover") - 1).alias("isl"),
                                    (F.col("nsmall") + 1).alias("bound"))
     small = small.join(bounds, ["project", "isl"], "left")
-
     ends = small.groupBy("project").agg((F.max("idx") + 1).alias("idx"),
                                         F.sum("tokens").cast("bigint").alias("s"))
     jump = _next_start(small, ends, B)
     jump = jump.unionByName(ends.select("project", "idx", F.col("idx").alias("nxt")))
     starts = _chase(jump, ends.select("project", F.lit(1).cast("bigint").alias("idx")))
     flagged = (small.join(starts.withColumn("flag", F.lit(1)), ["project", "idx"], "left")
-               .select("project", "relative", F.lit(0).alias("part_no"), F.lit(None).cast("int").alias("part_count"),
-                       F.coalesce("flag", F.lit(0)).alias("flag"), "size", "lines", "tokens", "chars"))
-
-    big = (files.select("project", "relative", "text").join(
-        rs.where(over).select("project", "relative"), ["project", "relative"], "left_semi"))
-    parts = part_rows(hard_split(big, split_width(B)))
-    parts = parts.select("project", "relative", "part_no", "part_count", F.lit(1).alias("flag"),
-                         F.col("part_size").alias("size"), F.col("part_lines").alias("lines"),
-                         F.col("part_tokens").alias("tokens"), F.col("part_chars").alias("chars"),
-                         F.col("part_relative").alias("label"))
-    rows = flagged.withColumn("label", F.col("relative")).unionByName(parts)
-    num = running_sums(rows, "project", [F.lower(F.col("relative")), F.col("relative"), F.col("part_no")],
-                       {"chunk_id": F.col("flag"), "r": F.lit(1)}, num_partitions)
-    first = num.groupBy("project", "chunk_id").agg(F.min("r").alias("r0"))
-    out = num.join(first, ["project", "chunk_id"])
+               .select("project", "relative", "lkey", F.lit(False).alias("over"),
+                       F.coalesce("flag", F.lit(0)).cast("bigint").alias("flag"),
+                       "size", "lines", "tokens", "chars"))
+    big = rs.where(over).select("project", "relative", "lkey", F.lit(True).alias("over"),
+                                F.ceil(F.col("chars") / F.lit(width)).cast("bigint").alias("flag"),
+                                "size", "lines", "tokens", "chars")
+    num = running_sums(flagged.unionByName(big), "project", order, {"cid": F.col("flag"), "r": F.lit(1)},
+                       num_partitions)
+    first = num.where(~over).groupBy("project", "cid").agg(F.min("r").alias("r0"))
+    out = num.join(first, ["project", "cid"], "left")
     return out.select(
-        "project", F.col("chunk_id").cast("bigint").alias("chunk_id"),
-        (F.col("r") - F.col("r0")).cast("int").alias("pos"),
-        F.col("label").alias("relative"),
-        F.when(F.col("part_no") > 0, F.col("part_no")).cast("int").alias("part_no"),
-        F.col("part_count").cast("int").alias("part_count"),
+        "project", "relative",
+        F.when(over, F.col("cid") - F.col("flag") + 1).otherwise(F.col("cid")).cast("bigint").alias("chunk_id"),
+        F.when(over, F.lit(0)).otherwise(F.col("r") - F.col("r0")).cast("int").alias("pos"),
+        "over", "size", "lines", "tokens", "chars")
+
+
+def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None,
+                fold_max: int = FOLD_MAX_FILES) -> DataFrame:
+    """D3: chunk members (no text): project, chunk_id (1-based), pos (0-based
+    in chunk), relative (with ' [part i/n]' for parts), part_no, part_count,
+    size, lines, tokens, chars.
+
+    Projects with at most ``fold_max`` files are packed by a per-project
+    fold; larger ones by the distributed path (module doc), so no task ever
+    holds more than ``fold_max`` rows of one project."""
+    B = int(budget)
+    width = max(K.MIN_SPLIT_CHARS, K.SPLIT_CHARS_PER_TOKEN * B)
+    ensure_checkpoint_dir(files.sparkSession)
+    narrow = files.select("project", "relative", F.lower(F.col("relative")).alias("lkey"), "tokens", "size",
+                          "lines", F.length("text").cast("bigint").alias("chars"),
+                          (F.col("tokens") > B).alias("over"))
+    sizes = narrow.groupBy("project").agg(F.count(F.lit(1)).alias("_n"))
+    small_p = sizes.where(F.col("_n") <= fold_max).select("project")
+    large_p = sizes.where(F.col("_n") > fold_max).select("project")
+    placed = _fold_pack(narrow.join(small_p, "project", "left_semi"), B, width)
+    if large_p.limit(1).count() > 0:
+        placed = placed.unionByName(
+            _doubling_pack(narrow.join(large_p, "project", "left_semi"), B, width, num_partitions))
+    whole = placed.where(~F.col("over")).select(
+        "project", "chunk_id", "pos", "relative", F.lit(None).cast("int").alias("part_no"),
+        F.lit(None).cast("int").alias("part_count"), "size", "lines", "tokens", "chars")
+    big = (files.select("project", "relative", "text")
+           .join(placed.where(F.col("over")).select("project", "relative", F.col("chunk_id").alias("first")),
+                 ["project", "relative"]))
+    parts = part_rows(hard_split(big, F.lit(width)))
+    parts = parts.select(
+        "project", (F.col("first") + F.col("part_no") - 1).cast("bigint").alias("chunk_id"),
+        F.lit(0).cast("int").alias("pos"), F.col("part_relative").alias("relative"), "part_no", "part_count",
+        F.col("part_size").alias("size"), F.col("part_lines").alias("lines"),
+        F.col("part_tokens").alias("tokens"), F.col("part_chars").alias("chars"))
+    return whole.unionByName(parts).select(
+        "project", "chunk_id", "pos", "relative", "part_no", "part_count",
         F.col("size").cast("bigint").alias("size"), F.col("lines").cast("bigint").alias("lines"),
         F.col("tokens").cast("bigint").alias("tokens"), F.col("chars").cast("bigint").alias("chars"))
 

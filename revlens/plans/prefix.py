@@ -40,14 +40,12 @@ def _local_cumsum(key: str, names: Sequence[str]):
                 continue
             keys = pdf[key]
             first = (keys == carry_key).to_numpy() if carry_key is not None else None
-            grouped = pdf.groupby(keys, sort=False)
             for n in names:
                 vals = pdf[n].fillna(0).astype("int64")
                 cs = vals.groupby(keys, sort=False).cumsum().to_numpy()
                 if first is not None:
                     cs = cs + np.where(first, carry[n], 0)
                 pdf["_rs_loc_" + n] = cs
-            del grouped
             carry_key = keys.iloc[-1]
             for n in names:
                 carry[n] = int(pdf["_rs_loc_" + n].iloc[-1])
@@ -57,13 +55,14 @@ def _local_cumsum(key: str, names: Sequence[str]):
 
 def running_sums(df: DataFrame, key: str, order: Sequence[Column | str],
                  values: Mapping[str, Column], num_partitions: int | None = None,
-                 materialize: bool = True) -> DataFrame:
+                 materialize: bool = False) -> DataFrame:
     """Return ``df`` plus one inclusive running-sum column per entry of
     ``values`` (BIGINT), within ``key`` in ``order``.
 
     Pass a narrow frame (keys, order columns, small values): rows go through
-    an Arrow batch function.  ``materialize`` checkpoints the per-partition
-    result, which is read twice, into the session's checkpoint directory.
+    an Arrow batch function.  The per-partition result is read twice (sums,
+    join); both reads reuse the one range shuffle.  ``materialize`` writes it
+    to the session's checkpoint directory instead (for iterative callers).
     """
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
