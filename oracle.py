@@ -561,3 +561,83 @@ SQL["f6_next_wait"] = (
     f" select event_id, action, case when action = 'retry' then round(case when status is not null and retry_after "
     f"is not null then greatest(0.5, least(120.0, retry_after)) else least(120.0, pow(2.0, attempt - 1)) end, 6) end "
     f"as wait_sec from a")
+
+
+# ---------------------------------------------------------------- S streams
+_FMT = "'%Y-%m-%d %H:%M:%S'"
+_MAXTS = "(select max(ts) from events) - interval 10 minutes"
+SQL["s1_rate_per_minute"] = (
+    f"with {ATTEMPTS_V}, w as (select time_bucket(interval 1 minute, ts) as ws, provider, tokens from attempts_v) "
+    f"select strftime(ws, {_FMT}) as window_start, strftime(ws + interval 1 minute, {_FMT}) as window_end, provider, "
+    f"count(*)::bigint as requests, sum(tokens)::bigint as tokens from w group by ws, provider "
+    f"having ws + interval 1 minute <= {_MAXTS}")
+SQL["s2_sliding_rate"] = (
+    f"with {ATTEMPTS_V}, x as (select provider, tokens, time_bucket(interval 1 minute, ts) as b, "
+    f"unnest([0, 1, 2, 3, 4]) as k from attempts_v), w as (select provider, tokens, b - k * interval 1 minute as ws "
+    f"from x) select strftime(ws, {_FMT}) as window_start, strftime(ws + interval 5 minute, {_FMT}) as window_end, "
+    f"provider, count(*)::bigint as requests, sum(tokens)::bigint as tokens, sum(tokens) > 40000 as over_limit "
+    f"from w group by ws, provider having ws + interval 5 minute <= {_MAXTS}")
+SQL["s3_review_bursts"] = (
+    f"with g as (select user_id, ts, value, case when lag(ts) over (partition by user_id order by ts) is null or "
+    f"ts - lag(ts) over (partition by user_id order by ts) >= interval 10 minutes then 1 else 0 end as brk "
+    f"from events), s as (select *, sum(brk) over (partition by user_id order by ts rows unbounded preceding) as sid "
+    f"from g), ss as (select user_id, min(ts) as st, max(ts) + interval 10 minutes as en, count(*)::bigint as events, "
+    f"round(sum(value), 6) as value from s group by user_id, sid) select strftime(st, {_FMT}) as session_start, "
+    f"strftime(en, {_FMT}) as session_end, user_id, events, value from ss where en <= {_MAXTS}")
+SQL["s5_incremental_review"] = (f"with {PARSED} select project, dedup_key, chunk_id, pos, severity, file, line_raw, "
+                                f"title from uniq")
+
+# ---------------------------------------------------------------- J history
+_RULES_NOW = (f"select project, relative as file, unnest(string_split(text, chr(10))) as evidence, "
+              f"unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from {{src}}")
+
+
+def _rule_hits(src: str, model: str) -> str:
+    return (f"select project, file, line::bigint as line, {_q(model)} as model, rule, {_rule_field(0)} as category, "
+            f"{_rule_field(1)} as severity, {_rule_field(3)} as title from (select project, file, line, "
+            f"unnest(list_filter({RULE_ARRAY}, lambda x: x is not null)) as rule from ("
+            + _RULES_NOW.format(src=src) + "))")
+
+
+_FKEY = ("sha256(concat_ws('|', coalesce(category, ''), coalesce(severity, ''), coalesce(file, ''), "
+         "coalesce(line::varchar, ''), coalesce(title, '')))")
+SQL["j1_changed_files"] = (
+    f"with {DOCS} select coalesce(c.project, s.project) as project, coalesce(c.relative, s.relative) as relative, "
+    f"case when s.relative is null then 'added' when c.relative is null then 'removed' when sha256(c.text) <> "
+    f"sha256(s.text) then 'changed' else 'unchanged' end as change, c.tokens from cur c full outer join snap s "
+    f"on c.project = s.project and c.relative = s.relative")
+SQL["j2_finding_history"] = (
+    f"with {DOCS}, n as ({_rule_hits('cur', 'rules-now')}), t as ({_rule_hits('snap', 'rules-then')}), "
+    f"nk as (select distinct project, {_FKEY} as finding_key, severity from n), "
+    f"tk as (select distinct project, {_FKEY} as finding_key, severity as sev_then from t) "
+    f"select coalesce(nk.project, tk.project) as project, coalesce(nk.finding_key, tk.finding_key) as finding_key, "
+    f"coalesce(severity, sev_then) as severity, case when tk.finding_key is null then 'new' when nk.finding_key is null"
+    f" then 'fixed' else 'persisting' end as state from nk full outer join tk on nk.project = tk.project "
+    f"and nk.finding_key = tk.finding_key")
+_COUNTS = (f"{FILES}, h as ({_rule_hits('rv', 'rules')}), u as (select distinct project, severity, "
+           f"sha256(concat_ws('|', category, severity, file, line::varchar, title)) as k from h), "
+           f"cn as (select project, " + ", ".join(
+               f"sum(case when severity = '{s}' then 1 else 0 end)::bigint as {s.lower()}" for s in K.SEVERITIES)
+           + " from u group by project)")
+from revlens.operators.history import GATE_MAX, RISK_WEIGHTS  # noqa: E402
+
+SQL["j3_quality_gate"] = (
+    f"with {_COUNTS} select project, critical, high, medium, low, info, "
+    + " and ".join(f"{s.lower()} <= {v}" for s, v in GATE_MAX.items()) + " as gate_pass, "
+    + "concat_ws(',', " + ", ".join(f"case when {s.lower()} > {v} then '{s}' end" for s, v in GATE_MAX.items())
+    + ") as failing from cn")
+_W = " + ".join(f"coalesce({s.lower()}, 0) * {v}" for s, v in RISK_WEIGHTS.items())
+SQL["j4_risk_score"] = (
+    f"with {_COUNTS}, t as (select project, sum(lines)::bigint as loc from rv group by project) "
+    f"select t.project, loc, ({_W})::bigint as weighted, round(case when loc > 0 then ({_W}) * 1000.0 / loc end, 6)"
+    f" as risk_per_kloc from t left join cn using (project)")
+SQL["j5_model_agreement"] = (
+    f"with {DOCS}, a as ({_rule_hits('cur', 'rules-now')} union all {_rule_hits('snap', 'rules-then')}) "
+    f"select project, file, line, category, count(distinct model)::bigint as models, count(*)::bigint as reports "
+    f"from a group by project, file, line, category")
+SQL["j6_billed_tokens"] = (
+    f"with recursive {PEND}, a as (select project, count(*)::bigint as chunks, sum(tokens)::bigint as code_tokens "
+    f"from c_chunks group by project), r as (select project, count(*)::bigint as retries, sum(tokens)::bigint as "
+    f"retry_tokens from pend group by project) select a.project, chunks, coalesce(retries, 0)::bigint as retries, "
+    f"code_tokens, (code_tokens + coalesce(retry_tokens, 0) + (chunks + coalesce(retries, 0)) * 1500)::bigint "
+    f"as billed from a left join r using (project)")

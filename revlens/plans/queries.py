@@ -449,5 +449,62 @@ def h6_scan_secrets(spark, d):
     return H.scan_secrets(V.read_table(spark, d, "documents"))
 
 
+# ---------------------------------------------------------------- J
+def j1_changed_files(spark, d):
+    from revlens.operators import history as J
+    return J.changed_files(current_docs(spark, d), snapshot_docs(spark, d))
+
+
+def rule_runs(spark, d):
+    now = E.rule_findings(current_docs(spark, d)).withColumn("model", F.lit("rules-now"))
+    then = E.rule_findings(snapshot_docs(spark, d)).withColumn("model", F.lit("rules-then"))
+    return now, then
+
+
+def j2_finding_history(spark, d):
+    from revlens.operators import history as J
+    now, then = rule_runs(spark, d)
+    return J.finding_history(now, then)
+
+
+def rule_counts(spark, d):
+    f = E.rule_findings(reviewable(spark, d))
+    k = f.select("project", "severity", F.sha2(F.concat_ws("|", "category", "severity", "file",
+                                                          F.col("line").cast("string"), "title"), 256).alias("k"))
+    u = k.distinct()
+    return u.groupBy("project").agg(*[F.sum(F.when(F.col("severity") == s, 1).otherwise(0)).cast("bigint")
+                                      .alias(s.lower()) for s in ("Critical", "High", "Medium", "Low", "Info")])
+
+
+def j3_quality_gate(spark, d):
+    from revlens.operators import history as J
+    return J.quality_gate(rule_counts(spark, d))
+
+
+def j4_risk_score(spark, d):
+    from revlens.operators import history as J
+    return J.risk_score(rule_counts(spark, d), C.project_totals(reviewable(spark, d)))
+
+
+def j5_model_agreement(spark, d):
+    from revlens.operators import history as J
+    now, then = rule_runs(spark, d)
+    return J.model_agreement(now.unionByName(then))
+
+
+def j6_billed_tokens(spark, d):
+    from revlens.operators import history as J
+    cur = D.chunk_headers(D.pack_chunks(current_docs(spark, d), BUDGET))
+    return J.billed_tokens(cur, pending(spark, d))
+
+
 QUERIES: dict[str, Query] = {name: fn for name, fn in dict(globals()).items()
-                             if callable(fn) and name[:1] in "abcdefghjs" and name[1:2].isdigit()}
+                             if callable(fn) and name[:1] in "abcdefghj" and name[1:2].isdigit()}
+
+
+def _streams() -> dict[str, Query]:
+    from revlens.streaming.streams import STREAM_QUERIES
+    return dict(STREAM_QUERIES)
+
+
+QUERIES.update(_streams())

@@ -33,7 +33,11 @@ def files_v(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def responses_v(spark: SparkSession, data_dir: str) -> DataFrame:
-    d = read_table(spark, data_dir, "documents")
+    return replies_from_documents(read_table(spark, data_dir, "documents"))
+
+
+def replies_from_documents(d: DataFrame) -> DataFrame:
+    """Model-style replies derived row by row from ``documents`` (also on a stream)."""
     did = F.col("doc_id")
     sev = (F.when(did % 7 == 0, "Critical").when(did % 7 == 1, "High").when(did % 7 == 2, "Medium")
            .when(did % 7 == 3, "Low").when(did % 7 == 4, "Info").otherwise("high"))
@@ -54,7 +58,11 @@ def responses_v(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def attempts_v(spark: SparkSession, data_dir: str) -> DataFrame:
-    e = read_table(spark, data_dir, "events")
+    return attempts_from_events(read_table(spark, data_dir, "events"))
+
+
+def attempts_from_events(e: DataFrame) -> DataFrame:
+    """The attempt log derived row by row from ``events`` (also on a stream)."""
     et = F.col("event_type")
     status = (F.when(et == "error", 429).when(et == "purchase", 503).when(et == "signup", 400)
               .when(et == "view", 200).otherwise(F.lit(None).cast("int")))
