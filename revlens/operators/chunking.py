@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions import constants as K
 from revlens.functions import text as X
-from revlens.plans.prefix import running_sums
+from revlens.plans.prefix import WINDOW_MAX_ROWS, running_sums
 from revlens.plans.session import ensure_checkpoint_dir
 
 MEMBER_COLS = ["project", "chunk_id", "pos", "relative", "part_no", "part_count",
@@ -183,7 +183,8 @@ def _fold_pack(narrow: DataFrame, budget: int, width: int) -> DataFrame:
     return narrow.groupBy("project").applyInPandas(fold, _PLACED)
 
 
-def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: int | None) -> DataFrame:
+def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: int | None,
+                   window_max: int) -> DataFrame:
     """Next-fit for projects of any size: prefix sums, bucketed next-start
     search and pointer doubling; every task is bounded."""
     B = int(budget)
@@ -194,7 +195,7 @@ def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: i
         {"nsmall": F.when(over, 0).otherwise(1),
          "ssum": F.when(over, 0).otherwise(F.col("tokens")),
          "nover": F.when(over, 1).otherwise(0)},
-        num_partitions, materialize=True)
+        num_partitions, materialize=True, window_max=window_max)
     small = rs.where(~over).select("project", "relative", "lkey", "tokens", "size", "lines", "chars",
                                    F.col("nsmall").alias("idx"), (F.col("ssum") - F.col("tokens")).alias("s"),
                                    F.col("nover").alias("isl"))
@@ -214,7 +215,7 @@ def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: i
                                 F.ceil(F.col("chars") / F.lit(width)).cast("bigint").alias("flag"),
                                 "size", "lines", "tokens", "chars")
     num = running_sums(flagged.unionByName(big), "project", order, {"cid": F.col("flag"), "r": F.lit(1)},
-                       num_partitions)
+                       num_partitions, window_max=window_max)
     first = num.where(~over).groupBy("project", "cid").agg(F.min("r").alias("r0"))
     out = num.join(first, ["project", "cid"], "left")
     return out.select(
@@ -225,7 +226,7 @@ def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: i
 
 
 def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None,
-                fold_max: int = FOLD_MAX_FILES) -> DataFrame:
+                fold_max: int = FOLD_MAX_FILES, window_max: int = WINDOW_MAX_ROWS) -> DataFrame:
     """D3: chunk members (no text): project, chunk_id (1-based), pos (0-based
     in chunk), relative (with ' [part i/n]' for parts), part_no, part_count,
     size, lines, tokens, chars.
@@ -245,11 +246,13 @@ def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None
     placed = _fold_pack(narrow.join(small_p, "project", "left_semi"), B, width)
     if large_p.limit(1).count() > 0:
         placed = placed.unionByName(
-            _doubling_pack(narrow.join(large_p, "project", "left_semi"), B, width, num_partitions))
+            _doubling_pack(narrow.join(large_p, "project", "left_semi"), B, width, num_partitions, window_max))
     whole = placed.where(~F.col("over")).select(
         "project", "chunk_id", "pos", "relative", F.lit(None).cast("int").alias("part_no"),
         F.lit(None).cast("int").alias("part_count"), "size", "lines", "tokens", "chars")
-    big = (files.select("project", "relative", "text")
+    # only oversized files carry text into the join (AQE picks the join
+    # strategy from their measured size)
+    big = (files.where(F.col("tokens") > B).select("project", "relative", "text")
            .join(placed.where(F.col("over")).select("project", "relative", F.col("chunk_id").alias("first")),
                  ["project", "relative"]))
     parts = part_rows(hard_split(big, F.lit(width)))

@@ -132,9 +132,10 @@ def _join_ordered(ord_col: str, payload: str) -> Column:
     return F.array_join(F.transform(items, lambda s: s["p"]), "|")
 
 
-def ordered_digest(rows: DataFrame, keys: list[str], ord_col: str, payload: str,
-                   fanout: int = DIGEST_FANOUT, name: str = "signature") -> DataFrame:
-    """sha256 of the '|'-joined payloads in order, per key.
+def ordered_digest(rows: DataFrame, keys: list[str], ord_col: str, payloads: dict[str, str],
+                   fanout: int = DIGEST_FANOUT) -> DataFrame:
+    """sha256 of the '|'-joined payloads in order, per key, for each payload
+    column (``{output name: payload column}``) in one pass.
 
     Groups are bounded: payloads are hashed in blocks of ``fanout``
     consecutive rows, then the block hashes the same way, up to three
@@ -142,27 +143,29 @@ def ordered_digest(rows: DataFrame, keys: list[str], ord_col: str, payload: str,
     sha256(p1|p2|...), the plain signature; larger keys get a hash tree and
     no task ever holds more than ``fanout`` payloads of one key.
     """
-    lvl = rows.select(*keys, F.col(ord_col).alias("_o"), F.col(payload).alias("_p"))
+    names = list(payloads)
+    lvl = rows.select(*keys, F.col(ord_col).alias("_o"), *[F.col(c).alias(n) for n, c in payloads.items()])
     for depth in range(4):
         last = depth == 3
         grp = [*keys] if last else [*keys, F.floor((F.col("_o") - 1) / fanout).alias("_b")]
-        h = F.sha2(_join_ordered("_o", "_p"), 256)
-        if depth:   # a single block hash passes through unchanged
-            h = F.when(F.count(F.lit(1)) == 1, F.max("_p")).otherwise(h)
-        lvl = lvl.groupBy(*grp).agg(h.alias("_p"))
+        aggs = []
+        for n in names:
+            h = F.sha2(_join_ordered("_o", n), 256)
+            if depth:   # a single block hash passes through unchanged
+                h = F.when(F.count(F.lit(1)) == 1, F.max(n)).otherwise(h)
+            aggs.append(h.alias(n))
+        lvl = lvl.groupBy(*grp).agg(*aggs)
         if not last:
             lvl = lvl.withColumn("_o", F.col("_b") + 1).drop("_b")
-    return lvl.withColumnRenamed("_p", name)
+    return lvl
 
 
 def codebase_signature(files: DataFrame) -> DataFrame:
     """Signature of file metadata ``relative:size:lines:tokens`` in file
     order (content-blind, as specified); plus a content digest beside it."""
-    ordered = with_file_order(files.select("project", "relative", "size", "lines", "tokens", "text"))
-    meta = ordered.select("project", "file_order",
-                          F.concat_ws(":", "relative", F.col("size").cast("string"),
-                                      F.col("lines").cast("string"), F.col("tokens").cast("string")).alias("meta"),
-                          F.sha2(F.col("text"), 256).alias("content"))
-    sig = ordered_digest(meta, ["project"], "file_order", "meta", name="signature")
-    content = ordered_digest(meta, ["project"], "file_order", "content", name="content_sha256")
-    return sig.join(content, "project")
+    meta = files.select("project", "relative",
+                        F.concat_ws(":", "relative", F.col("size").cast("string"), F.col("lines").cast("string"),
+                                    F.col("tokens").cast("string")).alias("meta"),
+                        F.sha2(F.col("text"), 256).alias("content"))
+    ordered = ordinal(meta, "project", file_order_cols(), "file_order")
+    return ordered_digest(ordered, ["project"], "file_order", {"signature": "meta", "content_sha256": "content"})

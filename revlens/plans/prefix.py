@@ -53,17 +53,39 @@ def _local_cumsum(key: str, names: Sequence[str]):
     return run
 
 
+WINDOW_MAX_ROWS = 100_000
+
+
 def running_sums(df: DataFrame, key: str, order: Sequence[Column | str],
                  values: Mapping[str, Column], num_partitions: int | None = None,
-                 materialize: bool = False) -> DataFrame:
+                 materialize: bool = False, window_max: int = WINDOW_MAX_ROWS) -> DataFrame:
     """Return ``df`` plus one inclusive running-sum column per entry of
     ``values`` (BIGINT), within ``key`` in ``order``.
 
-    Pass a narrow frame (keys, order columns, small values): rows go through
-    an Arrow batch function.  The per-partition result is read twice (sums,
-    join); both reads reuse the one range shuffle.  ``materialize`` writes it
-    to the session's checkpoint directory instead (for iterative callers).
+    Keys with at most ``window_max`` rows use a plain window (a bounded
+    task each); rows of larger keys take the range-partitioned path below.
+    Pass a narrow frame (keys, order columns, small values).
     """
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rs_n"))
+    tagged = df.join(sizes, key)
+    small = tagged.where(F.col("_rs_n") <= window_max).drop("_rs_n")
+    large = tagged.where(F.col("_rs_n") > window_max).drop("_rs_n")
+    w = Window.partitionBy(key).orderBy(*[F.col(o) if isinstance(o, str) else o for o in order]) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_window = small
+    for name, col in values.items():
+        by_window = by_window.withColumn(name, F.sum(col.cast("bigint")).over(w).cast("bigint"))
+    by_range = _range_running_sums(large, key, order, values, num_partitions, materialize)
+    return by_window.unionByName(by_range.select(*by_window.columns))
+
+
+def _range_running_sums(df: DataFrame, key: str, order: Sequence[Column | str],
+                        values: Mapping[str, Column], num_partitions: int | None = None,
+                        materialize: bool = False) -> DataFrame:
+    """The range-partitioned path (any key size, bounded tasks).  The
+    per-partition result is read twice (sums, join); both reads reuse the
+    one range shuffle.  ``materialize`` writes it to the session's
+    checkpoint directory instead (for iterative callers)."""
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
     order_cols = []
@@ -100,6 +122,6 @@ def running_sums(df: DataFrame, key: str, order: Sequence[Column | str],
 
 
 def ordinal(df: DataFrame, key: str, order: Sequence[Column | str], name: str = "ord",
-            num_partitions: int | None = None) -> DataFrame:
+            num_partitions: int | None = None, window_max: int = WINDOW_MAX_ROWS) -> DataFrame:
     """1-based row number within ``key`` in ``order`` (distributed)."""
-    return running_sums(df, key, order, {name: F.lit(1)}, num_partitions)
+    return running_sums(df, key, order, {name: F.lit(1)}, num_partitions, window_max=window_max)

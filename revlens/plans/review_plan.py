@@ -17,6 +17,7 @@ from revlens.functions import constants as K
 from revlens.operators import chunking as D
 from revlens.operators import corpus as C
 from revlens.operators import review as E
+from revlens.plans.session import ensure_checkpoint_dir
 from revlens.sources import fixtures as V
 
 
@@ -45,10 +46,12 @@ def review_corpus(files: DataFrame, budget: int, provider: str, model: str, cont
     """Run the offline review over a files table (any source: A1 scan or A3)."""
     rv = C.reviewable(files)
     members = D.pack_chunks(rv, budget)
-    heads = D.chunk_headers(members)
     replies = E.rule_replies(E.rule_findings(rv), members)
-    replies = replies.join(heads.select("project", "chunk_id", "signature", "tokens"), ["project", "chunk_id"])
-    parsed = E.parse_replies(replies)
+    heads = replies.select("project", "chunk_id", "n_files", "tokens", "signature")
+    # the parsed replies feed every later stage: cut the lineage once, into
+    # the session's checkpoint directory (survives executor loss).
+    ensure_checkpoint_dir(files.sparkSession)
+    parsed = E.parse_replies(replies).checkpoint(eager=True)
     usage = E.usage_totals(parsed, F.create_map(
         F.lit("prompt_tokens"), (F.col("tokens") + K.REQUEST_OVERHEAD).cast("double"),
         F.lit("completion_tokens"), F.greatest(F.lit(1.0), F.round(F.length("raw") / K.CHARS_PER_TOKEN))))
