@@ -95,10 +95,42 @@ def review_bursts(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
                     F.date_format("s.end", TS_FMT).alias("session_end"), "user_id", "events", "value")
 
 
-def dedup_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Drop repeats of ``keys`` seen within the watermark; rows later
-    than the watermark are dropped by it."""
-    return _event_time(rows).dropDuplicatesWithinWatermark(keys)
+def dedup_stream(rows: DataFrame, keys: list[str], delay_minutes: int = 10) -> DataFrame:
+    """Keep the first row of each key; a key is remembered until the
+    watermark passes its first event time + delay (event-time timeout), and
+    rows later than the current watermark are dropped.  A custom stateful
+    operator (``applyInPandasWithState``): the built-in
+    ``dropDuplicatesWithinWatermark`` does not drop late rows."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    src = _event_time(rows)
+    cols = src.columns
+    delay_ms = delay_minutes * 60_000
+
+    def run(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        wm = state.getCurrentWatermarkMs()
+        seen = state.exists
+        out = []
+        for pdf in batches:
+            ms = pd.to_datetime(pdf["ts"], utc=True).astype("int64") // 1_000_000
+            pdf = pdf[ms >= wm]
+            if pdf.empty or seen:
+                continue
+            first = pdf.sort_values("ts", kind="mergesort").head(1)
+            out.append(first)
+            seen = True
+            first_ms = int(pd.to_datetime(first["ts"], utc=True).astype("int64").iloc[0] // 1_000_000)
+            state.update((first_ms,))
+            state.setTimeoutTimestamp(max(first_ms + delay_ms, wm + 1))
+        if out:
+            yield pd.concat(out)[cols]
+
+    return src.groupBy(*keys).applyInPandasWithState(
+        run, src.schema, "first_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- S5
