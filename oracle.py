@@ -190,6 +190,7 @@ def _rule_field(k: int) -> str:
 SQL: dict[str, str] = {}
 
 SQL["a3_corpus_from_table"] = f"with {FILES} select project, path, relative, name, ext, size, lines, tokens from files"
+SQL["a1_scan_corpus"] = f"with {FILES} select project, relative, ext, size, lines, tokens from rv"
 SQL["b1_prune_dirs"] = f"with {FILES} select project, relative from pruned"
 SQL["b2_text_names"] = f"with {FILES} select project, relative, name, ext from named"
 SQL["b5_file_loc"] = f"with {FILES} select project, relative, lines as loc from files"

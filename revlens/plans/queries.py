@@ -69,6 +69,19 @@ def a3_corpus_from_table(spark, d):
     return files(spark, d).drop("text")
 
 
+def a1_scan_corpus(spark, d):
+    """The corpus view written out as a source tree (one folder per
+    project) and scanned back: pruning, name filter, decode, statistics."""
+    from revlens.plans.session import scratch_path
+    from revlens.sources.corpus_tree import scan_corpus, write_tree
+    root = scratch_path(spark, "tree").replace("file:", "")
+    v = V.files_v(spark, d)
+    write_tree(v, root)
+    projects = [r["project"] for r in v.select("project").distinct().collect()]   # folder names only
+    return scan_corpus(spark, [f"{root}/{p}" for p in projects]).select(
+        "project", "relative", "ext", "size", "lines", "tokens")
+
+
 def b1_prune_dirs(spark, d):
     return C.prune_dirs(files(spark, d)).select("project", "relative")
 
