@@ -237,9 +237,11 @@ def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None
     B = int(budget)
     width = max(K.MIN_SPLIT_CHARS, K.SPLIT_CHARS_PER_TOKEN * B)
     ensure_checkpoint_dir(files.sparkSession)
+    # one pass over the text; the narrow per-file table (no text) is read
+    # several times below, so it is checkpointed once
     narrow = files.select("project", "relative", F.lower(F.col("relative")).alias("lkey"), "tokens", "size",
                           "lines", F.length("text").cast("bigint").alias("chars"),
-                          (F.col("tokens") > B).alias("over"))
+                          (F.col("tokens") > B).alias("over")).checkpoint(eager=True)
     sizes = narrow.groupBy("project").agg(F.count(F.lit(1)).alias("_n"))
     small_p = sizes.where(F.col("_n") <= fold_max).select("project")
     large_p = sizes.where(F.col("_n") > fold_max).select("project")

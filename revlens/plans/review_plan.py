@@ -46,7 +46,10 @@ def review_corpus(files: DataFrame, budget: int, provider: str, model: str, cont
     """Run the offline review over a files table (any source: A1 scan or A3)."""
     rv = C.reviewable(files)
     members = D.pack_chunks(rv, budget)
-    replies = E.rule_replies(E.rule_findings(rv), members)
+    # rules read each member's own text (a whole file or one part), as a
+    # model reviewing that chunk would: line numbers are within the member
+    member_text = D.member_text(members, rv, budget)
+    replies = E.rule_replies(E.rule_findings(member_text), members)
     heads = replies.select("project", "chunk_id", "n_files", "tokens", "signature")
     # the parsed replies feed every later stage: cut the lineage once, into
     # the session's checkpoint directory (survives executor loss).

@@ -77,3 +77,17 @@ def test_score_chunks(spark):
 
     bad = score_chunks(prompts, broken).collect()
     assert len(bad) == 6 and all(r["error"] == "RuntimeError: provider down" for r in bad)
+
+
+def test_flagship_replies_cover_every_chunk(spark, sf):
+    from revlens.operators import chunking as D
+    from revlens.plans.review_plan import offline_review
+
+    r = offline_review(spark, sf)
+    assert r.replies.count() == r.chunks.count() == r.members.select("project", "chunk_id").distinct().count()
+    # every rule hit on a member's own text comes back as a finding of its chunk
+    mt = D.member_text(r.members, r.files, 3100)
+    hits = E.rule_findings(mt).select("project", "file", "line", "title").distinct().count()
+    got = E.explode_findings(r.parsed).select("project", "file", "line", "title").distinct().count()
+    assert got == hits
+    assert r.parsed.where(~F.col("ok")).count() == 0
