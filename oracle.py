@@ -642,3 +642,7 @@ SQL["j6_billed_tokens"] = (
     f"retry_tokens from pend group by project) select a.project, chunks, coalesce(retries, 0)::bigint as retries, "
     f"code_tokens, (code_tokens + coalesce(retry_tokens, 0) + (chunks + coalesce(retries, 0)) * 1500)::bigint "
     f"as billed from a left join r using (project)")
+
+SQL["a4_read_replies"] = (f"with {RESPONSES_V} select project, chunk_id, 1 as attempt, raw, "
+                          f"prompt_tokens::double as usage_prompt from responses_v")
+SQL["a5_read_catalog"] = f"with {MODELS} select provider, id, name, context, active from models"

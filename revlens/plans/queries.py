@@ -82,6 +82,35 @@ def a1_scan_corpus(spark, d):
         "project", "relative", "ext", "size", "lines", "tokens")
 
 
+def a4_read_replies(spark, d):
+    """Replies written as JSON lines (schema of the reply log) and read back."""
+    from revlens.plans.session import scratch_path
+    from revlens.sources.io import read_replies
+    path = scratch_path(spark, "replies")
+    r = V.responses_v(spark, d)
+    r.select("project", "chunk_id", F.lit(None).cast("string").alias("signature"), F.lit(1).alias("attempt"),
+             "raw", usage_map().alias("usage")).write.mode("overwrite").json(path)
+    back = read_replies(spark, path)
+    return back.select("project", "chunk_id", "attempt", "raw",
+                       F.col("usage")["prompt_tokens"].alias("usage_prompt"))
+
+
+def a5_read_catalog(spark, d):
+    """Model-list payloads written one file each (per provider folder),
+    read back whole and normalised."""
+    from revlens.operators import catalog as G
+    from revlens.plans.session import scratch_path
+    from revlens.sources.corpus_tree import write_tree
+    root = scratch_path(spark, "catalog").replace("file:", "")
+    cv = V.catalog_v(spark, d)
+    write_tree(cv.select(F.col("provider").alias("project"),
+                         F.concat(F.col("payload_id").cast("string"), F.lit(".json")).alias("relative"),
+                         F.col("payload").alias("text")), root)
+    parts = [G.read_catalog(spark, f"{root}/{p}/*.json", p) for p in ("gemini", "ollama", "generic")]
+    raw = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return G.normalize_catalog(raw).select("provider", "id", "name", "context", "active")
+
+
 def b1_prune_dirs(spark, d):
     return C.prune_dirs(files(spark, d)).select("project", "relative")
 
