@@ -140,7 +140,7 @@ def _chase(jump: DataFrame, heads: DataFrame, max_rounds: int = 64) -> DataFrame
     raise RuntimeError("chunk chase did not converge")
 
 
-FOLD_MAX_FILES = 50_000
+FOLD_MAX_FILES = 1_000_000
 _PLACED = ("project string, relative string, chunk_id bigint, pos int, over boolean, size bigint, "
            "lines bigint, tokens bigint, chars bigint")
 

@@ -53,7 +53,7 @@ def _local_cumsum(key: str, names: Sequence[str]):
     return run
 
 
-WINDOW_MAX_ROWS = 100_000
+WINDOW_MAX_ROWS = 1_000_000
 
 
 def running_sums(df: DataFrame, key: str, order: Sequence[Column | str],
