@@ -22,6 +22,8 @@ chunk per hard-split part.  It is a distributed job with bounded tasks:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,24 +122,23 @@ def _next_start(small: DataFrame, ends: DataFrame, budget: int) -> DataFrame:
     return q.select("project", F.col("src").alias("idx"), nxt.cast("bigint").alias("nxt"))
 
 
-def _chase(jump: DataFrame, heads: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Nodes on the path from each head (pointer doubling)."""
+def _chase(jump: DataFrame, heads: DataFrame, max_path: int) -> DataFrame:
+    """Nodes on the path from each head (pointer doubling).  Round r adds
+    the next 2^r path nodes and squares the jump table; ``max_path`` bounds
+    the path length, so the number of rounds is fixed up front (no count
+    per round).  Both tables are checkpointed each round (lineage cut)."""
+    rounds = max(1, math.ceil(math.log2(max_path + 1)))
     starts = heads.checkpoint(eager=True)
-    count = starts.count()
-    for _ in range(max_rounds):
+    for r in range(rounds):
         step = starts.join(jump, ["project", "idx"]).select("project", F.col("nxt").alias("idx"))
-        grown = starts.unionByName(step).distinct().checkpoint(eager=True)
-        new_count = grown.count()
-        starts = grown
-        if new_count == count:
-            return starts
-        count = new_count
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = (a.join(b, (F.col("a.project") == F.col("b.project")) & (F.col("a.nxt") == F.col("b.idx")))
-                .select(F.col("a.project").alias("project"), F.col("a.idx").alias("idx"),
-                        F.col("b.nxt").alias("nxt"))
-                .checkpoint(eager=True))
-    raise RuntimeError("chunk chase did not converge")
+        starts = starts.unionByName(step).distinct().checkpoint(eager=True)
+        if r + 1 < rounds:
+            a, b = jump.alias("a"), jump.alias("b")
+            jump = (a.join(b, (F.col("a.project") == F.col("b.project")) & (F.col("a.nxt") == F.col("b.idx")))
+                    .select(F.col("a.project").alias("project"), F.col("a.idx").alias("idx"),
+                            F.col("b.nxt").alias("nxt"))
+                    .checkpoint(eager=True))
+    return starts
 
 
 FOLD_MAX_FILES = 1_000_000
@@ -203,10 +204,14 @@ def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: i
                                    (F.col("nsmall") + 1).alias("bound"))
     small = small.join(bounds, ["project", "isl"], "left")
     ends = small.groupBy("project").agg((F.max("idx") + 1).alias("idx"),
-                                        F.sum("tokens").cast("bigint").alias("s"))
+                                        F.sum("tokens").cast("bigint").alias("s"),
+                                        F.max("isl").alias("islands"))
     jump = _next_start(small, ends, B)
     jump = jump.unionByName(ends.select("project", "idx", F.col("idx").alias("nxt")))
-    starts = _chase(jump, ends.select("project", F.lit(1).cast("bigint").alias("idx")))
+    # next-fit: two consecutive chunks of an island hold more than B tokens,
+    # so a path has at most 2 * tokens / B + islands + 2 nodes
+    bound = ends.select(F.max(F.ceil(2 * F.col("s") / B) + F.col("islands") + 3)).first()[0] or 1
+    starts = _chase(jump, ends.select("project", F.lit(1).cast("bigint").alias("idx")), int(bound))
     flagged = (small.join(starts.withColumn("flag", F.lit(1)), ["project", "idx"], "left")
                .select("project", "relative", "lkey", F.lit(False).alias("over"),
                        F.coalesce("flag", F.lit(0)).cast("bigint").alias("flag"),
