@@ -45,7 +45,9 @@ class Review:
 def review_corpus(files: DataFrame, budget: int, provider: str, model: str, context: int) -> Review:
     """Run the offline review over a files table (any source: A1 scan or A3)."""
     rv = C.reviewable(files)
-    members = D.pack_chunks(rv, budget)
+    ensure_checkpoint_dir(files.sparkSession)
+    # members (no text) feed the member-text join and the reply grouping
+    members = D.pack_chunks(rv, budget).checkpoint(eager=True)
     # rules read each member's own text (a whole file or one part), as a
     # model reviewing that chunk would: line numbers are within the member
     member_text = D.member_text(members, rv, budget)
@@ -53,7 +55,6 @@ def review_corpus(files: DataFrame, budget: int, provider: str, model: str, cont
     heads = replies.select("project", "chunk_id", "n_files", "tokens", "signature")
     # the parsed replies feed every later stage: cut the lineage once, into
     # the session's checkpoint directory (survives executor loss).
-    ensure_checkpoint_dir(files.sparkSession)
     parsed = E.parse_replies(replies).checkpoint(eager=True)
     usage = E.usage_totals(parsed, F.create_map(
         F.lit("prompt_tokens"), (F.col("tokens") + K.REQUEST_OVERHEAD).cast("double"),
