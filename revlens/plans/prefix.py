@@ -64,19 +64,26 @@ def running_sums(df: DataFrame, key: str, order: Sequence[Column | str],
 
     Keys with at most ``window_max`` rows use a plain window (a bounded
     task each); rows of larger keys take the range-partitioned path below.
+    One small job (per-key counts) decides whether any key is that large.
     Pass a narrow frame (keys, order columns, small values).
     """
+    w = Window.partitionBy(key).orderBy(*[F.col(o) if isinstance(o, str) else o for o in order]) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def windowed(frame: DataFrame) -> DataFrame:
+        for name, col in values.items():
+            frame = frame.withColumn(name, F.sum(col.cast("bigint")).over(w).cast("bigint"))
+        return frame
+
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rs_n"))
+    big_keys = sizes.where(F.col("_rs_n") > window_max).select(key)
+    if window_max > 0 and big_keys.limit(1).count() == 0:
+        return windowed(df)                 # every key is bounded: a plain window
     tagged = df.join(sizes, key)
-    small = tagged.where(F.col("_rs_n") <= window_max).drop("_rs_n")
+    small = windowed(tagged.where(F.col("_rs_n") <= window_max).drop("_rs_n"))
     large = tagged.where(F.col("_rs_n") > window_max).drop("_rs_n")
-    w = Window.partitionBy(key).orderBy(*[F.col(o) if isinstance(o, str) else o for o in order]) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_window = small
-    for name, col in values.items():
-        by_window = by_window.withColumn(name, F.sum(col.cast("bigint")).over(w).cast("bigint"))
     by_range = _range_running_sums(large, key, order, values, num_partitions, materialize)
-    return by_window.unionByName(by_range.select(*by_window.columns))
+    return small.unionByName(by_range.select(*small.columns))
 
 
 def _range_running_sums(df: DataFrame, key: str, order: Sequence[Column | str],
