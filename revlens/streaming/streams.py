@@ -137,26 +137,29 @@ def dedup_stream(rows: DataFrame, keys: list[str], delay_minutes: int = 10) -> D
 def incremental_review(replies: DataFrame, out_dir: str, checkpoint: str, once: bool = True):
     """Resumable incremental review.  Each micro-batch of replies drops
     chunks already completed (F2 anti-join against the completed table),
-    parses the rest (E2-E5) and appends findings, completed and failed chunk
-    rows.  The stream checkpoint replaces the JSON checkpoint file: a
-    restarted query continues after the last committed batch."""
+    parses the rest (E2-E5) and writes findings, completed and failed chunk
+    rows under ``epoch=<batch id>``.  The stream checkpoint replaces the JSON
+    checkpoint file: a restarted query continues after the last committed
+    batch, and a re-run batch rewrites the same output."""
     spark = replies.sparkSession
     out = out_dir.rstrip("/")
 
     def process(batch: DataFrame, epoch: int) -> None:
+        # idempotent per epoch: a re-run of epoch N (after a failure) only
+        # looks at earlier epochs and overwrites its own epoch folders
         done_path = f"{out}/completed"
         try:
-            done = spark.read.parquet(done_path).select("project", "chunk_id").distinct()
+            done = (spark.read.parquet(done_path).where(F.col("epoch") < epoch)
+                    .select("project", "chunk_id").distinct())
             batch = batch.join(done, ["project", "chunk_id"], "left_anti")
         except Exception:  # noqa: BLE001 - first batch: nothing completed yet
             pass
         parsed = E.parse_replies(batch)
-        parsed = parsed.withColumn("epoch", F.lit(epoch))
-        E.explode_findings(parsed).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(
-            f"{out}/findings")
-        parsed.where(F.col("ok")).select("project", "chunk_id", "epoch").write.mode("append").parquet(done_path)
-        parsed.where(~F.col("ok")).select("project", "chunk_id", "error", "epoch").write.mode("append").parquet(
-            f"{out}/failed")
+        E.explode_findings(parsed).write.mode("overwrite").parquet(f"{out}/findings/epoch={epoch}")
+        parsed.where(F.col("ok")).select("project", "chunk_id").write.mode("overwrite").parquet(
+            f"{done_path}/epoch={epoch}")
+        parsed.where(~F.col("ok")).select("project", "chunk_id", "error").write.mode("overwrite").parquet(
+            f"{out}/failed/epoch={epoch}")
 
     w = replies.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w
