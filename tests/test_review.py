@@ -91,3 +91,14 @@ def test_flagship_replies_cover_every_chunk(spark, sf):
     got = E.explode_findings(r.parsed).select("project", "file", "line", "title").distinct().count()
     assert got == hits
     assert r.parsed.where(~F.col("ok")).count() == 0
+
+
+def test_pending_empty_after_full_completion(spark, sf):
+    from revlens.operators import attempts as A
+    from revlens.operators import chunking as D
+    from revlens.plans.queries import reviewable
+
+    heads = D.chunk_headers(D.pack_chunks(reviewable(spark, sf), 3100))
+    assert A.pending_chunks(heads, heads).count() == 0
+    half = heads.where(F.col("chunk_id") % 2 == 0)
+    assert A.pending_chunks(heads, half).count() == heads.count() - half.count()

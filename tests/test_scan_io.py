@@ -103,3 +103,13 @@ def test_writers_round_trip(spark, sf, tmp_path):
                            F.create_map(F.lit("prompt_tokens"), F.col("tokens").cast("double")).alias("usage"))
     rep.write.mode("overwrite").json(str(tmp_path / "replies"))
     assert read_replies(spark, str(tmp_path / "replies")).count() == rep.count()
+
+
+def test_review_of_scanned_tree(spark, tree):
+    from revlens.plans.review_plan import review_corpus
+
+    root, _ = tree
+    r = review_corpus(scan_corpus(spark, str(root)), 3100, "groq", "m", 131072)
+    rows = r.reviews.collect()
+    assert [x["project"] for x in rows] == ["myproj"]
+    assert rows[0]["chunks"] == rows[0]["initial_chunks"] >= 1
