@@ -32,10 +32,6 @@ from revlens.functions import text as X
 from revlens.plans.prefix import WINDOW_MAX_ROWS, running_sums
 from revlens.plans.session import ensure_checkpoint_dir
 
-MEMBER_COLS = ["project", "chunk_id", "pos", "relative", "part_no", "part_count",
-               "size", "lines", "tokens", "chars"]
-
-
 # ---------------------------------------------------------------- budgets
 def context_budget(context: Column) -> Column:
     """max(1500, min(100000, int(context * 0.5)))."""
