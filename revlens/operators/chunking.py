@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from revlens.functions import constants as K
 from revlens.functions import text as X
 from revlens.plans.prefix import WINDOW_MAX_ROWS, running_sums
-from revlens.plans.session import ensure_checkpoint_dir
+from revlens.plans.session import ensure_checkpoint_dir, shuffle_partitions
 
 # ---------------------------------------------------------------- budgets
 def context_budget(context: Column) -> Column:
@@ -137,6 +137,72 @@ def _chase(jump: DataFrame, heads: DataFrame, max_path: int) -> DataFrame:
     return starts
 
 
+_EXIT_SCHEMA = "project string, idx bigint, nxt bigint, exit bigint, cross boolean"
+
+
+def _segment_exits(batches):
+    """Per range partition: for every node, the first node of its path that
+    lies beyond the partition's slice of its project (one reverse pass)."""
+    import numpy as np
+    import pandas as pd
+    frames = [b for b in batches if len(b)]
+    if not frames:
+        return
+    pdf = pd.concat(frames, ignore_index=True)
+    for proj, seg in pdf.groupby("project", sort=False):
+        idx = seg["idx"].to_numpy()
+        nxt = seg["nxt"].to_numpy()
+        lo, hi = int(idx[0]), int(idx[-1])
+        ex = np.empty_like(nxt)
+        for k in range(len(idx) - 1, -1, -1):
+            t = int(nxt[k])
+            ex[k] = t if (t == idx[k] or t > hi) else ex[t - lo]
+        yield pd.DataFrame({"project": proj, "idx": idx, "nxt": nxt, "exit": ex, "cross": nxt > hi})
+
+
+def _segment_walk(batches):
+    """Per range partition: walk the path from the entry node of each slice
+    (at most one per slice) and emit its nodes."""
+    import pandas as pd
+    frames = [b for b in batches if len(b)]
+    if not frames:
+        return
+    pdf = pd.concat(frames, ignore_index=True)
+    for proj, seg in pdf.groupby("project", sort=False):
+        idx = seg["idx"].to_numpy()
+        nxt = seg["nxt"].to_numpy()
+        lo, hi = int(idx[0]), int(idx[-1])
+        out = []
+        for e in idx[seg["entry"].fillna(False).to_numpy(dtype=bool)]:
+            cur = int(e)
+            while lo <= cur <= hi:
+                out.append(cur)
+                nx = int(nxt[cur - lo])
+                if nx == cur:
+                    break
+                cur = nx
+        if out:
+            yield pd.DataFrame({"project": proj, "idx": out})
+
+
+def _chase_local(jump: DataFrame, heads: DataFrame, parts: int) -> DataFrame:
+    """Nodes on the path from each head in O(n): range-partition the
+    pointers; per partition compute where a path entering at any node
+    leaves the slice; chase only the small graph of crossing nodes (pointer
+    doubling, at most one node per slice); then walk each slice from its
+    entry.  The entry table has at most one row per slice: broadcast."""
+    ranged = jump.repartitionByRange(parts, "project", "idx").sortWithinPartitions("project", "idx")
+    t = ranged.mapInPandas(_segment_exits, _EXIT_SCHEMA).checkpoint(eager=True)
+    crossing = (t.where(F.col("cross")).select("project", F.col("nxt").alias("idx"))
+                .unionByName(heads.select("project", "idx")).distinct())
+    graph = t.join(crossing, ["project", "idx"]).select("project", "idx", F.col("exit").alias("nxt"))
+    entries = _chase(graph, heads, parts + 2)
+    flagged = (t.join(F.broadcast(entries.withColumn("entry", F.lit(True))), ["project", "idx"], "left")
+               .select("project", "idx", "nxt", "entry").sortWithinPartitions("project", "idx"))
+    return flagged.mapInPandas(_segment_walk, "project string, idx bigint")
+
+
+ROWS_PER_SLICE = 2_000_000
 FOLD_MAX_FILES = 1_000_000
 _PLACED = ("project string, relative string, chunk_id bigint, pos int, over boolean, size bigint, "
            "lines bigint, tokens bigint, chars bigint")
@@ -180,8 +246,12 @@ def _fold_pack(narrow: DataFrame, budget: int, width: int) -> DataFrame:
     return narrow.groupBy("project").applyInPandas(fold, _PLACED)
 
 
+def files_spark(df: DataFrame):
+    return df.sparkSession
+
+
 def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: int | None,
-                   window_max: int) -> DataFrame:
+                   window_max: int, method: str = "local") -> DataFrame:
     """Next-fit for projects of any size: prefix sums, bucketed next-start
     search and pointer doubling; every task is bounded."""
     B = int(budget)
@@ -206,8 +276,15 @@ def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: i
     jump = jump.unionByName(ends.select("project", "idx", F.col("idx").alias("nxt")))
     # next-fit: two consecutive chunks of an island hold more than B tokens,
     # so a path has at most 2 * tokens / B + islands + 2 nodes
-    bound = ends.select(F.max(F.ceil(2 * F.col("s") / B) + F.col("islands") + 3)).first()[0] or 1
-    starts = _chase(jump, ends.select("project", F.lit(1).cast("bigint").alias("idx")), int(bound))
+    heads = ends.select("project", F.lit(1).cast("bigint").alias("idx"))
+    stats = ends.select(F.max(F.ceil(2 * F.col("s") / B) + F.col("islands") + 3).alias("bound"),
+                        F.sum("idx").alias("rows")).first()
+    if method == "doubling":
+        starts = _chase(jump, heads, int(stats["bound"] or 1))
+    else:
+        n = num_partitions or shuffle_partitions(files_spark(narrow))
+        parts = max(int(n), math.ceil((stats["rows"] or 0) / ROWS_PER_SLICE))
+        starts = _chase_local(jump, heads, parts)
     flagged = (small.join(starts.withColumn("flag", F.lit(1)), ["project", "idx"], "left")
                .select("project", "relative", "lkey", F.lit(False).alias("over"),
                        F.coalesce("flag", F.lit(0)).cast("bigint").alias("flag"),
@@ -227,7 +304,8 @@ def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: i
 
 
 def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None,
-                fold_max: int = FOLD_MAX_FILES, window_max: int = WINDOW_MAX_ROWS) -> DataFrame:
+                fold_max: int = FOLD_MAX_FILES, window_max: int = WINDOW_MAX_ROWS,
+                chase: str = "local") -> DataFrame:
     """D3: chunk members (no text): project, chunk_id (1-based), pos (0-based
     in chunk), relative (with ' [part i/n]' for parts), part_no, part_count,
     size, lines, tokens, chars.
@@ -249,7 +327,8 @@ def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None
     placed = _fold_pack(narrow.join(small_p, "project", "left_semi"), B, width)
     if large_p.limit(1).count() > 0:
         placed = placed.unionByName(
-            _doubling_pack(narrow.join(large_p, "project", "left_semi"), B, width, num_partitions, window_max))
+            _doubling_pack(narrow.join(large_p, "project", "left_semi"), B, width, num_partitions, window_max,
+                           chase))
     whole = placed.where(~F.col("over")).select(
         "project", "chunk_id", "pos", "relative", F.lit(None).cast("int").alias("part_no"),
         F.lit(None).cast("int").alias("part_count"), "size", "lines", "tokens", "chars")

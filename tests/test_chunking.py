@@ -110,3 +110,20 @@ def test_prompt_layout(spark):
     assert p == ("Project: proj\nReview chunk: 1/1\n\nPaths are relative to the project root.\n"
                  "Review the following source files:\n\n===== FILE: a.py | LOC: 2 =====\nprint(1)\nx\n"
                  "===== END FILE =====\n\n===== FILE: b.py | LOC: 1 =====\ny\n===== END FILE =====")
+
+
+def test_chase_methods_agree(spark, sf):
+    """Pointer doubling over all files and the partition-local chase give
+    the same chunks as the per-project fold (one project holding all)."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = C.corpus_from_table(docs.select(F.lit("all").alias("project"),
+                                          F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".py"))
+                                          .alias("relative"), "text"))
+    key = ["project", "chunk_id", "pos", "relative"]
+
+    def rows(**kw):
+        return sorted(tuple(r) for r in D.pack_chunks(one, 1500, **kw).select(*key).collect())
+
+    fold = rows()
+    assert rows(fold_max=0, window_max=0, chase="local", num_partitions=5) == fold
+    assert rows(fold_max=0, window_max=0, chase="doubling") == fold
