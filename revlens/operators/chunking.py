@@ -2,21 +2,21 @@
 
 ``pack_chunks`` (D3) reproduces next-fit packing in corpus order: files up to
 the budget fill the current chunk; a larger file flushes it and becomes one
-chunk per hard-split part.  It is a distributed job with bounded tasks:
+chunk per hard-split part.  Projects of at most ``FOLD_MAX_FILES`` files are
+folded in one task each (a bounded group of numbers).  Larger projects run a
+distributed job whose tasks are all bounded:
 
 1. prefix sums per project (``plans.prefix``, no per-project window):
-   position, number of small files before, token sum before, number of
-   oversized files before;
-2. ``next(i)``: the first small file that no longer fits if a chunk starts at
-   file i, i.e. max{idx_k : s_k <= s_i + budget} (s_k = tokens before k, a
-   sentinel n + 1 holds the total), clamped to the start of
-   the next island (an oversized file ends one).  Token sums strictly
-   increase, so buckets of width ``budget`` hold at most ``budget`` rows: the
-   search is a window over (project, bucket) plus an equi-join to the previous
-   bucket's last index;
-3. the chunk starts are the path 1 -> next(1) -> ...; found by pointer
-   doubling (log2(chunks) rounds of equi-joins, each round checkpointed to
-   the session's checkpoint directory);
+   number of small files before, token sum before, number of oversized
+   files before;
+2. ``next(i)``: where the next chunk starts if one starts at file i, i.e.
+   max{idx_k : s_k <= s_i + budget} (s_k = tokens before k, a sentinel n + 1
+   holds the total), clamped to the start of the next island (an oversized
+   file ends one).  Token sums strictly increase, so buckets of width
+   ``budget`` hold at most ``budget`` rows: the search is a window over
+   (project, bucket) plus an equi-join to the previous bucket's last index;
+3. the chunk starts are the path 1 -> next(1) -> ...: a partition-local chase
+   (``_chase_local``, O(n)) or plain pointer doubling (``_chase``);
 4. chunk numbers are a prefix sum of start flags over files and parts.
 """
 
