@@ -316,11 +316,14 @@ def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None
     B = int(budget)
     width = max(K.MIN_SPLIT_CHARS, K.SPLIT_CHARS_PER_TOKEN * B)
     ensure_checkpoint_dir(files.sparkSession)
-    # one pass over the text; the narrow per-file table (no text) is read
-    # several times below, so it is checkpointed once
-    narrow = files.select("project", "relative", F.lower(F.col("relative")).alias("lkey"), "tokens", "size",
-                          "lines", F.length("text").cast("bigint").alias("chars"),
-                          (F.col("tokens") > B).alias("over")).checkpoint(eager=True)
+    # one pass over the text: the per-file table keeps numbers, plus the text
+    # of oversized files only (they are split below); it is read several
+    # times, so it is checkpointed once
+    table = files.select("project", "relative", F.lower(F.col("relative")).alias("lkey"), "tokens", "size",
+                         "lines", F.length("text").cast("bigint").alias("chars"),
+                         (F.col("tokens") > B).alias("over"),
+                         F.when(F.col("tokens") > B, F.col("text")).alias("big_text")).checkpoint(eager=True)
+    narrow = table.drop("big_text")
     sizes = narrow.groupBy("project").agg(F.count(F.lit(1)).alias("_n"))
     small_p = sizes.where(F.col("_n") <= fold_max).select("project")
     large_p = sizes.where(F.col("_n") > fold_max).select("project")
@@ -334,7 +337,7 @@ def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None
         F.lit(None).cast("int").alias("part_count"), "size", "lines", "tokens", "chars")
     # only oversized files carry text into the join (AQE picks the join
     # strategy from their measured size)
-    big = (files.where(F.col("tokens") > B).select("project", "relative", "text")
+    big = (table.where(F.col("over")).select("project", "relative", F.col("big_text").alias("text"))
            .join(placed.where(F.col("over")).select("project", "relative", F.col("chunk_id").alias("first")),
                  ["project", "relative"]))
     parts = part_rows(hard_split(big, F.lit(width)))
