@@ -646,3 +646,21 @@ SQL["j6_billed_tokens"] = (
 SQL["a4_read_replies"] = (f"with {RESPONSES_V} select project, chunk_id, 1 as attempt, raw, "
                           f"prompt_tokens::double as usage_prompt from responses_v")
 SQL["a5_read_catalog"] = f"with {MODELS} select provider, id, name, context, active from models"
+
+SQL["d2_split_by_tokens"] = (
+    "with t as (select doc_id, regexp_extract_all(text, '[ \\t\\n\\r\\f\\v]*[^ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$') as toks from documents "
+    "where length(text) > 0), p as (select doc_id, toks, ceil(len(toks) / 400.0)::int as pc from t), "
+    "q as (select doc_id, toks, pc, unnest(range(1, pc + 1)) as part_no from p) "
+    "select doc_id, part_no::int as part_no, pc as part_count, "
+    "len(list_slice(toks, (part_no - 1) * 400 + 1, part_no * 400))::bigint as part_tokens, "
+    "sha256(array_to_string(list_slice(toks, (part_no - 1) * 400 + 1, part_no * 400), '')) as part_sha from q")
+SQL["e0_score_chunks"] = (
+    f"with recursive {PACK}, n as (select project, max(chunk_id) as n_chunks from members group by project), "
+    f"b as (select project, chunk_id, string_agg(chr(10) || '===== FILE: ' || relative || ' | LOC: ' || lines || "
+    f"' =====' || chr(10) || text || chr(10) || '===== END FILE =====', chr(10) order by pos) as body "
+    f"from members group by project, chunk_id), "
+    f"pr as (select b.project, b.chunk_id, 'Project: ' || b.project || chr(10) || 'Review chunk: ' || b.chunk_id || "
+    f"'/' || n.n_chunks || chr(10) || chr(10) || 'Paths are relative to the project root.' || chr(10) || "
+    f"'Review the following source files:' || chr(10) || body as prompt from b join n using (project)) "
+    f"select project, chunk_id, '{{\"summary\": \"chars ' || length(prompt) || '\"}}' as raw, "
+    f"greatest(1, round(length(prompt) / 3.5::double))::double as usage_prompt, null::varchar as error from pr")

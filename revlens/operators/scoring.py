@@ -87,12 +87,13 @@ def split_by_tokens(df: DataFrame, encoder, budget: int, text: str = "text") ->
 
 
 class WhitespaceEncoder:
-    """A tiny encoder for tests: tokens are runs of non-space characters
-    with their leading spaces, so decode(encode(t)) == t."""
+    """A tiny encoder: tokens are runs of non-blank characters with their
+    leading ASCII blanks (trailing blanks form a last token), so
+    decode(encode(t)) == t."""
 
     def encode(self, text: str) -> list[str]:
         import re
-        return re.findall(r"\s*\S+|\s+$", text)
+        return re.findall(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+\Z", text)
 
     def decode(self, ids) -> str:
         return "".join(ids)

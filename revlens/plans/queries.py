@@ -177,6 +177,19 @@ def d1_hard_split(spark, d):
                         F.sha2("part_text", 256).alias("part_sha"))
 
 
+TOKEN_SPLIT = 400
+
+
+def d2_split_by_tokens(spark, d):
+    """Hard split of every document with a supplied encoder (whitespace
+    tokens: a run of non-space characters with its leading spaces)."""
+    from revlens.operators.scoring import WhitespaceEncoder, split_by_tokens
+    docs = V.read_table(spark, d, "documents").select("doc_id", "text")
+    parts = split_by_tokens(docs, WhitespaceEncoder(), TOKEN_SPLIT)
+    return parts.select("doc_id", "part_no", "part_count", F.col("part_tokens").cast("bigint").alias("part_tokens"),
+                        F.sha2("part_text", 256).alias("part_sha"))
+
+
 def d3_pack_chunks(spark, d):
     return members(spark, d).drop("chars")
 
@@ -226,6 +239,22 @@ def d9_chunk_plan(spark, d):
 
 
 # ---------------------------------------------------------------- E
+def length_reviewer(prompts):
+    """A deterministic stand-in model for the scoring hook: reports the
+    prompt size (used to test E0 end to end)."""
+    import json
+    return [(json.dumps({"summary": f"chars {len(p)}"}), {"prompt_tokens": max(1, round(len(p) / 3.5))})
+            for p in prompts]
+
+
+def e0_score_chunks(spark, d):
+    from revlens.operators.scoring import score_chunks
+    p = D.render_prompts(members_text(spark, d))
+    heads = D.chunk_headers(members(spark, d)).select("project", "chunk_id", "signature")
+    out = score_chunks(p.join(heads, ["project", "chunk_id"]), length_reviewer)
+    return out.select("project", "chunk_id", "raw", F.col("usage")["prompt_tokens"].alias("usage_prompt"), "error")
+
+
 def e1_rule_findings(spark, d):
     return E.rule_findings(reviewable(spark, d)).select(
         "project", "file", "line", "rule", "category", "severity", "title",
