@@ -664,3 +664,7 @@ SQL["e0_score_chunks"] = (
     f"'Review the following source files:' || chr(10) || body as prompt from b join n using (project)) "
     f"select project, chunk_id, '{{\"summary\": \"chars ' || length(prompt) || '\"}}' as raw, "
     f"greatest(1, round(length(prompt) / 3.5::double))::double as usage_prompt, null::varchar as error from pr")
+
+SQL["f8_keep_state"] = (
+    f"with {PARSED}, {DOCS}, st as ({_sig('cur')}) select project, signature from st "
+    f"where project in (select project from parsed where not ok)")

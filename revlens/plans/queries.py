@@ -429,6 +429,15 @@ def f8_requeue(spark, d):
     return A.requeue(split, pend).select("project", "chunk_id", "sub_id", "priority", "queue_pos")
 
 
+def f8_keep_state(spark, d):
+    """Resume states (per project signature of the corpus) kept only for
+    projects whose replies still hold failed chunks."""
+    from revlens.operators import attempts as A
+    states = C.codebase_signature(current_docs(spark, d)).select("project", "signature")
+    failed = parsed(spark, d).where(~F.col("ok")).select("project", "chunk_id")
+    return A.keep_state(states, failed).select("project", "signature")
+
+
 # ---------------------------------------------------------------- G
 def models(spark, d):
     from revlens.operators import catalog as G
