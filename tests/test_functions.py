@@ -135,3 +135,18 @@ def test_attempt_rules(spark):
     j = A.plan_attempts(df).collect()
     assert all(0 <= r["wait_sec"] - 2 ** (r["attempt"] - 1) < 0.75 for r in j if r["action"] == "retry"
                and r["retry_after"] is None)
+
+
+def test_scan_secrets_emits_only_masked_forms(spark):
+    secret1 = "sk-ant-" + "A1b2" * 8
+    secret2 = "gsk_" + "Zz9_" * 6
+    text = (f'config:\n  api_key = "{secret1}"\n  password: \'hunter2hunter2\'\n'
+            f"export GROQ={secret2}\nshort token = \"abc\"\n")
+    df = spark.createDataFrame([(1, "proj", text)], "doc_id long, source string, text string")
+    rows = H.scan_secrets(df).orderBy("hit_no").collect()
+    kinds = [r["kind"] for r in rows]
+    assert kinds.count("assignment") == 2 and kinds.count("prefix") == 2
+    flat = " ".join(str(v) for r in rows for v in r.asDict().values())
+    for s in (secret1, secret2, "hunter2hunter2"):
+        assert s not in flat
+    assert any(r["masked"] == f"{secret1[:4]}...{secret1[-4:]} ({len(secret1)} chars)" for r in rows)
