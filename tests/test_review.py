@@ -102,3 +102,14 @@ def test_pending_empty_after_full_completion(spark, sf):
     assert A.pending_chunks(heads, heads).count() == 0
     half = heads.where(F.col("chunk_id") % 2 == 0)
     assert A.pending_chunks(heads, half).count() == heads.count() - half.count()
+
+
+def test_failed_ledger_with_members(spark):
+    replies = spark.createDataFrame([("p", 1, "{}"), ("p", 2, "oops"), ("q", 1, "")],
+                                    "project string, chunk_id bigint, raw string")
+    members = spark.createDataFrame([("p", 2, 1, "b.py", 30), ("p", 2, 0, "a.py", 10), ("p", 1, 0, "c.py", 5)],
+                                    "project string, chunk_id bigint, pos int, relative string, tokens bigint")
+    led = {(r["project"], r["chunk_id"]): r for r in E.failed_ledger(E.parse_replies(replies), members).collect()}
+    assert set(led) == {("p", 2), ("q", 1)}
+    assert led[("p", 2)]["files"] == ["a.py", "b.py"] and led[("p", 2)]["tokens"] == 40
+    assert led[("q", 1)]["files"] is None and led[("q", 1)]["error"].startswith("AI provider returned an empty")
