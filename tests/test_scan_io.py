@@ -113,3 +113,14 @@ def test_review_of_scanned_tree(spark, tree):
     rows = r.reviews.collect()
     assert [x["project"] for x in rows] == ["myproj"]
     assert rows[0]["chunks"] == rows[0]["initial_chunks"] >= 1
+
+
+def test_parallel_listing_equals_scan(spark, tree):
+    from revlens.sources.corpus_tree import scan_corpus_parallel
+
+    root, _ = tree
+    cols = ["project", "relative", "ext", "size", "lines", "tokens", "text"]
+    a = sorted(tuple(r) for r in scan_corpus(spark, str(root)).select(*cols).collect())
+    for depth in (0, 1, 2):
+        b = sorted(tuple(r) for r in scan_corpus_parallel(spark, str(root), depth=depth).select(*cols).collect())
+        assert a == b, depth
