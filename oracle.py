@@ -668,3 +668,7 @@ SQL["e0_score_chunks"] = (
 SQL["f8_keep_state"] = (
     f"with {PARSED}, {DOCS}, st as ({_sig('cur')}) select project, signature from st "
     f"where project in (select project from parsed where not ok)")
+
+SQL["s4_dedup_stream"] = (
+    f"with {ATTEMPTS_V} select event_id, provider, chunk_id, attempt, status from (select *, row_number() over "
+    f"(partition by provider, chunk_id, attempt order by ts, event_id) as rn from attempts_v) where rn = 1")

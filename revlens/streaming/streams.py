@@ -95,7 +95,8 @@ def review_bursts(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
                     F.date_format("s.end", TS_FMT).alias("session_end"), "user_id", "events", "value")
 
 
-def dedup_stream(rows: DataFrame, keys: list[str], delay_minutes: int = 10) -> DataFrame:
+def dedup_stream(rows: DataFrame, keys: list[str], delay_minutes: int = 10,
+                 order: list[str] | None = None) -> DataFrame:
     """Keep the first row of each key; a key is remembered until the
     watermark passes its first event time + delay (event-time timeout), and
     rows later than the current watermark are dropped.  A custom stateful
@@ -107,6 +108,7 @@ def dedup_stream(rows: DataFrame, keys: list[str], delay_minutes: int = 10) -> D
     src = _event_time(rows)
     cols = src.columns
     delay_ms = delay_minutes * 60_000
+    by = ["ts", *(order or [])]           # first arrival in event time, then tie-breakers
 
     def run(key, batches, state):
         if state.hasTimedOut:
@@ -120,7 +122,7 @@ def dedup_stream(rows: DataFrame, keys: list[str], delay_minutes: int = 10) -> D
             pdf = pdf[ms >= wm]
             if pdf.empty or seen:
                 continue
-            first = pdf.sort_values("ts", kind="mergesort").head(1)
+            first = pdf.sort_values(by, kind="mergesort").head(1)
             out.append(first)
             seen = True
             first_ms = int(pd.to_datetime(first["ts"], utc=True).astype("int64").iloc[0] // 1_000_000)
@@ -181,7 +183,7 @@ def s3_review_bursts(spark: SparkSession, d: str) -> DataFrame:
 
 def s4_dedup_stream(spark: SparkSession, d: str) -> DataFrame:
     a = attempts_from_events(stream_table(spark, d, "events"))
-    out = dedup_stream(a, ["provider", "chunk_id", "attempt"])
+    out = dedup_stream(a, ["provider", "chunk_id", "attempt"], order=["event_id"])
     return run_available(out.select("event_id", "provider", "chunk_id", "attempt", "status"), "s4")
 
 
