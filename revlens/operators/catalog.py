@@ -96,7 +96,7 @@ def normalize_catalog(payloads: DataFrame, provider: str = "provider", payload:
 def read_catalog(spark: SparkSession, path: str, provider: str) -> DataFrame:
     """A5: model-list payload files (one JSON document per file) of one
     provider -> (provider, payload_id = file path, payload)."""
-    raw = spark.read.text(path, wholetext=True).withColumn("payload_id", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("payload_id"))
     return raw.select(F.lit(provider).alias("provider"), "payload_id", F.col("value").alias("payload"))
 
 
