@@ -10,12 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from revlens.sources.tables import read_table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm.sentencepiece_sa import encode
+
+    return encode(read_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlens.llm.token_counts import count_tokens
 
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm.lm_score import score
+
+    return score(read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlens.llm.simhash import near_duplicates
 
@@ -35,7 +47,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op8_simhash, op9_decontaminate, op10_substring_dedup)
+    f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_lm_score, op8_simhash, op9_decontaminate, op10_substring_dedup)
 }
 
 #: Words of a window as one string: words hold no blank, so it is unambiguous.
