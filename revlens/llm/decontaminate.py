@@ -268,8 +268,8 @@ def _runs(flag: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(head), np.flatnonzero(tail) + 1
 
 
-def _shards(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    size = np.diff(S.flat(batch.column(1))[1])
+def _shards(batch: pa.RecordBatch, col: int = 1) -> Iterator[pa.RecordBatch]:
+    size = np.diff(S.flat(batch.column(col))[1])
     total = np.concatenate([[0], np.cumsum(size)])
     for lo, hi in S.chunks(total, SHARD_TEXT):
         yield batch.slice(lo, hi - lo)
@@ -383,3 +383,33 @@ def brute_force(rows: list[tuple], items: list[tuple], window: int = WINDOW) ->
                     names |= own
         out.append((doc_id, len(w), sum(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), any(hit)))
     return out
+
+
+def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id",
+        item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, all columns, without the words of benchmark windows.  A
+    document that had words and has none left goes."""
+    at, names = docs.columns.index(text_col), docs.columns
+    for items in blocks(benchmark, item_col, item_text, block_bytes):
+        docs = docs.mapInArrow(_cut_pass(items, window, at, names), docs.schema)
+    return docs
+
+
+def _cut_pass(items: list[tuple[str, str | None]], window: int, at: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        win = Windows(items, window)
+        for whole in batches:
+            for b in _shards(whole, at):
+                words, mask, first, _, _ = search_shard(b.column(at), win)
+                a, z = _runs(mask, first)
+                owner = np.searchsorted(first, a, side="right") - 1
+                spans: list[list] = [[] for _ in range(b.num_rows)]
+                for d, x, y in zip(owner.tolist(), (a - first[owner]).tolist(), (z - 1 - first[owner]).tolist()):
+                    spans[d].append((x, y))
+                hit = np.concatenate([[0], np.cumsum(mask)])
+                left = words - (hit[first[1:]] - hit[first[:-1]])
+                col = pa.array(cut_spans(b.column(at), spans), pa.string())
+                out = pa.record_batch([col if k == at else c for k, c in enumerate(b.columns)], names=names)
+                yield out.filter(pa.array((words == 0) | (left > 0)))
+
+    return run

@@ -22,12 +22,37 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm.language_id import identify
+
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlens.llm.lm_score import score
 
     return score(read_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm.toxicity import score, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm.secret_scan import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlens.llm.simhash import near_duplicates
 
@@ -47,7 +72,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op4_lm_score, op8_simhash, op9_decontaminate, op10_substring_dedup)
+    f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_language_id, op4_lm_score, op5_toxicity,
+                                op6_secret_scan, op7_embedding_dedup, op8_simhash, op9_decontaminate, op10_substring_dedup)
 }
 
 #: Words of a window as one string: words hold no blank, so it is unambiguous.

@@ -208,3 +208,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
     moved = comp.join(low, "component").select(F.col("node").alias("fp"), "low")
     label = (classes.join(moved, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id")))
     return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, of which one of each class stays: the row of
+    the smallest doc_id (NULL last); of rows that repeat it, that of the
+    smallest fingerprint, and of equal rows one."""
+    names = docs.columns
+    at = [names.index(id_col), names.index(text_col)]
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)
+                              for x in b.column(at[1]).cast(pa.large_binary())), np.uint64, b.num_rows)
+            yield pa.record_batch([*b.columns, pa.array(fp.view(np.int64))], names=[*names, "_fp"])
+
+    marked = written(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())])), "fingerprinted")
+    classes = written(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min(id_col).alias("first_id")), "classes")
+    comp = components(fingerprint_links(classes, bits))
+    label = classes.join(comp, classes["fp"] == comp["node"], "left").select(F.coalesce("component", "fp").alias("component"), "fp", "first_id")
+    first = label.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("_id"),
+                                                          F.col("fp").alias("_f"))).alias("k"))
+    kept = first.select("k._id", "k._f")
+    rows = marked.join(kept, marked[id_col].eqNullSafe(kept["_id"]) & (marked["_fp"] == kept["_f"]), "left_semi")
+    # rows that repeat a kept id with an equal fingerprint: the smallest text stays
+    once = rows.groupBy(id_col, "_fp").agg(F.min_by(F.struct(*names), F.struct(F.col(text_col), F.xxhash64(*names))).alias("r"))
+    return once.select(*[F.col(f"r.`{c}`").alias(c) for c in names])
