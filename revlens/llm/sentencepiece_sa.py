@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 
 from revlens.llm import textspans as S
 
-SHARD_TEXT = 24 << 20
+SHARD_TEXT = 12 << 20
 INDEX_BYTES = 1 << 19
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean"
 MEMO = 1 << 22
