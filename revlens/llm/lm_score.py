@@ -79,6 +79,18 @@ def _distinct(grams: list[tuple[np.ndarray, np.ndarray]], words: int) -> tuple[n
     return uniq, counts, np.split(inv[:-1], cut[:-1])
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest unsigned type that holds them; the first byte
+    is its width."""
+    most = int(counts.max()) if len(counts) else 0
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _wide(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
 def _own(doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """How often each n-gram occurs in its own document."""
     key = gram.astype(np.uint64) * np.uint64(1 << 32) + doc.astype(np.uint64)
@@ -100,18 +112,18 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()),
                          "bucket": pa.array([r[0] for r in rows], pa.int64()),
                          "hashes": pa.array([r[3] for r in rows], pa.binary()),
-                         "counts": pa.array([counts[lo:hi].astype("<u4").tobytes() for _, lo, hi, _ in rows], pa.binary())})
+                         "counts": pa.array([_narrow(counts[lo:hi]) for _, lo, hi, _ in rows], pa.binary())})
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts = [X.unpack(key[0].as_py(), x, buckets) for x in table["hashes"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()]).astype(np.int64)
+        counts = np.concatenate([_wide(x) for x in table["counts"].to_pylist()])
         _, inv = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.zeros(int(inv.max()) + 1, dtype=np.int64)
         np.add.at(total, inv, counts)
-        back = total[inv].astype("<i8")
+        back = total[inv]
         cut = np.cumsum([0] + [len(p) for p in parts])
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"],
-                         "counts": pa.array([back[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])], pa.binary())})
+                         "counts": pa.array([_narrow(back[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:])], pa.binary())})
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         table = left.combine_chunks()
@@ -121,7 +133,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str
         place = X.places(uniq, buckets)
         for b, counts in zip(right["bucket"].to_pylist(), right["counts"].to_pylist()):
             lo, hi = place[b]
-            total[lo:hi] = np.frombuffer(counts, "<i8")
+            total[lo:hi] = _wide(counts)
         n = np.diff(first)
         corpus = total[np.searchsorted(uniq, _EMPTY)]
         # counts of each n-gram outside its document, at the word it starts with
