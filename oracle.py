@@ -66,7 +66,7 @@ CATALOG_V = r"""catalog_v as (
 select p_partkey as payload_id, case p_partkey % 4 when 0 then 'gemini' when 1 then 'ollama' else 'generic' end as provider, case p_partkey % 4 when 0 then concat('{"models":[{"name":"models/', p_name, '","inputTokenLimit":', cast(p_size * 1000 as string), ',"supportedGenerationMethods":["', case when p_partkey % 8 = 0 then 'embedContent' else 'generateContent' end, '"]}]}') when 1 then concat('{"models":[{"name":"', p_name, '"}]}') when 2 then concat('{"data":[{"id":"', p_name, '","context_window":0,"context_length":', cast(p_size * 1000 as string), ',"active":', case when p_size % 5 = 0 then 'false' else 'true' end, '}]}') else concat('[{"id":"', p_name, '","top_provider":{"context_length":', cast(p_size * 100 as string), '}}]') end as payload from part)"""
 
 SECRETS_V = r"""secrets_v as (
-select doc_id, source as owner, concat('Bearer ', regexp_extract(text, 'token = "([0-9a-f]{40})"', 1)) as value from documents where regexp_extract(text, 'token = "([0-9a-f]{40})"', 1) <> '')"""
+select doc_id, owner, concat('Bearer ', found) as value from (select doc_id, source as owner, unnest(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1)) as found from documents))"""
 
 SNAPSHOT_V = r"""snapshot_v as (
 select source as project, doc_id, case when doc_id % 7 = 0 then concat(text, chr(10), 'edited') else text end as text from documents where doc_id % 10 <> 3)"""
@@ -217,11 +217,23 @@ SQL["c4_context_fit"] = (
     f"select project, tokens, len(list_filter({_CTX}, lambda c: c >= tokens))::bigint as models_fit, "
     f"list_min(list_filter({_CTX}, lambda c: c >= tokens))::bigint as min_fit_context, "
     f"tokens <= {K.DEFAULT_CONTEXT} as fits_default from t")
+_META = "concat_ws(':', relative, size::varchar, lines::varchar, tokens::varchar)"
+
+
+def _tree(src: str, payloads: dict[str, str]) -> str:
+    """Hash tree of four levels over blocks of 4,096 payloads in file order."""
+    q = (f"select project, row_number() over (partition by project order by lower(relative), relative) - 1 as o0, "
+         + ", ".join(f"{e} as {n}" for n, e in payloads.items()) + f" from {src}")
+    for k in range(4):
+        by = "project" if k == 3 else f"project, o{k} // 4096"
+        head = "project" if k == 3 else f"project, o{k} // 4096 as o{k + 1}"
+        q = (f"select {head}, " + ", ".join(f"sha256(string_agg({n}, '|' order by o{k})) as {n}" for n in payloads)
+             + f" from ({q}) group by {by}")
+    return q
+
+
 SQL["c5_codebase_signature"] = (
-    f"with {FILES} select project, sha256(string_agg(concat_ws(':', relative, size::varchar, lines::varchar, "
-    f"tokens::varchar), '|' order by lower(relative), relative)) as signature, "
-    f"sha256(string_agg(sha256(text), '|' order by lower(relative), relative)) as content_sha256 "
-    f"from rv group by project")
+    f"with {FILES} " + _tree("rv", {"signature": _META, "content_sha256": "sha256(text)"}))
 SQL["c6_chunk_signature"] = (
     f"with recursive {PACK} select project, chunk_id, count(*)::bigint as n_files, sum(tokens)::bigint as tokens, "
     f"sha256(string_agg(concat_ws(':', relative, lines::varchar, tokens::varchar, chars::varchar), '|' order by pos))"
@@ -515,8 +527,7 @@ snap as (select project, relative, text, strlen(text)::bigint as size,
 
 
 def _sig(src: str) -> str:
-    return (f"select project, sha256(string_agg(concat_ws(':', relative, size::varchar, lines::varchar, "
-            f"tokens::varchar), '|' order by lower(relative), relative)) as signature from {src} group by project")
+    return _tree(src, {"signature": _META})
 
 
 SQL["f1_valid_checkpoints"] = (

@@ -120,17 +120,6 @@ PAGE_SIZE = 25
 SEARCH_LIMIT = 50
 
 # --- FIXED VALUES: secrets -------------------------------------------------
-ENV_KEYS = {
-    "openrouter": "OPENROUTER_API_KEY",
-    "openai": "OPENAI_API_KEY",
-    "anthropic": "ANTHROPIC_API_KEY",
-    "xai": "XAI_API_KEY",
-    "deepseek": "DEEPSEEK_API_KEY",
-    "gemini": "GEMINI_API_KEY",
-    "mistral": "MISTRAL_API_KEY",
-    "groq": "GROQ_API_KEY",
-    "together": "TOGETHER_API_KEY",
-}
 KEY_PREFIXES = {
     "groq": ("gsk_",),
     "openrouter": ("sk-or-",),
@@ -157,3 +146,11 @@ EXTENSION_LANGUAGE = {
     ".md": "Markdown", ".txt": "Text",
 }
 OTHER_LANGUAGE = "Other"
+
+# --- FIXED VALUES: texts of the results ------------------------------------
+REPLY_EMPTY = "AI provider returned an empty review response."
+REPLY_NOT_JSON = "The AI response was not valid JSON. Response preview: '"
+NO_TITLE = "Untitled finding"
+NO_SUMMARY = "No summary returned."
+NO_POSITIVES = "No specific positive points returned."
+NO_RECOMMENDATIONS = "No additional recommendations returned."

@@ -81,12 +81,17 @@ def suffix(name) -> Column:
     return F.regexp_extract(_c(name), r"^.+(\.[^.]+)$", 1)
 
 
+# The blanks of Python's str.strip() (Java's \\s is ASCII only).
+BLANK = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+         r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+
+
 def strip_fences(raw) -> Column:
-    """Trim whitespace, then drop one leading ```json / ``` fence and one
+    """Trim blanks, then drop one leading ```json / ``` fence and one
     trailing fence (case-insensitive)."""
-    t = F.regexp_replace(_c(raw), r"^\s+|\s+$", "")
-    t = F.regexp_replace(t, r"(?i)^```(json)?\s*", "")
-    return F.regexp_replace(t, r"\s*```$", "")
+    t = F.regexp_replace(_c(raw), rf"^{BLANK}+|{BLANK}+\z", "")
+    t = F.regexp_replace(t, rf"(?i)^```(json)?{BLANK}*", "")
+    return F.regexp_replace(t, rf"{BLANK}*```\z", "")
 
 
 def html_escape(value) -> Column:
@@ -96,15 +101,6 @@ def html_escape(value) -> Column:
     return v
 
 
-def line_label(line, line_end) -> Column:
-    """'Line a', or 'Line a-b' when the end differs; '' without a line."""
-    ln, le = _c(line), _c(line_end)
-    has = ln.isNotNull() & (ln != F.lit(""))
-    lab = F.concat(F.lit("Line "), ln)
-    with_end = le.isNotNull() & (le != F.lit("")) & (le != ln)
-    return F.when(~has | ln.isNull(), F.lit("")).when(with_end, F.concat(lab, F.lit("-"), le)).otherwise(lab)
-
-
 def severity_rank(severity) -> Column:
     s = _c(severity)
     expr = F.when(s == K.SEVERITIES[0], 0)

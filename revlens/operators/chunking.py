@@ -71,16 +71,13 @@ def split_width(budget: int | Column) -> Column:
 
 def hard_split(df: DataFrame, width: Column, text: str = "text") -> DataFrame:
     """Cut text into pieces of ``width`` characters (code points); empty
-    text gives no piece.  Adds part_no (1-based), part_count, part_text."""
+    text gives no piece.  Adds part_no (1-based), part_count, part_text.
+    One pass over the text, whatever the number of pieces."""
     n = F.length(F.col(text))
-    starts = F.sequence(F.lit(0), n - 1, width)
-    exploded = df.where(n > 0).select("*", F.posexplode(starts).alias("_i", "_start"),
-                                      F.size(starts).alias("part_count"))
-    return (exploded
-            .withColumn("part_no", (F.col("_i") + 1).cast("int"))
-            .withColumn("part_count", F.col("part_count").cast("int"))
-            .withColumn("part_text", F.substring(F.col(text), F.col("_start") + 1, width))
-            .drop("_i", "_start"))
+    pieces = F.regexp_extract_all(F.col(text), F.concat(F.lit("(?s).{1,"), width.cast("string"), F.lit("}")), F.lit(0))
+    exploded = df.where(n > 0).select("*", F.ceil(n / width).cast("int").alias("part_count"),
+                                      F.posexplode(pieces).alias("_i", "part_text"))
+    return (exploded.withColumn("part_no", (F.col("_i") + 1).cast("int")).drop("_i"))
 
 
 def part_rows(df: DataFrame, label: str = "part") -> DataFrame:
@@ -246,10 +243,6 @@ def _fold_pack(narrow: DataFrame, budget: int, width: int) -> DataFrame:
     return narrow.groupBy("project").applyInPandas(fold, _PLACED)
 
 
-def files_spark(df: DataFrame):
-    return df.sparkSession
-
-
 def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: int | None,
                    window_max: int, method: str = "local") -> DataFrame:
     """Next-fit for projects of any size: prefix sums, bucketed next-start
@@ -282,7 +275,7 @@ def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: i
     if method == "doubling":
         starts = _chase(jump, heads, int(stats["bound"] or 1))
     else:
-        n = num_partitions or shuffle_partitions(files_spark(narrow))
+        n = num_partitions or shuffle_partitions(narrow.sparkSession)
         parts = max(int(n), math.ceil((stats["rows"] or 0) / ROWS_PER_SLICE))
         starts = _chase_local(jump, heads, parts)
     flagged = (small.join(starts.withColumn("flag", F.lit(1)), ["project", "idx"], "left")
@@ -316,52 +309,58 @@ def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None
     B = int(budget)
     width = max(K.MIN_SPLIT_CHARS, K.SPLIT_CHARS_PER_TOKEN * B)
     ensure_checkpoint_dir(files.sparkSession)
-    # one pass over the text: the per-file table keeps numbers, plus the text
-    # of oversized files only (they are split below); it is read several
-    # times, so it is checkpointed once
-    table = files.select("project", "relative", F.lower(F.col("relative")).alias("lkey"), "tokens", "size",
+    # the per-file table keeps numbers only; it is read several times, so it
+    # is checkpointed once.  Oversized files are split where they are read.
+    # NULL projects are packed like any other: a key that is never NULL stands
+    # for the project in all joins below
+    key = F.coalesce(F.concat(F.lit("="), F.col("project")), F.lit(""))
+    narrow = files.select(key.alias("project"), "relative", F.lower(F.col("relative")).alias("lkey"), "tokens", "size",
                          "lines", F.length("text").cast("bigint").alias("chars"),
-                         (F.col("tokens") > B).alias("over"),
-                         F.when(F.col("tokens") > B, F.col("text")).alias("big_text")).checkpoint(eager=True)
-    narrow = table.drop("big_text")
+                         (F.col("tokens") > B).alias("over")).checkpoint(eager=True)
     sizes = narrow.groupBy("project").agg(F.count(F.lit(1)).alias("_n"))
-    small_p = sizes.where(F.col("_n") <= fold_max).select("project")
+    # at most rows / fold_max projects: only they are joined
     large_p = sizes.where(F.col("_n") > fold_max).select("project")
-    placed = _fold_pack(narrow.join(small_p, "project", "left_semi"), B, width)
-    if large_p.limit(1).count() > 0:
-        placed = placed.unionByName(
+    if large_p.limit(1).count() == 0:
+        placed = _fold_pack(narrow, B, width)
+    else:
+        placed = _fold_pack(narrow.join(large_p, "project", "left_anti"), B, width).unionByName(
             _doubling_pack(narrow.join(large_p, "project", "left_semi"), B, width, num_partitions, window_max,
                            chase))
     whole = placed.where(~F.col("over")).select(
         "project", "chunk_id", "pos", "relative", F.lit(None).cast("int").alias("part_no"),
         F.lit(None).cast("int").alias("part_count"), "size", "lines", "tokens", "chars")
-    # only oversized files carry text into the join (AQE picks the join
-    # strategy from their measured size)
-    big = (table.where(F.col("over")).select("project", "relative", F.col("big_text").alias("text"))
-           .join(placed.where(F.col("over")).select("project", "relative", F.col("chunk_id").alias("first")),
-                 ["project", "relative"]))
-    parts = part_rows(hard_split(big, F.lit(width)))
+    big = files.where(F.col("tokens") > B).select(key.alias("project"), "relative", "text")
+    parts = part_rows(hard_split(big, F.lit(width))).drop("text", "part_text").join(
+        placed.where(F.col("over")).select("project", "relative", F.col("chunk_id").alias("first")), ["project", "relative"])
     parts = parts.select(
         "project", (F.col("first") + F.col("part_no") - 1).cast("bigint").alias("chunk_id"),
         F.lit(0).cast("int").alias("pos"), F.col("part_relative").alias("relative"), "part_no", "part_count",
         F.col("part_size").alias("size"), F.col("part_lines").alias("lines"),
         F.col("part_tokens").alias("tokens"), F.col("part_chars").alias("chars"))
     return whole.unionByName(parts).select(
-        "project", "chunk_id", "pos", "relative", "part_no", "part_count",
+        F.when(F.col("project") != "", F.substring("project", 2, (1 << 31) - 1)).alias("project"), "chunk_id", "pos", "relative", "part_no", "part_count",
         F.col("size").cast("bigint").alias("size"), F.col("lines").cast("bigint").alias("lines"),
         F.col("tokens").cast("bigint").alias("tokens"), F.col("chars").cast("bigint").alias("chars"))
 
 
 def member_text(members: DataFrame, files: DataFrame, budget: int) -> DataFrame:
-    """Attach the text of each member (whole file, or its part)."""
-    base = F.regexp_replace(F.col("relative"), r" \[part \d+/\d+\]$", "")
-    m = members.withColumn("source_relative", base)
-    f = files.select("project", F.col("relative").alias("source_relative"), "text")
-    j = m.join(f, ["project", "source_relative"])
-    width = split_width(budget)
-    piece = F.when(F.col("part_no").isNull(), F.col("text")).otherwise(
-        F.substring(F.col("text"), (F.col("part_no") - 1) * width + 1, width))
-    return j.withColumn("text", piece).drop("source_relative")
+    """Attach the text of each member (whole file, or its part).  Parts are
+    cut where the file is read, so every text is shuffled once."""
+    t = member_texts(files, budget).select(F.col("project").alias("_p"), F.col("relative").alias("_r"),
+                                           F.col("part_no").alias("_n"), "text")
+    same = F.col("project").eqNullSafe(F.col("_p")) & (F.col("relative") == F.col("_r")) & F.col("part_no").eqNullSafe(F.col("_n"))
+    return members.join(t, same).drop("_p", "_r", "_n")
+
+
+def member_texts(files: DataFrame, budget: int) -> DataFrame:
+    """(project, relative, part_no, text) of every chunk member without a
+    shuffle: whole files up to the budget (part_no NULL), and the labelled
+    hard-split parts of the larger ones."""
+    whole = files.where(F.col("tokens") <= budget).select("project", "relative", F.lit(None).cast("int").alias("part_no"), "text")
+    big = files.where(F.col("tokens") > budget).select("project", "relative", "text")
+    parts = part_rows(hard_split(big, split_width(int(budget))))
+    return whole.unionByName(parts.select("project", F.col("part_relative").alias("relative"), "part_no",
+                                          F.col("part_text").alias("text")))
 
 
 def chunk_headers(members: DataFrame) -> DataFrame:
@@ -388,7 +387,8 @@ def render_prompts(members_with_text: DataFrame, totals: DataFrame | None = None
         F.array_join(F.transform(items, lambda s: s["b"]), "\n").alias("body"))
     if totals is None:
         totals = members_with_text.groupBy("project").agg(F.max("chunk_id").alias("n_chunks"))
-    body = body.join(totals, "project")
+    totals = totals.select(F.col("project").alias("_p"), "n_chunks")
+    body = body.join(totals, F.col("project").eqNullSafe(F.col("_p"))).drop("_p")
     header = F.concat(F.lit("Project: "), F.col("project"), F.lit("\nReview chunk: "),
                       F.col("chunk_id").cast("string"), F.lit("/"), F.col("n_chunks").cast("string"),
                       F.lit("\n\nPaths are relative to the project root.\nReview the following source files:\n"))

@@ -138,10 +138,9 @@ def ordered_digest(rows: DataFrame, keys: list[str], ord_col: str, payloads: dic
     column (``{output name: payload column}``) in one pass.
 
     Groups are bounded: payloads are hashed in blocks of ``fanout``
-    consecutive rows, then the block hashes the same way, up to three
-    levels.  A key with at most ``fanout`` rows gets exactly
-    sha256(p1|p2|...), the plain signature; larger keys get a hash tree and
-    no task ever holds more than ``fanout`` payloads of one key.
+    consecutive rows, the block hashes the same way, four levels for every
+    key whatever its number of rows: a key that grows keeps one meaning, and
+    no group holds more than ``fanout`` payloads (up to fanout ** 4 rows).
     """
     names = list(payloads)
     lvl = rows.select(*keys, F.col(ord_col).alias("_o"), *[F.col(c).alias(n) for n, c in payloads.items()])
@@ -150,10 +149,7 @@ def ordered_digest(rows: DataFrame, keys: list[str], ord_col: str, payloads: dic
         grp = [*keys] if last else [*keys, F.floor((F.col("_o") - 1) / fanout).alias("_b")]
         aggs = []
         for n in names:
-            h = F.sha2(_join_ordered("_o", n), 256)
-            if depth:   # a single block hash passes through unchanged
-                h = F.when(F.count(F.lit(1)) == 1, F.max(n)).otherwise(h)
-            aggs.append(h.alias(n))
+            aggs.append(F.sha2(_join_ordered("_o", n), 256).alias(n))
         lvl = lvl.groupBy(*grp).agg(*aggs)
         if not last:
             lvl = lvl.withColumn("_o", F.col("_b") + 1).drop("_b")
@@ -162,7 +158,8 @@ def ordered_digest(rows: DataFrame, keys: list[str], ord_col: str, payloads: dic
 
 def codebase_signature(files: DataFrame) -> DataFrame:
     """Signature of file metadata ``relative:size:lines:tokens`` in file
-    order (content-blind, as specified); plus a content digest beside it."""
+    order (content-blind), as a hash tree of fixed depth; plus a content
+    digest beside it."""
     meta = files.select("project", "relative",
                         F.concat_ws(":", "relative", F.col("size").cast("string"), F.col("lines").cast("string"),
                                     F.col("tokens").cast("string")).alias("meta"),

@@ -78,9 +78,10 @@ def running_sums(df: DataFrame, key: str, order: Sequence[Column | str],
     big_keys = sizes.where(F.col("_rs_n") > window_max).select(key)
     if window_max > 0 and big_keys.limit(1).count() == 0:
         return windowed(df)                 # every key is bounded: a plain window
-    tagged = df.join(sizes, key)
-    small = windowed(tagged.where(F.col("_rs_n") <= window_max).drop("_rs_n"))
-    large = tagged.where(F.col("_rs_n") > window_max).drop("_rs_n")
+    big_keys = big_keys.select(F.col(key).alias("_rs_k"))      # at most rows / window_max keys
+    same = F.col(key).eqNullSafe(F.col("_rs_k"))
+    small = windowed(df.join(big_keys, same, "left_anti"))
+    large = df.join(big_keys, same, "left_semi")
     by_range = _range_running_sums(large, key, order, values, num_partitions, materialize)
     return small.unionByName(by_range.select(*small.columns))
 
@@ -120,7 +121,8 @@ def _range_running_sums(df: DataFrame, key: str, order: Sequence[Column | str],
                        *[F.sum("_rs_tot_" + v).over(earlier).alias("_rs_off_" + v) for v in names])
                .where(F.col("_rs_rn") > 1)          # at most one row per partition boundary
                .drop("_rs_rn"))
-    out = local.join(F.broadcast(offsets), [_PID, key], "left")
+    offsets = offsets.withColumnsRenamed({_PID: "_rs_p", key: "_rs_k"})
+    out = local.join(F.broadcast(offsets), (F.col(_PID) == F.col("_rs_p")) & F.col(key).eqNullSafe(F.col("_rs_k")), "left")
     for v in names:
         out = out.withColumn(v, F.col("_rs_loc_" + v) + F.coalesce(F.col("_rs_off_" + v), F.lit(0)))
     drop = [c for c in out.columns if c.startswith("_rs_")]

@@ -42,17 +42,6 @@ class Review:
                              self.positives, self.recommendations)
 
 
-def in_place_members(files: DataFrame, budget: int) -> DataFrame:
-    """(project, relative, text) of every chunk member without a shuffle:
-    whole files up to the budget, and the labelled hard-split parts of the
-    larger ones."""
-    whole = files.where(F.col("tokens") <= budget).select("project", "relative", "text")
-    big = files.where(F.col("tokens") > budget).select("project", "relative", "text")
-    parts = D.part_rows(D.hard_split(big, D.split_width(int(budget))))
-    return whole.unionByName(parts.select("project", F.col("part_relative").alias("relative"),
-                                          F.col("part_text").alias("text")))
-
-
 def review_corpus(files: DataFrame, budget: int, provider: str, model: str, context: int) -> Review:
     """Run the offline review over a files table (any source: A1 scan or A3)."""
     rv = C.reviewable(files)
@@ -63,7 +52,7 @@ def review_corpus(files: DataFrame, budget: int, provider: str, model: str, cont
     # model reviewing that chunk would: line numbers are within the member.
     # Member texts are formed in place (oversized files split where they
     # are read), so no text is shuffled; only findings meet the chunk table.
-    replies = E.rule_replies(E.rule_findings(in_place_members(rv, budget)), members)
+    replies = E.rule_replies(E.rule_findings(D.member_texts(rv, budget).drop("part_no")), members)
     heads = replies.select("project", "chunk_id", "n_files", "tokens", "signature")
     # the parsed replies feed every later stage: cut the lineage once, into
     # the session's checkpoint directory (survives executor loss).

@@ -15,8 +15,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) is a folder
-    of our own set.
+    Read from the session; only in local mode may it be unset, and a folder
+    of our own is set then.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -24,6 +24,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         conf = tempfile.mkdtemp(prefix="revlens-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -39,24 +41,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{os.getpid()}-{os.urandom(4).hex()}"
 
 
-def cluster_conf(total_input_bytes: int, executor_cores: int = 4, executors: int = 1000) -> dict[str, str]:
-    """Suggested settings for a large cluster run (e.g. 100 TB of corpus):
-    shuffle partitions sized to ~256 MiB each after AQE coalescing, input
-    splits of 256 MiB, AQE with skew-join splitting on.  Apply with
-    ``SparkSession.builder.config(map=...)``."""
-    target = 256 * 1024 * 1024
-    parts = max(executors * executor_cores * 2, total_input_bytes // target)
-    return {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(int(parts)),
-        "spark.sql.files.maxPartitionBytes": str(target),
-        "spark.sql.session.timeZone": "UTC",
-    }
-
-
 def local_session(cpus: int | str = "*", app: str = "revlens", partitions: int = 8) -> SparkSession:
     """Session for tests and the bench (local mode)."""
     return (SparkSession.builder.master(f"local[{cpus}]").appName(app)

@@ -102,9 +102,8 @@ SECRET_PATTERN = r'token = "([0-9a-f]{40})"'
 
 def secrets_v(spark: SparkSession, data_dir: str) -> DataFrame:
     d = read_table(spark, data_dir, "documents")
-    found = F.regexp_extract(F.col("text"), SECRET_PATTERN, 1)
-    return (d.select("doc_id", F.col("source").alias("owner"), found.alias("found"))
-            .where(F.col("found") != "")
+    found = F.regexp_extract_all(F.col("text"), F.lit(SECRET_PATTERN), F.lit(1))
+    return (d.select("doc_id", F.col("source").alias("owner"), F.explode(found).alias("found"))
             .select("doc_id", "owner", F.concat(F.lit("Bearer "), F.col("found")).alias("value")))
 
 

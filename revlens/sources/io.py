@@ -51,6 +51,6 @@ def write_reports(rows: DataFrame, reviews: DataFrame, path: str, num_partitions
     ordered = (rows.join(names, "project")
                .withColumn("report", F.concat(F.col("report"), F.lit(".html")))
                .repartitionByRange(n, "project", "section", "seq")
-               .sortWithinPartitions("project", "section", "seq"))
+               .sortWithinPartitions("report", "section", "seq"))   # the order the partitioned writer needs
     ordered.select("report", "html").write.mode("overwrite").partitionBy("report").text(path)
     return names

@@ -100,8 +100,9 @@ def dedup_stream(rows: DataFrame, keys: list[str], delay_minutes: int = 10,
     """Keep the first row of each key; a key is remembered until the
     watermark passes its first event time + delay (event-time timeout), and
     rows later than the current watermark are dropped.  A custom stateful
-    operator (``applyInPandasWithState``): the built-in
-    ``dropDuplicatesWithinWatermark`` does not drop late rows."""
+    operator (``applyInPandasWithState``): of the rows of a key in one batch
+    the earliest event (ties by ``order``) is kept, where the built-in
+    ``dropDuplicatesWithinWatermark`` keeps whichever a task reads first."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -145,23 +146,21 @@ def incremental_review(replies: DataFrame, out_dir: str, checkpoint: str, once:
     batch, and a re-run batch rewrites the same output."""
     spark = replies.sparkSession
     out = out_dir.rstrip("/")
+    done_path = f"{out}/completed"
+    # an empty first part, so that the completed table can always be read
+    spark.createDataFrame([], replies.select("project", "chunk_id").schema).write.mode("overwrite").parquet(f"{done_path}/epoch=-1")
 
     def process(batch: DataFrame, epoch: int) -> None:
         # idempotent per epoch: a re-run of epoch N (after a failure) only
         # looks at earlier epochs and overwrites its own epoch folders
-        done_path = f"{out}/completed"
-        try:
-            done = (spark.read.parquet(done_path).where(F.col("epoch") < epoch)
-                    .select("project", "chunk_id").distinct())
-            batch = batch.join(done, ["project", "chunk_id"], "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: nothing completed yet
-            pass
-        parsed = E.parse_replies(batch)
+        done = spark.read.parquet(done_path).where(F.col("epoch") < epoch).select("project", "chunk_id").distinct()
+        parsed = E.parse_replies(batch.join(done, ["project", "chunk_id"], "left_anti")).persist()
         E.explode_findings(parsed).write.mode("overwrite").parquet(f"{out}/findings/epoch={epoch}")
         parsed.where(F.col("ok")).select("project", "chunk_id").write.mode("overwrite").parquet(
             f"{done_path}/epoch={epoch}")
         parsed.where(~F.col("ok")).select("project", "chunk_id", "error").write.mode("overwrite").parquet(
             f"{out}/failed/epoch={epoch}")
+        parsed.unpersist()
 
     w = replies.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w

@@ -127,3 +127,33 @@ def test_chase_methods_agree(spark, sf):
     fold = rows()
     assert rows(fold_max=0, window_max=0, chase="local", num_partitions=5) == fold
     assert rows(fold_max=0, window_max=0, chase="doubling") == fold
+
+
+def test_null_project_and_label_like_names(spark):
+    rows = [(None, "a.py", "x" * 100), ("p", "x [part 1/2]", "whole"), ("p", "big.py", "😀\n" * 4000), (None, "b.py", "y" * 9000)]
+    files = C.corpus_from_table(spark.createDataFrame(rows, "project string, relative string, text string"))
+    for kw in ({}, {"fold_max": 0, "window_max": 0}):
+        members = D.pack_chunks(files, 1500, **kw)
+        got = D.member_text(members, files, 1500).collect()
+        assert len(got) == members.count()
+        whole = {(r["project"], r["relative"]): r["text"] for r in got if r["part_no"] is None}
+        assert whole == {(None, "a.py"): "x" * 100, ("p", "x [part 1/2]"): "whole"}
+        for p, name, text in rows:
+            parts = sorted((r["part_no"], r["text"]) for r in got if r["part_no"] and r["relative"].startswith(name + " [") and r["project"] == p)
+            assert not parts or "".join(t for _, t in parts) == text
+        assert len({(r["project"], r["chunk_id"]) for r in got}) == D.render_prompts(D.member_text(members, files, 1500)).count()
+
+
+def test_signature_has_one_meaning_at_every_size(spark):
+    import hashlib
+
+    def tree(payloads, fanout):
+        for k in range(4):
+            step = fanout if k < 3 else len(payloads)
+            payloads = [hashlib.sha256("|".join(payloads[i:i + step]).encode()).hexdigest() for i in range(0, len(payloads), step)]
+        return payloads[0]
+
+    for n in (1, 3, 4, 5, 17, 60):
+        df = spark.createDataFrame([("k", i + 1, f"v{i}") for i in range(n)], "k string, o long, p string")
+        got = C.ordered_digest(df, ["k"], "o", {"d": "p"}, fanout=4).first()["d"]
+        assert got == tree([f"v{i}" for i in range(n)], 4), n

@@ -113,3 +113,21 @@ def test_failed_ledger_with_members(spark):
     assert set(led) == {("p", 2), ("q", 1)}
     assert led[("p", 2)]["files"] == ["a.py", "b.py"] and led[("p", 2)]["tokens"] == 40
     assert led[("q", 1)]["files"] is None and led[("q", 1)]["error"].startswith("AI provider returned an empty")
+
+
+def test_key_text_is_python_str(spark):
+    values = ["12", "12.0", "true", '"true"', "null", "0.5", "-2.50", "1e5", "1e16", "1.25e-7", "0.0001", "123456789.125",
+              "12345678901234567890123", '"a"', "1e15"]
+    raw = json.dumps({"findings": [{"title": "@" + str(i)} for i in range(len(values))]})
+    for i, v in reversed(list(enumerate(values))):
+        raw = raw.replace(f'"@{i}"', v)
+    got = [r["k_title"] for r in E.explode_findings(parse(spark, [raw])).orderBy("pos").collect()]
+    assert got == [str(json.loads(v)) for v in values]
+    assert len(set(got)) == len(values)
+
+
+def test_fences_behind_unicode_blanks(spark):
+    raws = ["\u00a0", "\u3000```json\u2003{\"findings\": []}\u00a0```\u2028", "\x1f\x85"]
+    rows = parse(spark, raws).orderBy("chunk_id").collect()
+    assert [r["ok"] for r in rows] == [False, True, False]
+    assert rows[0]["error"] == rows[2]["error"] == "AI provider returned an empty review response."
