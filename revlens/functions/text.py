@@ -82,16 +82,18 @@ def suffix(name) -> Column:
 
 
 # The blanks of Python's str.strip() (Java's \\s is ASCII only).
-BLANK = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-         r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip_fences(raw) -> Column:
     """Trim blanks, then drop one leading ```json / ``` fence and one
     trailing fence (case-insensitive)."""
-    t = F.regexp_replace(_c(raw), rf"^{BLANK}+|{BLANK}+\z", "")
-    t = F.regexp_replace(t, rf"(?i)^```(json)?{BLANK}*", "")
-    return F.regexp_replace(t, rf"{BLANK}*```\z", "")
+    blanks, rest = F.lit(BLANKS), (1 << 31) - 1
+    t = F.btrim(_c(raw), blanks)
+    t = (F.when(F.lower(F.substring(t, 1, 7)) == "```json", F.ltrim(F.substring(t, 8, rest), blanks))
+         .when(t.startswith("```"), F.ltrim(F.substring(t, 4, rest), blanks)).otherwise(t))
+    return F.when(t.endswith("```"), F.rtrim(F.substring(t, F.lit(1), F.length(t) - 3), blanks)).otherwise(t)
 
 
 def html_escape(value) -> Column:
