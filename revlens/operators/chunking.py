@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions import constants as K
 from revlens.functions import text as X
-from revlens.plans.prefix import WINDOW_MAX_ROWS, running_sums
+from revlens.plans.prefix import running_sums
 from revlens.plans.session import ensure_checkpoint_dir, shuffle_partitions
 
 # ---------------------------------------------------------------- budgets
@@ -244,7 +244,7 @@ def _fold_pack(narrow: DataFrame, budget: int, width: int) -> DataFrame:
 
 
 def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: int | None,
-                   window_max: int, method: str = "local") -> DataFrame:
+                   method: str = "local") -> DataFrame:
     """Next-fit for projects of any size: prefix sums, bucketed next-start
     search and pointer doubling; every task is bounded."""
     B = int(budget)
@@ -255,7 +255,7 @@ def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: i
         {"nsmall": F.when(over, 0).otherwise(1),
          "ssum": F.when(over, 0).otherwise(F.col("tokens")),
          "nover": F.when(over, 1).otherwise(0)},
-        num_partitions, materialize=True, window_max=window_max)
+        num_partitions, materialize=True)
     small = rs.where(~over).select("project", "relative", "lkey", "tokens", "size", "lines", "chars",
                                    F.col("nsmall").alias("idx"), (F.col("ssum") - F.col("tokens")).alias("s"),
                                    F.col("nover").alias("isl"))
@@ -286,7 +286,7 @@ def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: i
                                 F.ceil(F.col("chars") / F.lit(width)).cast("bigint").alias("flag"),
                                 "size", "lines", "tokens", "chars")
     num = running_sums(flagged.unionByName(big), "project", order, {"cid": F.col("flag"), "r": F.lit(1)},
-                       num_partitions, window_max=window_max)
+                       num_partitions, materialize=True)
     first = num.where(~over).groupBy("project", "cid").agg(F.min("r").alias("r0"))
     out = num.join(first, ["project", "cid"], "left")
     return out.select(
@@ -297,8 +297,7 @@ def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: i
 
 
 def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None,
-                fold_max: int = FOLD_MAX_FILES, window_max: int = WINDOW_MAX_ROWS,
-                chase: str = "local") -> DataFrame:
+                fold_max: int = FOLD_MAX_FILES, chase: str = "local") -> DataFrame:
     """D3: chunk members (no text): project, chunk_id (1-based), pos (0-based
     in chunk), relative (with ' [part i/n]' for parts), part_no, part_count,
     size, lines, tokens, chars.
@@ -324,8 +323,7 @@ def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None
         placed = _fold_pack(narrow, B, width)
     else:
         placed = _fold_pack(narrow.join(large_p, "project", "left_anti"), B, width).unionByName(
-            _doubling_pack(narrow.join(large_p, "project", "left_semi"), B, width, num_partitions, window_max,
-                           chase))
+            _doubling_pack(narrow.join(large_p, "project", "left_semi"), B, width, num_partitions, chase))
     whole = placed.where(~F.col("over")).select(
         "project", "chunk_id", "pos", "relative", F.lit(None).cast("int").alias("part_no"),
         F.lit(None).cast("int").alias("part_count"), "size", "lines", "tokens", "chars")

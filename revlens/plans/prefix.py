@@ -2,7 +2,8 @@
 
 ``Window.partitionBy(key).orderBy(...)`` sends every row of one key to one
 task.  A corpus may hold one project with a third of all files, so ordinals,
-running token sums and chunk numbering use this primitive instead:
+running token sums and chunk numbering use this primitive instead, the same
+way for keys of every size:
 
 1. range-partition the narrow rows on (key, order) -> a hot key spreads over
    many partitions, each a contiguous slice of the global order;
@@ -12,124 +13,95 @@ running token sums and chunk numbering use this primitive instead:
    need an offset, so that table has fewer rows than there are partitions:
    a proven bound, safe to broadcast.
 
-The order must be total within the key (add a unique tie-breaker).
+The order must be total within the key (add a unique tie-breaker).  No job
+runs while the DataFrame is built, unless the caller asks for a checkpoint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.plans.session import ensure_checkpoint_dir, shuffle_partitions
 
-_PID = "_rs_pid"
+_PID, _KEY = "_rs_pid", "_rs_key"
 
 
-def _local_cumsum(key: str, names: Sequence[str]):
-    def run(batches):
-        carry_key = None
-        carry = dict.fromkeys(names, 0)
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf
+def _cumulate(names: Sequence[str]):
+    """Running sums of one partition; its rows are sorted by key and order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry = None, dict.fromkeys(names, 0)
+        for b in batches:
+            if not b.num_rows:
                 continue
-            keys = pdf[key]
-            first = (keys == carry_key).to_numpy() if carry_key is not None else None
-            for n in names:
-                vals = pdf[n].fillna(0).astype("int64")
-                cs = vals.groupby(keys, sort=False).cumsum().to_numpy()
-                if first is not None:
-                    cs = cs + np.where(first, carry[n], 0)
-                pdf["_rs_loc_" + n] = cs
-            carry_key = keys.iloc[-1]
+            keys = b.column(b.schema.get_field_index(_KEY))
+            new = np.empty(b.num_rows, dtype=bool)
+            new[0] = keys[0].as_py() != last
+            new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+            heads, part = np.flatnonzero(new), np.cumsum(new)
+            sums = []
             for n in names:
-                carry[n] = int(pdf["_rs_loc_" + n].iloc[-1])
-            yield pdf
-    return run
+                v = pc.fill_null(b.column(b.schema.get_field_index(n)), 0).to_numpy(zero_copy_only=False)
+                upto = np.cumsum(v)
+                base = np.concatenate([[-carry[n]], upto[heads] - v[heads]])
+                sums.append(upto - base[part])
+                carry[n] = int(sums[-1][-1])
+            last = keys[b.num_rows - 1].as_py()
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(s, pa.int64()) for s in sums]],
+                                             names=[*b.schema.names, *["_rs_loc_" + n for n in names]])
 
-
-WINDOW_MAX_ROWS = 1_000_000
+    return run
 
 
 def running_sums(df: DataFrame, key: str, order: Sequence[Column | str],
                  values: Mapping[str, Column], num_partitions: int | None = None,
-                 materialize: bool = False, window_max: int = WINDOW_MAX_ROWS) -> DataFrame:
+                 materialize: bool = False) -> DataFrame:
     """Return ``df`` plus one inclusive running-sum column per entry of
-    ``values`` (BIGINT), within ``key`` in ``order``.
-
-    Keys with at most ``window_max`` rows use a plain window (a bounded
-    task each); rows of larger keys take the range-partitioned path below.
-    One small job (per-key counts) decides whether any key is that large.
-    Pass a narrow frame (keys, order columns, small values).
-    """
-    w = Window.partitionBy(key).orderBy(*[F.col(o) if isinstance(o, str) else o for o in order]) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def windowed(frame: DataFrame) -> DataFrame:
-        for name, col in values.items():
-            frame = frame.withColumn(name, F.sum(col.cast("bigint")).over(w).cast("bigint"))
-        return frame
-
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rs_n"))
-    big_keys = sizes.where(F.col("_rs_n") > window_max).select(key)
-    if window_max > 0 and big_keys.limit(1).count() == 0:
-        return windowed(df)                 # every key is bounded: a plain window
-    big_keys = big_keys.select(F.col(key).alias("_rs_k"))      # at most rows / window_max keys
-    same = F.col(key).eqNullSafe(F.col("_rs_k"))
-    small = windowed(df.join(big_keys, same, "left_anti"))
-    large = df.join(big_keys, same, "left_semi")
-    by_range = _range_running_sums(large, key, order, values, num_partitions, materialize)
-    return small.unionByName(by_range.select(*small.columns))
-
-
-def _range_running_sums(df: DataFrame, key: str, order: Sequence[Column | str],
-                        values: Mapping[str, Column], num_partitions: int | None = None,
-                        materialize: bool = False) -> DataFrame:
-    """The range-partitioned path (any key size, bounded tasks).  The
-    per-partition result is read twice (sums, join); both reads reuse the
-    one range shuffle.  ``materialize`` writes it to the session's
-    checkpoint directory instead (for iterative callers)."""
+    ``values`` (BIGINT, NULL counts as 0), within ``key`` in ``order``; NULL
+    is a key like any other.  Pass a narrow frame (keys, order columns, small
+    values).
+
+    The slices are read twice (sums, join) from one range exchange, which
+    Spark reuses.  ``materialize`` writes them to the session's checkpoint
+    directory instead (for iterative callers); so does a session that has
+    switched the reuse of exchanges off, as the bounds are sampled."""
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
-    order_cols = []
-    base = df
-    for i, o in enumerate(order):
-        name = f"_rs_o{i}"
-        base = base.withColumn(name, F.col(o) if isinstance(o, str) else o)
-        order_cols.append(name)
+    # a key that is never NULL, so that slices and offsets compare plainly
+    base = df.withColumn(_KEY, F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    order_cols = [f"_rs_o{i}" for i in range(len(order))]
+    base = base.withColumns({c: F.col(o) if isinstance(o, str) else o for c, o in zip(order_cols, order)})
     names = list(values)
-    for name, col in values.items():
-        base = base.withColumn(name, col.cast("bigint"))
-    ranged = (base.repartitionByRange(n, key, *order_cols)
-              .sortWithinPartitions(key, *order_cols)
-              .withColumn(_PID, F.spark_partition_id()))
-    schema = T.StructType(ranged.schema.fields + [
-        T.StructField("_rs_loc_" + v, T.LongType(), False) for v in names])
-    local = ranged.mapInPandas(_local_cumsum(key, names), schema)
-    if materialize:
+    base = base.withColumns({name: col.cast("bigint") for name, col in values.items()})
+    ranged = (base.repartitionByRange(n, _KEY, *order_cols)
+              .sortWithinPartitions(_KEY, *order_cols)
+              .drop(*order_cols).withColumn(_PID, F.spark_partition_id()))
+    schema = T.StructType(ranged.schema.fields + [T.StructField("_rs_loc_" + v, T.LongType(), False) for v in names])
+    local = ranged.mapInArrow(_cumulate(names), schema)
+    if materialize or spark.conf.get("spark.sql.exchange.reuse", "true") != "true":
         ensure_checkpoint_dir(spark)
         local = local.checkpoint(eager=True)
-    totals = local.groupBy(_PID, key).agg(*[F.sum(v).alias("_rs_tot_" + v) for v in names])
-    w = Window.partitionBy(key).orderBy(_PID)
+    totals = local.groupBy(_PID, _KEY).agg(*[F.sum(v).alias("_rs_tot_" + v) for v in names])
+    w = Window.partitionBy(_KEY).orderBy(_PID)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     offsets = (totals
-               .select(_PID, key, F.row_number().over(w).alias("_rs_rn"),
+               .select(_PID, _KEY, F.row_number().over(w).alias("_rs_rn"),
                        *[F.sum("_rs_tot_" + v).over(earlier).alias("_rs_off_" + v) for v in names])
                .where(F.col("_rs_rn") > 1)          # at most one row per partition boundary
                .drop("_rs_rn"))
-    offsets = offsets.withColumnsRenamed({_PID: "_rs_p", key: "_rs_k"})
-    out = local.join(F.broadcast(offsets), (F.col(_PID) == F.col("_rs_p")) & F.col(key).eqNullSafe(F.col("_rs_k")), "left")
-    for v in names:
-        out = out.withColumn(v, F.col("_rs_loc_" + v) + F.coalesce(F.col("_rs_off_" + v), F.lit(0)))
-    drop = [c for c in out.columns if c.startswith("_rs_")]
-    return out.drop(*drop)
+    out = local.join(F.broadcast(offsets), [_PID, _KEY], "left")
+    sums = {v: F.col("_rs_loc_" + v) + F.coalesce(F.col("_rs_off_" + v), F.lit(0)) for v in names}
+    return out.select(*[c for c in df.columns if c not in sums], *[c.alias(v) for v, c in sums.items()])
 
 
 def ordinal(df: DataFrame, key: str, order: Sequence[Column | str], name: str = "ord",
-            num_partitions: int | None = None, window_max: int = WINDOW_MAX_ROWS) -> DataFrame:
+            num_partitions: int | None = None) -> DataFrame:
     """1-based row number within ``key`` in ``order`` (distributed)."""
-    return running_sums(df, key, order, {name: F.lit(1)}, num_partitions, window_max=window_max)
+    return running_sums(df, key, order, {name: F.lit(1)}, num_partitions)

@@ -59,6 +59,14 @@ def unique_findings(spark: SparkSession, d: str) -> DataFrame:
     return E.dedup_findings(E.explode_findings(parsed(spark, d)))
 
 
+def unique_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Unique findings with the columns that ranks, counts and labels read;
+    texts like the evidence stay out of the exchanges."""
+    f = E.explode_findings(parsed(spark, d))
+    return E.dedup_findings(f.select("project", "chunk_id", "pos", "severity", "severity_missing", "line", "line_raw", "line_end_raw",
+                                     "k_category", "k_severity", "k_file", "k_line", "k_title"))
+
+
 FINDING_OUT = ["project", "chunk_id", "pos", "category", "severity", "file", "line", "line_raw", "line_end",
                "title", "evidence", "why", "fix", "confidence", "k_category", "k_severity", "k_file", "k_line",
                "k_title"]
@@ -119,6 +127,30 @@ def b2_text_names(spark, d):
     return C.keep_text_names(files(spark, d)).select("project", "relative", "name", "ext")
 
 
+def b3_binary_sniff(spark, d):
+    """Bytes of every document; in two of five a NUL inside the sniffed
+    bytes (first and last of them), in one the byte after."""
+    from revlens.sources.corpus_tree import is_binary
+    text = F.coalesce(F.col("text"), F.lit(""))
+    front = (F.when(F.col("doc_id") % 5 == 0, F.lit("\0")).when(F.col("doc_id") % 5 == 1, F.concat(F.repeat(F.lit("a"), 8191), F.lit("\0")))
+             .when(F.col("doc_id") % 5 == 2, F.concat(F.repeat(F.lit("a"), 8192), F.lit("\0"))).otherwise(F.lit("")))
+    docs = V.read_table(spark, d, "documents").select("doc_id", F.encode(F.concat(front, text), "UTF-8").alias("content"))
+    return docs.select("doc_id", F.octet_length("content").cast("bigint").alias("size"), is_binary(F.col("content")).alias("is_binary"))
+
+
+def b4_decode_text(spark, d):
+    """Bytes of every document: UTF-8, UTF-8 behind a byte-order mark, and
+    ASCII behind bytes that only cp1252 or only latin-1 can read."""
+    from revlens.sources.corpus_tree import decode_text
+    text, m = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id") % 5
+    front = (F.when(m == 1, F.lit("EFBBBF")).when(m == 2, F.lit("E9")).when(m == 3, F.lit("8093")).when(m == 4, F.lit("8180"))
+             .otherwise(F.lit("")))
+    body = F.when(m >= 2, F.regexp_replace(text, r"[^\x00-\x7F]", "?")).otherwise(text)
+    docs = V.read_table(spark, d, "documents").select("doc_id", F.concat(F.unhex(front), F.encode(body, "UTF-8")).alias("content"))
+    return docs.select("doc_id", decode_text(F.col("content")).alias("decoded")).select(
+        "doc_id", F.length("decoded").cast("bigint").alias("chars"), F.sha2("decoded", 256).alias("text_sha"))
+
+
 def b5_file_loc(spark, d):
     return files(spark, d).select("project", "relative", F.col("lines").alias("loc"))
 
@@ -307,7 +339,7 @@ def e10_dedup(spark, d):
 
 
 def e11_rank(spark, d):
-    r = E.rank_findings(unique_findings(spark, d))
+    r = E.rank_findings(unique_keys(spark, d))
     return r.select("project", "finding_rank", "severity_rank", "k_file", "line_num", "chunk_id", "pos")
 
 
@@ -318,7 +350,7 @@ def e12_status(spark, d):
 
 
 def e13_severity_counts(spark, d):
-    return E.severity_counts(unique_findings(spark, d))
+    return E.severity_counts(unique_keys(spark, d))
 
 
 def e14_review_record(spark, d):
@@ -331,7 +363,7 @@ def e14_review_record(spark, d):
 
 
 def e15_line_label(spark, d):
-    u = E.with_line_label(unique_findings(spark, d))
+    u = E.with_line_label(unique_keys(spark, d))
     return u.select("project", "chunk_id", "pos", "line_label")
 
 
@@ -341,6 +373,48 @@ def e16_finding_html(spark, d):
                     F.length("html").cast("bigint").alias("html_chars"))
 
 
+def review_tables(spark, d):
+    """(parsed replies, review records, ranked findings), the hub of them written once."""
+    from revlens.plans.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    p = parsed(spark, d).checkpoint(eager=True)
+    ranked = E.rank_findings(E.dedup_findings(E.explode_findings(p)))
+    rec = E.review_records(p, ranked, E.usage_totals(p, usage_map()), PROVIDER, MODEL, CONTEXT)
+    return p, rec, ranked
+
+
+def a6_write_review(spark, d):
+    """Review records and ranked findings written and read back: one row a
+    finding with the status of its project."""
+    from revlens.plans.session import scratch_path
+    from revlens.sources.io import write_review
+    path = scratch_path(spark, "review")
+    _, rec, ranked = review_tables(spark, d)
+    write_review(rec, ranked, path)
+    reviews, findings = (spark.read.option("recursiveFileLookup", "false").parquet(f"{path}/{t}") for t in ("reviews", "findings"))
+    status = reviews.select(F.col("project").cast("string").alias("project"), "overall_status", "n_findings")
+    found = findings.select(F.col("project").cast("string").alias("project"), "finding_rank", "dedup_key", "chunk_id", "pos")
+    return status.join(found, "project", "left")
+
+
+def a7_write_reports(spark, d):
+    """The report pages written and read back: one row a page with its
+    numbers of lines that open a finding or a list entry."""
+    from datetime import datetime
+
+    from revlens.plans.session import scratch_path
+    from revlens.sources.io import write_reports
+    path = scratch_path(spark, "reports")
+    p, rec, ranked = review_tables(spark, d)
+    totals = C.project_totals(current_docs(spark, d))
+    write_reports(E.report_rows(rec, totals, E.finding_blocks(ranked), E.summaries(p), E.point_list(p, "positive_points"),
+                                E.point_list(p, "recommendations")), rec, path, when=datetime(2024, 1, 2, 3, 4, 5))
+    lines = spark.read.text(path)
+    opens = lambda tag: F.sum(F.col("value").startswith(tag).cast("bigint")).alias
+    return lines.groupBy("report").agg(opens("<!doctype html>")("pages"), opens('<article class="finding">')("findings"),
+                                       opens("<li>")("entries"), opens("<p><b>Project:</b>")("heads"))
+
+
 # ---------------------------------------------------------------- F
 def docs_corpus(df: DataFrame) -> DataFrame:
     """Documents as a corpus: project = source, relative = doc/<id>.txt."""

@@ -55,7 +55,7 @@ def test_pack_equals_loop(spark, spec, B):
     expect = loop_pack(rows, B)
     assert packed(spark, rows, B) == expect
     # the distributed path (doubling, range-partitioned prefix sums) gives the same chunks
-    assert packed(spark, rows, B, fold_max=0, window_max=0) == expect
+    assert packed(spark, rows, B, fold_max=0) == expect
 
 
 def test_chunks_within_budget_and_ordered(spark, sf):
@@ -125,14 +125,14 @@ def test_chase_methods_agree(spark, sf):
         return sorted(tuple(r) for r in D.pack_chunks(one, 1500, **kw).select(*key).collect())
 
     fold = rows()
-    assert rows(fold_max=0, window_max=0, chase="local", num_partitions=5) == fold
-    assert rows(fold_max=0, window_max=0, chase="doubling") == fold
+    assert rows(fold_max=0, chase="local", num_partitions=5) == fold
+    assert rows(fold_max=0, chase="doubling") == fold
 
 
 def test_null_project_and_label_like_names(spark):
     rows = [(None, "a.py", "x" * 100), ("p", "x [part 1/2]", "whole"), ("p", "big.py", "😀\n" * 4000), (None, "b.py", "y" * 9000)]
     files = C.corpus_from_table(spark.createDataFrame(rows, "project string, relative string, text string"))
-    for kw in ({}, {"fold_max": 0, "window_max": 0}):
+    for kw in ({}, {"fold_max": 0}):
         members = D.pack_chunks(files, 1500, **kw)
         got = D.member_text(members, files, 1500).collect()
         assert len(got) == members.count()
