@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from revlens.llm import textspans as S
 
 SHARD_TEXT = 12 << 20
-INDEX_BYTES = 1 << 19
+INDEX_BYTES = 1 << 17
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean"
 MEMO = 1 << 22
 _BLANK = "▁"
@@ -344,7 +344,7 @@ def decode_ids(ids: np.ndarray, off: np.ndarray, model: Model) -> pa.Array:
     size = (model.piece_off[1:] - model.piece_off[:-1])
     cut = np.zeros(len(off), dtype=np.int64)
     out = []
-    for lo, hi in S.chunks(off, 1 << 20):
+    for lo, hi in S.chunks(off, 1 << 18):
         part = ids[off[lo]:off[hi]]
         n = size[part]
         b = model.piece_bytes[S.ranges(model.piece_off[:-1][part], n)]
