@@ -11,8 +11,9 @@ merged into spans of document words.
 
 Words are compared by 64-bit hash.  The benchmark is taken in blocks of at
 most ``BLOCK_BYTES`` of text (or one item): each block is a pass of its own
-over the result of the pass before, so no task and no closure holds more than
-a block, whatever the size of the benchmark.
+over the whole texts and the spans found so far, so no task and no closure
+holds more than a block, whatever the size of the benchmark, and the number of
+blocks never shows in the result.
 
 Cases: NULL texts have no words, no hits and no items; items without words
 have no window; equal windows of several items count for each; rows that
@@ -285,6 +286,25 @@ def _merge(old: list, new: list) -> list:
     return out
 
 
+def _spans_with(col: pa.Array, mask: np.ndarray, first: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The spans of each document (a column of them) merged with its hit words."""
+    a, z = _runs(mask, first)
+    owner = np.searchsorted(first, a, side="right") - 1
+    spans: list[list] = [[(x["first"], x["last"]) for x in s] if s else [] for s in col.to_pylist()]
+    docs_hit, cut = np.unique(owner, return_index=True)   # owner is sorted
+    for d, lo, hi in zip(docs_hit.tolist(), cut.tolist(), [*cut[1:].tolist(), len(owner)]):
+        spans[d] = _merge(spans[d], list(zip((a[lo:hi] - first[d]).tolist(), (z[lo:hi] - 1 - first[d]).tolist())))
+    return spans
+
+
+def _span_column(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    flat = [x for s in spans for x in s]
+    off = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in spans])]), pa.int32())
+    pair = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int64()),
+                                       pa.array([x[1] for x in flat], pa.int64())], names=["first", "last"])
+    return pa.ListArray.from_arrays(off, pair)
+
+
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
     """The items in blocks of at most ``most`` bytes of text; one block is on
     the driver at a time."""
@@ -314,21 +334,12 @@ def _pass(items: list[tuple[str, str | None]], window: int):
         for whole in batches:
             for b in _shards(whole):
                 words, mask, first, doc, item = search_shard(b.column(1), win)
-                a, z = _runs(mask, first)
-                owner = np.searchsorted(first, a, side="right") - 1
-                spans: list[list] = [[(x["first"], x["last"]) for x in s] if s else [] for s in b.column(3).to_pylist()]
+                spans = _spans_with(b.column(3), mask, first)
                 names: list[set] = [set(x) if x else set() for x in b.column(4).to_pylist()]
-                docs_hit, cut = np.unique(owner, return_index=True)   # owner is sorted
-                for d, lo, hi in zip(docs_hit.tolist(), cut.tolist(), [*cut[1:].tolist(), len(owner)]):
-                    spans[d] = _merge(spans[d], list(zip((a[lo:hi] - first[d]).tolist(), (z[lo:hi] - 1 - first[d]).tolist())))
                 for d, i in zip(doc.tolist(), item.tolist()):
                     names[d].add(win.names[i])
-                flat = [x for s in spans for x in s]
-                off = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in spans])]), pa.int32())
-                pair = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int64()),
-                                                   pa.array([x[1] for x in flat], pa.int64())], names=["first", "last"])
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(words, pa.int64()),
-                                       pa.ListArray.from_arrays(off, pair),
+                                       _span_column(spans),
                                        pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
                                       names=["doc_id", "text", "n_words", "spans", "items"])
 
@@ -388,28 +399,35 @@ def brute_force(rows: list[tuple], items: list[tuple], window: int = WINDOW) ->
 def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id",
         item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all columns, without the words of benchmark windows.  A
-    document that had words and has none left goes."""
-    at, names = docs.columns.index(text_col), docs.columns
+    document that had words and has none left goes.  Every block is searched in
+    the whole texts; the spans of all blocks are cut by the last pass."""
+    at, schema = docs.columns.index(text_col), docs.schema
+    held = "_spans"
+    while held in docs.columns:
+        held += "_"
+    docs = docs.select("*", F.lit(None).cast(SPANS).alias(held))
+    found, names, last = docs.schema, docs.columns, None
     for items in blocks(benchmark, item_col, item_text, block_bytes):
-        docs = docs.mapInArrow(_cut_pass(items, window, at, names), docs.schema)
-    return docs
+        if last is not None:
+            docs = docs.mapInArrow(_cut_pass(last, window, at, names), found)
+        last = items
+    return docs.mapInArrow(_cut_pass(last, window, at, names, True), schema)
 
 
-def _cut_pass(items: list[tuple[str, str | None]], window: int, at: int, names: list[str]):
+def _cut_pass(items: list[tuple[str, str | None]], window: int, at: int, names: list[str], last: bool = False):
+    """Adds the block's spans to the last column; the last pass cuts them all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         win = Windows(items, window)
         for whole in batches:
             for b in _shards(whole, at):
                 words, mask, first, _, _ = search_shard(b.column(at), win)
-                a, z = _runs(mask, first)
-                owner = np.searchsorted(first, a, side="right") - 1
-                spans: list[list] = [[] for _ in range(b.num_rows)]
-                for d, x, y in zip(owner.tolist(), (a - first[owner]).tolist(), (z - 1 - first[owner]).tolist()):
-                    spans[d].append((x, y))
-                hit = np.concatenate([[0], np.cumsum(mask)])
-                left = words - (hit[first[1:]] - hit[first[:-1]])
-                col = pa.array(cut_spans(b.column(at), spans), pa.string())
-                out = pa.record_batch([col if k == at else c for k, c in enumerate(b.columns)], names=names)
-                yield out.filter(pa.array((words == 0) | (left > 0)))
+                spans = _spans_with(b.column(b.num_columns - 1), mask, first)
+                kept = list(b.columns[:-1])
+                if not last:
+                    yield pa.record_batch([*kept, _span_column(spans)], names=names)
+                    continue
+                kept[at] = pa.array(cut_spans(b.column(at), spans), pa.string())
+                left = words - np.array([sum(y - x + 1 for x, y in s) for s in spans], dtype=np.int64)
+                yield pa.record_batch(kept, names=names[:-1]).filter(pa.array((words == 0) | (left > 0)))
 
     return run

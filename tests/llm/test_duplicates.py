@@ -104,6 +104,26 @@ def test_decontaminate_odd_rows(spark, docs, none):
     assert {r["doc_id"] for r in left.collect()} >= {1, 2, 3, 4, 5, 9}
 
 
+def test_cut_is_the_same_in_any_blocks(spark):
+    w = [f"w{i}" for i in range(1, 16)]
+    items = [("a", " ".join(w[:10])), ("b", " ".join(w[5:])), ("c", " ".join(f"v{i}" for i in range(10))), ("d", "q1 " + "x" * 40)]
+    items += [(f"e{i}", f"lone{i} filler{i} " + "z" * 30 + str(i)) for i in range(12)]
+    rows = [(1, " ".join(w)), (2, "before " + " ".join(w) + " after, and more"), (3, None), (4, "clean"), (5, "..."),
+            # without the passage of item a the rest would read as item c
+            (6, "v0 v1 v2 v3 v4 " + " ".join(w[:10]) + " v5 v6 v7 v8 v9"),
+            (7, " ".join(w[:10]) + " - " + " ".join(f"v{i}" for i in range(10)) + "; end")]
+    d = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _spans string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    blocks = list(decontaminate.blocks(bench, "item_id", "text", 300))
+    assert sum(any(i in "abc" for i, _ in b) for b in blocks) >= 2      # the overlapping items are in several blocks
+    want = {1: None, 2: "before  after, and more", 3: None, 4: "clean", 5: "...", 6: "v0 v1 v2 v3 v4  v5 v6 v7 v8 v9", 7: "; end"}
+    del want[1]
+    for size in (decontaminate.BLOCK_BYTES, 300, 60):
+        got = decontaminate.cut(d, bench, block_bytes=size)
+        assert got.schema == d.schema
+        assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+
+
 def test_fm_index_locates_every_occurrence():
     rng = np.random.default_rng(1)
     runs = [rng.integers(1, 4, rng.integers(1, 40)) for _ in range(50)] + [np.ones(100, np.int64)]
