@@ -3,15 +3,22 @@
 Native: DataFrame functions and the JVM's random forest only.
 
 Candidates are blank-free words of at least ``LENGTH_LEAST`` characters with a
-digit or an assignment sign.  Their features: length, shares of character
+digit or an assignment sign, and, whatever their length and characters, words
+that assign a value to a key and the two words after a key word that has no
+value yet ("password: x", "password is x"; not signs alone).  Their features: length, shares of character
 classes, transitions between classes, distinct characters, dictionary
 coverage (letter runs that are words of the whole corpus, joined), path and
 address marks, and the neighbouring words.  The forest is trained on labelled
 findings: those given, or else findings that ``label`` can decide by strict
 formats and assignments (secrets) or by plain other uses (addresses, numbers,
-paths, words); at most ``SAMPLE_MOST`` of either label, smallest hash first.
+paths, words; after a key too, single words of the dictionary and numbers of
+under ``VALUE_LEAST`` characters); at most ``SAMPLE_MOST`` of either label,
+smallest hash first.
 Every candidate is scored.  Values leave the operator masked or hashed only.
 
+Findings are replaced wherever their value stands in a text; values of under
+``VALUE_LEAST`` characters only where no letter or digit is next to them.
+
 Cases: NULL and empty texts have no candidates; equal findings of a document
 are reported once a place; rows that repeat an id report their findings each;
 without findings of both labels the score is the label (0 where there is
@@ -39,12 +46,18 @@ REPLACEMENT = "[SECRET]"
 
 BLANKS = r"[\x20\x09-\x0D]+"
 KEY_WORDS = r"(?i)(token|secret|passw|passphrase|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private)"
+#: A key word with its value in the same word.
+SERVED = r"^[^\w]*[\w\-]*" + KEY_WORDS + r"[\w\-]*[\"']?(?:=|:)(?!//)[\"']?\w"
+#: A word that begins with a key and a value assigned to it.
+KEYED = r"^[\"'({\[<]*[A-Za-z_][A-Za-z0-9_\-]*[\"']?(?:=|:)(?!//)[\"']?\S"
 #: Strict formats: access key ids, and the prefixes of the library's key table.
 FORMATS = r"^(?:AKIA[0-9A-Z]{16}|(?:" + "|".join(sorted({p for ps in K.KEY_PREFIXES.values() for p in ps}, key=lambda p: (-len(p), p))) + \
     r")[A-Za-z0-9_\-]{16,}|gh[pousr]_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+)$"
 #: Plain other uses: addresses, numbers, dates, paths and file names, words.
 OTHERS = (r"^(?:[^@\s]+@[A-Za-z0-9.\-]+|[0-9.,:/+()\-]+|(?i:https?|ftp)://\S*|[A-Za-z]:\\\S*|~?/\S*|[\w.\-]+/[\w./\-]+"
           r"|[A-Za-z_\-]+[0-9]{0,3}|[\w\-]+\.[A-Za-z]{1,5})$")
+#: What a key can be followed by without a secret: a plain word, a short number.
+PLAIN_WORD, PLAIN_NUMBER = "^[A-Za-z]?[a-z]+$", "^[0-9.,:/+()\\-]+$"
 FEATURES = ("length", "digits", "uppers", "lowers", "others", "transitions", "distinct", "coverage", "hexadecimal", "slashes",
             "at_sign", "dots", "key_before", "key_inside", "assigned", "quoted", "prev_length", "next_length")
 
@@ -56,8 +69,11 @@ def _share(value: Column, keep: str) -> Column:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, word_no, word, before, before2, after) of every candidate."""
     words = docs.select(docs[id_col].alias("doc_id"), F.split(F.coalesce(docs[text_col], F.lit("")), BLANKS).alias("w"))
+    words = words.select("*", F.transform("w", lambda x: x.rlike(KEY_WORDS) & ~x.rlike(SERVED)).alias("k"))
     word = lambda i: F.get(F.col("w"), i)
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(word(i)) >= LENGTH_LEAST) & word(i).rlike("[0-9=]"))
+    key = lambda i: F.coalesce(F.get(F.col("k"), i), F.lit(False))
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(word(i)) >= LENGTH_LEAST) & word(i).rlike("[0-9=]")
+                  | (word(i).contains(":") | word(i).contains("=")) & word(i).rlike(KEYED) | (key(i - 1) | key(i - 2)) & ~word(i).rlike("^[=:>-]*$"))
     found = F.transform(at, lambda i: F.struct(
         i.cast("bigint").alias("word_no"), word(i).alias("word"), F.coalesce(word(i - 1), F.lit("")).alias("before"),
         F.coalesce(word(i - 2), F.lit("")).alias("before2"), F.coalesce(word(i + 1), F.lit("")).alias("after")))
@@ -70,7 +86,9 @@ def values(found: DataFrame) -> DataFrame:
     key = F.regexp_extract("word", r"^[\"'({\[<]*([A-Za-z_][A-Za-z0-9_\-]*)[\"']?(?:=|:)(?!//)[\"']?\S", 1)
     raw = F.when(key != "", F.regexp_extract("word", r"^[\"'({\[<]*[A-Za-z_][A-Za-z0-9_\-]*[\"']?(?:=|:)(\S*)$", 1)).otherwise(F.col("word"))
     value = F.regexp_replace(F.regexp_replace(raw, r"^[\"'`({\[<]+", ""), r"[\"'`)}\]>,;.:!?]+$", "")
-    return found.withColumn("key", key).withColumn("value", value).where(F.length("value") >= VALUE_LEAST)
+    near = (F.col("key") != "") | F.concat_ws(" ", "before2", "before").rlike(KEY_WORDS)
+    return found.withColumn("key", key).withColumn("value", value).where(
+        (F.length("value") >= VALUE_LEAST) | (F.length("value") > 0) & near)
 
 
 def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -109,8 +127,11 @@ def label(found: DataFrame) -> DataFrame:
     v = F.col("value")
     digit = v.rlike("[0-9]")
     named = (F.col("key_inside") == 1) | ((F.col("key_before") == 1) & (F.col("assigned") == 1))
+    # the fewer characters, the less a digit says
+    telling = digit & ((F.col("length") >= VALUE_LEAST) | (F.col("length") >= 6) & v.rlike("[A-Za-z]"))
     other = (F.col("key_inside") == 0) & (F.col("key_before") == 0) & v.rlike(OTHERS)
-    return found.withColumn("label", F.when(v.rlike(FORMATS) | (named & digit), 1.0).when(other, 0.0))
+    plain = v.rlike(PLAIN_WORD) & ((F.col("coverage") >= 1) | (F.col("length") < 3)) | v.rlike(PLAIN_NUMBER) & (F.col("length") < VALUE_LEAST)
+    return found.withColumn("label", F.when(v.rlike(FORMATS) | (named & telling), 1.0).when(other | plain, 0.0))
 
 
 def train(labelled: DataFrame):
@@ -151,11 +172,18 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
         "score", "is_secret")
 
 
+def _alone(value: Column) -> Column:
+    """Pattern of the value without a letter or digit next to it."""
+    quoted = F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), quoted, F.lit("\\E(?![A-Za-z0-9])"))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, with the secrets in their texts replaced."""
     secret = findings(docs, None, id_col, text_col).where("is_secret").groupBy("doc_id").agg(
         F.sort_array(F.collect_set(F.struct((-F.length("value")).alias("n"), "value"))).alias("_secrets"))
     d = docs.join(secret.withColumnRenamed("doc_id", "_id"), docs[id_col].eqNullSafe(F.col("_id")), "left")
     text = F.aggregate(F.coalesce("_secrets", F.array().cast("array<struct<n:int,value:string>>")), docs[text_col],
-                       lambda t, s: F.replace(t, s["value"], F.lit(REPLACEMENT)))
+                       lambda t, s: F.when(-s["n"] >= VALUE_LEAST, F.replace(t, s["value"], F.lit(REPLACEMENT))).otherwise(
+                           F.regexp_replace(t, _alone(s["value"]), F.lit(REPLACEMENT))))
     return d.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -99,6 +99,19 @@ def test_secrets(spark, docs, none):
     assert secret_scan.redact(docs).columns == docs.columns
 
 
+def test_secrets_without_digits_and_short(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {-1: "password: hunter22 for the door", -2: "password: CorrectHorseBattery for the door", -3: '{"password":"CorrectHorseBattery"}',
+             -4: "password: hunt22 and nothunt22", -5: "the passphrase is CorrectHorse", -6: "token: 5 for the door 25", -7: "pwd:abc"}
+    extra = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, value string")
+    found = {(r["doc_id"], r["value"]) for r in secret_scan.values(secret_scan.candidates(extra)).collect()}
+    assert {(-1, "hunter22"), (-2, "CorrectHorseBattery"), (-3, "CorrectHorseBattery"), (-4, "hunt22"), (-5, "CorrectHorse"), (-7, "abc")} <= found
+    both = d.select("doc_id", "text", F.lit("v").alias("value")).unionByName(extra)
+    assert secret_scan.scan(both).where("doc_id between -5 and -1 and length >= 6").count() == 5   # the forest sees them
+    text = {r["doc_id"]: r["text"] for r in secret_scan.redact(both).where("doc_id < 0").collect()}
+    assert text[-1] == "password: [SECRET] for the door" and text[-4] == "password: [SECRET] and nothunt22" and text[-6] == texts[-6]
+
+
 def test_secret_scan_is_native(spark, docs):
     plan = secret_scan.candidates(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
