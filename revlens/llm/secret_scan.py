@@ -5,7 +5,10 @@ Native: DataFrame functions and the JVM's random forest only.
 Candidates are blank-free words of at least ``LENGTH_LEAST`` characters with a
 digit or an assignment sign, and, whatever their length and characters, words
 that assign a value to a key and the two words after a key word that has no
-value yet ("password: x", "password is x"; not signs alone).  Their features: length, shares of character
+value yet ("password: x", "password is x"; not signs alone).  A word that
+begins with a key gives a candidate for each of its key-value pairs, another
+one for itself and for the pairs inside; a password in an address and each
+match of a strict format inside a word is one as well.  Their features: length, shares of character
 classes, transitions between classes, distinct characters, dictionary
 coverage (letter runs that are words of the whole corpus, joined), path and
 address marks, and the neighbouring words.  The forest is trained on labelled
@@ -48,11 +51,23 @@ BLANKS = r"[\x20\x09-\x0D]+"
 KEY_WORDS = r"(?i)(token|secret|passw|passphrase|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private)"
 #: A key word with its value in the same word.
 SERVED = r"^[^\w]*[\w\-]*" + KEY_WORDS + r"[\w\-]*[\"']?(?:=|:)(?!//)[\"']?\w"
+#: A key with its sign of assignment; the value follows.
+_KEY = r"([A-Za-z_][A-Za-z0-9_\-]*+)[\"']?[=:]{1,2}>?(?!//)"
+_OPEN = r"[\"'({\[<]*"
 #: A word that begins with a key and a value assigned to it.
-KEYED = r"^[\"'({\[<]*[A-Za-z_][A-Za-z0-9_\-]*[\"']?(?:=|:)(?!//)[\"']?\S"
+KEYED = "^" + _OPEN + _KEY + r"[\"']?\S"
+#: Every key-value pair of a word: the value ends where the next pair begins.
+_PAIR = r"(?<![A-Za-z0-9_])(?<![A-Za-z0-9_]-)(?<!//)" + _KEY
+PAIR = _PAIR + r"(\S*?)(?=$|[,;&|?#{\[(]" + _OPEN + _KEY.replace("(", "(?:", 1) + ")"
+#: An address with a password before the host; one whose query has a key word as a key.
+USER_PART = r"://[^/\s:@?#]*:([^/\s@]+)@"
+KEYED_QUERY = r"://\S*[?&;#][^=&;\s]*" + KEY_WORDS + r"[^=&;\s]*="
 #: Strict formats: access key ids, and the prefixes of the library's key table.
-FORMATS = r"^(?:AKIA[0-9A-Z]{16}|(?:" + "|".join(sorted({p for ps in K.KEY_PREFIXES.values() for p in ps}, key=lambda p: (-len(p), p))) + \
-    r")[A-Za-z0-9_\-]{16,}|gh[pousr]_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+)$"
+_FORMAT = r"(?:AKIA[0-9A-Z]{16}|(?:" + "|".join(sorted({p for ps in K.KEY_PREFIXES.values() for p in ps}, key=lambda p: (-len(p), p))) + \
+    r")[A-Za-z0-9_\-]{16,}|gh[pousr]_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+)"
+FORMATS = "^" + _FORMAT + "$"
+#: The same inside a word.
+FORMAT_INSIDE = "(?<![A-Za-z0-9])(" + _FORMAT + ")(?![A-Za-z0-9])"
 #: Plain other uses: addresses, numbers, dates, paths and file names, words.
 OTHERS = (r"^(?:[^@\s]+@[A-Za-z0-9.\-]+|[0-9.,:/+()\-]+|(?i:https?|ftp)://\S*|[A-Za-z]:\\\S*|~?/\S*|[\w.\-]+/[\w./\-]+"
           r"|[A-Za-z_\-]+[0-9]{0,3}|[\w\-]+\.[A-Za-z]{1,5})$")
@@ -73,7 +88,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     word = lambda i: F.get(F.col("w"), i)
     key = lambda i: F.coalesce(F.get(F.col("k"), i), F.lit(False))
     at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(word(i)) >= LENGTH_LEAST) & word(i).rlike("[0-9=]")
-                  | (word(i).contains(":") | word(i).contains("=")) & word(i).rlike(KEYED) | (key(i - 1) | key(i - 2)) & ~word(i).rlike("^[=:>-]*$"))
+                  | (word(i).contains(":") | word(i).contains("=")) & word(i).rlike(_PAIR + r"[\"']?\S")
+                  | (F.length(word(i)) >= LENGTH_LEAST) & word(i).rlike(FORMAT_INSIDE) | (key(i - 1) | key(i - 2)) & ~word(i).rlike("^[=:>-]*$"))
     found = F.transform(at, lambda i: F.struct(
         i.cast("bigint").alias("word_no"), word(i).alias("word"), F.coalesce(word(i - 1), F.lit("")).alias("before"),
         F.coalesce(word(i - 2), F.lit("")).alias("before2"), F.coalesce(word(i + 1), F.lit("")).alias("after")))
@@ -81,14 +97,21 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def values(found: DataFrame) -> DataFrame:
-    """Adds the value inside the word: what follows an assignment sign after a
-    key, without quotation marks and closing punctuation."""
-    key = F.regexp_extract("word", r"^[\"'({\[<]*([A-Za-z_][A-Za-z0-9_\-]*)[\"']?(?:=|:)(?!//)[\"']?\S", 1)
-    raw = F.when(key != "", F.regexp_extract("word", r"^[\"'({\[<]*[A-Za-z_][A-Za-z0-9_\-]*[\"']?(?:=|:)(\S*)$", 1)).otherwise(F.col("word"))
-    value = F.regexp_replace(F.regexp_replace(raw, r"^[\"'`({\[<]+", ""), r"[\"'`)}\]>,;.:!?]+$", "")
+    """A row for each value of the word, with its key: of every key-value pair,
+    of a password in an address (as if its key were "password"), of every
+    strict format, and the word itself unless it begins with a key; without
+    quotation marks and closing punctuation, equal ones once."""
+    part = lambda key, value: F.struct(key.alias("key"), F.regexp_replace(F.regexp_replace(
+        value, r"^[\"'`({\[<]+", ""), r"[\"'`)}\]>,;.:!?]+$", "").alias("value"))
+    every = lambda pattern, group: F.regexp_extract_all("word", F.lit(pattern), group)
+    word = F.filter(F.array(part(F.lit(""), F.col("word"))), lambda p: ~F.col("word").rlike(KEYED))
+    pairs = F.zip_with(every(PAIR, 1), every(PAIR, 2), part)
+    users = F.transform(every(USER_PART, 1), lambda v: part(F.lit("password"), v))
+    keyed = found.withColumn("parts", F.array_distinct(F.concat(word, pairs, users))).withColumn("formats", every(FORMAT_INSIDE, 1))
+    formats = F.transform(F.array_except("formats", F.transform("parts", lambda p: p["value"])), lambda v: part(F.lit(""), v))
+    out = keyed.withColumn("part", F.explode(F.concat("parts", formats))).select(*found.columns, "part.*")
     near = (F.col("key") != "") | F.concat_ws(" ", "before2", "before").rlike(KEY_WORDS)
-    return found.withColumn("key", key).withColumn("value", value).where(
-        (F.length("value") >= VALUE_LEAST) | (F.length("value") > 0) & near)
+    return out.where((F.length("value") >= VALUE_LEAST) | (F.length("value") > 0) & near)
 
 
 def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -114,7 +137,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.length(v),
         "coverage": F.coalesce("covered", F.lit(0)) / F.length(v),
         "hexadecimal": v.rlike("^[0-9a-fA-F]+$"), "slashes": F.regexp_count(v, F.lit(r"[/\\]")), "at_sign": v.contains("@"),
-        "dots": F.regexp_count(v, F.lit(r"\.")), "key_before": context.rlike(KEY_WORDS), "key_inside": F.col("key").rlike(KEY_WORDS),
+        "dots": F.regexp_count(v, F.lit(r"\.")), "key_before": (F.col("key") == "") & context.rlike(KEY_WORDS), "key_inside": F.col("key").rlike(KEY_WORDS),
         "assigned": (F.col("key") != "") | F.col("before").rlike("[=:]$"), "quoted": F.col("word").rlike("[\"'`]"),
         "prev_length": F.length("before"), "next_length": F.length("after"),
     }
@@ -129,7 +152,7 @@ def label(found: DataFrame) -> DataFrame:
     named = (F.col("key_inside") == 1) | ((F.col("key_before") == 1) & (F.col("assigned") == 1))
     # the fewer characters, the less a digit says
     telling = digit & ((F.col("length") >= VALUE_LEAST) | (F.col("length") >= 6) & v.rlike("[A-Za-z]"))
-    other = (F.col("key_inside") == 0) & (F.col("key_before") == 0) & v.rlike(OTHERS)
+    other = (F.col("key_inside") == 0) & (F.col("key_before") == 0) & v.rlike(OTHERS) & ~v.rlike(USER_PART) & ~v.rlike(KEYED_QUERY)
     plain = v.rlike(PLAIN_WORD) & ((F.col("coverage") >= 1) | (F.col("length") < 3)) | v.rlike(PLAIN_NUMBER) & (F.col("length") < VALUE_LEAST)
     return found.withColumn("label", F.when(v.rlike(FORMATS) | (named & telling), 1.0).when(other | plain, 0.0))
 
