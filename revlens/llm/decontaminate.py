@@ -16,7 +16,9 @@ holds more than a block, whatever the size of the benchmark, and the number of
 blocks never shows in the result.
 
 Cases: NULL texts have no words, no hits and no items; items without words
-have no window; equal windows of several items count for each; rows that
+have no window; items with a NULL id are searched and cut like all others and
+are one more item without a name (a NULL in ``items``, counted, not in the
+hash of the names); equal windows of several items count for each; rows that
 repeat a doc_id are separate; empty tables give empty results or results
 without hits; columns beside id and text are not read.
 """
@@ -193,7 +195,7 @@ class Windows:
         self.owner_count = np.array([len(x) for x in owners], dtype=np.int64)
         self.owner_first = np.concatenate([[0], np.cumsum(self.owner_count)])
         self.owners = np.array([y for x in owners for y in sorted(x)], dtype=np.int64)
-        self.names = [str(i) for i, _ in items]
+        self.names = [None if i is None else str(i) for i, _ in items]
 
 
 def search_shard(col, win: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -305,7 +307,7 @@ def _span_column(spans: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.ListArray.from_arrays(off, pair)
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items in blocks of at most ``most`` bytes of text; one block is on
     the driver at a time."""
     items = benchmark.select(benchmark[id_col].cast("string").alias("i"), benchmark[text_col].alias("t"))
@@ -313,7 +315,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_B
     n = max(1, -(-total * 2 // most)) if total > most else 1
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield sorted([(r["i"], r["t"]) for r in part.collect() if r["i"] is not None], key=lambda x: x[0])
+        yield sorted([(r["i"], r["t"]) for r in part.collect()], key=lambda x: (x[0] is None, x[0] or ""))
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
@@ -340,7 +342,7 @@ def _pass(items: list[tuple[str, str | None]], window: int):
                     names[d].add(win.names[i])
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(words, pa.int64()),
                                        _span_column(spans),
-                                       pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
+                                       pa.array([sorted(x - {None}) + [None] * (None in x) for x in names], pa.list_(pa.string()))],
                                       names=["doc_id", "text", "n_words", "spans", "items"])
 
     return run
@@ -381,7 +383,7 @@ def brute_force(rows: list[tuple], items: list[tuple], window: int = WINDOW) ->
         w = split(text)
         size = min(window, len(w))
         for j in range(len(w) - size + 1) if size else ():
-            wins.setdefault(tuple(w[j:j + size]), set()).add(str(item))
+            wins.setdefault(tuple(w[j:j + size]), set()).add(None if item is None else str(item))
     sizes = {len(w) for w in wins}
     out = []
     for doc_id, text in rows:
@@ -392,7 +394,7 @@ def brute_force(rows: list[tuple], items: list[tuple], window: int = WINDOW) ->
                 if (own := wins.get(tuple(w[j:j + size]))) is not None:
                     hit[j:j + size] = [True] * size
                     names |= own
-        out.append((doc_id, len(w), sum(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), any(hit)))
+        out.append((doc_id, len(w), sum(hit), len(names), hashlib.sha256(",".join(sorted(names - {None})).encode()).hexdigest(), any(hit)))
     return out
 
 

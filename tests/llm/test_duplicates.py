@@ -124,6 +124,21 @@ def test_cut_is_the_same_in_any_blocks(spark):
         assert {r["doc_id"]: r["text"] for r in got.collect()} == want
 
 
+def test_items_without_id_count(spark):
+    w = [f"w{i}" for i in range(12)]
+    bench = spark.createDataFrame([(None, " ".join(w[:10])), (None, "solo"), ("a", "other words")], "item_id string, text string")
+    d = spark.createDataFrame([(1, "x " + " ".join(w) + " solo"), (2, "solo other words z"), (3, "clean")], "doc_id long, text string")
+    for size in (decontaminate.BLOCK_BYTES, 60):
+        got = {r["doc_id"]: r for r in decontaminate.find_spans(d, bench, block_bytes=size).collect()}
+        assert [got[i]["items"] for i in (1, 2, 3)] == [[None], ["a", None], []]
+        n = {r["doc_id"]: tuple(r) for r in decontaminate.digest(decontaminate.find_spans(d, bench, block_bytes=size)).collect()}
+        assert list(n.values()) and n == {r[0]: r for r in decontaminate.brute_force(
+            [(r["doc_id"], r["text"]) for r in d.collect()], [tuple(r) for r in bench.collect()])}
+        assert [n[i][2:4] for i in (1, 2, 3)] == [(11, 1), (3, 2), (0, 0)]
+        assert {r["doc_id"]: r["text"] for r in decontaminate.cut(d, bench, block_bytes=size).collect()} == {
+            1: "x  w10 w11 ", 2: " z", 3: "clean"}
+
+
 def test_fm_index_locates_every_occurrence():
     rng = np.random.default_rng(1)
     runs = [rng.integers(1, 4, rng.integers(1, 40)) for _ in range(50)] + [np.ones(100, np.int64)]
