@@ -71,9 +71,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(dedup_substrings(read_table(spark, sf_dir, "documents")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm.fill_in_middle import digest, transform
+
+    return digest(transform(read_table(spark, sf_dir, "documents")))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm.mixing import digest, mix
+
+    return digest(mix(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_language_id, op4_lm_score, op5_toxicity,
-                                op6_secret_scan, op7_embedding_dedup, op8_simhash, op9_decontaminate, op10_substring_dedup)
+                                op6_secret_scan, op7_embedding_dedup, op8_simhash, op9_decontaminate, op10_substring_dedup,
+                                op11_fill_in_middle, op13_mixing)
 }
 
 #: Words of a window as one string: words hold no blank, so it is unambiguous.
@@ -111,4 +124,44 @@ select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(n_removed, 0) as
 from w left join n using (doc_id) left join kept using (doc_id)
 """
 
-SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+#: Numbers are hex groups of the digest.
+OP11_SQL = r"""
+with t as (select doc_id, coalesce(text, '') as text,
+                  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u,
+                  sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+d as (select *, cast('0x' || substr(h, 1, 8) as bigint) % (len(u) + 1) as c1, cast('0x' || substr(h, 9, 8) as bigint) % (len(u) + 1) as c2,
+             case when text = '' or regexp_matches(text, '<[PSM]>') or cast('0x' || substr(h, 17, 8) as bigint) % 100 >= 50 then 'plain'
+                  when cast('0x' || substr(h, 25, 8) as bigint) % 100 < 80 then 'spm' else 'psm' end as form from t),
+p as (select *, array_to_string(u[1:least(c1, c2)], '') as pre, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') as mid,
+             array_to_string(u[greatest(c1, c2) + 1:], '') as suf from d)
+select doc_id, cast(len(u) as bigint) as n, form, case when form <> 'plain' then length(pre) end as prefix_chars,
+       case when form <> 'plain' then length(mid) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+                   else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+       sha256(pre || mid || suf) as restored_sha256
+from p
+"""
+
+#: The level is searched over all sources; 16777216 parts are a copy.
+OP13_SQL = r"""
+with d as (select doc_id, source, text, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+w as (select *, [5, 2, 1][1 + (row_number() over (order by source is null, source) - 1) % 3] as weight from s),
+f as (select a.*, (select sum(least(b.weight * (3 * a.source_size) / a.weight, 3 * b.source_size)) from w b)
+                  <= (select sum(source_size) from w) as is_full from w a),
+l as (select cast((select sum(source_size) from f) - coalesce(sum(3 * source_size) filter (is_full), 0) as double)
+             / cast(sum(weight) filter (not is_full) as double) as level from f),
+t as (select source, source_size, case when is_full then cast(3 * source_size as double) else level * cast(weight as double) end as target
+      from f cross join l),
+p as (select d.doc_id, d.source, d.size, source_size, target, case when source_size = 0 then 0
+                  else least(3 * 16777216, cast(floor(target / source_size * 16777216 + 0.5) as bigint)) end as parts,
+             row_number() over (partition by d.source order by d.size,
+                 cast('0x' || substr(md5('42:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint), doc_id) as k,
+             cast('0x' || substr(md5('42:' || coalesce(d.source, '')), 1, 6) as bigint) as shift
+      from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, source, cast((k * parts + shift) // 16777216 - ((k - 1) * parts + shift) // 16777216 as bigint) as copies,
+       cast(((k * parts + shift) // 16777216 - ((k - 1) * parts + shift) // 16777216) * size as bigint) as taken
+from p
+"""
+
+SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op13_mixing": OP13_SQL}
