@@ -77,6 +77,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(transform(read_table(spark, sf_dir, "documents")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from revlens.llm.conversation_repair import damage, digest, repair
+
+    return digest(repair(damage(read_table(spark, sf_dir, "conversations")), live_col="live"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from revlens.llm.mixing import digest, mix
 
@@ -86,7 +92,7 @@ def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_language_id, op4_lm_score, op5_toxicity,
                                 op6_secret_scan, op7_embedding_dedup, op8_simhash, op9_decontaminate, op10_substring_dedup,
-                                op11_fill_in_middle, op13_mixing)
+                                op11_fill_in_middle, op12_conversation_repair, op13_mixing)
 }
 
 #: Words of a window as one string: words hold no blank, so it is unambiguous.
@@ -142,6 +148,68 @@ select doc_id, cast(len(u) as bigint) as n, form, case when form <> 'plain' then
 from p
 """
 
+
+
+def _plus(of: str, cost: str, edit: str) -> str:
+    """SQL: a state of the repair with an edit more.  A state is its cost in
+    nine digits and its edits, so the least string is the cheapest and first."""
+    return f"lpad(cast(cast(substr({of}, 1, 9) as int) + {cost} as varchar), 9, '0') || substr({of}, 10) || {edit}"
+
+
+_TO_USER = "least(u, " + _plus("e", "2", "'I'") + ", " + _plus("s", "2", "'I'") + ", " + _plus("a", "2", "'I'") + ")"
+_FROM = "least(e0, s0, a0)"
+
+#: x: states after inserts; the row's edits follow; then the edits are replayed.
+OP12_SQL = rf"""
+with recursive c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce(list_concat([cast(4294967295 as bigint)], list_transform(string_split(
+            coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: cast(ascii(x) as bigint))),
+        lambda h, b: list_reduce(list_concat([xor(h, b)], range(8)),
+            lambda x, i: xor(x >> 1, case when x & 1 = 1 then cast(3988292384 as bigint) else 0 end))), cast(4294967295 as bigint)) % 20 as kind
+    from conversations),
+d as (select conv_id, turn, case kind when 4 then 'user' else role end as role,
+             case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+      from c, unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as t(i)),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from d),
+f as (select *, not regexp_matches(text, '[^ 	-]') as blank,
+             row_number() over (partition by conv_id, role, text order by k) > 1 as again,
+             not regexp_matches(text, '[.!?][ 	-]*$') as cut, substr(role, 1, 1) as i,
+             lag(substr(role, 1, 1)) over (partition by conv_id order by k) as before from o),
+g as (select *, blank or again as go, cast(cut and not blank and not again as int) as more from f),
+facts as (select conv_id, cast(coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as bigint) as gaps,
+                 count(*) filter (blank) as blank, count(*) filter (again and not blank) as duplicate,
+                 cast(sum(more) as bigint) as truncated,
+                 count(*) filter (before is not null and before || i not in ('su', 'ua', 'au')) as illegal, max(k) as n from g group by conv_id),
+rec as (select conv_id, cast(0 as bigint) as k, '000000000' as e, cast(null as varchar) as s, cast(null as varchar) as u, cast(null as varchar) as a
+        from facts
+        union all
+        select conv_id, k, {_plus("e0", "3", "'D'")},
+               least({_plus("s0", "3", "'D'")}, case when not go and i = 's' then {_plus("e0", "more", "'K'")} end),
+               least({_plus("u0", "3", "'D'")}, case when go then null when i = 'u' then {_plus(_FROM, "more", "'K'")}
+                     else {_plus(_FROM, "2 + more", "'R'")} end),
+               least({_plus("a0", "3", "'D'")}, case when go then null when i = 'a' then {_plus("u0", "more", "'K'")}
+                     else {_plus("u0", "2 + more", "'R'")} end)
+        from (select x.*, least(a, {_plus("u0", "2", "'I'")}) as a0 from (
+              select g.*, e as e0, s as s0, a, {_TO_USER} as u0
+              from rec join g on g.conv_id is not distinct from rec.conv_id and g.k = rec.k + 1) x)),
+best as (select rec.conv_id, least(e, a, {_plus("u", "2", "'I'")}, {_plus("s", "4", "'II'")}) as v
+         from rec join facts on rec.conv_id is not distinct from facts.conv_id and rec.k = n),
+play as (select conv_id, substr(v, 10) as audit, 0 as p, cast(0 as bigint) as k, '' as state, cast(null as varchar) as done from best
+         union all
+         select play.conv_id, audit, p + 1, case when ed = 'I' then play.k else g.k end,
+                case when ed = 'D' then state when ed = 'K' then i when state = 'u' then 'a' else 'u' end,
+                case when ed = 'D' then done else coalesce(done || chr(10), '') || case when ed = 'K' then role when state = 'u' then 'assistant' else 'user' end
+                     || ':' || case when ed = 'I' then '' else text end end
+         from (select *, substr(audit, p + 1, 1) as ed from play where p < length(audit)) play
+              left join g on g.conv_id is not distinct from play.conv_id and g.k = play.k + 1)
+select q.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, coalesce(cast(substr(v, 1, 9) as bigint), 0) as cost, coalesce(substr(v, 10), '') as audit,
+       sha256(coalesce(done, '')) as repaired_sha256
+from (select distinct conv_id from conversations) q left join facts on q.conv_id is not distinct from facts.conv_id
+     left join best on q.conv_id is not distinct from best.conv_id
+     left join (select * from play where p = length(audit)) r on q.conv_id is not distinct from r.conv_id
+"""
+
 #: The level is searched over all sources; 16777216 parts are a copy.
 OP13_SQL = r"""
 with d as (select doc_id, source, text, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
@@ -164,4 +232,5 @@ select doc_id, size, source_size, target, source, cast((k * parts + shift) // 16
 from p
 """
 
-SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op13_mixing": OP13_SQL}
+SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL,
+                       "op12_conversation_repair": OP12_SQL, "op13_mixing": OP13_SQL}
