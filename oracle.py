@@ -190,7 +190,13 @@ def _rule_field(k: int) -> str:
 SQL: dict[str, str] = {}
 
 SQL["a3_corpus_from_table"] = f"with {FILES} select project, path, relative, name, ext, size, lines, tokens from files"
-SQL["a1_scan_corpus"] = f"with {FILES} select project, relative, ext, size, lines, tokens from rv"
+SQL["a1_scan_corpus"] = f"with {FILES} select project, relative, ext, size, lines, tokens, null::varchar as error from rv"
+SQL["a2_scan_file"] = (
+    f"with {FILES}, fit as (select project, relative, true as fit from named), "
+    f"st as (select dirs[-1] as folder, project as above, name as relative, size, lines, tokens, case when fit is null then 'name' "
+    f"when length(text) % 5 = 0 then 'missing' else 'read' end as state from files left join fit using (project, relative)) "
+    f"select folder, above, relative, case when state = 'read' then size end as size, case when state = 'read' then lines end as lines, "
+    f"case when state = 'read' then tokens end as tokens, state from st")
 SQL["b1_prune_dirs"] = f"with {FILES} select project, relative from pruned"
 SQL["b2_text_names"] = f"with {FILES} select project, relative, name, ext from named"
 SQL["b3_binary_sniff"] = (
@@ -316,8 +322,8 @@ SQL["e13_severity_counts"] = (
     f"with {PARSED}, x as (select project, case when severity_missing then 'Info' else k_severity end as sev "
     f"from uniq) select project, count(*)::bigint as findings, {SEV_COUNTS} from x group by project")
 _Z = "coalesce({0}, 0)::bigint as {0}"
-SQL["e14_review_record"] = (
-    f"with {PARSED}, {STATUS}, "
+_REVIEW = (
+    f"{STATUS}, "
     f"cnt as (select project, {SEV_COUNTS} from (select project, case when severity_missing then 'Info' "
     f"else k_severity end as sev from uniq) group by project), "
     f"done as (select project, sum(ok::int)::bigint as chunks, count(*)::bigint as initial_chunks from parsed "
@@ -330,22 +336,21 @@ SQL["e14_review_record"] = (
     f"(select project, unnest(json_extract(j, '$.recommendations[*]')) as e from parsed where ok) group by project), "
     f"us as (select project, sum(trunc(prompt_tokens::double)::bigint)::bigint as usage_prompt, "
     f"sum(trunc(completion_tokens::double)::bigint)::bigint as usage_completion from parsed where ok "
-    f"group by project) "
-    f"select s.project, 'groq' as provider, 'openai/gpt-oss-20b' as model, {CONTEXT}::bigint as context_assumed, "
+    f"group by project), "
+    f"tt as (select source as project, count(*)::bigint as files, sum(strlen(text))::bigint as size, sum(case when length(text) = 0 then 0 "
+    f"else length(text) - length(replace(text, chr(10), '')) + 1 end)::bigint as loc, sum({tokens('text')})::bigint as tokens "
+    f"from documents group by source), "
+    f"review as (select s.project, s.project as path, 'groq' as provider, 'openai/gpt-oss-20b' as model, {CONTEXT}::bigint as context_assumed, "
     f"{_Z.format('chunks')}, {_Z.format('initial_chunks')}, overall_status, n_findings, n_failed, "
     + ", ".join(_Z.format(s.lower()) for s in K.SEVERITIES) +
     f", {_Z.format('n_summaries')}, {_Z.format('n_positive_points')}, {_Z.format('n_recommendations')}, "
-    f"usage_prompt, usage_completion "
+    f"usage_prompt, usage_completion, files, size, loc, tokens, '2024-01-02T03:04:05' as generated_at "
     f"from status s left join done using (project) left join cnt using (project) left join sm using (project) "
-    f"left join pp using (project) left join rc using (project) left join us using (project)")
+    f"left join pp using (project) left join rc using (project) left join us using (project) left join tt using (project))")
+SQL["e14_review_record"] = f"with {PARSED}, {_REVIEW} select * from review"
 SQL["a6_write_review"] = (
     f"with {PARSED}, {STATUS} select s.project, overall_status, n_findings, finding_rank::bigint as finding_rank, dedup_key, chunk_id, pos "
     f"from status s left join ranked r using (project)")
-SQL["a7_write_reports"] = (
-    f"with rec as ({SQL['e14_review_record']}) select regexp_replace(project, '[^A-Za-z0-9._-]+', '_', 'g') || "
-    f"'-groq-openai_gpt-oss-20b-20240102-030405.html' as report, 1::bigint as pages, n_findings as findings, "
-    f"(greatest(n_summaries, 1) + greatest(n_positive_points, 1) + greatest(n_recommendations, 1))::bigint as entries, "
-    f"1::bigint as heads from rec")
 SQL["e15_line_label"] = (
     f"with {PARSED} select project, chunk_id, pos, case when line_raw is null or line_raw = '' or "
     f"(line is not null and line = 0) then '' when line_end_raw is not null and line_end_raw <> '' and "
@@ -361,22 +366,61 @@ def _esc(x: str) -> str:
 _LABEL = ("case when line_raw is null or line_raw = '' or (line is not null and line = 0) then '' "
           "when line_end_raw is not null and line_end_raw <> '' and line_end_raw <> '0' and line_end_raw <> line_raw "
           "then 'Line ' || line_raw || '-' || line_end_raw else 'Line ' || line_raw end")
-_HTML = ("'<article class=\"finding\"><span class=\"badge\">' || "
-         + _esc("case when severity_missing then 'Info' else k_severity end")
-         + " || '</span><h2>' || " + _esc("coalesce(title, 'Untitled finding')")
-         + " || '</h2><p><b>Category:</b> ' || " + _esc("coalesce(category, '')")
-         + " || '</p><p><b>File:</b> <code>' || " + _esc("coalesce(file, '')") + " || '</code>' || "
-         + f"case when lab <> '' then ' &nbsp; <b>LOC:</b> ' || {_esc('lab')} else '' end"
-         + " || '</p><p><b>Confidence:</b> ' || " + _esc("coalesce(confidence, '')")
-         + " || '</p><h3>Evidence</h3><pre>' || " + _esc("coalesce(evidence, '')")
-         + " || '</pre><h3>Why it matters</h3><p>' || " + _esc("coalesce(why, '')")
-         + " || '</p><h3>Fix suggestion</h3><p>' || " + _esc("coalesce(fix, '')") + " || '</p></article>'")
+_HTML = ("'<article class=\"finding\"><h3>' || " + _esc("coalesce(title, 'Untitled finding')") + " || ' (' || "
+         + _esc("case when severity_missing then 'Info' else k_severity end") + " || ')</h3><p>' || " + _esc("coalesce(category, '')")
+         + " || ' in <code>' || " + _esc("coalesce(file, '')") + " || '</code>' || "
+         + f"case when lab <> '' then ', ' || {_esc('lab')} else '' end"
+         + " || '; certainty: ' || " + _esc("coalesce(confidence, '')") + " || '</p><pre>' || " + _esc("coalesce(evidence, '')")
+         + " || '</pre><p class=\"why\">' || " + _esc("coalesce(why, '')")
+         + " || '</p><p class=\"fix\">' || " + _esc("coalesce(fix, '')") + " || '</p></article>'")
 SQL["e16_finding_html"] = (
     f"with {PARSED}, x as (select *, {_LABEL} as lab from ranked), h as (select project, finding_rank, {_HTML} as html "
     f"from x) select project, finding_rank::bigint as finding_rank, sha256(html) as html_sha, "
     f"length(html)::bigint as html_chars from h")
 
 
+def _points(field: str) -> str:
+    return (f"select project, item, row_number() over (partition by project order by item)::bigint as seq from (select distinct project, "
+            f"coalesce(json_extract_string(e, '$'), '') as item from (select project, unnest(json_extract(j, '$.{field}[*]')) as e "
+            f"from parsed where ok))")
+
+
+_HEAD = ("'<!doctype html>\n<html>\n<head>\n<meta charset=\"utf-8\">\n<title>Review of ' || " + _esc("project")
+         + " || '</title>\n</head>\n<body>\n<h1>Review of ' || " + _esc("project")
+         + " || '</h1>\n<dl>\n<dt>Folder</dt><dd>' || " + _esc("path")
+         + " || '</dd>\n<dt>Reviewer</dt><dd>' || " + _esc("provider") + " || ' / ' || " + _esc("model")
+         + " || '</dd>\n<dt>Outcome</dt><dd>' || overall_status || '</dd>\n<dt>Written</dt><dd>' || generated_at"
+         + " || '</dd>\n</dl>\n<ul class=\"numbers\">' || "
+         + " || ".join(f"'<li>{label}: ' || coalesce({c}, 0) || '</li>'" for label, c in
+                       [("Files read", "files"), ("Lines", "loc"), ("Token estimate", "tokens")] + [(s, s.lower()) for s in K.SEVERITIES])
+         + " || '</ul>\n<h2>What the replies say</h2>\n<ul>'")
+_LI = "'<li>' || " + _esc("{0}") + " || '</li>'"
+_PAGE = f"""page as (
+    select project, 0 as section, 0::bigint as seq, {_HEAD} as html from review
+    union all select project, 1, row_number() over (partition by project order by chunk_id), {_LI.format("s")} from
+        (select project, chunk_id, json_extract_string(j, '$.summary') as s from parsed where ok) where s <> ''
+    union all select project, 1, 0, '<li>No summary returned.</li>' from review where n_summaries = 0
+    union all select project, 2, 0, '</ul>\n<h2>Ranked findings</h2>' from review
+    union all select project, 3, finding_rank, {_HTML} from (select *, {_LABEL} as lab from ranked)
+    union all select project, 3, 0, '<div class="positive"><h2>Nothing to report</h2><p>The review of this project raised no finding.</p></div>'
+        from review where n_findings = 0
+    union all select project, 4, 0, '<div class="warning"><h2>Parts not reviewed</h2><p>' || n_failed || ' chunk(s) have no usable reply, '
+        || 'so the findings above do not cover them. Run the review again for these chunks.</p></div>' from review where n_failed > 0
+    union all select project, 5, 0, '<h2>Strong sides</h2>\n<ul>' from review
+    union all select project, 6, seq, {_LI.format("item")} from ({_points("positive_points")})
+    union all select project, 6, 0, '<li>No specific positive points returned.</li>' from review where n_positive_points = 0
+    union all select project, 7, 0, '</ul>\n<h2>Advice</h2>\n<ul>' from review
+    union all select project, 8, seq, {_LI.format("item")} from ({_points("recommendations")})
+    union all select project, 8, 0, '<li>No additional recommendations returned.</li>' from review where n_recommendations = 0
+    union all select project, 9, 0, '</ul>\n<hr>\n<p><small>Findings come from automated replies and want a second look; '
+        || 'token figures are estimates.</small></p>\n</body>\n</html>' from review)"""
+SQL["e16_report_rows"] = f"with {PARSED}, {_REVIEW}, {_PAGE} select project, section, seq, sha256(html) as html_sha from page"
+SQL["a7_write_reports"] = (
+    f"with {PARSED}, {_REVIEW}, {_PAGE}, whole as (select project, string_agg(html, chr(10) order by section, seq) as html from page "
+    f"group by project) select regexp_replace(project, '[^A-Za-z0-9._-]+', '_', 'g') || "
+    f"'-groq-openai_gpt-oss-20b-20240102-030405.html' as report, sha256(html) as page_sha, length(html)::bigint as page_chars from whole")
+
+
 # ---------------------------------------------------------------- D5 retry split
 def retry_cte(p: str, q: str = "r") -> str:
     """Retry split of every chunk of ``{p}members`` (CTE names prefixed q)."""

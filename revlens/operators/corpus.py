@@ -65,6 +65,9 @@ def keep_text_names(files: DataFrame) -> DataFrame:
 
 
 def reviewable(files: DataFrame) -> DataFrame:
+    """B1 and B2, and of a scan only the files that could be read."""
+    if "error" in files.columns:
+        files = files.where(F.col("error").isNull())
     return keep_text_names(prune_dirs(files))
 
 
@@ -76,13 +79,15 @@ def with_file_order(files: DataFrame, name: str = "file_order") -> DataFrame:
     return files.join(ords, ["project", "relative"])
 
 
-def project_totals(files: DataFrame) -> DataFrame:
-    """Files, bytes, LOC and tokens per project."""
+def project_totals(files: DataFrame, folder: bool = False) -> DataFrame:
+    """Files, bytes, LOC and tokens per project; with ``folder`` also the
+    path of the project (the part of its files' paths before ``relative``)."""
+    path = F.min(F.expr("left(path, length(path) - length(relative) - 1)")).alias("path")
     return files.groupBy("project").agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("size").cast("bigint").alias("size"),
         F.sum("lines").cast("bigint").alias("loc"),
-        F.sum("tokens").cast("bigint").alias("tokens"))
+        F.sum("tokens").cast("bigint").alias("tokens"), *([path] if folder else []))
 
 
 def file_table(files: DataFrame) -> DataFrame:

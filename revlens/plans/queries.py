@@ -10,6 +10,7 @@ without moving whole documents through the comparison.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from revlens.sources import fixtures as V
 BUDGET = 3_100          # the README example: tpm 8,000 on a 131,072 context
 DELAY = 37.26
 SPLIT_WIDTH = 4_500
+WHEN = datetime(2024, 1, 2, 3, 4, 5)
 PROVIDER, MODEL, CONTEXT = "groq", "openai/gpt-oss-20b", 131_072
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,13 +83,28 @@ def a1_scan_corpus(spark, d):
     """The corpus view written out as a source tree (one folder per
     project) and scanned back: pruning, name filter, decode, statistics."""
     from revlens.plans.session import scratch_path
-    from revlens.sources.corpus_tree import scan_corpus, write_tree
-    root = scratch_path(spark, "tree").replace("file:", "")
+    from revlens.sources.corpus_tree import scan_trees, write_tree
+    root = scratch_path(spark, "tree")
     v = V.files_v(spark, d)
     write_tree(v, root)
-    projects = [r["project"] for r in v.select("project").distinct().collect()]   # folder names only
-    return scan_corpus(spark, [f"{root}/{p}" for p in projects]).select(
-        "project", "relative", "ext", "size", "lines", "tokens")
+    roots = v.select("project").distinct().withColumn("root", F.concat(F.lit(root + "/"), "project"))
+    return scan_trees(roots).select("project", "relative", "ext", "size", "lines", "tokens", "error")
+
+
+def a2_scan_file(spark, d):
+    """Every file of the tree named by its path, reviewable or not; every
+    fifth one is looked for where it is not."""
+    from revlens.plans.session import scratch_path
+    from revlens.sources.corpus_tree import read_paths, write_tree
+    root = scratch_path(spark, "files")
+    v = V.files_v(spark, d).withColumn("away", F.length("text") % 5 == 0)
+    write_tree(v.where("not away"), root)
+    paths = v.select(F.concat(F.lit(root + "/"), "project", F.lit("/"), "relative").alias("path"))
+    return read_paths(paths).select(
+        F.col("project").alias("folder"), F.element_at(F.split("path", "/"), -3).alias("above"), "relative",
+        F.when(F.col("error").isNull(), F.col("size")).alias("size"), "lines", "tokens",
+        F.when(F.col("error").startswith("not a reviewable name"), "name").when(F.col("error").isNotNull(), "missing")
+        .otherwise("read").alias("state"))
 
 
 def a4_read_replies(spark, d):
@@ -109,7 +126,7 @@ def a5_read_catalog(spark, d):
     from revlens.operators import catalog as G
     from revlens.plans.session import scratch_path
     from revlens.sources.corpus_tree import write_tree
-    root = scratch_path(spark, "catalog").replace("file:", "")
+    root = scratch_path(spark, "catalog")
     cv = V.catalog_v(spark, d)
     write_tree(cv.select(F.col("provider").alias("project"),
                          F.concat(F.col("payload_id").cast("string"), F.lit(".json")).alias("relative"),
@@ -353,10 +370,12 @@ def e13_severity_counts(spark, d):
     return E.severity_counts(unique_keys(spark, d))
 
 
+def review_record(spark, d, p: DataFrame) -> DataFrame:
+    return E.review_records(p, usage_map(), PROVIDER, MODEL, CONTEXT, C.project_totals(current_docs(spark, d), folder=True), when=WHEN)
+
+
 def e14_review_record(spark, d):
-    p = parsed(spark, d)
-    u = E.dedup_findings(E.explode_findings(p))
-    rec = E.review_records(p, u, E.usage_totals(p, usage_map()), PROVIDER, MODEL, CONTEXT)
+    rec = review_record(spark, d, parsed(spark, d))
     return rec.select(*[c for c in rec.columns if c != "usage"],
                       F.col("usage")["prompt_tokens"].alias("usage_prompt"),
                       F.col("usage")["completion_tokens"].alias("usage_completion"))
@@ -377,10 +396,8 @@ def review_tables(spark, d):
     """(parsed replies, review records, ranked findings), the hub of them written once."""
     from revlens.plans.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    p = parsed(spark, d).checkpoint(eager=True)
-    ranked = E.rank_findings(E.dedup_findings(E.explode_findings(p)))
-    rec = E.review_records(p, ranked, E.usage_totals(p, usage_map()), PROVIDER, MODEL, CONTEXT)
-    return p, rec, ranked
+    p = parsed(spark, d).drop("raw", "cleaned").checkpoint(eager=True)
+    return p, review_record(spark, d, p), E.rank_findings(E.dedup_findings(E.explode_findings(p)))
 
 
 def a6_write_review(spark, d):
@@ -397,22 +414,27 @@ def a6_write_review(spark, d):
     return status.join(found, "project", "left")
 
 
-def a7_write_reports(spark, d):
-    """The report pages written and read back: one row a page with its
-    numbers of lines that open a finding or a list entry."""
-    from datetime import datetime
+def report(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(page rows, review records)."""
+    p, rec, ranked = review_tables(spark, d)
+    return E.report_rows(rec, E.finding_blocks(ranked), E.summaries(p), E.point_list(p, "positive_points"),
+                         E.point_list(p, "recommendations")), rec
 
+
+def a7_write_reports(spark, d):
+    """The report pages written, one file a project, and read back whole."""
     from revlens.plans.session import scratch_path
     from revlens.sources.io import write_reports
     path = scratch_path(spark, "reports")
-    p, rec, ranked = review_tables(spark, d)
-    totals = C.project_totals(current_docs(spark, d))
-    write_reports(E.report_rows(rec, totals, E.finding_blocks(ranked), E.summaries(p), E.point_list(p, "positive_points"),
-                                E.point_list(p, "recommendations")), rec, path, when=datetime(2024, 1, 2, 3, 4, 5))
-    lines = spark.read.text(path)
-    opens = lambda tag: F.sum(F.col("value").startswith(tag).cast("bigint")).alias
-    return lines.groupBy("report").agg(opens("<!doctype html>")("pages"), opens('<article class="finding">')("findings"),
-                                       opens("<li>")("entries"), opens("<p><b>Project:</b>")("heads"))
+    rows, rec = report(spark, d)
+    write_reports(rows, rec, path, when=WHEN)
+    pages = spark.read.text(f"{path}/*.html", wholetext=True).select("value", F.col("_metadata.file_name").alias("report"))
+    return pages.select("report", F.sha2("value", 256).alias("page_sha"), F.length("value").cast("bigint").alias("page_chars"))
+
+
+def e16_report_rows(spark, d):
+    """Every row of every page."""
+    return report(spark, d)[0].select("project", "section", "seq", F.sha2("html", 256).alias("html_sha"))
 
 
 # ---------------------------------------------------------------- F

@@ -38,8 +38,7 @@ class Review:
 
     def report(self) -> DataFrame:
         """E16 report rows (project, section, seq, html), built on demand."""
-        return E.report_rows(self.reviews, self.totals, E.finding_blocks(self.ranked), self.summaries,
-                             self.positives, self.recommendations)
+        return E.report_rows(self.reviews, E.finding_blocks(self.ranked), self.summaries, self.positives, self.recommendations)
 
 
 def review_corpus(files: DataFrame, budget: int, provider: str, model: str, context: int) -> Review:
@@ -53,22 +52,21 @@ def review_corpus(files: DataFrame, budget: int, provider: str, model: str, cont
     # Member texts are formed in place (oversized files split where they
     # are read), so no text is shuffled; only findings meet the chunk table.
     replies = E.rule_replies(E.rule_findings(D.member_texts(rv, budget).drop("part_no")), members)
-    heads = replies.select("project", "chunk_id", "n_files", "tokens", "signature")
     # the parsed replies feed every later stage: cut the lineage once, into
-    # the session's checkpoint directory (survives executor loss).
-    parsed = E.parse_replies(replies).checkpoint(eager=True)
-    usage = E.usage_totals(parsed, F.create_map(
-        F.lit("prompt_tokens"), (F.col("tokens") + K.REQUEST_OVERHEAD).cast("double"),
-        F.lit("completion_tokens"), F.greatest(F.lit(1.0), F.round(F.length("raw") / K.CHARS_PER_TOKEN))))
+    # the session's checkpoint directory (survives executor loss), without
+    # the raw text, of which only the length is read later.
+    parsed = (E.parse_replies(replies.withColumn("raw_chars", F.length("raw"))).drop("raw", "cleaned").checkpoint(eager=True))
+    heads = parsed.select("project", "chunk_id", "n_files", "tokens", "signature")
+    usage = F.create_map(F.lit("prompt_tokens"), (F.col("tokens") + K.REQUEST_OVERHEAD).cast("double"),
+                         F.lit("completion_tokens"), F.greatest(F.lit(1.0), F.round(F.col("raw_chars") / K.CHARS_PER_TOKEN)))
     unique = E.dedup_findings(E.explode_findings(parsed))
     ranked = E.rank_findings(unique)
-    initial = heads.groupBy("project").agg(F.count(F.lit(1)).alias("initial_chunks"))
-    reviews = E.review_records(parsed, unique, usage, provider, model, context, initial)
+    totals = C.project_totals(rv, folder=True)
+    reviews = E.review_records(parsed, usage, provider, model, context, totals)
     summ = E.summaries(parsed)
     pos = E.point_list(parsed, "positive_points")
     rec = E.point_list(parsed, "recommendations")
-    return Review(rv, members, heads, replies, parsed, unique, ranked, reviews, summ, pos, rec,
-                  C.project_totals(rv))
+    return Review(rv, members, heads, replies, parsed, unique, ranked, reviews, summ, pos, rec, totals)
 
 
 def offline_review(spark: SparkSession, data_dir: str, budget: int = 3_100, provider: str = "groq",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -41,6 +41,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{os.getpid()}-{os.urandom(4).hex()}"
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """The table written as Parquet below the checkpoint root and read again:
+    cuts the lineage, survives lost executors, and computes the input once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: int | str = "*", app: str = "revlens", partitions: int = 8) -> SparkSession:
     """Session for tests and the bench (local mode)."""
     return (SparkSession.builder.master(f"local[{cpus}]").appName(app)

@@ -1,7 +1,7 @@
 """Reply readers and result / report writers.
 
-Writers go through Spark's file commit protocol (tasks write attempt
-files, the job commit publishes them), which replaces write-temp-then-rename.
+Result tables go through Spark's file commit protocol (tasks write attempt
+files, the job commit publishes them), report pages through ``report_files``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions import text as X
+from revlens.sources.report_files import write_pages
 
 REPLY_SCHEMA = ("project string, chunk_id bigint, signature string, attempt int, raw string, "
                 "usage map<string,double>")
@@ -34,23 +35,24 @@ def write_review(reviews: DataFrame, findings: DataFrame, path: str, mode: str =
 
 
 def report_names(reviews: DataFrame, when: datetime | None = None) -> DataFrame:
-    """Report file name ``subject-provider-model-time.html`` from safe names."""
+    """(project, report): file names ``subject-provider-model-time.html`` of
+    safe names.  Projects whose safe names are equal get a part of their hash
+    behind the subject, but for the first."""
     stamp = (when or datetime.now(timezone.utc)).strftime("%Y%m%d-%H%M%S")
-    return reviews.select("project", F.concat_ws("-", X.safe_name(F.col("project")), X.safe_name(F.col("provider")),
-                                                 X.safe_name(F.col("model")), F.lit(stamp)).alias("report"))
+    subject = X.safe_name(F.col("project"))
+    named = reviews.select("project", subject.alias("subject"), X.safe_name(F.col("provider")).alias("p"),
+                           X.safe_name(F.col("model")).alias("m"))
+    first = named.groupBy("subject").agg(F.min("project").alias("first"))
+    own = F.when(F.col("project").eqNullSafe(F.col("first")), F.col("subject")).otherwise(
+        F.concat_ws("-", "subject", F.substring(F.sha2(F.coalesce("project", F.lit("")), 256), 1, 8)))
+    return named.join(first, "subject").select("project", F.concat(F.concat_ws("-", own, "p", "m", F.lit(stamp)), F.lit(".html")).alias("report"))
 
 
 def write_reports(rows: DataFrame, reviews: DataFrame, path: str, num_partitions: int | None = None,
                   when: datetime | None = None) -> DataFrame:
-    """One HTML report per project.  Rows (project, section, seq, html)
-    are range-partitioned on their order and written as text under
-    ``report=<name>.html/``; the part files of a folder, in name order, are
-    the page.  No page is gathered into one task.  Returns the names."""
+    """One HTML document per project below ``path``, of its rows (project,
+    section, seq, html) in order, one row a line.  Returns the names."""
     names = report_names(reviews, when)
-    n = num_partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (rows.join(names, "project")
-               .withColumn("report", F.concat(F.col("report"), F.lit(".html")))
-               .repartitionByRange(n, "project", "section", "seq")
-               .sortWithinPartitions("report", "section", "seq"))   # the order the partitioned writer needs
-    ordered.select("report", "html").write.mode("overwrite").partitionBy("report").text(path)
+    of = names.select(F.col("project").alias("of"), "report")
+    write_pages(rows.join(of, F.col("project").eqNullSafe(F.col("of"))), path, num_partitions)
     return names

@@ -90,3 +90,13 @@ def test_parse_runs_once_per_reply(spark, sf):
     p = plan(E.explode_findings(parsed))
     # whole text and the {...} slice: two parse calls, not one per consumer
     assert 1 <= p.count("parseJson") <= 2
+
+
+def test_review_record_is_one_pass(spark, sf):
+    """E14 reads the replies once, parses each at most twice (whole text,
+    else its slice) and gathers no distinct lists."""
+    from datetime import datetime
+
+    p = plan(E.review_records(Q.parsed(spark, sf), Q.usage_map(), "p", "m", 1, when=datetime(2024, 1, 1)))
+    assert len(re.findall(r"FileScan parquet", p)) == 1 and p.count("Exchange ") <= 2
+    assert len(re.findall(r"parse_json", p)) <= 2, len(re.findall(r"parse_json", p))

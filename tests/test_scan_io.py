@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.sources.corpus_tree import decode_text, is_binary, scan_corpus, scan_file
+from revlens.sources.corpus_tree import decode_text, is_binary, read_paths, readable, scan_corpus, scan_file, write_tree
 
 
 # bytes and the text they stand for (None: binary)
@@ -78,11 +78,105 @@ def test_decode(spark):
 def test_scan_file(spark, tree):
     root, _ = tree
     df = scan_file(spark, str(root / "a.py"))
-    assert [r["relative"] for r in df.collect()] == ["a.py"]
-    with pytest.raises(RuntimeError, match="Unsupported file type"):
-        scan_file(spark, str(root / "x.bin"))
-    with pytest.raises(RuntimeError, match="Could not read"):
-        scan_file(spark, str(root / "nul.txt"))
+    assert [(r["project"], r["relative"], r["text"]) for r in df.collect()] == [("myproj", "a.py", "print('hi')\n")]
+    for name, why in (("x.bin", "not a reviewable name"), ("nul.txt", "binary"), ("gone.py", "not read")):
+        with pytest.raises(ValueError, match=why):
+            scan_file(spark, str(root / name))
+
+
+def test_paths_are_read_in_place(spark, tree):
+    root, _ = tree
+    names = ["a.py", "pkg/__init__.py", "x.bin", "gone.py", "Dockerfile", "nul.txt"]
+    rows = read_paths(spark.createDataFrame([(f"file:{root}/{n}",) for n in names], "path string")).collect()
+    got = {r["relative"]: (r["project"], r["text"], (r["error"] or "")[:8]) for r in rows}
+    assert got == {"a.py": ("myproj", "print('hi')\n", ""), "__init__.py": ("pkg", "", ""), "Dockerfile": ("myproj", "FROM scratch\n", ""),
+                   "x.bin": ("myproj", None, "not a re"), "gone.py": ("myproj", None, "not read")}
+
+
+class OtherStore:
+    """A store that no path of this machine reaches by its name, and that
+    refuses some files."""
+
+    def __init__(self, base, refused=()):
+        self.base, self.refused = str(base), refused
+
+    def __call__(self, uri):
+        from pyarrow import fs
+
+        base, refused = self.base, self.refused
+
+        class Refusing(fs.FSSpecHandler):
+            def __init__(self):
+                pass
+
+            inner = fs.SubTreeFileSystem(base, fs.LocalFileSystem())
+
+            def get_type_name(self):
+                return "other"
+
+            def get_file_info(self, paths):
+                return self.inner.get_file_info(paths)
+
+            def get_file_info_selector(self, selector):
+                if selector.base_dir.split("/")[-1] in refused:
+                    raise PermissionError(f"no rights: {selector.base_dir}")
+                return self.inner.get_file_info(selector)
+
+            def open_input_stream(self, path):
+                if path.split("/")[-1] in refused:
+                    raise PermissionError(f"no rights: {path}")
+                return self.inner.open_input_stream(path)
+
+            def create_dir(self, path, recursive):
+                self.inner.create_dir(path, recursive=recursive)
+
+            def open_output_stream(self, path, metadata):
+                return self.inner.open_output_stream(path)
+
+        return fs.PyFileSystem(Refusing()), uri.split("://")[1]
+
+
+def test_other_file_systems_and_refused_files(spark, tree, tmp_path):
+    root, _ = tree
+    store = OtherStore(root.parent)
+    cols = ["relative", "size", "lines", "tokens", "text", "error"]
+    want = sorted((tuple(r) for r in scan_corpus(spark, str(root)).select(*cols).collect()), key=str)
+    assert sorted((tuple(r) for r in scan_corpus(spark, "other://myproj", store).select(*cols).collect()), key=str) == want
+    part = scan_corpus(spark, ["other://myproj", "other://nowhere"], OtherStore(root.parent, ("a.py", "pkg")))
+    errors = {(r["project"], r["relative"]): r["error"] for r in part.where("error is not null").collect()}
+    assert set(errors) == {("myproj", "a.py"), ("myproj", "pkg"), ("nowhere", ".")}
+    assert "no rights" in errors["myproj", "a.py"] and errors["myproj", "pkg"].startswith("not listed")
+    assert {r["relative"] for r in readable(part).collect()} == {w[0] for w in want} - {"a.py", "pkg/__init__.py", "pkg/_part.scss"}
+    assert part.where("error is not null and (text is not null or lines is not null or tokens is not null)").isEmpty()
+    # write_tree goes the same way
+    write_tree(spark.createDataFrame([("p", "a/b.txt", "hé"), ("p", "c.py", None)], "project string, relative string, text string"),
+               "other://out", OtherStore(tmp_path))
+    assert (tmp_path / "out/p/a/b.txt").read_text() == "hé" and (tmp_path / "out/p/c.py").read_text() == ""
+
+
+def test_broken_and_looping_links(spark, tmp_path):
+    root = tmp_path / "p"
+    (root / "sub").mkdir(parents=True)
+    (root / "sub" / "x.py").write_text("x")
+    os.symlink(root / "nothing", root / "gone.py")
+    os.symlink(root, root / "sub" / "up")
+    os.symlink(root / "sub" / "x.py", root / "same.py")
+    rows = {r["relative"]: r["error"] for r in scan_corpus(spark, str(root)).collect()}
+    assert set(rows) == {"sub/x.py", "gone.py", "same.py"} and rows["gone.py"] and not rows["same.py"]
+
+
+def test_listing_spreads_over_rounds(spark, tmp_path):
+    for i in range(6):
+        for j in range(5):
+            p = tmp_path / "big" / f"d{i}" / f"e{j}"
+            p.mkdir(parents=True)
+            for k in range(3):
+                (p / f"f{k}.txt").write_text(f"{i}{j}{k}")
+    want = sorted(tuple(r) for r in scan_corpus(spark, str(tmp_path / "big")).select("relative", "text").collect())
+    assert len(want) == 90
+    for budget in (1, 4):      # every task hands most directories on
+        got = scan_corpus(spark, str(tmp_path / "big"), budget=budget, partition_bytes=10)
+        assert sorted(tuple(r) for r in got.select("relative", "text").collect()) == want
 
 
 def test_writers_round_trip(spark, sf, tmp_path):
@@ -93,12 +187,14 @@ def test_writers_round_trip(spark, sf, tmp_path):
     write_review(r.reviews.drop("usage"), r.ranked.drop("usage"), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out" / "reviews"))
     assert back.count() == r.reviews.count()
-    names = write_reports(r.report(), r.reviews, str(tmp_path / "html")).collect()
-    one = names[0]["report"] + ".html"
-    folder = tmp_path / "html" / f"report={one}"
-    page = "\n".join((folder / f).read_text() for f in sorted(os.listdir(folder)) if f.startswith("part-"))
-    assert page.startswith("<!doctype html>") and page.rstrip().endswith("</html>")
-    assert page.index("<h2>Findings</h2>") < page.index("<h2>Positive Points</h2>")
+    names = [x["report"] for x in write_reports(r.report(), r.reviews, str(tmp_path / "html"), num_partitions=5).collect()]
+    assert sorted(os.listdir(tmp_path / "html")) == sorted(names) and len(names) == r.reviews.count()
+    lines = {}
+    for x in sorted(r.report().collect(), key=lambda x: (x["project"], x["section"], x["seq"])):
+        lines.setdefault(x["project"], []).append(x["html"])
+    for project, want in lines.items():
+        name, = [n for n in names if n.startswith(f"{project}-")]
+        assert (tmp_path / "html" / name).read_text() == "\n".join(want)
 
     rep = r.replies.select("project", "chunk_id", "signature", F.lit(1).alias("attempt"), "raw",
                            F.create_map(F.lit("prompt_tokens"), F.col("tokens").cast("double")).alias("usage"))
@@ -114,14 +210,3 @@ def test_review_of_scanned_tree(spark, tree):
     rows = r.reviews.collect()
     assert [x["project"] for x in rows] == ["myproj"]
     assert rows[0]["chunks"] == rows[0]["initial_chunks"] >= 1
-
-
-def test_parallel_listing_equals_scan(spark, tree):
-    from revlens.sources.corpus_tree import scan_corpus_parallel
-
-    root, _ = tree
-    cols = ["project", "relative", "ext", "size", "lines", "tokens", "text"]
-    a = sorted(tuple(r) for r in scan_corpus(spark, str(root)).select(*cols).collect())
-    for depth in (0, 1, 2):
-        b = sorted(tuple(r) for r in scan_corpus_parallel(spark, str(root), depth=depth).select(*cols).collect())
-        assert a == b, depth
