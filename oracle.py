@@ -225,12 +225,12 @@ SQL["c3_language_breakdown"] = (
     f"select project, language, case grouping(project, language) when 0 then 'language' when 1 then 'project' "
     f"else 'total' end as level, count(*)::bigint as files, sum(size)::bigint as size, sum(lines)::bigint as loc, "
     f"sum(tokens)::bigint as tokens from l group by rollup (project, language)")
-_CTX = "[" + ", ".join(str(v) for v in K.MODEL_CONTEXTS.values()) + "]"
+_KNOWN_MODELS = "(values " + ", ".join(f"({i}, {_q(k)}, {v}::bigint)" for i, (k, v) in enumerate(K.MODEL_CONTEXTS.items())) + ") as km(i, model, context)"
 SQL["c4_context_fit"] = (
     f"with {FILES}, t as (select project, sum(tokens)::bigint as tokens from rv group by project) "
-    f"select project, tokens, len(list_filter({_CTX}, lambda c: c >= tokens))::bigint as models_fit, "
-    f"list_min(list_filter({_CTX}, lambda c: c >= tokens))::bigint as min_fit_context, "
-    f"tokens <= {K.DEFAULT_CONTEXT} as fits_default from t")
+    f"select project, model, context, tokens, tokens <= context as fits, tokens <= greatest(1500, least(100000, trunc(context * 0.5)::bigint)) "
+    f"as fits_budget, case when tokens <= context then row_number() over (partition by project, tokens <= context order by context, model) "
+    f"else 0 end::int as rank from t cross join {_KNOWN_MODELS}")
 _META = "concat_ws(':', relative, size::varchar, lines::varchar, tokens::varchar)"
 
 
@@ -278,12 +278,25 @@ SQL["d8_rate_policy"] = (
     f"c as (select *, greatest(1200, least(cb, rb)) as budget from b) "
     f"select provider, tpm, 'live_headers' as policy_source, budget::bigint as budget, "
     f"round(least(65.0, greatest(0.0, 60.0 * (budget + 1500) / greatest(tpm, 1) * 1.08)), 6) as delay from c")
+_PEAK = ("m as (select provider, sum(tokens) as tok from attempts_v group by provider, date_trunc('minute', ts)), "
+         "peak as (select provider, max(tok)::bigint as tpm from m group by provider)")
 SQL["d9_chunk_plan"] = (
-    f"with recursive {PACK}, t as (select project, count(*)::bigint as files, sum(tokens)::bigint as tokens from rv "
-    f"group by project), h as (select project, count(distinct chunk_id)::bigint as chunks, sum(tokens)::bigint as ct "
-    f"from members group by project) select t.project, files, t.tokens, coalesce(chunks, 0)::bigint as chunks, "
-    f"{BUDGET}::bigint as budget, round(ct / (chunks * {BUDGET}.0), 6) as fill_rate, "
-    f"round(greatest(coalesce(chunks, 0) - 1, 0) * {DELAY}::double, 6) as min_wall_sec from t left join h using (project)")
+    f"with recursive {FILES}, {ATTEMPTS_V}, {_PEAK}, "
+    f"pol0 as (select model, tpm, greatest(1500, least(100000, trunc(context * 0.5)::bigint)) as cb, greatest(1200, trunc(tpm * 0.5)::bigint - 900) "
+    f"as rb from {_KNOWN_MODELS} left join peak on i % 2 = 0 and provider = 'prov' || (i % 4)), "
+    f"pol1 as (select model, tpm, case when tpm is null then cb else greatest(1200, least(cb, rb)) end::bigint as budget from pol0), "
+    f"pol as (select *, case when tpm is null then 0.0 else least(65.0, greatest(0.0, 60.0 * (budget + 1500) / greatest(tpm, 1) * 1.08)) end::double "
+    f"as delay from pol1), bs as (select distinct budget from pol), "
+    f"f as (select project, tokens, length(text)::bigint as chars, row_number() over (partition by project order by lower(relative), relative) as rn "
+    f"from rv), "
+    f"walk as (select project, budget, 0::bigint as rn, 0::bigint as cid, 0::bigint as cur from (select distinct project from f) cross join bs "
+    f"union all select w.project, w.budget, f.rn, case when f.tokens > budget then w.cid + ceil(f.chars / greatest(1000, 3 * budget)::double)::bigint "
+    f"when cur = 0 or cur + f.tokens > budget then cid + 1 else cid end, case when f.tokens > budget then 0 "
+    f"when cur = 0 or cur + f.tokens > budget then f.tokens else cur + f.tokens end from walk w join f on f.project = w.project and f.rn = w.rn + 1), "
+    f"n as (select project, budget, max(cid)::bigint as chunks from walk group by project, budget), "
+    f"t as (select project, count(*)::bigint as files, sum(tokens)::bigint as tokens from rv group by project) "
+    f"select t.project, model, files, t.tokens, chunks, n.budget, round(t.tokens / (chunks * n.budget)::double, 6) as fill_rate, "
+    f"round(greatest(chunks - 1, 0) * delay, 6) as min_wall_sec from t join n using (project) join pol on pol.budget = n.budget")
 SQL["e1_rule_findings"] = (
     f"with {FILES}, l as (select project, relative as file, unnest(string_split(text, chr(10))) as evidence, "
     f"unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from rv), "

@@ -2,35 +2,17 @@
 
 ``pack_chunks`` (D3) reproduces next-fit packing in corpus order: files up to
 the budget fill the current chunk; a larger file flushes it and becomes one
-chunk per hard-split part.  Projects of at most ``FOLD_MAX_FILES`` files are
-folded in one task each (a bounded group of numbers).  Larger projects run a
-distributed job whose tasks are all bounded:
-
-1. prefix sums per project (``plans.prefix``, no per-project window):
-   number of small files before, token sum before, number of oversized
-   files before;
-2. ``next(i)``: where the next chunk starts if one starts at file i, i.e.
-   max{idx_k : s_k <= s_i + budget} (s_k = tokens before k, a sentinel n + 1
-   holds the total), clamped to the start of the next island (an oversized
-   file ends one).  Token sums strictly increase, so buckets of width
-   ``budget`` hold at most ``budget`` rows: the search is a window over
-   (project, bucket) plus an equi-join to the previous bucket's last index;
-3. the chunk starts are the path 1 -> next(1) -> ...: a partition-local chase
-   (``_chase_local``, O(n)) or plain pointer doubling (``_chase``);
-4. chunk numbers are a prefix sum of start flags over files and parts.
+chunk per hard-split part (``packing`` tells how).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions import constants as K
 from revlens.functions import text as X
-from revlens.plans.prefix import running_sums
-from revlens.plans.session import ensure_checkpoint_dir, shuffle_partitions
+from revlens.operators.packing import chunk_counts, narrow_files, place_files
 
 # ---------------------------------------------------------------- budgets
 def context_budget(context: Column) -> Column:
@@ -93,240 +75,18 @@ def part_rows(df: DataFrame, label: str = "part") -> DataFrame:
 
 
 # ---------------------------------------------------------------- packing
-def _next_start(small: DataFrame, ends: DataFrame, budget: int) -> DataFrame:
-    """(project, idx, nxt) for every small file; ``ends`` holds the sentinel
-    (project, idx = n + 1, s = total tokens) of each project."""
-    B = budget
-    points = small.select("project", "s", "idx").unionByName(ends.select("project", "s", "idx"))
-    data = points.select("project", F.col("s").alias("v"), F.lit(0).alias("kind"),
-                         F.col("idx"), F.lit(None).cast("bigint").alias("src"),
-                         F.lit(None).cast("bigint").alias("bound"))
-    qry = small.select("project", (F.col("s") + B).alias("v"), F.lit(1).alias("kind"),
-                       F.lit(None).cast("bigint").alias("idx"), F.col("idx").alias("src"), "bound")
-    u = data.unionByName(qry).withColumn("bucket", F.floor(F.col("v") / B))
-    w = (Window.partitionBy("project", "bucket").orderBy("v", "kind")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    q = u.withColumn("run", F.max("idx").over(w)).where(F.col("kind") == 1)
-    last = (data.groupBy("project", F.floor(F.col("v") / B).alias("pb"))
-            .agg(F.max("idx").alias("pmax")))
-    q = q.join(last, (q.project == last.project) & (q.bucket - 1 == last.pb), "left").drop(last.project)
-    raw = F.coalesce(F.col("run"), F.col("pmax"))
-    nxt = F.when(F.col("bound").isNotNull(), F.least(raw, F.col("bound"))).otherwise(raw)
-    return q.select("project", F.col("src").alias("idx"), nxt.cast("bigint").alias("nxt"))
-
-
-def _chase(jump: DataFrame, heads: DataFrame, max_path: int) -> DataFrame:
-    """Nodes on the path from each head (pointer doubling).  Round r adds
-    the next 2^r path nodes and squares the jump table; ``max_path`` bounds
-    the path length, so the number of rounds is fixed up front (no count
-    per round).  Both tables are checkpointed each round (lineage cut)."""
-    rounds = max(1, math.ceil(math.log2(max_path + 1)))
-    starts = heads.checkpoint(eager=True)
-    for r in range(rounds):
-        step = starts.join(jump, ["project", "idx"]).select("project", F.col("nxt").alias("idx"))
-        starts = starts.unionByName(step).distinct().checkpoint(eager=True)
-        if r + 1 < rounds:
-            a, b = jump.alias("a"), jump.alias("b")
-            jump = (a.join(b, (F.col("a.project") == F.col("b.project")) & (F.col("a.nxt") == F.col("b.idx")))
-                    .select(F.col("a.project").alias("project"), F.col("a.idx").alias("idx"),
-                            F.col("b.nxt").alias("nxt"))
-                    .checkpoint(eager=True))
-    return starts
-
-
-_EXIT_SCHEMA = "project string, idx bigint, nxt bigint, exit bigint, cross boolean"
-
-
-def _segment_exits(batches):
-    """Per range partition: for every node, the first node of its path that
-    lies beyond the partition's slice of its project (one reverse pass)."""
-    import numpy as np
-    import pandas as pd
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    pdf = pd.concat(frames, ignore_index=True)
-    for proj, seg in pdf.groupby("project", sort=False):
-        idx = seg["idx"].to_numpy()
-        nxt = seg["nxt"].to_numpy()
-        lo, hi = int(idx[0]), int(idx[-1])
-        ex = np.empty_like(nxt)
-        for k in range(len(idx) - 1, -1, -1):
-            t = int(nxt[k])
-            ex[k] = t if (t == idx[k] or t > hi) else ex[t - lo]
-        yield pd.DataFrame({"project": proj, "idx": idx, "nxt": nxt, "exit": ex, "cross": nxt > hi})
-
-
-def _segment_walk(batches):
-    """Per range partition: walk the path from the entry node of each slice
-    (at most one per slice) and emit its nodes."""
-    import pandas as pd
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    pdf = pd.concat(frames, ignore_index=True)
-    for proj, seg in pdf.groupby("project", sort=False):
-        idx = seg["idx"].to_numpy()
-        nxt = seg["nxt"].to_numpy()
-        lo, hi = int(idx[0]), int(idx[-1])
-        out = []
-        for e in idx[seg["entry"].fillna(False).to_numpy(dtype=bool)]:
-            cur = int(e)
-            while lo <= cur <= hi:
-                out.append(cur)
-                nx = int(nxt[cur - lo])
-                if nx == cur:
-                    break
-                cur = nx
-        if out:
-            yield pd.DataFrame({"project": proj, "idx": out})
-
-
-def _chase_local(jump: DataFrame, heads: DataFrame, parts: int) -> DataFrame:
-    """Nodes on the path from each head in O(n): range-partition the
-    pointers; per partition compute where a path entering at any node
-    leaves the slice; chase only the small graph of crossing nodes (pointer
-    doubling, at most one node per slice); then walk each slice from its
-    entry.  The entry table has at most one row per slice: broadcast."""
-    ranged = jump.repartitionByRange(parts, "project", "idx").sortWithinPartitions("project", "idx")
-    t = ranged.mapInPandas(_segment_exits, _EXIT_SCHEMA).checkpoint(eager=True)
-    crossing = (t.where(F.col("cross")).select("project", F.col("nxt").alias("idx"))
-                .unionByName(heads.select("project", "idx")).distinct())
-    graph = t.join(crossing, ["project", "idx"]).select("project", "idx", F.col("exit").alias("nxt"))
-    entries = _chase(graph, heads, parts + 2)
-    flagged = (t.join(F.broadcast(entries.withColumn("entry", F.lit(True))), ["project", "idx"], "left")
-               .select("project", "idx", "nxt", "entry").sortWithinPartitions("project", "idx"))
-    return flagged.mapInPandas(_segment_walk, "project string, idx bigint")
-
-
-ROWS_PER_SLICE = 2_000_000
-FOLD_MAX_FILES = 1_000_000
-_PLACED = ("project string, relative string, chunk_id bigint, pos int, over boolean, size bigint, "
-           "lines bigint, tokens bigint, chars bigint")
-
-
-def _fold_pack(narrow: DataFrame, budget: int, width: int) -> DataFrame:
-    """Next-fit per project in one task (projects of at most
-    ``FOLD_MAX_FILES`` files: a bounded group).  Numeric columns only."""
-    B, W = int(budget), int(width)
-
-    def fold(pdf):
-        import numpy as np
-        import pandas as pd
-        pdf = pdf.sort_values(["lkey", "relative"], kind="mergesort")
-        toks = pdf["tokens"].to_numpy()
-        chars = pdf["chars"].to_numpy()
-        n = len(pdf)
-        cids = np.zeros(n, dtype="int64")
-        poss = np.zeros(n, dtype="int32")
-        cid = cur = pos = 0
-        for i in range(n):
-            t = int(toks[i])
-            if t > B:
-                cid += 1
-                cids[i] = cid
-                cid += -(-int(chars[i]) // W) - 1
-                cur = 0
-            elif cur == 0 or cur + t > B:
-                cid += 1
-                cur, pos = t, 0
-                cids[i] = cid
-            else:
-                cur += t
-                pos += 1
-                cids[i], poss[i] = cid, pos
-        return pd.DataFrame({"project": pdf["project"].to_numpy(), "relative": pdf["relative"].to_numpy(),
-                             "chunk_id": cids, "pos": poss, "over": toks > B,
-                             "size": pdf["size"].to_numpy(), "lines": pdf["lines"].to_numpy(),
-                             "tokens": toks, "chars": chars})
-
-    return narrow.groupBy("project").applyInPandas(fold, _PLACED)
-
-
-def _doubling_pack(narrow: DataFrame, budget: int, width: int, num_partitions: int | None,
-                   method: str = "local") -> DataFrame:
-    """Next-fit for projects of any size: prefix sums, bucketed next-start
-    search and pointer doubling; every task is bounded."""
-    B = int(budget)
-    over = F.col("over")
-    order = [F.col("lkey"), F.col("relative")]
-    rs = running_sums(
-        narrow, "project", order,
-        {"nsmall": F.when(over, 0).otherwise(1),
-         "ssum": F.when(over, 0).otherwise(F.col("tokens")),
-         "nover": F.when(over, 1).otherwise(0)},
-        num_partitions, materialize=True)
-    small = rs.where(~over).select("project", "relative", "lkey", "tokens", "size", "lines", "chars",
-                                   F.col("nsmall").alias("idx"), (F.col("ssum") - F.col("tokens")).alias("s"),
-                                   F.col("nover").alias("isl"))
-    bounds = rs.where(over).select("project", (F.col("nover") - 1).alias("isl"),
-                                   (F.col("nsmall") + 1).alias("bound"))
-    small = small.join(bounds, ["project", "isl"], "left")
-    ends = small.groupBy("project").agg((F.max("idx") + 1).alias("idx"),
-                                        F.sum("tokens").cast("bigint").alias("s"),
-                                        F.max("isl").alias("islands"))
-    jump = _next_start(small, ends, B)
-    jump = jump.unionByName(ends.select("project", "idx", F.col("idx").alias("nxt")))
-    # next-fit: two consecutive chunks of an island hold more than B tokens,
-    # so a path has at most 2 * tokens / B + islands + 2 nodes
-    heads = ends.select("project", F.lit(1).cast("bigint").alias("idx"))
-    stats = ends.select(F.max(F.ceil(2 * F.col("s") / B) + F.col("islands") + 3).alias("bound"),
-                        F.sum("idx").alias("rows")).first()
-    if method == "doubling":
-        starts = _chase(jump, heads, int(stats["bound"] or 1))
-    else:
-        n = num_partitions or shuffle_partitions(narrow.sparkSession)
-        parts = max(int(n), math.ceil((stats["rows"] or 0) / ROWS_PER_SLICE))
-        starts = _chase_local(jump, heads, parts)
-    flagged = (small.join(starts.withColumn("flag", F.lit(1)), ["project", "idx"], "left")
-               .select("project", "relative", "lkey", F.lit(False).alias("over"),
-                       F.coalesce("flag", F.lit(0)).cast("bigint").alias("flag"),
-                       "size", "lines", "tokens", "chars"))
-    big = rs.where(over).select("project", "relative", "lkey", F.lit(True).alias("over"),
-                                F.ceil(F.col("chars") / F.lit(width)).cast("bigint").alias("flag"),
-                                "size", "lines", "tokens", "chars")
-    num = running_sums(flagged.unionByName(big), "project", order, {"cid": F.col("flag"), "r": F.lit(1)},
-                       num_partitions, materialize=True)
-    first = num.where(~over).groupBy("project", "cid").agg(F.min("r").alias("r0"))
-    out = num.join(first, ["project", "cid"], "left")
-    return out.select(
-        "project", "relative",
-        F.when(over, F.col("cid") - F.col("flag") + 1).otherwise(F.col("cid")).cast("bigint").alias("chunk_id"),
-        F.when(over, F.lit(0)).otherwise(F.col("r") - F.col("r0")).cast("int").alias("pos"),
-        "over", "size", "lines", "tokens", "chars")
-
-
-def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None,
-                fold_max: int = FOLD_MAX_FILES, chase: str = "local") -> DataFrame:
+def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None) -> DataFrame:
     """D3: chunk members (no text): project, chunk_id (1-based), pos (0-based
     in chunk), relative (with ' [part i/n]' for parts), part_no, part_count,
-    size, lines, tokens, chars.
-
-    Projects with at most ``fold_max`` files are packed by a per-project
-    fold; larger ones by the distributed path (module doc), so no task ever
-    holds more than ``fold_max`` rows of one project."""
+    size, lines, tokens, chars.  One path for projects of every size
+    (``packing``); oversized files are split where they are read."""
     B = int(budget)
     width = max(K.MIN_SPLIT_CHARS, K.SPLIT_CHARS_PER_TOKEN * B)
-    ensure_checkpoint_dir(files.sparkSession)
-    # the per-file table keeps numbers only; it is read several times, so it
-    # is checkpointed once.  Oversized files are split where they are read.
-    # NULL projects are packed like any other: a key that is never NULL stands
-    # for the project in all joins below
-    key = F.coalesce(F.concat(F.lit("="), F.col("project")), F.lit(""))
-    narrow = files.select(key.alias("project"), "relative", F.lower(F.col("relative")).alias("lkey"), "tokens", "size",
-                         "lines", F.length("text").cast("bigint").alias("chars"),
-                         (F.col("tokens") > B).alias("over")).checkpoint(eager=True)
-    sizes = narrow.groupBy("project").agg(F.count(F.lit(1)).alias("_n"))
-    # at most rows / fold_max projects: only they are joined
-    large_p = sizes.where(F.col("_n") > fold_max).select("project")
-    if large_p.limit(1).count() == 0:
-        placed = _fold_pack(narrow, B, width)
-    else:
-        placed = _fold_pack(narrow.join(large_p, "project", "left_anti"), B, width).unionByName(
-            _doubling_pack(narrow.join(large_p, "project", "left_semi"), B, width, num_partitions, chase))
+    placed = place_files(narrow_files(files), B, width, num_partitions)
     whole = placed.where(~F.col("over")).select(
         "project", "chunk_id", "pos", "relative", F.lit(None).cast("int").alias("part_no"),
         F.lit(None).cast("int").alias("part_count"), "size", "lines", "tokens", "chars")
+    key = F.coalesce(F.concat(F.lit("="), F.col("project")), F.lit(""))
     big = files.where(F.col("tokens") > B).select(key.alias("project"), "relative", "text")
     parts = part_rows(hard_split(big, F.lit(width))).drop("text", "part_text").join(
         placed.where(F.col("over")).select("project", "relative", F.col("chunk_id").alias("first")), ["project", "relative"])
@@ -445,15 +205,22 @@ def retry_split(members_with_text: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- plan
-def chunk_plan(totals: DataFrame, headers: DataFrame, budget: int, delay: float) -> DataFrame:
-    """Per project: chunks, tokens, fill rate (tokens / chunks x budget),
-    least wall time = (chunks - 1) x delay."""
-    per = headers.groupBy("project").agg(F.count(F.lit(1)).alias("chunks"),
-                                         F.sum("tokens").cast("bigint").alias("chunk_tokens"))
-    j = totals.select("project", "files", "tokens").join(per, "project", "left")
-    chunks = F.coalesce(F.col("chunks"), F.lit(0)).cast("bigint")
-    return j.select(
-        "project", "files", "tokens", chunks.alias("chunks"),
-        F.lit(budget).cast("bigint").alias("budget"),
-        F.round(F.col("chunk_tokens") / (chunks * F.lit(budget)), 6).alias("fill_rate"),
-        F.round(F.greatest(chunks - 1, F.lit(0)) * F.lit(float(delay)), 6).alias("min_wall_sec"))
+def known_models() -> Column:
+    """The known models as an array of (model, context)."""
+    return F.array(*[F.struct(F.lit(m).alias("model"), F.lit(c).cast("bigint").alias("context")) for m, c in K.MODEL_CONTEXTS.items()])
+
+
+def chunk_plan(files: DataFrame, totals: DataFrame, policies: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Per project and model (policies: model, budget, delay; a table of
+    the models asked about): chunks, fill rate (tokens / chunks x budget),
+    least wall time = (chunks - 1) x delay.  The files are packed for all
+    budgets in one pass; the budgets are few and come to the driver."""
+    budgets = sorted(int(r[0]) for r in policies.select("budget").distinct().collect())
+    counts = chunk_counts(files, [(b, max(K.MIN_SPLIT_CHARS, K.SPLIT_CHARS_PER_TOKEN * b)) for b in budgets], num_partitions)
+    counted = counts.select(F.col("project").alias("_of"), "budget", "chunks")
+    j = (totals.select("project", "files", "tokens")
+         .join(counted, F.col("project").eqNullSafe(F.col("_of"))).drop("_of")
+         .join(policies.select("model", F.col("budget").cast("bigint").alias("budget"), "delay"), "budget"))
+    return j.select("project", "model", "files", "tokens", "chunks", "budget",
+                    F.round(F.col("tokens") / (F.col("chunks") * F.col("budget")), 6).alias("fill_rate"),
+                    F.round(F.greatest(F.col("chunks") - 1, F.lit(0)) * F.col("delay"), 6).alias("min_wall_sec"))

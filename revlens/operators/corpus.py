@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions import constants as K
 from revlens.functions import text as X
+from revlens.operators import chunking as D
 from revlens.plans.prefix import ordinal
 
 DIGEST_FANOUT = 4096
@@ -119,17 +120,17 @@ def language_breakdown(files: DataFrame) -> DataFrame:
 
 
 def context_fit(totals: DataFrame) -> DataFrame:
-    """C4: can the project be sent whole to a model?  Evaluated against the
-    fixed table of known contexts as an array expression per project (no
-    join): number of known models whose context holds the tokens, the
-    smallest such context, and the fallback-context check."""
-    ctx = F.array(*[F.lit(v) for v in K.MODEL_CONTEXTS.values()])
-    fit = F.filter(ctx, lambda c: c >= F.col("tokens"))
-    return totals.select(
-        "project", "tokens",
-        F.size(fit).cast("bigint").alias("models_fit"),
-        F.array_min(fit).cast("bigint").alias("min_fit_context"),
-        (F.col("tokens") <= K.DEFAULT_CONTEXT).alias("fits_default"))
+    """C4: per project and known model: can the project be sent whole?  The
+    fixed models are an array per project (no join).  ``fits`` compares with
+    the context, ``fits_budget`` with the share of it given to code;
+    ``rank`` orders the models that fit by context (0: does not fit)."""
+    tokens, context = F.col("tokens"), F.col("context")
+    rows = totals.select("project", "tokens", F.inline(D.known_models()))
+    fitting = F.size(F.filter(D.known_models(), lambda m: (m["context"] >= tokens) & (
+        (m["context"] < context) | ((m["context"] == context) & (m["model"] < F.col("model"))))))
+    return rows.select("project", "model", "context", "tokens", (tokens <= context).alias("fits"),
+                       (tokens <= D.context_budget(context)).alias("fits_budget"),
+                       F.when(tokens <= context, fitting + 1).otherwise(0).cast("int").alias("rank"))
 
 
 def _join_ordered(ord_col: str, payload: str) -> Column:

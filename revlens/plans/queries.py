@@ -281,10 +281,18 @@ def d8_rate_policy(spark, d):
     return pol.select("provider", "tpm", "policy_source", "budget", F.round("delay", 6).alias("delay"))
 
 
+def model_policies(spark, d) -> DataFrame:
+    """Budget and delay of each known model: every second one under the peak
+    rate of a provider of the attempt log, the others by context only."""
+    known = spark.range(1).select(F.posexplode(D.known_models()).alias("i", "m")).select("i", "m.*")
+    of = F.when(F.col("i") % 2 == 0, F.concat(F.lit("prov"), (F.col("i") % 4).cast("string")))
+    peak = peak_tpm(spark, d).select(F.col("provider").alias("of"), "tpm")
+    return D.rate_policy(known.withColumn("of", of).join(peak, "of", "left"))
+
+
 def d9_chunk_plan(spark, d):
     rv = reviewable(spark, d)
-    heads = D.chunk_headers(D.pack_chunks(rv, BUDGET))
-    return D.chunk_plan(C.project_totals(rv), heads, BUDGET, DELAY)
+    return D.chunk_plan(rv, C.project_totals(rv), model_policies(spark, d))
 
 
 # ---------------------------------------------------------------- E

@@ -1,13 +1,16 @@
 """Packing and splitting against plain loops (property tests)."""
 
 import math
+import random
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from revlens.operators import chunking as D
 from revlens.operators import corpus as C
+from revlens.operators import packing
 from revlens.operators.scoring import WhitespaceEncoder, split_by_tokens
 
 
@@ -54,8 +57,7 @@ def test_pack_equals_loop(spark, spec, B):
     rows = [(p, r, t) for (p, r), t in files.items()]
     expect = loop_pack(rows, B)
     assert packed(spark, rows, B) == expect
-    # the distributed path (doubling, range-partitioned prefix sums) gives the same chunks
-    assert packed(spark, rows, B, fold_max=0) == expect
+    assert packed(spark, rows, B, num_partitions=1) == packed(spark, rows, B, num_partitions=23) == expect
 
 
 def test_chunks_within_budget_and_ordered(spark, sf):
@@ -112,27 +114,76 @@ def test_prompt_layout(spark):
                  "===== END FILE =====\n\n===== FILE: b.py | LOC: 1 =====\ny\n===== END FILE =====")
 
 
-def test_chase_methods_agree(spark, sf):
-    """Pointer doubling over all files and the partition-local chase give
-    the same chunks as the per-project fold (one project holding all)."""
+def test_one_project_in_any_slices(spark, sf):
+    """One project that holds all documents, in few and many slices."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    one = C.corpus_from_table(docs.select(F.lit("all").alias("project"),
-                                          F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".py"))
-                                          .alias("relative"), "text"))
-    key = ["project", "chunk_id", "pos", "relative"]
+    rows = [("all", f"d/{r['doc_id']}.py", r["text"]) for r in docs.select("doc_id", "text").collect()]
+    for budget in (1500, 20_000):
+        want = loop_pack(rows, budget)
+        assert packed(spark, rows, budget, num_partitions=3) == packed(spark, rows, budget, num_partitions=60) == want
+
+
+def _loop_state(tokens, parts, budget, state):
+    begun, fill, members = state
+    at = []
+    for t, p in zip(tokens, parts):
+        if t > budget:
+            at.append((begun + 1, 0))
+            begun, fill, members = begun + p, 0, 0
+        elif fill == 0 or fill + t > budget:
+            begun, fill, members = begun + 1, t, 1
+            at.append((begun, 0))
+        else:
+            fill, members = fill + t, members + 1
+            at.append((begun, members - 1))
+    return (begun, fill, members), at
+
+
+def test_slice_tables_are_the_fold():
+    rng = random.Random(3)
+    for _ in range(400):
+        budget = rng.choice([5, 12, 40])
+        tokens = np.array([rng.choice([1, 2, 3, budget, budget + 1, rng.randint(1, budget + 3)]) for _ in range(rng.randint(0, 25))], dtype=np.int64)
+        parts = np.array([rng.randint(1, 3) for _ in tokens], dtype=np.int64)
+        s = packing.Slice(tokens, parts, budget)
+        table = s.table()
+        assert [r[0] for r in table] == sorted({r[0] for r in table}, reverse=True) and table[-1][0] == 1
+        for fill in range(budget + 1):
+            entry = (7, fill, 2 if fill else 0)
+            want, at = _loop_state(tokens.tolist(), parts.tolist(), budget, entry)
+            assert packing.apply_table(table, entry) == s.leave(entry) == want, (tokens, budget, entry)
+            chunk, place = s.place(entry)
+            assert list(zip(chunk.tolist(), place.tolist())) == at
+
+
+def test_budgets_in_one_pass(spark, sf):
+    from revlens.plans.queries import reviewable
+
+    rv = reviewable(spark, sf)
+    budgets = [1500, 3100, 4096, 65_536]
+    got = {(r["project"], r["budget"]): r["chunks"] for r in packing.chunk_counts(rv, [(b, 3 * b) for b in budgets], 5).collect()}
+    for b in budgets:
+        want = {(r["project"], b): r["n"] for r in D.pack_chunks(rv, b).groupBy("project").agg(F.countDistinct("chunk_id").alias("n")).collect()}
+        assert {k: v for k, v in got.items() if k[1] == b} == want
 
-    def rows(**kw):
-        return sorted(tuple(r) for r in D.pack_chunks(one, 1500, **kw).select(*key).collect())
 
-    fold = rows()
-    assert rows(fold_max=0, chase="local", num_partitions=5) == fold
-    assert rows(fold_max=0, chase="doubling") == fold
+def test_packing_is_planned_without_a_job(spark, sf):
+    from revlens.plans.queries import reviewable
+
+    rv = reviewable(spark, sf)
+    spark.sparkContext.setJobGroup("pack", "plans only")
+    try:
+        plan = D.pack_chunks(rv, 3100)._jdf.queryExecution().executedPlan().toString()
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("pack")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "ReusedExchange" in plan or "AdaptiveSparkPlan" in plan
 
 
 def test_null_project_and_label_like_names(spark):
     rows = [(None, "a.py", "x" * 100), ("p", "x [part 1/2]", "whole"), ("p", "big.py", "😀\n" * 4000), (None, "b.py", "y" * 9000)]
     files = C.corpus_from_table(spark.createDataFrame(rows, "project string, relative string, text string"))
-    for kw in ({}, {"fold_max": 0}):
+    for kw in ({}, {"num_partitions": 2}):
         members = D.pack_chunks(files, 1500, **kw)
         got = D.member_text(members, files, 1500).collect()
         assert len(got) == members.count()
