@@ -669,9 +669,6 @@ SQL["s3_review_bursts"] = (
     f"from g), ss as (select user_id, min(ts) as st, max(ts) + interval 10 minutes as en, count(*)::bigint as events, "
     f"round(sum(value), 6) as value from s group by user_id, sid) select strftime(st, {_FMT}) as session_start, "
     f"strftime(en, {_FMT}) as session_end, user_id, events, value from ss where en <= {_MAXTS}")
-SQL["s5_incremental_review"] = (f"with {PARSED} select project, dedup_key, chunk_id, pos, severity, file, line_raw, "
-                                f"title from uniq")
-
 # ---------------------------------------------------------------- J history
 _RULES_NOW = (f"select project, relative as file, unnest(string_split(text, chr(10))) as evidence, "
               f"unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from {{src}}")
@@ -686,6 +683,20 @@ def _rule_hits(src: str, model: str) -> str:
 
 _FKEY = ("sha256(concat_ws('|', coalesce(category, ''), coalesce(severity, ''), coalesce(file, ''), "
          "coalesce(line::varchar, ''), coalesce(title, '')))")
+SQL["s5_incremental_review"] = (
+    f"with {PARSED}, src as (select source as project, doc_id, 'doc/' || doc_id || '.txt' as relative, coalesce(text, '') as text from documents), "
+    f"sg as (select project, doc_id as chunk_id, relative, sha256(concat_ws(':', relative, case when length(text) = 0 then 0 else "
+    f"length(text) - length(replace(text, chr(10), '')) + 1 end, {tokens('text')}, length(text))) as signature from src), "
+    f"told as (select project, chunk_id, coalesce(json_array_length(j, '$.findings'), 0)::bigint as n from parsed where ok), "
+    f"hits as ({_rule_hits('src', 'rules')}), "
+    f"a as (select project, chunk_id, pos::bigint as pos, severity, file, line_raw, title, k_category, k_severity, k_file, k_line, k_title from findings "
+    f"union all select h.project, sg.chunk_id, n + row_number() over (partition by h.project, h.file order by line, rule) - 1, severity, file, "
+    f"line::varchar, title, category, severity, file, line::varchar, title from hits h join sg on sg.project = h.project and sg.relative = h.file "
+    f"join told on told.project = sg.project and told.chunk_id = sg.chunk_id), "
+    f"k as (select *, sha256(concat_ws('|', k_category, k_severity, k_file, k_line, k_title)) as dedup_key from a), "
+    f"u as (select * from (select *, row_number() over (partition by project, dedup_key order by chunk_id, pos) as rn from k) where rn = 1) "
+    f"select u.project, dedup_key, signature, u.chunk_id, pos::int as pos, severity, file, line_raw, title from u "
+    f"join sg on sg.project = u.project and sg.chunk_id = u.chunk_id")
 SQL["j1_changed_files"] = (
     f"with {DOCS} select coalesce(c.project, s.project) as project, coalesce(c.relative, s.relative) as relative, "
     f"case when s.relative is null then 'added' when c.relative is null then 'removed' when sha256(c.text) <> "
@@ -753,6 +764,4 @@ SQL["f8_keep_state"] = (
     f"with {PARSED}, {DOCS}, st as ({_sig('cur')}) select project, signature from st "
     f"where project in (select project from parsed where not ok)")
 
-SQL["s4_dedup_stream"] = (
-    f"with {ATTEMPTS_V} select event_id, provider, chunk_id, attempt, status from (select *, row_number() over "
-    f"(partition by provider, chunk_id, attempt order by ts, event_id) as rn from attempts_v) where rn = 1")
+SQL["s4_dedup_stream"] = f"with {ATTEMPTS_V} select distinct provider, chunk_id, attempt from attempts_v"

@@ -36,8 +36,9 @@ def responses_v(spark: SparkSession, data_dir: str) -> DataFrame:
     return replies_from_documents(read_table(spark, data_dir, "documents"))
 
 
-def replies_from_documents(d: DataFrame) -> DataFrame:
-    """Model-style replies derived row by row from ``documents`` (also on a stream)."""
+def replies_from_documents(d: DataFrame, *kept: str) -> DataFrame:
+    """Model-style replies derived row by row from ``documents`` (also on a
+    stream), with the columns named besides."""
     did = F.col("doc_id")
     sev = (F.when(did % 7 == 0, "Critical").when(did % 7 == 1, "High").when(did % 7 == 2, "Medium")
            .when(did % 7 == 3, "Low").when(did % 7 == 4, "Info").otherwise("high"))
@@ -54,7 +55,7 @@ def replies_from_documents(d: DataFrame) -> DataFrame:
            .when(m == 2, F.concat(F.lit("Here is the review: "), j, F.lit(" Done.")))
            .when(m == 3, F.lit("")).when(m == 4, F.lit("no issues found")).otherwise(j))
     return d.select(F.col("source").alias("project"), did.alias("chunk_id"), raw.alias("raw"),
-                    F.col("n_chars").alias("prompt_tokens"), (F.col("n_chars") % 400).alias("completion_tokens"))
+                    F.col("n_chars").alias("prompt_tokens"), (F.col("n_chars") % 400).alias("completion_tokens"), *kept)
 
 
 def attempts_v(spark: SparkSession, data_dir: str) -> DataFrame:

@@ -12,10 +12,13 @@ under the session's checkpoint root; results land in a parquet sink there.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from revlens.functions import text as X
 from revlens.operators import review as E
 from revlens.plans.session import checkpoint_root
 from revlens.sources.fixtures import attempts_from_events, replies_from_documents
@@ -95,76 +98,134 @@ def review_bursts(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
                     F.date_format("s.end", TS_FMT).alias("session_end"), "user_id", "events", "value")
 
 
-def dedup_stream(rows: DataFrame, keys: list[str], delay_minutes: int = 10,
-                 order: list[str] | None = None) -> DataFrame:
-    """Keep the first row of each key; a key is remembered until the
-    watermark passes its first event time + delay (event-time timeout), and
-    rows later than the current watermark are dropped.  A custom stateful
-    operator (``applyInPandasWithState``): of the rows of a key in one batch
-    the earliest event (ties by ``order``) is kept, where the built-in
-    ``dropDuplicatesWithinWatermark`` keeps whichever a task reads first."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    src = _event_time(rows)
-    cols = src.columns
-    delay_ms = delay_minutes * 60_000
-    by = ["ts", *(order or [])]           # first arrival in event time, then tie-breakers
-
-    def run(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        wm = state.getCurrentWatermarkMs()
-        seen = state.exists
-        out = []
-        for pdf in batches:
-            ms = pd.to_datetime(pdf["ts"], utc=True).astype("int64") // 1_000_000
-            pdf = pdf[ms >= wm]
-            if pdf.empty or seen:
-                continue
-            first = pdf.sort_values(by, kind="mergesort").head(1)
-            out.append(first)
-            seen = True
-            first_ms = int(pd.to_datetime(first["ts"], utc=True).astype("int64").iloc[0] // 1_000_000)
-            state.update((first_ms,))
-            state.setTimeoutTimestamp(max(first_ms + delay_ms, wm + 1))
-        if out:
-            yield pd.concat(out)[cols]
-
-    return src.groupBy(*keys).applyInPandasWithState(
-        run, src.schema, "first_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+def dedup_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key; a key is remembered until the watermark passes
+    its event time, and later rows than the watermark are dropped (Spark's own
+    operator).  Of equal keys in one batch the row a task reads first stays."""
+    return _event_time(rows).dropDuplicatesWithinWatermark(keys)
 
 
 # ---------------------------------------------------------------- S5
-def incremental_review(replies: DataFrame, out_dir: str, checkpoint: str, once: bool = True):
-    """Resumable incremental review.  Each micro-batch of replies drops
-    chunks already completed (F2 anti-join against the completed table),
-    parses the rest (E2-E5) and writes findings, completed and failed chunk
-    rows under ``epoch=<batch id>``.  The stream checkpoint replaces the JSON
-    checkpoint file: a restarted query continues after the last committed
-    batch, and a re-run batch rewrites the same output."""
-    spark = replies.sparkSession
-    out = out_dir.rstrip("/")
-    done_path = f"{out}/completed"
-    # an empty first part, so that the completed table can always be read
-    spark.createDataFrame([], replies.select("project", "chunk_id").schema).write.mode("overwrite").parquet(f"{done_path}/epoch=-1")
-
-    def process(batch: DataFrame, epoch: int) -> None:
-        # idempotent per epoch: a re-run of epoch N (after a failure) only
-        # looks at earlier epochs and overwrites its own epoch folders
-        done = spark.read.parquet(done_path).where(F.col("epoch") < epoch).select("project", "chunk_id").distinct()
-        parsed = E.parse_replies(batch.join(done, ["project", "chunk_id"], "left_anti")).persist()
-        E.explode_findings(parsed).write.mode("overwrite").parquet(f"{out}/findings/epoch={epoch}")
-        parsed.where(F.col("ok")).select("project", "chunk_id").write.mode("overwrite").parquet(
-            f"{done_path}/epoch={epoch}")
-        parsed.where(~F.col("ok")).select("project", "chunk_id", "error").write.mode("overwrite").parquet(
-            f"{out}/failed/epoch={epoch}")
-        parsed.unpersist()
-
-    w = replies.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if once else w
-    return w.start()
+class _Once(StatefulProcessor):
+    """Rows of a chunk signature until one of them completes it.  Within a
+    batch rows count in the order of chunk_id."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.done = handle.getValueState("done", "chunk_id bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.done.exists():
+            return
+        for r in sorted(rows, key=lambda r: r["chunk_id"]):
+            yield r
+            if r["ok"]:
+                self.done.update((r["chunk_id"],))
+                return
+
+    def close(self) -> None:
+        pass
+
+
+class _First(StatefulProcessor):
+    """The first arrival of a finding key: the first batch that has it, and
+    in it the least (chunk_id, pos)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "chunk_id bigint, pos int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if self.seen.exists():
+            return
+        first = min(rows, key=lambda r: (r["chunk_id"], r["pos"]))
+        self.seen.update((first["chunk_id"], first["pos"]))
+        yield first
+
+    def close(self) -> None:
+        pass
+
+
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor) -> DataFrame:
+    """Rows that a processor lets pass, by key."""
+    return rows.groupBy(*keys).transformWithState(processor, rows.schema, "append", "None")
+
+
+def _start(rows: DataFrame, path: str, checkpoint: str, once: bool) -> StreamingQuery:
+    """Into a parquet file sink (its log commits a batch once); the keyed
+    state of a query needs the RocksDB store."""
+    spark = rows.sparkSession
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        w = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+        return (w.trigger(availableNow=True) if once else w).start()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+def review_arrivals(chunks: DataFrame) -> DataFrame:
+    """The stateful part of S5 (project, chunk_id, signature, file, text, raw)
+    -> one row a new reply (pos NULL; ok, error) and one a finding of it.
+
+    Replies of a completed signature go before any rule or parse of findings
+    is run on them.  Findings are those of the reply (E5) and, behind them,
+    those of the rules on the chunk's text (E1)."""
+    judged = E.parse_replies(chunks).drop("v", "cleaned")
+    new = _stateful(judged.select("project", "signature", "chunk_id", "file", "text", "raw", "ok", "error"), ["project", "signature"], _Once())
+    parsed = E.parse_replies(new.drop("ok", "error"))
+    told = F.coalesce(F.try_variant_get("v", "$.findings", "array<variant>"), F.array().cast("array<variant>"))
+    found = F.when(F.col("ok"), F.concat(told, E.rule_objects(F.col("text"), F.col("file"))))
+    # a reply without findings keeps one row: an object that is none
+    rows = parsed.select("project", "signature", "chunk_id", "ok", "error", F.inline(F.concat(
+        F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.parse_json(F.lit("{}")).alias("f"))),
+        F.coalesce(F.transform(found, lambda f, i: F.struct(i.cast("int").alias("pos"), f.alias("f"))),
+                   F.array().cast("array<struct<pos:int,f:variant>>")))))
+    typed = E.typed_findings(rows)
+    return typed.withColumn("dedup_key", F.when(F.col("pos").isNotNull(), E.dedup_key(*[F.col(f"k_{n}") for n in E.KEY_FIELDS])))
+
+
+def incremental_review(chunks: DataFrame, out_dir: str, checkpoint: str, once: bool = True) -> list[StreamingQuery]:
+    """Resumable incremental review in two queries.
+
+    ``arrivals`` holds the new replies and all their findings; the completed
+    signatures are keyed state.  ``unique`` holds the first arrival of each
+    finding (E10), also keyed state, fed by the arrivals.  Nothing written is
+    read again: a restarted query goes on from its checkpoint and state.  With
+    ``once`` each runs over what is there."""
+    out, ck = out_dir.rstrip("/"), checkpoint.rstrip("/")
+    spark = chunks.sparkSession
+    arrivals = review_arrivals(chunks)
+    first = _start(arrivals, f"{out}/arrivals", f"{ck}/arrivals", once)
+    if once:
+        first.awaitTermination()
+    found = stream_dir(spark, f"{out}/arrivals", arrivals.schema).where("pos is not null")
+    second = _start(_stateful(found, ["project", "dedup_key"], _First()), f"{out}/unique", f"{ck}/unique", once)
+    if once:
+        second.awaitTermination()
+    return [first, second]
+
+
+def open_failures(arrivals: DataFrame) -> DataFrame:
+    """The failed chunks that no later reply has completed."""
+    replies = arrivals.where("pos is null")
+    done = replies.where("ok").select("project", "signature").distinct()
+    return replies.where("not ok").join(done, ["project", "signature"], "left_anti").select("project", "chunk_id", "signature", "error")
+
+
+def chunks_from_documents(docs: DataFrame) -> DataFrame:
+    """A stream of documents as chunks of one file each, with the reply the
+    fixture gives them."""
+    file = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    replies = replies_from_documents(docs.withColumn("kept", text), "kept")
+    sig = F.sha2(F.concat_ws(":", "file", X.file_loc("text").cast("string"), X.token_estimate("text").cast("string"),
+                             F.length("text").cast("string")), 256)
+    return (replies.select("project", "chunk_id", F.concat(F.lit("doc/"), F.col("chunk_id").cast("string"), F.lit(".txt")).alias("file"),
+                           F.col("kept").alias("text"), "raw")
+            .withColumn("signature", sig))
 
 
 # ---------------------------------------------------------------- registry
@@ -182,18 +243,15 @@ def s3_review_bursts(spark: SparkSession, d: str) -> DataFrame:
 
 def s4_dedup_stream(spark: SparkSession, d: str) -> DataFrame:
     a = attempts_from_events(stream_table(spark, d, "events"))
-    out = dedup_stream(a, ["provider", "chunk_id", "attempt"], order=["event_id"])
-    return run_available(out.select("event_id", "provider", "chunk_id", "attempt", "status"), "s4")
+    out = dedup_stream(a, ["provider", "chunk_id", "attempt"])
+    return run_available(out.select("provider", "chunk_id", "attempt"), "s4")
 
 
 def s5_incremental_review(spark: SparkSession, d: str) -> DataFrame:
     base = new_run_dir(spark, "s5")
-    replies = replies_from_documents(stream_table(spark, d, "documents"))
-    q = incremental_review(replies, f"{base}/tables", f"{base}/checkpoint")
-    q.awaitTermination()
-    f = spark.read.parquet(f"{base}/tables/findings")
-    u = E.dedup_findings(f.drop("epoch"))
-    return u.select("project", "dedup_key", "chunk_id", "pos", "severity", "file", "line_raw", "title")
+    incremental_review(chunks_from_documents(stream_table(spark, d, "documents")), f"{base}/tables", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/tables/unique").select(
+        "project", "dedup_key", "signature", "chunk_id", "pos", "severity", "file", "line_raw", "title")
 
 
 STREAM_QUERIES = {

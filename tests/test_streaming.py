@@ -26,49 +26,87 @@ def test_dedup_and_late_rows(spark, tmp_path):
     spark.createDataFrame([(t0, "a", 1), (t0 + dt.timedelta(minutes=1), "a", 2),     # duplicate inside
                            (t0 + dt.timedelta(minutes=30), "b", 3)], schema).coalesce(1) \
         .write.parquet(str(src / "f1"))
-    spark.createDataFrame([(t0 + dt.timedelta(minutes=2), "c", 4),                     # later than watermark
-                           (t0 + dt.timedelta(minutes=31), "b", 5)], schema).coalesce(1) \
-        .write.parquet(str(src / "f2"))
+    spark.createDataFrame([(t0 + dt.timedelta(minutes=31), "b", 5)], schema).coalesce(1).write.parquet(str(src / "f2"))
+    # later than the watermark of the batch before
+    spark.createDataFrame([(t0 + dt.timedelta(minutes=2), "c", 4), (t0 + dt.timedelta(minutes=32), "d", 6)], schema).coalesce(1) \
+        .write.parquet(str(src / "f3"))
+    import os
+    for i in (1, 2, 3):
+        for f in os.listdir(src / f"f{i}"):
+            os.utime(src / f"f{i}" / f, (1_700_000_000 + i, 1_700_000_000 + i))
     stream = S.stream_dir(spark, str(src / "*"), spark.createDataFrame([], schema).schema, max_files=1)
     out = S.run_available(S.dedup_stream(stream, ["k"]).select("k", "v"), "t-dedup")
     got = sorted((r["k"], r["v"]) for r in out.collect())
-    assert got == [("a", 1), ("b", 3)]      # a/2 and b/5 repeat keys; c/4 arrives after the watermark
+    assert got == [("a", 1), ("b", 3), ("d", 6)]      # a/2 and b/5 repeat keys; c/4 arrives after the watermark
 
 
-def test_incremental_review_restarts(spark, sf, tmp_path):
+def _batch_arrivals(docs):
+    """What S5 finds, without a stream: the replies' findings, then the rules'."""
+    p = E.parse_replies(S.chunks_from_documents(docs))
+    told = F.coalesce(F.try_variant_get("v", "$.findings", "array<variant>"), F.array().cast("array<variant>"))
+    found = F.posexplode(F.concat(told, E.rule_objects(F.col("text"), F.col("file"))))
+    return p, E.typed_findings(p.where("ok").select("project", "chunk_id", found.alias("pos", "f")))
+
+
+def _parts(docs, src, n):
+    """The documents as n files in order of their ids and of time."""
+    import os
+
+    rows = docs.orderBy("doc_id").collect()
+    step = -(-len(rows) // n)
+    for i in range(n):
+        path = f"{src}/p{i:02d}"
+        docs.sparkSession.createDataFrame(rows[i * step:(i + 1) * step], docs.schema).coalesce(1).write.parquet(path)
+        for f in os.listdir(path):
+            os.utime(f"{path}/{f}", (1_700_000_000 + i, 1_700_000_000 + i))
+        yield
+
+
+def test_stream_equals_batch_over_many_batches_and_restarts(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    src = tmp_path / "docs"
-    docs.where(F.col("doc_id") % 2 == 0).coalesce(1).write.parquet(str(src / "part1"))
-    schema = docs.schema
-    out, ck = str(tmp_path / "tables"), str(tmp_path / "ck")
+    src, out, ck = tmp_path / "docs", str(tmp_path / "tables"), str(tmp_path / "ck")
 
     def run():
-        s = S.stream_dir(spark, str(src / "*"), schema)
-        q = S.incremental_review(V.replies_from_documents(s), out, ck)
-        q.awaitTermination()
+        s = S.stream_dir(spark, f"{src}/*", docs.schema, max_files=1)
+        return S.incremental_review(S.chunks_from_documents(s), out, ck)
 
+    made = _parts(docs, str(src), 5)
+    for _ in range(2):
+        next(made)
     run()
-    first = spark.read.parquet(f"{out}/completed").count()
-    docs.where(F.col("doc_id") % 2 == 1).coalesce(1).write.parquet(str(src / "part2"))
-    run()                                   # resumes from the checkpoint: only the new file
-    done = spark.read.parquet(f"{out}/completed")
-    assert done.select("epoch").distinct().count() == 2
-    batch = E.parse_replies(V.responses_v(spark, sf))
-    assert done.count() == batch.where("ok").count() > first
-    f = spark.read.parquet(f"{out}/findings")
-    assert f.count() == E.explode_findings(batch).count()
-
-
-def test_incremental_epoch_rerun_is_idempotent(spark, sf, tmp_path):
-    """Running the batch function twice for one epoch gives the same tables."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    src = tmp_path / "docs"
-    docs.coalesce(1).write.parquet(str(src / "part1"))
-    out = str(tmp_path / "tables")
-    s = S.stream_dir(spark, str(src / "*"), docs.schema)
-    S.incremental_review(V.replies_from_documents(s), out, str(tmp_path / "ck1")).awaitTermination()
-    first = spark.read.parquet(f"{out}/findings").count()
-    # a second query with a fresh checkpoint replays epoch 0 into the same folders
-    s2 = S.stream_dir(spark, str(src / "*"), docs.schema)
-    S.incremental_review(V.replies_from_documents(s2), out, str(tmp_path / "ck2")).awaitTermination()
-    assert spark.read.parquet(f"{out}/findings").count() == first
+    early = spark.read.parquet(f"{out}/unique").count()
+    for _ in made:
+        pass
+    assert sum(len([p for p in q.recentProgress if p["numInputRows"]]) for q in run()) >= 4     # goes on: one batch a file and per batch of arrivals
+    parsed, found = _batch_arrivals(docs)
+    cols = ["project", "dedup_key", "chunk_id", "pos", "severity", "file", "line_raw", "title", "evidence"]
+    want = sorted((tuple(r) for r in E.dedup_findings(found).select(*cols).collect()), key=str)
+    got = sorted((tuple(r) for r in spark.read.parquet(f"{out}/unique").select(*cols).collect()), key=str)
+    assert got == want and early < len(want)
+    arrivals = spark.read.parquet(f"{out}/arrivals")
+    assert arrivals.where("pos is null").count() == docs.count() and arrivals.where("pos is not null").count() == found.count()
+    assert S.open_failures(arrivals).count() == parsed.where("not ok").count()
+    # the same chunks once more: completed ones are not reviewed again, failed ones are
+    docs.coalesce(1).write.parquet(f"{src}/again")
+    run()
+    again = spark.read.parquet(f"{out}/arrivals")
+    assert again.where("pos is not null").count() == found.count()
+    assert again.where("pos is null").count() == docs.count() + parsed.where("not ok").count()
+    assert sorted((tuple(r) for r in spark.read.parquet(f"{out}/unique").select(*cols).collect()), key=str) == want
+
+
+def test_a_later_reply_completes_a_failed_chunk(spark, tmp_path):
+    schema = "project string, chunk_id long, signature string, file string, text string, raw string"
+    good = '{"findings": [{"title": "t", "file": "a"}, 7, {"title": "t", "file": "a"}]}'
+    batches = [[("p", 1, "s1", "a.py", "x", "oops"), ("p", 2, "s2", "b.py", "eval(x)", "")],
+               [("p", 1, "s1", "a.py", "x", "oops again"), ("p", 3, "s1", "a.py", "x", good)],
+               [("p", 4, "s1", "a.py", "x", "late"), ("p", 5, "s3", "c.py", "", '{"summary": "none"}'), ("q", 5, "s1", "a.py", "x", good)]]
+    out, ck = str(tmp_path / "t"), str(tmp_path / "ck")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
+        S.incremental_review(S.stream_dir(spark, f"{tmp_path}/in/*", spark.createDataFrame([], schema).schema), out, ck)
+    arrivals = spark.read.parquet(f"{out}/arrivals")
+    replies = sorted((r["project"], r["chunk_id"], r["ok"]) for r in arrivals.where("pos is null").collect())
+    assert replies == [("p", 1, False), ("p", 1, False), ("p", 2, False), ("p", 3, True), ("p", 5, True), ("q", 5, True)]
+    assert [(r["project"], r["chunk_id"]) for r in S.open_failures(arrivals).collect()] == [("p", 2)]
+    assert sorted((r["project"], r["chunk_id"], r["pos"]) for r in spark.read.parquet(f"{out}/unique").collect()) == [("p", 3, 0), ("q", 5, 0)]
