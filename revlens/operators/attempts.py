@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions import constants as K
-from revlens.plans.prefix import ordinal
+from revlens.plans.prefix import ordinal, running_sums
 
 
 def valid_checkpoints(states: DataFrame, current: DataFrame,
@@ -93,6 +93,49 @@ def plan_attempts(attempts: DataFrame, with_jitter: bool = True) -> DataFrame:
         F.when(action == "retry", F.round(wait, 6)).alias("wait_sec"), action.alias("action"))
 
 
+def replay_attempts(log: DataFrame, key: tuple[str, ...] = ("project", "chunk_id"), order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """The attempts of each chunk in order, as calls: a call is a run of
+    attempts up to a success (done), a context error (split), a refusal or the
+    last attempt allowed (fail).  Adds call_no and attempt_no (both from 1),
+    action, and ``spare``: the chunk was done before.
+
+    Calls are islands between the attempts that end one by themselves; inside
+    an island every ``MAX_ATTEMPTS``-th attempt ends a call too.  All numbers
+    are running sums over slices, so one chunk may hold any share of the log."""
+    ok, ctx = (F.col("status") >= 200) & (F.col("status") < 300), context_error(F.col("status"), F.col("detail"))
+    ended = F.when(F.coalesce(ok, F.lit(False)), "done").when(ctx, "split").when(~retryable(F.col("status"), F.col("detail")), "fail")
+    chunk = F.to_json(F.struct(*key))
+    rows = log.withColumns({"_end": ended, "_chunk": chunk})
+    at = [F.col(o) for o in order]
+    island = running_sums(rows, "_chunk", at, {"_ends": F.col("_end").isNotNull().cast("int"), "_dones": (F.col("_end") == "done").cast("int")})
+    island = island.withColumn("_island", F.concat_ws("/", "_chunk", (F.col("_ends") - F.col("_end").isNotNull().cast("int")).cast("string")))
+    placed = ordinal(island, "_island", at, "_place")
+    attempt = ((F.col("_place") - 1) % K.MAX_ATTEMPTS + 1).cast("int")
+    last = F.coalesce(F.col("_end"), F.when(attempt == K.MAX_ATTEMPTS, "fail").otherwise("retry"))
+    out = placed.withColumns({"attempt_no": attempt, "action": last,
+                              "spare": F.col("_dones") - F.coalesce((F.col("_end") == "done").cast("int"), F.lit(0)) > 0})
+    calls = running_sums(out, "_chunk", at, {"_called": (F.col("attempt_no") == 1).cast("int")})
+    return calls.select(*log.columns, F.col("_called").alias("call_no"), "attempt_no", "action", "spare")
+
+
+def failed_chunks(replayed: DataFrame, headers: DataFrame, members: DataFrame) -> DataFrame:
+    """E9 from the attempt log: chunks that no attempt has done and whose last
+    call failed: signature, files in order, tokens, attempts made and the
+    error of the last failure."""
+    own = F.struct("ts", "event_id", "action", "status", "detail")
+    per = replayed.groupBy("project", "chunk_id").agg(
+        F.count("*").alias("attempts"), F.max(F.col("action") == "done").alias("done"),
+        F.max(F.when(F.col("action").isin("fail", "split"), own)).alias("last"))
+    bad = per.where(~F.col("done") & (F.col("last.action") == "fail"))
+    error = F.concat_ws(": ", F.when(F.col("last.status").isNotNull(), F.concat(F.lit("HTTP "), F.col("last.status").cast("string"))),
+                        F.when(F.col("last.detail") != "", F.col("last.detail")))
+    files = members.groupBy("project", "chunk_id").agg(     # a chunk has at most its budget of members
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "relative"))), lambda m: m["relative"]).alias("files"))
+    return (bad.join(headers.select("project", "chunk_id", "signature", "tokens"), ["project", "chunk_id"])
+            .join(files, ["project", "chunk_id"])
+            .select("project", "chunk_id", "signature", "files", "tokens", "attempts", error.alias("error")))
+
+
 def pacing_plan(chunks: DataFrame, delay: float, key: str = "project", order: str = "chunk_id") -> DataFrame:
     """start offset of each pending chunk = (n - 1) x delay, n its
     position in the queue (distributed ordinal); finish = last offset."""

@@ -71,15 +71,23 @@ def model_agreement(findings: DataFrame) -> DataFrame:
         F.count_distinct("model").alias("models"), F.count(F.lit(1)).alias("reports"))
 
 
-def billed_tokens(chunks: DataFrame, retried: DataFrame) -> DataFrame:
-    """Estimated billed input tokens per project: code tokens of every
-    chunk plus the per-request overhead (1,500) for each request, retried
-    chunks counted again."""
-    a = chunks.groupBy("project").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tokens").alias("code_tokens"))
-    r = retried.groupBy("project").agg(F.count(F.lit(1)).alias("retries"), F.sum("tokens").alias("retry_tokens"))
-    j = a.join(r, "project", "left").na.fill(0)
-    billed = (F.col("code_tokens") + F.col("retry_tokens")
-              + (F.col("chunks") + F.col("retries")) * K.REQUEST_OVERHEAD)
-    return j.select("project", F.col("chunks").cast("bigint").alias("chunks"),
-                    F.col("retries").cast("bigint").alias("retries"),
-                    F.col("code_tokens").cast("bigint").alias("code_tokens"), billed.cast("bigint").alias("billed"))
+def billed_tokens(chunks: DataFrame, replayed: DataFrame) -> DataFrame:
+    """Billed input tokens per project from the replayed attempt log
+    (``attempts.replay_attempts``).  A request carries the chunk's code tokens
+    and the overhead (1,500); it is billed when the model answered or the
+    connection broke (no status), not when it was refused with an error.
+    ``planned`` is the estimate before any attempt: one request a chunk."""
+    per = chunks.groupBy("project").agg(F.count("*").alias("chunks"), F.sum("tokens").cast("bigint").alias("code_tokens"))
+    sent = replayed.join(chunks.select("project", "chunk_id", "tokens"), ["project", "chunk_id"])
+    cost = F.col("tokens") + K.REQUEST_OVERHEAD
+    reached = F.col("status").isNull() | ((F.col("status") >= 200) & (F.col("status") < 300))
+    n = lambda cond: F.sum(cond.cast("int")).cast("bigint")
+    used = sent.groupBy("project").agg(
+        F.count("*").alias("requests"), n(F.col("action") == "retry").alias("retries"), n(F.col("action") == "split").alias("splits"),
+        n(F.col("action") == "fail").alias("failures"), n((F.col("action") == "done") & ~F.col("spare")).alias("done"),
+        F.sum(F.when(reached, cost)).cast("bigint").alias("billed"),
+        F.sum(F.when(reached & ((F.col("action") != "done") | F.col("spare")), cost)).cast("bigint").alias("wasted"))
+    j = per.join(used.select(F.col("project").alias("_of"), *used.columns[1:]), F.col("project").eqNullSafe(F.col("_of")), "left").drop("_of")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return j.select("project", "chunks", "code_tokens", (F.col("code_tokens") + F.col("chunks") * K.REQUEST_OVERHEAD).cast("bigint").alias("planned"),
+                    *[zero(c) for c in ("requests", "retries", "splits", "failures", "done", "billed", "wasted")])

@@ -354,6 +354,14 @@ def e8_point_lists(spark, d):
 
 
 def e9_failed_chunks(spark, d):
+    from revlens.operators import attempts as A
+    m = D.pack_chunks(current_docs(spark, d), BUDGET)
+    led = A.failed_chunks(A.replay_attempts(V.chunk_attempts_v(spark, d)), D.chunk_headers(m), m)
+    return led.select("project", "chunk_id", "signature", F.array_join("files", "|").alias("files"), "tokens", "attempts", "error")
+
+
+def e9_bad_replies(spark, d):
+    """The failed chunks of the replies alone (no attempt log)."""
     return E.failed_ledger(parsed(spark, d)).groupBy("project").agg(
         F.count(F.lit(1)).alias("n_failed"),
         F.min("chunk_id").alias("first_failed"), F.max("chunk_id").alias("last_failed"))
@@ -677,9 +685,16 @@ def j5_model_agreement(spark, d):
 
 
 def j6_billed_tokens(spark, d):
+    from revlens.operators import attempts as A
     from revlens.operators import history as J
     cur = D.chunk_headers(D.pack_chunks(current_docs(spark, d), BUDGET))
-    return J.billed_tokens(cur, pending(spark, d))
+    return J.billed_tokens(cur, A.replay_attempts(V.chunk_attempts_v(spark, d)))
+
+
+def f6_replay(spark, d):
+    """The attempt log replayed by chunk: calls, attempts and what each led to."""
+    from revlens.operators import attempts as A
+    return A.replay_attempts(V.chunk_attempts_v(spark, d)).select("event_id", "project", "chunk_id", "call_no", "attempt_no", "action", "spare")
 
 
 QUERIES: dict[str, Query] = {name: fn for name, fn in dict(globals()).items()

@@ -79,6 +79,16 @@ def attempts_from_events(e: DataFrame) -> DataFrame:
         F.floor(F.col("value") * 100).cast("bigint").alias("tokens"))
 
 
+def chunk_attempts_v(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The attempt log by chunk of the documents' corpus: project and chunk
+    from the event, more refusals and server errors than ``attempts_v``."""
+    e, a = F.col("event_id"), attempts_v(spark, data_dir)
+    refused, down = e % 11 == 0, (F.col("status") == 200) & (e % 3 != 0)
+    return a.select("event_id", "ts", F.concat(F.lit("src"), (F.col("chunk_id") % 20).cast("string")).alias("project"),
+                    (1 + e % 50).alias("chunk_id"), F.when(refused, 401).when(down, 500).otherwise(F.col("status")).alias("status"),
+                    F.when(refused, "invalid key").when(down, "server error").otherwise(F.col("detail")).alias("detail"))
+
+
 def catalog_v(spark: SparkSession, data_dir: str) -> DataFrame:
     p = read_table(spark, data_dir, "part")
     k = F.col("p_partkey")
