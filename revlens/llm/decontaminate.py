@@ -26,6 +26,7 @@ without hits; columns beside id and text are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -171,9 +172,14 @@ class Windows:
         col = pa.array([t for _, t in items], pa.string())
         buf, off = S.flat(col)
         st, en = S.word_spans(buf, off, S.ALNUM)
-        h = S.span_hashes(buf, st, en, S.FOLDED_VALUES)
         first = S.per_document(st, off)
-        self.vocabulary, sym = np.unique(h, return_inverse=True)
+        self.raw = S.FOLD[buf]
+        for seed in itertools.count(42):    # values under which the words of the items do not collide
+            self.values = S.byte_values(seed)
+            self.vocabulary, at, sym = np.unique(S.span_hashes(self.raw, st, en, self.values), return_index=True, return_inverse=True)
+            self.starts, self.ends = st[at], en[at]
+            if S.same_spans(self.raw, st, en, self.raw, self.starts[sym], self.ends[sym]).all():
+                break
         sym = sym + 1
         seen: dict[bytes, int] = {}
         owners: list[set[int]] = []
@@ -213,9 +219,12 @@ def search_shard(col, win: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         first_of[lo + 1:hi + 1] = total + first[1:]
         words[lo:hi] = np.diff(first)
         if win.shortest and len(st):
-            h = S.span_hashes(b, st, en, S.FOLDED_VALUES)
+            b = S.FOLD[b]
+            h = S.span_hashes(b, st, en, win.values)
             k = np.minimum(np.searchsorted(win.vocabulary, h), len(win.vocabulary) - 1)
             known = win.vocabulary[k] == h
+            at = np.flatnonzero(known)      # an equal hash is not yet the word
+            known[at] = S.same_spans(b, st[at], en[at], win.raw, win.starts[k[at]], win.ends[k[at]])
             # runs of known words inside documents
             rs, re_ = _runs(known, first)
             long = re_ - rs >= win.shortest

@@ -53,7 +53,7 @@ def fold(doc_id: Column, folds: int) -> Column:
 def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words (start, end), word numbers, and first word of each text."""
     st, en = S.word_spans(buf, off, LETTERS)
-    _, at, inv = np.unique(S.span_hashes(buf, st, en, S.FOLDED_VALUES), return_index=True, return_inverse=True)
+    at, inv = S.distinct_spans(S.FOLD[buf], st, en)
     return st[at], en[at], inv, S.per_document(st, off)
 
 

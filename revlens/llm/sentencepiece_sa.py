@@ -299,7 +299,8 @@ def _prefixed(col) -> tuple[np.ndarray, np.ndarray]:
 def encode_texts(col, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts in order, and the n + 1 offsets."""
     buf, off = _prefixed(col)
-    parts, uniq, raw = [], [], []
+    parts: list[tuple] = []
+    number: dict[bytes, int] = {}       # distinct units of all chunks, by their bytes
     for lo, hi in S.chunks(off):
         b, o = buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
         if not len(b):
@@ -309,16 +310,14 @@ def encode_texts(col, model: Model) -> tuple[np.ndarray, np.ndarray]:
         cut[o[:-1][o[:-1] < len(b)]] = True
         st = np.flatnonzero(cut)
         en = np.append(st[1:], len(b))
-        u, at, inv = np.unique(S.span_hashes(b, st, en), return_index=True, return_inverse=True)
+        at, inv = S.distinct_spans(b, st, en)
         data = b.tobytes()
-        uniq.append(u)
-        raw.extend([data[x:y] for x, y in zip(st[at].tolist(), en[at].tolist())])
-        parts.append((inv.astype(np.int32), S.per_document(st, o), lo, hi))
+        units = [number.setdefault(data[x:y], len(number)) for x, y in zip(st[at].tolist(), en[at].tolist())]
+        parts.append((np.array(units, dtype=np.int32), inv.astype(np.int32), S.per_document(st, o), lo, hi))
     if not parts:
         return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
-    every, at = np.unique(np.concatenate(uniq), return_index=True)
-    units = [raw[i] for i in at.tolist()]
-    del raw
+    units = list(number)
+    del number
     size = np.cumsum([len(u) + 1 for u in units])
     ids, lens, a = [], [], 0
     while a < len(units):
@@ -330,8 +329,8 @@ def encode_texts(col, model: Model) -> tuple[np.ndarray, np.ndarray]:
     unit_ids, unit_len = np.concatenate(ids), np.concatenate(lens)
     unit_off = np.concatenate([[0], np.cumsum(unit_len)])[:-1]
     out, counts = [], np.zeros(len(off) - 1, dtype=np.int64)
-    for u, (inv, first, lo, hi) in zip(uniq, parts):
-        which = np.searchsorted(every, u)[inv]
+    for u, inv, first, lo, hi in parts:
+        which = u[inv]
         n = unit_len[which]
         out.append(unit_ids[S.ranges(unit_off[which], n)])
         c = np.concatenate([[0], np.cumsum(n)])

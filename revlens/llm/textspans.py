@@ -1,10 +1,13 @@
 """Vectorised word spans and Rabin-Karp hashes over Arrow text columns.
 
 Used inside Arrow batches: one batch of texts is seen as one byte buffer with
-document offsets; words are byte ranges, hashes are 64-bit polynomial hashes
-modulo 2**64 of a random byte table, finished by a mixing step.  Nothing here
-keeps state between batches, and the working memory is a small multiple of
-``CHUNK_BYTES`` (or of the longest single text, where that is larger).
+document offsets; words are byte ranges.  A range is hashed by a random
+multiplier for each place (no text collides by its structure, unlike with
+powers of one base modulo 2**64), a window of words by a polynomial modulo the
+prime 2**61 - 1.  Where equal ranges of one batch stand for each other, their
+bytes are compared (``distinct_spans``).  Nothing here keeps state between
+batches, and the working memory is a small multiple of ``CHUNK_BYTES`` (or of
+the longest single text, where that is larger).
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 WINDOW_BASE = 0xD1342543DE82EF95 | 1
 
 
-def _table(seed: int) -> np.ndarray:
+def byte_values(seed: int) -> np.ndarray:
     """256 pseudo-random odd 64-bit values (SplitMix64 of the seed)."""
     out, x = [], seed
     for _ in range(256):
@@ -32,7 +35,7 @@ def _table(seed: int) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-BYTE_VALUES = _table(42)
+BYTE_VALUES = byte_values(42)
 #: The same values with A-Z hashed as a-z.
 FOLDED_VALUES = BYTE_VALUES.copy()
 FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
@@ -44,21 +47,27 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = True
 ALNUM[0x80:] = True
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes with A-Z as a-z.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 
+_multipliers = np.zeros(0, dtype=np.uint64)
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i <= n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        up = np.full(size, base, dtype=np.uint64)
-        down = np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
-        up[0] = down[0] = 1
-        have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if size <= 8 * CHUNK_BYTES:
-            _powers[base] = have
-    return have
+
+def multipliers(n: int) -> np.ndarray:
+    """n pseudo-random odd 64-bit values, one a place (SplitMix64)."""
+    global _multipliers
+    if n <= len(_multipliers):
+        return _multipliers
+    size = max(n, 4096)
+    with np.errstate(over="ignore"):
+        x = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(BASE)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = (x ^ (x >> np.uint64(31))) | np.uint64(1)
+    if size <= CHUNK_BYTES:
+        _multipliers = x
+    return x
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -116,25 +125,90 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """64-bit hash of each byte range."""
-    up, down = powers(BASE, len(buf))
-    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+    """64-bit hash of each byte range; the ranges ascend without overlap."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    longest = max(1, int((ends - starts).max()))
+    heads = np.concatenate([[0], starts])
+    place = np.arange(len(buf), dtype=np.int64) - np.repeat(heads, np.diff(np.append(heads, len(buf))))
+    np.minimum(place, longest - 1, out=place)       # bytes behind a range do not count
     v = values[buf]
-    v *= up[:len(buf)]
+    v *= multipliers(longest)[place]
+    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum(v, out=sums[1:])
-    h = sums[ends] - sums[starts]
-    h *= down[starts]
-    return mix(h)
+    return mix(sums[ends] - sums[starts])
+
+
+def same_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each range of one buffer holds the bytes of its partner."""
+    size = ends - starts
+    same = size == other_ends - other_starts
+    n = np.where(same, size, 0)
+    if n.sum():
+        differ = buf[ranges(starts, n)] != other[ranges(other_starts, n)]
+        if differ.any():
+            bad = np.concatenate([[0], np.cumsum(differ)])
+            cut = np.concatenate([[0], np.cumsum(n)])
+            same &= bad[cut[1:]] == bad[cut[:-1]]
+    return same
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first range of each distinct one, number of each range): found by
+    hash, then every range is compared with the first of its number.  ``buf``
+    is as it is to be compared (folded or not)."""
+    h = span_hashes(buf, starts, ends) if hashes is None else hashes
+    _, at, inv = np.unique(h, return_index=True, return_inverse=True)
+    first = at[inv]
+    if same_spans(buf, starts, ends, buf, starts[first], ends[first]).all():
+        return at, inv
+    data, number, at = buf.tobytes(), {}, []        # a collision: by the bytes themselves
+    inv = np.empty(len(starts), dtype=np.int64)
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+        inv[i] = k = number.setdefault(data[a:b], len(at))
+        if k == len(at):
+            at.append(i)
+    return np.array(at, dtype=np.int64), inv
+
+
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, c: int) -> np.ndarray:
+    """a * c modulo 2**61 - 1, both below it."""
+    hi, lo = a >> np.uint64(31), a & np.uint64((1 << 31) - 1)
+    c_hi, c_lo = np.uint64(c >> 31), np.uint64(c & ((1 << 31) - 1))
+    mid = hi * c_lo + lo * c_hi
+    total = np.uint64(2) * (hi * c_hi) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << np.uint64(31)) + lo * c_lo
+    return _reduced(total)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Rabin-Karp hash of every ``size`` consecutive word hashes."""
-    if len(words) < size:
+    """Rabin-Karp hash (base ``WINDOW_BASE``, modulo 2**61 - 1) of every
+    ``size`` consecutive word hashes, joined from windows of 1, 2, 4 ... words."""
+    n = len(words) - size + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(WINDOW_BASE, len(words))
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * up[:len(words)], out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * down[:len(words) - size + 1])
+    base = WINDOW_BASE % PRIME
+
+    def joined(left: np.ndarray, k: int, right: np.ndarray, j: int) -> np.ndarray:
+        m = len(right) - k
+        return _reduced(_times(left[:m], pow(base, j, PRIME)) + right[k:])
+
+    part, k, out, have = _reduced(words), 1, None, 0
+    while k <= size:
+        if size & k:
+            out, have = (part, k) if out is None else (joined(out, have, part, k), have + k)
+        if 2 * k <= size:
+            part = joined(part, k, part, k)
+        k *= 2
+    return mix(out[:n].copy())
 
 
 def per_document(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -159,28 +159,27 @@ def batch_counts(col, tok, whole: frozenset, known: dict) -> tuple[np.ndarray, n
     """(bytes, tokens) of each text of an Arrow column."""
     buf, off = S.flat(col)
     tokens = np.zeros(len(off) - 1, dtype=np.int64)
-    hashes, firsts, raw, odds = [], [], [], []
+    number: dict[tuple[bool, bytes], int] = {}      # distinct units of all chunks
+    parts: list[tuple] = []
     for lo, hi in S.chunks(off):
         b, o = buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
         if len(b) == 0:
             continue
         st, en, odd = pre_token_spans(b, o)
-        h = S.span_hashes(b, st, en, S.FOLDED_VALUES)
-        if odd.any():
-            h[odd] = ~S.span_hashes(b, st[odd], en[odd])
-        u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-        data = b.tobytes()
-        hashes.append(u)
-        odds.append(odd[at])
-        raw.extend([data[s:e] for s, e in zip(st[at].tolist(), en[at].tolist())])
-        firsts.append((lo, hi, inv.astype(np.int32), S.per_document(st, o)))
-    if not hashes:
+        seen = S.FOLD[b]
+        if odd.any():       # an odd span counts as it is written, and holds what no other one does
+            at = S.ranges(st[odd], en[odd] - st[odd])
+            seen[at] = b[at]
+        at, inv = S.distinct_spans(seen, st, en)
+        data = seen.tobytes()
+        units = [number.setdefault((x, data[s:e]), len(number)) for x, s, e in zip(odd[at].tolist(), st[at].tolist(), en[at].tolist())]
+        parts.append((lo, hi, np.array(units, dtype=np.int32), inv.astype(np.int32), S.per_document(st, o)))
+    if not parts:
         return np.diff(off), tokens
-    all_h, at = np.unique(np.concatenate(hashes), return_index=True)
-    counts = span_counts([raw[i] for i in at.tolist()], np.concatenate(odds)[at], tok, whole, known)
-    for u, (lo, hi, inv, first) in zip(hashes, firsts):
+    counts = span_counts([raw for _, raw in number], np.array([x for x, _ in number], dtype=bool), tok, whole, known)
+    for lo, hi, units, inv, first in parts:
         c = np.zeros(len(inv) + 1, dtype=np.int64)
-        np.cumsum(counts[np.searchsorted(all_h, u)][inv], out=c[1:])
+        np.cumsum(counts[units][inv], out=c[1:])
         tokens[lo:hi] = c[first[1:]] - c[first[:-1]]
     return np.diff(off), tokens
 

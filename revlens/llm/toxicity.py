@@ -157,7 +157,7 @@ class Matcher:
 def _units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """Starts, ends, word numbers, first word of each text, distinct words."""
     st, en = S.word_spans(buf, off, LETTERS)
-    _, at, inv = np.unique(S.span_hashes(buf, st, en, S.FOLDED_VALUES), return_index=True, return_inverse=True)
+    at, inv = S.distinct_spans(S.FOLD[buf], st, en)
     data = buf.tobytes()
     words = [data[a:b].decode("utf-8", "replace").lower() for a, b in zip(st[at].tolist(), en[at].tolist())]
     return st, en, inv, S.per_document(st, off), words
