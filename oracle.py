@@ -306,6 +306,12 @@ SQL["e1_rule_findings"] = (
 SQL["e2_strip_fences"] = f"with {PARSED} select project, chunk_id, cleaned from c"
 SQL["e3_parse_json"] = (f"with {PARSED} select project, chunk_id, j is not null as parsed, "
                         f"json_extract_string(j, '$.summary') as summary from parsed")
+# which of the odd replies Python reads: of the base reply's kinds 0, 1, 2 and 5 hold an object; text behind it spoils it if it brings a brace
+SQL["e3_parse_strict"] = (
+    f"with {RESPONSES_V}, k as (select project, chunk_id, chunk_id % 6 as b, chunk_id % 13 as m, raw from responses_v), "
+    f"a as (select *, case when b in (0, 1, 2, 5) then m not in (1, 2, 5, 6, 8) when m = 1 or m = 5 then true else false end as parsed from k) "
+    f"select project, chunk_id, parsed, case when parsed and b not in (3, 4) then 'doc ' || chunk_id end as summary, "
+    f"case when parsed and b not in (3, 4) then case when m = 3 then 'nan' else 'Low' end end as confidence from a")
 SQL["e4_reply_errors"] = f"with {PARSED} select project, chunk_id, error from parsed where not ok"
 SQL["e5_findings"] = f"with {PARSED} select project, {FINDING_COLS} from findings"
 SQL["e6_summaries"] = (
@@ -702,14 +708,16 @@ SQL["j1_changed_files"] = (
     f"case when s.relative is null then 'added' when c.relative is null then 'removed' when sha256(c.text) <> "
     f"sha256(s.text) then 'changed' else 'unchanged' end as change, c.tokens from cur c full outer join snap s "
     f"on c.project = s.project and c.relative = s.relative")
+_RUNS = (
+    f"{DOCS}, nh as ({_rule_hits('cur', 'now')}), th as ({_rule_hits('snap', 'then')}), "
+    f"nr as (select project, file, category, title, severity, line as lo, line + line % 3 as hi from nh), "
+    f"tr as (select project, file, category, title, severity, line + length(file) % 5 as lo, line + length(file) % 5 + line % 3 as hi from th)")
 SQL["j2_finding_history"] = (
-    f"with {DOCS}, n as ({_rule_hits('cur', 'rules-now')}), t as ({_rule_hits('snap', 'rules-then')}), "
-    f"nk as (select distinct project, {_FKEY} as finding_key, severity from n), "
-    f"tk as (select distinct project, {_FKEY} as finding_key, severity as sev_then from t) "
-    f"select coalesce(nk.project, tk.project) as project, coalesce(nk.finding_key, tk.finding_key) as finding_key, "
-    f"coalesce(severity, sev_then) as severity, case when tk.finding_key is null then 'new' when nk.finding_key is null"
-    f" then 'fixed' else 'persisting' end as state from nk full outer join tk on nk.project = tk.project "
-    f"and nk.finding_key = tk.finding_key")
+    f"with {_RUNS}, n as (select distinct * from nr), t as (select distinct * from tr), "
+    f"a as (select n.*, case when exists (select 1 from t where t.project = n.project and t.file = n.file and t.category = n.category "
+    f"and t.title = n.title and t.lo <= n.hi + 2 and n.lo <= t.hi + 2) then 'persisting' else 'new' end as state from n), "
+    f"b as (select t.*, 'fixed' as state from t where not exists (select 1 from n where t.project = n.project and t.file = n.file "
+    f"and t.category = n.category and t.title = n.title and t.lo <= n.hi + 2 and n.lo <= t.hi + 2)) select * from a union all select * from b")
 _COUNTS = (f"{FILES}, h as ({_rule_hits('rv', 'rules')}), u as (select distinct project, severity, "
            f"sha256(concat_ws('|', category, severity, file, line::varchar, title)) as k from h), "
            f"cn as (select project, " + ", ".join(
@@ -728,9 +736,12 @@ SQL["j4_risk_score"] = (
     f"select t.project, loc, ({_W})::bigint as weighted, round(case when loc > 0 then ({_W}) * 1000.0 / loc end, 6)"
     f" as risk_per_kloc from t left join cn using (project)")
 SQL["j5_model_agreement"] = (
-    f"with {DOCS}, a as ({_rule_hits('cur', 'rules-now')} union all {_rule_hits('snap', 'rules-then')}) "
-    f"select project, file, line, category, count(distinct model)::bigint as models, count(*)::bigint as reports "
-    f"from a group by project, file, line, category")
+    f"with {_RUNS}, al as (select project, file, category, lo, hi, 'now' as model from nr union all select project, file, category, lo, hi, 'then' from tr "
+    f"union all select project, file, category, lo, lo, 'points' from nr where lo % 2 = 0), "
+    f"w as (select *, max(hi) over (partition by project, file, category order by lo, hi rows between unbounded preceding and 1 preceding) as reach from al), "
+    f"g as (select *, sum(case when reach is null or lo > reach then 1 else 0 end) over (partition by project, file, category order by lo, hi) "
+    f"as grp from w) select project, file, category, min(lo) as lo, max(hi) as hi, count(distinct model)::bigint as models, "
+    f"count(*)::bigint as reports from g group by project, file, category, grp")
 REPLAY = (
     f"{ATTEMPTS_V}, lg as (select event_id, ts, 'src' || (chunk_id % 20) as project, 1 + event_id % 50 as chunk_id, "
     f"case when event_id % 11 = 0 then 401 when status = 200 and event_id % 3 <> 0 then 500 else status end as status, "

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions import constants as K
+from revlens.operators import ranges as R
 
 # --- Our parameters (the README names these features without numbers) ------
 GATE_MAX = {"Critical": 0, "High": 0, "Medium": 25}           # quality gate
@@ -33,15 +34,35 @@ def finding_key(df: DataFrame) -> DataFrame:
     return df.withColumn("finding_key", F.sha2(F.concat_ws("|", *parts), 256))
 
 
-def finding_history(current: DataFrame, earlier: DataFrame) -> DataFrame:
-    """New / fixed / persisting findings by dedup key (full outer join of
-    the distinct keys of each run)."""
-    c = finding_key(current).select("project", "finding_key", "severity").distinct().withColumn("now", F.lit(1))
-    e = finding_key(earlier).select("project", "finding_key", F.col("severity").alias("sev_then")).distinct() \
-        .withColumn("then", F.lit(1))
-    j = c.join(e, ["project", "finding_key"], "full_outer")
-    st = (F.when(F.col("then").isNull(), "new").when(F.col("now").isNull(), "fixed").otherwise("persisting"))
-    return j.select("project", "finding_key", F.coalesce("severity", "sev_then").alias("severity"), st.alias("state"))
+#: Lines that a finding may have moved by and still be the same one.
+MOVED_LINES = 2
+_PLACE = ("project", "file", "category", "title")
+
+
+def _ranges(findings: DataFrame) -> DataFrame:
+    """Distinct findings as line ranges; one without a line is line 0."""
+    lo = F.coalesce("line", F.lit(0)).cast("bigint")
+    return findings.select(*_PLACE, "severity", lo.alias("lo"), F.greatest(lo, F.coalesce("line_end", F.lit(0)).cast("bigint")).alias("hi")).distinct()
+
+
+def finding_history(current: DataFrame, earlier: DataFrame, moved: int = MOVED_LINES) -> DataFrame:
+    """New / fixed / persisting findings.  A finding persists if the other
+    run has one of its file, category and title whose lines meet its own,
+    ``moved`` lines allowed; so an edit above it or a wider range leave it the
+    same.  Columns: project, file, category, title, lo, hi, severity, state."""
+    now, then = _ranges(current), _ranges(earlier)
+    keys = [*_PLACE]
+
+    def judged(rows: DataFrame, others: DataFrame, alone: str, side: str) -> DataFrame:
+        met = R.overlapping(rows, others, keys, ("lo", "hi"), ("lo", "hi"), moved).withColumn("_met", F.lit(True))
+        met = met.select(*[F.col(c).alias(f"_m_{c}") for c in [*keys, "lo", "hi"]], "_met")
+        on = F.lit(True)
+        for c in [*keys, "lo", "hi"]:
+            on = on & F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+        out = rows.join(met, on, "left").select(*rows.columns, F.when(F.col("_met"), "persisting").otherwise(alone).alias("state"))
+        return out if side == "now" else out.where(F.col("state") == alone)
+
+    return judged(now, then, "new", "now").unionByName(judged(then, now, "fixed", "then"))
 
 
 def quality_gate(counts: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
@@ -64,11 +85,16 @@ def risk_score(counts: DataFrame, totals: DataFrame, weights: dict[str, int] | N
                     F.round(F.when(F.col("loc") > 0, w * 1000.0 / F.col("loc")), 6).alias("risk_per_kloc"))
 
 
-def model_agreement(findings: DataFrame) -> DataFrame:
-    """How many distinct models report the same (project, file, line,
-    category)."""
-    return findings.groupBy("project", "file", "line", "category").agg(
-        F.count_distinct("model").alias("models"), F.count(F.lit(1)).alias("reports"))
+def model_agreement(findings: DataFrame, moved: int = 0) -> DataFrame:
+    """How many distinct models report the same place of a file: chains of
+    meeting line ranges of one category.  Columns: project, file, category,
+    lo, hi (of the chain), models, reports."""
+    lo = F.coalesce("line", F.lit(0)).cast("bigint")
+    rows = findings.select("project", "file", "category", "model", lo.alias("lo"),
+                           F.greatest(lo, F.coalesce("line_end", F.lit(0)).cast("bigint")).alias("hi"))
+    chains = R.range_groups(rows, ["project", "file", "category"], "lo", "hi", moved)
+    return chains.groupBy("project", "file", "category", "range_group").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count_distinct("model").alias("models"), F.count("*").alias("reports")).drop("range_group")
 
 
 def billed_tokens(chunks: DataFrame, replayed: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Reply parsing, dedup, status, scoring hook."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -131,3 +132,58 @@ def test_fences_behind_unicode_blanks(spark):
     rows = parse(spark, raws).orderBy("chunk_id").collect()
     assert [r["ok"] for r in rows] == [False, True, False]
     assert rows[0]["error"] == rows[2]["error"] == "AI provider returned an empty review response."
+
+
+def _python_chain(text):
+    """The reviewed program's rule: the whole text, else its outermost braces."""
+    lo, hi = text.find("{"), text.rfind("}")
+    for part in [text] + ([text[lo:hi + 1]] if 0 <= lo < hi else []):
+        try:
+            got = json.loads(part)
+            if isinstance(got, dict):
+                return got
+        except (json.JSONDecodeError, RecursionError):
+            pass
+    return None
+
+
+def test_strict_is_python(spark):
+    rng = random.Random(5)
+    base = ['{"a": 1}', '{"a": 1, "a": 2}', '{"a": NaN, "b": [Infinity, -Infinity]}', '{}', '[{"a": 1}]', '1', '"x"', '{"a": "}"}', '{"a": "\\ud800"}',
+            '{"a": 1e400}', '{"a": 01}', "{'a': 1}", '{"a": 1,}', '{"a": "\t"}', '{"a": {"b": [1, {"c": null}]}}', '{"a": true, "n": 12345678901234567890123}',
+            '{"a": 1.50}', '{"a": ' + "7" * 45 + "}", '{"a": "\\u00e9\u00e9"}']
+    junk = ["", " ", "{}", "]", "}", ", {}", "] {", "text", "\n", ',', '"x": 1}', ", 2", '],"x":[1', '},{"y":2', "[", '{"x":', "\ufeff"]
+    texts = base + ['{"a":' * 400 + "1" + "}" * 400]
+    for _ in range(700):
+        t = rng.choice(junk) + rng.choice(base) + rng.choice(junk) + (rng.choice(base) if rng.random() < 0.2 else "")
+        if rng.random() < 0.3 and t:
+            i = rng.randrange(len(t))
+            t = t[:i] + rng.choice(["", "{", "}", '"', ",", "]", "N"]) + t[i + rng.randint(0, 1):]
+        texts.append(t)
+    df = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "project string, chunk_id bigint, raw string")
+    rows = {r["chunk_id"]: r for r in E.parse_replies(df, strict=True).select("chunk_id", "cleaned", F.to_json("v").alias("j"),
+                                                                           F.col("v").isNotNull().alias("parsed"), "ok").collect()}
+
+    def plain(x):
+        if isinstance(x, float):
+            return str(x) if x != x or abs(x) == float("inf") else float(x)
+        if isinstance(x, int) and abs(x) >= 10**38:
+            return str(x)
+        if isinstance(x, str):
+            return x.encode("utf-8", "replace").decode()
+        if isinstance(x, dict):
+            return {k: plain(v) for k, v in x.items()}
+        return [plain(v) for v in x] if isinstance(x, list) else x
+
+    for i, t in enumerate(texts):
+        want = _python_chain(rows[i]["cleaned"])
+        assert rows[i]["parsed"] == (want is not None), t
+        if want is not None:
+            assert plain(json.loads(rows[i]["j"])) == plain(want), t
+
+
+def test_strict_sends_few_rows_to_python(spark):
+    good = E.parse_replies(spark.createDataFrame([("p", 1, '{"findings": []}'), ("p", 2, "nothing"), ("p", 3, "")],
+                                                 "project string, chunk_id bigint, raw string"), strict=True)
+    p = good._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in p and good.where("ok").count() == 1
