@@ -615,6 +615,7 @@ SQL["f1_valid_checkpoints"] = (
     f"on c.project = s.project and c.signature = s.signature")
 PEND = (f"{DOCS},\n{pack_cte('cur', 'c_')},\n{pack_cte('snap', 's_')},\n"
         f"pend as (select * from c_chunks where (project, signature) not in (select (project, signature) from s_chunks))")
+SQL["j1_changed_only"] = f"with recursive {PEND} select project, chunk_id, n_files, tokens, signature from c_chunks"
 SQL["f2_pending_chunks"] = f"with recursive {PEND} select project, chunk_id, n_files, tokens, signature from pend"
 SQL["f7_pacing_plan"] = (
     f"with recursive {PEND}, q as (select project, chunk_id, row_number() over (partition by project order by "

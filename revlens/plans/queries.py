@@ -665,6 +665,17 @@ def j1_changed_files(spark, d):
     return J.changed_files(current_docs(spark, d), snapshot_docs(spark, d))
 
 
+def j1_changed_only(spark, d):
+    """The chunks of the corpus now, packed again only around changed files."""
+    from revlens.operators import history as J
+    from revlens.operators.packing import narrow_files, place_files
+    from revlens.operators.repack import repack
+    cur, old = current_docs(spark, d), snapshot_docs(spark, d)
+    placed = place_files(narrow_files(old), BUDGET, max(1000, 3 * BUDGET))
+    new = repack(cur, J.changed_files(cur, old), placed, D.chunk_headers(D.pack_chunks(old, BUDGET)), BUDGET)
+    return new.chunks.select("project", "chunk_id", "n_files", "tokens", "signature")
+
+
 def rule_runs(spark, d):
     """The rules on the corpus now and then; each finding as a range of up to
     three lines, and of the earlier run moved by up to four."""
