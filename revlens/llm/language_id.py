@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from revlens.llm import textspans as S
 
 BUCKETS = 1 << 16
-LANGUAGES_MOST = 256
-SET_MOST = 3
+MODEL_MOST = 1 << 24
+#: Count tables a task holds before it sends them on (half a megabyte each).
+TABLES_HELD = 256
 PENALTY = 3.0
 ROUNDS = 10
 SMOOTHING = 0.5
@@ -76,13 +77,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"), docs[id_col].alias("id")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold(F.col("id"), FOLDS) != HELD, F.lit(True)))
 
+    def tables_of(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, total in sums.items():
+            at = np.flatnonzero(total)
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())],
+                                  names=["lang", "bucket", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), dtype=object)
             for lang in sorted(set(langs)):
-                if len(sums) >= LANGUAGES_MOST and lang not in sums:
-                    raise ValueError(f"more than {LANGUAGES_MOST} languages in {lang_col}")
+                if len(sums) >= TABLES_HELD and lang not in sums:
+                    yield from tables_of(sums)
+                    sums.clear()
                 total = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
                 buf, off = S.flat(b.column(1).filter(pa.array(langs == lang)))
                 for lo, hi in S.chunks(off):
@@ -92,19 +100,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                         gram, first = _trigrams(part, st, en)
                         weight = np.bincount(inv, minlength=len(st))
                         total += np.bincount(gram, np.repeat(weight, np.diff(first)), BUCKETS).astype(np.int64)
-        for lang, total in sums.items():
-            at = np.flatnonzero(total)
-            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())],
-                                  names=["lang", "bucket", "n"])
-
-    counted = rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(
-        F.sum("n").alias("n"))
+        yield from tables_of(sums)
+
+    n_langs = rows.agg(F.count_distinct("lang")).first()[0]
+    shift = 0
+    while shift < 16 and n_langs * (BUCKETS >> shift) > MODEL_MOST:
+        shift += 1
+    counted = (rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n bigint")
+               .groupBy("lang", F.shiftright("bucket", shift).alias("bucket")).agg(F.sum("n").alias("n")))
     got = counted.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c"))
     tables = {}
     for r in got.toLocalIterator():
-        if len(tables) >= LANGUAGES_MOST:
-            raise ValueError(f"more than {LANGUAGES_MOST} languages in {lang_col}")
-        tables[r["lang"]] = np.zeros(BUCKETS)
+        tables[r["lang"]] = np.zeros(BUCKETS >> shift)
         tables[r["lang"]][[x["bucket"] for x in r["c"]]] = [x["n"] for x in r["c"]]
     names = sorted(tables)
     if not names:
@@ -133,25 +140,29 @@ def infer(like: np.ndarray, weight: np.ndarray, doc: np.ndarray) -> np.ndarray:
     share, _ = _em(like, weight, local, head, np.full((n, langs), 1.0 / langs), ROUNDS)
     order = np.argsort(-share, axis=1, kind="stable")
     size = np.log(np.maximum(np.add.reduceat(weight, head), 2))
-    best, best_value = None, None
-    for k in range(1, min(SET_MOST, langs) + 1):
-        start = np.zeros((n, langs))
-        np.put_along_axis(start, order[:, :k], 1.0 / k, axis=1)
-        got, value = _em(like, weight, local, head, start, ROUNDS if k > 1 else 1)
-        value = value - PENALTY * (k - 1) * size
-        if best is None:
-            best, best_value = got, value
-        else:
-            better = value > best_value
-            best = np.where(better[:, None], got, best)
-            best_value = np.where(better, value, best_value)
+    start = np.zeros((n, langs))
+    np.put_along_axis(start, order[:, :1], 1.0, axis=1)
+    best, best_value = _em(like, weight, local, head, start, 1)
+    live = np.arange(n)         # documents that may take one more language
+    for k in range(2, langs + 1):
+        if not len(live):
+            break
+        rows = np.flatnonzero(np.isin(local, live))
+        part = np.searchsorted(live, local[rows])
+        start = np.zeros((len(live), langs))
+        np.put_along_axis(start, order[live, :k], 1.0 / k, axis=1)
+        got, value = _em(like[rows], weight[rows], part, np.flatnonzero(np.diff(part, prepend=-1)), start, ROUNDS)
+        value = value - PENALTY * (k - 1) * size[live]
+        better = value > best_value[live]
+        live, got, value = live[better], got[better], value[better]
+        best[live], best_value[live] = got, value
     return best
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, fold, language, its share, and the mixture."""
     names, logp = model
-    langs = len(names)
+    langs, joined = len(names), (BUCKETS // max(1, len(logp))).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +175,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 if not len(st) or not langs:
                     continue
                 gram, at = _trigrams(part, st, en)
-                like = np.add.reduceat(logp[gram], at[:-1], axis=0).astype(np.float64)
+                like = np.add.reduceat(logp[gram >> joined], at[:-1], axis=0).astype(np.float64)
                 like = np.exp(np.maximum(like - like.max(axis=1, keepdims=True), -60.0))
                 doc = np.repeat(np.arange(hi - lo), np.diff(first))
                 pair, weight = np.unique(doc * len(st) + inv, return_counts=True)
@@ -174,7 +185,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
             top = share.argmax(axis=1) if langs else np.zeros(n, np.int64)
             pred = [names[t] if ok else "und" for t, ok in zip(top.tolist(), letter.tolist())]
             score = np.where(letter, share.max(axis=1) if langs else 0.0, 0.0)
-            mix = [[{"lang": names[k], "share": float(row[k])} for k in np.argsort(-row, kind="stable") if row[k] > 0.005] if ok else []
+            mix = [[{"lang": names[k], "share": float(row[k])} for k in np.argsort(-row, kind="stable") if row[k] > 0] if ok else []
                    for row, ok in zip(share, letter.tolist())]
             yield pa.record_batch([b.column(0).cast(pa.int64()), b.column(3), pa.array(pred, pa.string()),
                                    pa.array(np.minimum(score, 1.0)),

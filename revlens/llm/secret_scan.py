@@ -3,7 +3,7 @@
 Native: DataFrame functions and the JVM's random forest only.
 
 Candidates are blank-free words of at least ``LENGTH_LEAST`` characters with a
-digit or an assignment sign, and, whatever their length and characters, words
+digit or an assignment sign or three changes from small to capital letters, and, whatever their length and characters, words
 that assign a value to a key and the two words after a key word that has no
 value yet ("password: x", "password is x"; not signs alone).  A word that
 begins with a key gives a candidate for each of its key-value pairs, another
@@ -17,19 +17,28 @@ formats and assignments (secrets) or by plain other uses (addresses, numbers,
 paths, words; after a key too, single words of the dictionary and numbers of
 under ``VALUE_LEAST`` characters); at most ``SAMPLE_MOST`` of either label,
 smallest hash first.
-Every candidate is scored.  Values leave the operator masked or hashed only.
+Every candidate is scored; a plain word of the dictionary or a short number is
+no secret, whatever the forest says.
 
-Findings are replaced wherever their value stands in a text; values of under
-``VALUE_LEAST`` characters only where no letter or digit is next to them.
+Values stay secret: no written table holds a value, a word or a neighbour, only
+features, masked forms and hashes with a salt of the call.  Masks show the ends
+of values of ``SHOW_LEAST`` characters or more, of others the length alone, and
+only the former have a fingerprint.
+
+Findings are replaced wherever their value stands in the text of their own row
+(rows are told apart by a hash of id and text), values of under ``VALUE_LEAST``
+characters only where no letter or digit is next to them.
 
 Cases: NULL and empty texts have no candidates; equal findings of a document
-are reported once a place; rows that repeat an id report their findings each;
-without findings of both labels the score is the label (0 where there is
+are reported once a place; rows that repeat an id (or have none) report and
+lose their findings each by itself; ties in the training sample go to the
+smaller features; very long texts are scanned whole, in one row; without findings of both labels the score is the label (0 where there is
 none); empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +50,7 @@ from revlens.operators.hygiene import fingerprint, mask
 
 LENGTH_LEAST = 12
 VALUE_LEAST = 8
+SHOW_LEAST = 20
 SAMPLE_MOST = 4_000
 WORD_COUNT_LEAST = 3
 TREES, DEPTH, SEED = 20, 6, 7
@@ -81,19 +91,28 @@ def _share(value: Column, keep: str) -> Column:
     return F.length(F.regexp_replace(value, f"[^{keep}]", "")) / F.length(value)
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, word_no, word, before, before2, after) of every candidate."""
-    words = docs.select(docs[id_col].alias("doc_id"), F.split(F.coalesce(docs[text_col], F.lit("")), BLANKS).alias("w"))
+def _row_keys(id_value: Column, text: Column, salt: int) -> list[Column]:
+    """128 bits that tell rows apart by id and text."""
+    return [F.xxhash64(id_value, text, F.lit(salt + i)).alias(f"row{i}") for i in (1, 2)]
+
+
+def value_key(value: Column, salt: int) -> Column:
+    return F.xxhash64(value, F.lit(salt))
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt: int = 0) -> DataFrame:
+    """(row1, row2, doc_id, word_no, word, before, before2, after) of every candidate."""
+    words = docs.select(*_row_keys(docs[id_col], docs[text_col], salt), docs[id_col].alias("doc_id"), F.split(F.coalesce(docs[text_col], F.lit("")), BLANKS).alias("w"))
     words = words.select("*", F.transform("w", lambda x: x.rlike(KEY_WORDS) & ~x.rlike(SERVED)).alias("k"))
     word = lambda i: F.get(F.col("w"), i)
     key = lambda i: F.coalesce(F.get(F.col("k"), i), F.lit(False))
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(word(i)) >= LENGTH_LEAST) & word(i).rlike("[0-9=]")
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(word(i)) >= LENGTH_LEAST) & word(i).rlike("[0-9=]|(?:[a-z][^a-z]*?[A-Z].*?){3}")
                   | (word(i).contains(":") | word(i).contains("=")) & word(i).rlike(_PAIR + r"[\"']?\S")
                   | (F.length(word(i)) >= LENGTH_LEAST) & word(i).rlike(FORMAT_INSIDE) | (key(i - 1) | key(i - 2)) & ~word(i).rlike("^[=:>-]*$"))
     found = F.transform(at, lambda i: F.struct(
         i.cast("bigint").alias("word_no"), word(i).alias("word"), F.coalesce(word(i - 1), F.lit("")).alias("before"),
         F.coalesce(word(i - 2), F.lit("")).alias("before2"), F.coalesce(word(i + 1), F.lit("")).alias("after")))
-    return words.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
+    return words.select("row1", "row2", "doc_id", F.explode(found).alias("c")).select("row1", "row2", "doc_id", "c.*")
 
 
 def values(found: DataFrame) -> DataFrame:
@@ -122,39 +141,52 @@ def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.col("count") >= WORD_COUNT_LEAST).select("segment")
 
 
-def features(found: DataFrame, words: DataFrame) -> DataFrame:
-    """Findings with the forest's features."""
-    f = found.withColumn("row", F.monotonically_increasing_id())
-    f = written(f, "candidates")
-    parts = f.select("row", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("([a-z]{3,24})"), 1)).alias("segment"))
-    covered = parts.join(words, "segment").groupBy("row").agg(F.sum(F.length("segment")).alias("covered"))
-    v = F.col("value")
+def features(found: DataFrame, words: DataFrame, salt: int = 0) -> DataFrame:
+    """Findings with the forest's features and what ``label`` needs, and
+    without their values, words and neighbours."""
+    v, f_length = F.col("value"), F.length("value")
     context = F.concat_ws(" ", "before2", "before")
     cols = {
-        "length": F.length(v), "digits": _share(v, "0-9"), "uppers": _share(v, "A-Z"), "lowers": _share(v, "a-z"),
+        "length": f_length, "digits": _share(v, "0-9"), "uppers": _share(v, "A-Z"), "lowers": _share(v, "a-z"),
         "others": 1 - _share(v, "A-Za-z0-9"),
-        "transitions": F.regexp_count(v, F.lit("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]")) / F.length(v),
-        "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.length(v),
-        "coverage": F.coalesce("covered", F.lit(0)) / F.length(v),
+        "transitions": F.regexp_count(v, F.lit("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]")) / f_length,
+        "distinct": F.size(F.array_distinct(F.split(v, ""))) / f_length,
         "hexadecimal": v.rlike("^[0-9a-fA-F]+$"), "slashes": F.regexp_count(v, F.lit(r"[/\\]")), "at_sign": v.contains("@"),
         "dots": F.regexp_count(v, F.lit(r"\.")), "key_before": (F.col("key") == "") & context.rlike(KEY_WORDS), "key_inside": F.col("key").rlike(KEY_WORDS),
         "assigned": (F.col("key") != "") | F.col("before").rlike("[=:]$"), "quoted": F.col("word").rlike("[\"'`]"),
         "prev_length": F.length("before"), "next_length": F.length("after"),
     }
-    joined = f.join(covered, "row", "left")
-    return joined.select("doc_id", "word_no", "word", "value", "key", *[c.cast("double").alias(n) for n, c in cols.items()])
+    digit = v.rlike("[0-9]")
+    told = {
+        "strict": v.rlike(FORMATS), "other": v.rlike(OTHERS) & ~v.rlike(USER_PART) & ~v.rlike(KEYED_QUERY),
+        # the fewer characters, the less a digit says
+        "telling": digit & ((f_length >= VALUE_LEAST) | (f_length >= 6) & v.rlike("[A-Za-z]")),
+        "plain_word": v.rlike(PLAIN_WORD), "plain_number": v.rlike(PLAIN_NUMBER) & (f_length < VALUE_LEAST),
+    }
+    shown = f_length >= SHOW_LEAST
+    runs = F.transform(F.regexp_extract_all(F.lower("value"), F.lit("([a-z]{3,24})"), 1),
+                       lambda x: F.struct(F.xxhash64(x, F.lit(salt)).alias("h"), F.length(x).alias("n")))
+    safe = written(found.select(
+        F.monotonically_increasing_id().alias("row"), "row1", "row2", "doc_id", "word_no", value_key(v, salt).alias("value_key"),
+        F.when(shown, mask(v)).otherwise(F.concat(F.lit("SET ("), f_length.cast("string"), F.lit(" chars)"))).alias("masked"),
+        F.when(shown, fingerprint(v)).alias("fingerprint"), *[c.cast("double").alias(n) for n, c in cols.items()],
+        *[c.alias(n) for n, c in told.items()], runs.alias("runs")), "candidates")
+    parts = safe.select("row", F.explode("runs").alias("r")).select("row", "r.h", "r.n")
+    covered = (parts.join(words.select(F.xxhash64("segment", F.lit(salt)).alias("h")), "h").groupBy("row").agg(F.sum("n").alias("covered")))
+    coverage = (F.coalesce("covered", F.lit(0)) / F.col("length")).cast("double").alias("coverage")
+    return safe.join(covered, "row", "left").select(*[c for c in safe.columns if c not in ("row", "runs")], coverage)
+
+
+def _plain() -> Column:
+    """A single word of the dictionary (or of one or two letters), a short number."""
+    return F.col("plain_word") & ((F.col("coverage") >= 1) | (F.col("length") < 3)) | F.col("plain_number")
 
 
 def label(found: DataFrame) -> DataFrame:
     """Adds ``label``: 1 secret, 0 not, NULL undecided."""
-    v = F.col("value")
-    digit = v.rlike("[0-9]")
     named = (F.col("key_inside") == 1) | ((F.col("key_before") == 1) & (F.col("assigned") == 1))
-    # the fewer characters, the less a digit says
-    telling = digit & ((F.col("length") >= VALUE_LEAST) | (F.col("length") >= 6) & v.rlike("[A-Za-z]"))
-    other = (F.col("key_inside") == 0) & (F.col("key_before") == 0) & v.rlike(OTHERS) & ~v.rlike(USER_PART) & ~v.rlike(KEYED_QUERY)
-    plain = v.rlike(PLAIN_WORD) & ((F.col("coverage") >= 1) | (F.col("length") < 3)) | v.rlike(PLAIN_NUMBER) & (F.col("length") < VALUE_LEAST)
-    return found.withColumn("label", F.when(v.rlike(FORMATS) | (named & telling), 1.0).when(other | plain, 0.0))
+    other = (F.col("key_inside") == 0) & (F.col("key_before") == 0) & F.col("other")
+    return found.withColumn("label", F.when(F.col("strict") | (named & F.col("telling")), 1.0).when(other | _plain(), 0.0))
 
 
 def train(labelled: DataFrame):
@@ -171,28 +203,27 @@ def train(labelled: DataFrame):
     return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(vectors)
 
 
-def findings(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All candidates with value, score and decision (for use inside the
-    library: the values are secrets)."""
+def findings(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", salt: int | None = None) -> DataFrame:
+    """All candidates with score and decision, masked; row1, row2 and
+    value_key tell with the salt which value of which row they are."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    f = written(label(features(values(candidates(docs, id_col, text_col)), dictionary(docs, text_col))), "findings")
+    salt = secrets.randbits(60) if salt is None else salt
+    f = written(label(features(values(candidates(docs, id_col, text_col, salt)), dictionary(docs, text_col), salt)), "findings")
     model = train(f.where("label is not null") if labelled is None else labelled)
     if model is None:
         scored = f.withColumn("score", F.coalesce("label", F.lit(0.0)))
     else:
         scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(f)).withColumn(
             "score", vector_to_array("probability")[1])
-    return scored.select("doc_id", "word_no", "value", "score", (F.col("score") >= THRESHOLD).alias("is_secret"))
+    return scored.select("row1", "row2", "value_key", "doc_id", "word_no", "masked", "fingerprint", F.col("length").cast("bigint").alias("length"),
+                         "score", ((F.col("score") >= THRESHOLD) & ~_plain()).alias("is_secret"))
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate, masked."""
-    v = F.col("value")
-    return findings(docs, labelled, id_col, text_col).select(
-        "doc_id", "word_no", mask(v).alias("masked"), fingerprint(v).alias("fingerprint"), F.length(v).cast("bigint").alias("length"),
-        "score", "is_secret")
+    return findings(docs, labelled, id_col, text_col).drop("row1", "row2", "value_key")
 
 
 def _alone(value: Column) -> Column:
@@ -202,10 +233,18 @@ def _alone(value: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, with the secrets in their texts replaced."""
-    secret = findings(docs, None, id_col, text_col).where("is_secret").groupBy("doc_id").agg(
+    """The documents, all columns, with the secrets in their texts replaced.
+    The values are found again in the texts and kept only where the decisions
+    have their hashes."""
+    salt = secrets.randbits(60)
+    place = ["row1", "row2", "word_no", "value_key"]
+    decided = findings(docs, None, id_col, text_col, salt).where("is_secret").select(*place).distinct()
+    found = values(candidates(docs, id_col, text_col, salt)).withColumn("value_key", value_key(F.col("value"), salt)).select(*place, "value")
+    secret = found.join(decided, place, "left_semi").groupBy("row1", "row2").agg(      # the secrets of one text
         F.sort_array(F.collect_set(F.struct((-F.length("value")).alias("n"), "value"))).alias("_secrets"))
-    d = docs.join(secret.withColumnRenamed("doc_id", "_id"), docs[id_col].eqNullSafe(F.col("_id")), "left")
+    secret = secret.withColumnsRenamed({"row1": "_row1", "row2": "_row2"})
+    k1, k2 = _row_keys(docs[id_col], docs[text_col], salt)
+    d = docs.join(secret, (k1 == F.col("_row1")) & (k2 == F.col("_row2")), "left")
     text = F.aggregate(F.coalesce("_secrets", F.array().cast("array<struct<n:int,value:string>>")), docs[text_col],
                        lambda t, s: F.when(-s["n"] >= VALUE_LEAST, F.replace(t, s["value"], F.lit(REPLACEMENT))).otherwise(
                            F.regexp_replace(t, _alone(s["value"]), F.lit(REPLACEMENT))))

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from revlens.llm import textspans as S
 from revlens.llm.components import components, written
+from revlens.plans.session import shuffle_partitions
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -39,6 +40,7 @@ SAMPLE_MOST = 8192
 LEAF_POINTS = 8192
 SMALL_LEAF = 256
 SEED = 42
+HOT_PARTS = 8
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -202,12 +204,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
                     text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per document."""
     fps = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
     comp = components(fingerprint_links(classes, bits))
     low = (classes.join(comp, classes["fp"] == comp["node"]).groupBy("component").agg(F.min("first_id").alias("low")))
     moved = comp.join(low, "component").select(F.col("node").alias("fp"), "low")
-    label = (classes.join(moved, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id")))
-    return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = classes.join(moved, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"), "n")
+    # fingerprints of very many documents would each fill a task of the join: there are
+    # fewer of them than HOT_PARTS x partitions, whatever the input, so they are broadcast
+    parts = HOT_PARTS * shuffle_partitions(docs.sparkSession)
+    limit = int(classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // parts + 1
+    hot = F.broadcast(label.where(F.col("n") > limit).drop("n"))
+    labelled = fps.join(hot, "fp").unionByName(fps.join(hot, "fp", "left_anti").join(label.where(F.col("n") <= limit).drop("n"), "fp"))
+    return labelled.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,13 +233,18 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS, id_c
             yield pa.record_batch([*b.columns, pa.array(fp.view(np.int64))], names=[*names, "_fp"])
 
     marked = written(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())])), "fingerprinted")
-    classes = written(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min(id_col).alias("first_id")), "classes")
+    keys = marked.groupBy(F.col("_fp").alias("fp"), F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
+    keys = written(keys, "keys")        # without the texts
+    classes = written(keys.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
     comp = components(fingerprint_links(classes, bits))
     label = classes.join(comp, classes["fp"] == comp["node"], "left").select(F.coalesce("component", "fp").alias("component"), "fp", "first_id")
     first = label.groupBy("component").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("_id"),
                                                           F.col("fp").alias("_f"))).alias("k"))
     kept = first.select("k._id", "k._f")
-    rows = marked.join(kept, marked[id_col].eqNullSafe(kept["_id"]) & (marked["_fp"] == kept["_f"]), "left_semi")
-    # rows that repeat a kept id with an equal fingerprint: the smallest text stays
-    once = rows.groupBy(id_col, "_fp").agg(F.min_by(F.struct(*names), F.struct(F.col(text_col), F.xxhash64(*names))).alias("r"))
-    return once.select(*[F.col(f"r.`{c}`").alias(c) for c in names])
+    # how many rows have a kept key: nearly always one, and that row is kept as it is
+    counted = (keys.join(kept, keys["id"].eqNullSafe(kept["_id"]) & (keys["fp"] == kept["_f"]))
+               .select(F.col("id").alias("_id"), F.col("fp").alias("_f"), F.col("n").alias("_n")))
+    rows = marked.join(counted, marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_f")))
+    # of rows that repeat a kept id with an equal fingerprint the smallest text stays
+    once = rows.where("_n > 1").groupBy(id_col, "_fp").agg(F.min_by(F.struct(*names), F.struct(F.col(text_col), F.xxhash64(*names))).alias("r"))
+    return rows.where("_n = 1").select(*names).unionByName(once.select(*[F.col(f"r.`{c}`").alias(c) for c in names]))
