@@ -269,7 +269,8 @@ SQL["d6_prompts"] = (
     f"pr as (select b.project, b.chunk_id, 'Project: ' || b.project || chr(10) || 'Review chunk: ' || b.chunk_id || "
     f"'/' || n.n_chunks || chr(10) || chr(10) || 'Paths are relative to the project root.' || chr(10) || "
     f"'Review the following source files:' || chr(10) || body as prompt from b join n using (project)) "
-    f"select project, chunk_id, length(prompt)::bigint as prompt_chars, sha256(prompt) as prompt_sha from pr")
+    f"select project, chunk_id, n_files, tokens, signature, length(prompt)::bigint as prompt_chars, sha256(prompt) as prompt_sha "
+    f"from pr join chunks using (project, chunk_id)")
 SQL["d8_rate_policy"] = (
     f"with {ATTEMPTS_V}, m as (select provider, sum(tokens) as tok from attempts_v "
     f"group by provider, date_trunc('minute', ts)), t as (select provider, max(tok)::bigint as tpm from m "

@@ -147,6 +147,17 @@ EXTENSION_LANGUAGE = {
 }
 OTHER_LANGUAGE = "Other"
 
+# --- FIXED VALUES: the prompt of a chunk ------------------------------------
+PROMPT_HEADER = ("Project: %s\nReview chunk: %d/%d\n\nPaths are relative to the project root.\n"
+                 "Review the following source files:\n")
+FILE_BLOCK = "\n===== FILE: {name} | LOC: {loc} =====\n{text}\n===== END FILE ====="
+
+# --- FIXED VALUES: messages of the key check --------------------------------
+KEY_EMPTY = "API key is empty."
+KEY_SHORT = "API key is too short (%d characters). The key was probably pasted incorrectly."
+KEY_LENGTH_OK = "Length check passed: %d characters."
+KEY_PREFIX_ODD = "Prefix does not match the provider's common key format (%s). A live connection test will decide."
+
 # --- FIXED VALUES: texts of the results ------------------------------------
 REPLY_EMPTY = "AI provider returned an empty review response."
 REPLY_NOT_JSON = "The AI response was not valid JSON. Response preview: '"

@@ -7,7 +7,7 @@ chunk per hard-split part (``packing`` tells how).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions import constants as K
@@ -101,24 +101,16 @@ def pack_chunks(files: DataFrame, budget: int, num_partitions: int | None = None
         F.col("tokens").cast("bigint").alias("tokens"), F.col("chars").cast("bigint").alias("chars"))
 
 
-def member_text(members: DataFrame, files: DataFrame, budget: int) -> DataFrame:
-    """Attach the text of each member (whole file, or its part).  Parts are
-    cut where the file is read, so every text is shuffled once."""
-    t = member_texts(files, budget).select(F.col("project").alias("_p"), F.col("relative").alias("_r"),
-                                           F.col("part_no").alias("_n"), "text")
-    same = F.col("project").eqNullSafe(F.col("_p")) & (F.col("relative") == F.col("_r")) & F.col("part_no").eqNullSafe(F.col("_n"))
-    return members.join(t, same).drop("_p", "_r", "_n")
-
-
 def member_texts(files: DataFrame, budget: int) -> DataFrame:
-    """(project, relative, part_no, text) of every chunk member without a
-    shuffle: whole files up to the budget (part_no NULL), and the labelled
-    hard-split parts of the larger ones."""
-    whole = files.where(F.col("tokens") <= budget).select("project", "relative", F.lit(None).cast("int").alias("part_no"), "text")
+    """(project, relative, part_no, part_count, lines, tokens, text) of every
+    chunk member without a shuffle: whole files up to the budget (part_no
+    NULL), and the labelled hard-split parts of the larger ones."""
+    none = F.lit(None).cast("int")
+    whole = files.where(F.col("tokens") <= budget).select("project", "relative", none.alias("part_no"), none.alias("part_count"), "lines", "tokens", "text")
     big = files.where(F.col("tokens") > budget).select("project", "relative", "text")
     parts = part_rows(hard_split(big, split_width(int(budget))))
-    return whole.unionByName(parts.select("project", F.col("part_relative").alias("relative"), "part_no",
-                                          F.col("part_text").alias("text")))
+    return whole.unionByName(parts.select("project", F.col("part_relative").alias("relative"), "part_no", "part_count",
+                                          F.col("part_lines").alias("lines"), F.col("part_tokens").alias("tokens"), F.col("part_text").alias("text")))
 
 
 def chunk_headers(members: DataFrame) -> DataFrame:
@@ -133,75 +125,54 @@ def chunk_headers(members: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.transform(items, lambda s: s["p"]), "|"), 256).alias("signature"))
 
 
-# ---------------------------------------------------------------- prompts
-def render_prompts(members_with_text: DataFrame, totals: DataFrame | None = None) -> DataFrame:
-    """One prompt per chunk: header, then a FILE block per member in
-    order.  Index / total are the real chunk number and count."""
-    block = F.concat(F.lit("\n===== FILE: "), F.col("relative"), F.lit(" | LOC: "),
-                     F.col("lines").cast("string"), F.lit(" =====\n"), F.col("text"),
-                     F.lit("\n===== END FILE ====="))
-    items = F.array_sort(F.collect_list(F.struct(F.col("pos"), block.alias("b"))))
-    body = members_with_text.groupBy("project", "chunk_id").agg(
-        F.array_join(F.transform(items, lambda s: s["b"]), "\n").alias("body"))
-    if totals is None:
-        totals = members_with_text.groupBy("project").agg(F.max("chunk_id").alias("n_chunks"))
-    totals = totals.select(F.col("project").alias("_p"), "n_chunks")
-    body = body.join(totals, F.col("project").eqNullSafe(F.col("_p"))).drop("_p")
-    header = F.concat(F.lit("Project: "), F.col("project"), F.lit("\nReview chunk: "),
-                      F.col("chunk_id").cast("string"), F.lit("/"), F.col("n_chunks").cast("string"),
-                      F.lit("\n\nPaths are relative to the project root.\nReview the following source files:\n"))
-    return body.select("project", "chunk_id", F.concat(header, F.col("body")).alias("prompt"))
-
-
 # ---------------------------------------------------------------- retry split
-def retry_split(members_with_text: DataFrame) -> DataFrame:
+def retry_split(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Split a chunk that hit a context limit into smaller chunks.
 
     total <= 1,500 -> nothing.  Several files -> next-fit over the members
     with target max(1000, total // 2) (a fold over the chunk's members, a
     bounded group).  One file -> hard split of its text with that target;
     fewer than two pieces -> nothing.  Returns (project, chunk_id, sub_id,
-    pos, relative, size, lines, tokens, text)."""
-    m = members_with_text
-    stats = m.groupBy("project", "chunk_id").agg(
+    pos, relative, size, lines, tokens).
+
+    ``texts`` are ``member_texts`` of the files.  The pieces of a text depend
+    on the text alone, so their numbers are taken where it is read
+    (``retry_pieces``) and only numbers meet the chunks: no text moves."""
+    stats = members.groupBy("project", "chunk_id").agg(
         F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("n"),
-        F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("seq"))
+        F.array_sort(F.collect_list(F.struct("pos", "relative", "size", "lines", "tokens"))).alias("seq"))
+    stats = stats.where(F.col("total") > K.RETRY_SPLIT_MIN_TOTAL)
     target = F.greatest(F.lit(K.RETRY_SPLIT_MIN_TARGET), F.floor(F.col("total") / 2)).cast("bigint")
-    init = F.struct(F.lit(0).cast("bigint").alias("cur"), F.lit(1).alias("g"),
-                    F.array().cast("array<int>").alias("ids"))
+    init = F.struct(F.lit(0).cast("bigint").alias("cur"), F.lit(1).alias("g"), F.lit(-1).alias("at"),
+                    F.array().cast("array<struct<g:int,at:int>>").alias("ids"))
 
     def step(acc, x):
         new = (acc["cur"] > 0) & (acc["cur"] + x["tokens"] > F.col("target"))
         g = F.when(new, acc["g"] + 1).otherwise(acc["g"])
+        at = F.when(new, F.lit(0)).otherwise(acc["at"] + 1)
         cur = F.when(new, x["tokens"]).otherwise(acc["cur"] + x["tokens"]).cast("bigint")
-        return F.struct(cur.alias("cur"), g.alias("g"), F.array_append(acc["ids"], g).alias("ids"))
+        return F.struct(cur.alias("cur"), g.alias("g"), at.alias("at"),
+                        F.array_append(acc["ids"], F.struct(g.alias("g"), at.alias("at"))).alias("ids"))
 
-    folded = (stats.where((F.col("total") > K.RETRY_SPLIT_MIN_TOTAL) & (F.col("n") > 1))
-              .withColumn("target", target)
-              .withColumn("fold", F.aggregate("seq", init, step))
+    folded = (stats.where(F.col("n") > 1).withColumn("target", target).withColumn("fold", F.aggregate("seq", init, step))
               .where(F.col("fold.g") > 1)
-              .select("project", "chunk_id", F.arrays_zip(F.col("seq.pos").alias("pos"),
-                                                           F.col("fold.ids").alias("g")).alias("z"))
-              .select("project", "chunk_id", F.explode("z").alias("e"))
-              .select("project", "chunk_id", F.col("e.pos").alias("pos"), F.col("e.g").alias("sub_id")))
-    multi = m.join(folded, ["project", "chunk_id", "pos"]).select(
-        "project", "chunk_id", "sub_id", F.col("pos").alias("pos_old"), "relative", "size", "lines",
-        "tokens", "text")
-    # renumber pos inside each sub-chunk (members of one chunk: a bounded group)
-    w = Window.partitionBy("project", "chunk_id", "sub_id").orderBy("pos_old")
-    multi = multi.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("pos_old")
-
-    single = (m.join(stats.where((F.col("total") > K.RETRY_SPLIT_MIN_TOTAL) & (F.col("n") == 1))
-                     .select("project", "chunk_id"), ["project", "chunk_id"])
-              .withColumn("t2", F.greatest(F.lit(K.RETRY_SPLIT_MIN_TARGET), F.floor(F.col("tokens") / 2)))
-              .select("project", "chunk_id", "relative", "text", "t2"))
-    pieces = part_rows(hard_split(single, split_width(F.col("t2").cast("bigint"))), label="retry-part")
-    pieces = pieces.where(F.col("part_count") > 1).select(
-        "project", "chunk_id", F.col("part_no").alias("sub_id"), F.lit(0).alias("pos"),
-        F.col("part_relative").alias("relative"), F.col("part_size").alias("size"),
-        F.col("part_lines").alias("lines"), F.col("part_tokens").alias("tokens"),
-        F.col("part_text").alias("text"))
-    return multi.unionByName(pieces.select(multi.columns))
+              .select("project", "chunk_id", F.inline(F.arrays_zip(F.col("seq").alias("m"), F.col("fold.ids").alias("to")))))
+    multi = folded.select("project", "chunk_id", F.col("to.g").alias("sub_id"), F.col("to.at").alias("pos"), "m.relative", "m.size", "m.lines", "m.tokens")
+    single = (members.join(stats.where(F.col("n") == 1).select(F.col("project").alias("_p"), F.col("chunk_id").alias("_c")),
+                           F.col("project").eqNullSafe(F.col("_p")) & (F.col("chunk_id") == F.col("_c")), "left_semi")
+              .select("project", "chunk_id", F.col("relative").alias("_r"), F.col("part_no").alias("_n")))
+    pieces = retry_pieces(texts).select(F.col("project").alias("_p"), F.col("relative").alias("_of"), "member_part", F.col("part_no").alias("sub_id"),
+                                        F.lit(0).alias("pos"), F.col("part_relative").alias("relative"), F.col("part_size").alias("size"),
+                                        F.col("part_lines").alias("lines"), F.col("part_tokens").alias("tokens"))
+    cut = single.join(pieces, F.col("project").eqNullSafe(F.col("_p")) & (F.col("_r") == F.col("_of")) & F.col("_n").eqNullSafe(F.col("member_part")))
+    return multi.unionByName(cut.select(multi.columns))
+
+
+def retry_pieces(texts: DataFrame) -> DataFrame:
+    """The pieces of every text that a chunk of its own would be split into."""
+    t2 = F.greatest(F.lit(K.RETRY_SPLIT_MIN_TARGET), F.floor(F.col("tokens") / 2)).cast("bigint")
+    large = texts.where(F.col("tokens") > K.RETRY_SPLIT_MIN_TOTAL).select("project", "relative", F.col("part_no").alias("member_part"), "text", t2.alias("t2"))
+    return part_rows(hard_split(large, split_width(F.col("t2"))), label="retry-part").where(F.col("part_count") > 1)
 
 
 # ---------------------------------------------------------------- plan

@@ -43,11 +43,6 @@ def members(spark: SparkSession, d: str) -> DataFrame:
     return D.pack_chunks(reviewable(spark, d), BUDGET)
 
 
-def members_text(spark: SparkSession, d: str) -> DataFrame:
-    rv = reviewable(spark, d)
-    return D.member_text(D.pack_chunks(rv, BUDGET), rv, BUDGET)
-
-
 def parsed(spark: SparkSession, d: str) -> DataFrame:
     return E.parse_replies(V.responses_v(spark, d))
 
@@ -251,15 +246,26 @@ def d4_part_meta(spark, d):
                         F.col("part_tokens").alias("tokens"))
 
 
+def packed(files: DataFrame) -> DataFrame:
+    """The chunk members (numbers), written once: they are read several times."""
+    from revlens.plans.session import materialized
+    return materialized(D.pack_chunks(files, BUDGET), "members")
+
+
 def d5_retry_split(spark, d):
-    return D.retry_split(members_text(spark, d)).select(
-        "project", "chunk_id", "sub_id", "pos", "relative", "size", "lines", "tokens")
+    rv = reviewable(spark, d)
+    return D.retry_split(packed(rv), D.member_texts(rv, BUDGET))
+
+
+def prompts(spark, d) -> DataFrame:
+    from revlens.operators.prompts import render_prompts
+    rv = reviewable(spark, d)
+    return render_prompts(packed(rv), rv, BUDGET)
 
 
 def d6_prompts(spark, d):
-    p = D.render_prompts(members_text(spark, d))
-    return p.select("project", "chunk_id", F.length("prompt").cast("bigint").alias("prompt_chars"),
-                    F.sha2("prompt", 256).alias("prompt_sha"))
+    return prompts(spark, d).select("project", "chunk_id", "n_files", "tokens", "signature", F.length("prompt").cast("bigint").alias("prompt_chars"),
+                                    F.sha2("prompt", 256).alias("prompt_sha"))
 
 
 def d7_context_budget(spark, d):
@@ -306,9 +312,7 @@ def length_reviewer(prompts):
 
 def e0_score_chunks(spark, d):
     from revlens.operators.scoring import score_chunks
-    p = D.render_prompts(members_text(spark, d))
-    heads = D.chunk_headers(members(spark, d)).select("project", "chunk_id", "signature")
-    out = score_chunks(p.join(heads, ["project", "chunk_id"]), length_reviewer)
+    out = score_chunks(prompts(spark, d), length_reviewer)
     return out.select("project", "chunk_id", "raw", F.col("usage")["prompt_tokens"].alias("usage_prompt"), "error")
 
 
@@ -373,7 +377,7 @@ def e8_point_lists(spark, d):
 
 def e9_failed_chunks(spark, d):
     from revlens.operators import attempts as A
-    m = D.pack_chunks(current_docs(spark, d), BUDGET)
+    m = packed(current_docs(spark, d))
     led = A.failed_chunks(A.replay_attempts(V.chunk_attempts_v(spark, d)), D.chunk_headers(m), m)
     return led.select("project", "chunk_id", "signature", F.array_join("files", "|").alias("files"), "tokens", "attempts", "error")
 
@@ -550,12 +554,11 @@ def f7_pacing_plan(spark, d):
 def f8_requeue(spark, d):
     from revlens.operators import attempts as A
     cur = current_docs(spark, d)
-    mem = D.pack_chunks(cur, BUDGET)
+    mem = packed(cur)
     heads = D.chunk_headers(mem)
     done = D.chunk_headers(D.pack_chunks(snapshot_docs(spark, d), BUDGET))
     pend = A.pending_chunks(heads, done)
-    pm = D.member_text(mem.join(pend.select("project", "chunk_id"), ["project", "chunk_id"], "left_semi"), cur, BUDGET)
-    split = D.retry_split(pm)
+    split = D.retry_split(mem.join(pend.select("project", "chunk_id"), ["project", "chunk_id"], "left_semi"), D.member_texts(cur, BUDGET))
     return A.requeue(split, pend).select("project", "chunk_id", "sub_id", "priority", "queue_pos")
 
 

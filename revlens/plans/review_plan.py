@@ -51,7 +51,7 @@ def review_corpus(files: DataFrame, budget: int, provider: str, model: str, cont
     # model reviewing that chunk would: line numbers are within the member.
     # Member texts are formed in place (oversized files split where they
     # are read), so no text is shuffled; only findings meet the chunk table.
-    replies = E.rule_replies(E.rule_findings(D.member_texts(rv, budget).drop("part_no")), members)
+    replies = E.rule_replies(E.rule_findings(D.member_texts(rv, budget)), members)
     # the parsed replies feed every later stage: cut the lineage once, into
     # the session's checkpoint directory (survives executor loss), without
     # the raw text, of which only the length is read later.

@@ -2,8 +2,10 @@
 
 import math
 import random
+import re
 
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from revlens.operators import chunking as D
 from revlens.operators import corpus as C
 from revlens.operators import packing
+from revlens.operators.prompts import render_prompts
 from revlens.operators.scoring import WhitespaceEncoder, split_by_tokens
 
 
@@ -96,7 +99,8 @@ def test_retry_split_rules(spark):
     df = spark.createDataFrame(rows, "project string, chunk_id bigint, pos int, relative string, text string")
     df = df.withColumn("tokens", F.greatest(F.lit(1), F.round(F.length("text") / 3.5).cast("bigint"))) \
         .withColumn("size", F.length("text").cast("bigint")).withColumn("lines", F.lit(1).cast("bigint"))
-    out = D.retry_split(df).orderBy("chunk_id", "sub_id", "pos").collect()
+    df = df.withColumn("part_no", F.lit(None).cast("int"))
+    out = D.retry_split(df.drop("text"), df.select("project", "relative", "part_no", "tokens", "text")).orderBy("chunk_id", "sub_id", "pos").collect()
     got = [(r["chunk_id"], r["sub_id"], r["relative"]) for r in out]
     assert got[:2] == [(1, 1, "a.py"), (1, 2, "b.py")]
     assert all(c != 2 for c, _, _ in got)
@@ -104,16 +108,66 @@ def test_retry_split_rules(spark):
     assert [g[2] for g in big] == ["big.py [retry-part 1/3]", "big.py [retry-part 2/3]", "big.py [retry-part 3/3]"]
 
 
+def _prompts(files, budget, n=None, only=None):
+    members = D.pack_chunks(files, budget)
+    if only is not None:
+        members = members.where(only)
+    return {(r["project"], r["chunk_id"]): r for r in render_prompts(members, files, budget, n).collect()}
+
+
 def test_prompt_layout(spark):
-    rows = [("proj", 1, 0, "a.py", 2, "print(1)\nx"), ("proj", 1, 1, "b.py", 1, "y")]
-    df = spark.createDataFrame(rows, "project string, chunk_id bigint, pos int, relative string, lines bigint, "
-                                     "text string")
-    p = D.render_prompts(df).first()["prompt"]
+    files = C.corpus_from_table(spark.createDataFrame([("proj", "a.py", "print(1)\nx"), ("proj", "b.py", "y")], "project string, relative string, text string"))
+    p = _prompts(files, 3100)["proj", 1]["prompt"]
     assert p == ("Project: proj\nReview chunk: 1/1\n\nPaths are relative to the project root.\n"
                  "Review the following source files:\n\n===== FILE: a.py | LOC: 2 =====\nprint(1)\nx\n"
                  "===== END FILE =====\n\n===== FILE: b.py | LOC: 1 =====\ny\n===== END FILE =====")
 
 
+@pytest.mark.parametrize("n", [1, 4, 37])
+def test_prompts_in_any_slices(spark, n):
+    """Chunks that cross slices, parts, repeated files and labels like parts."""
+    rng = random.Random(n)
+    rows = [(rng.choice(["p", "q", None]), f"d/F{i:03d}{rng.choice(['.py', '.PY'])}", f"{i} é\n" * rng.choice([1, 5, 90, 400, 3000])) for i in range(90)]
+    rows += [("p", "d/F001.py [part 1/2]", "like a part"), ("p", "d/twice.py", "one"), ("p", "d/twice.py", "the other\n\n")]
+    files = C.corpus_from_table(spark.createDataFrame(rows, "project string, relative string, text string"))
+    members = D.pack_chunks(files, 1500)
+    texts = {}
+    for r in D.member_texts(files, 1500).collect():
+        texts.setdefault((r["project"], r["relative"], r["part_no"], r["lines"], r["tokens"]), []).append(r["text"])
+    chunks = {}
+    for r in members.collect():
+        chunks.setdefault((r["project"], r["chunk_id"]), []).append(r)
+    heads = {(r["project"], r["chunk_id"]): (r["n_files"], r["tokens"], r["signature"]) for r in D.chunk_headers(members).collect()}
+    got = _prompts(files, 1500, n)
+    assert set(got) == set(chunks)
+    for key, rows in chunks.items():
+        assert (got[key]["n_files"], got[key]["tokens"], got[key]["signature"]) == heads[key]
+        body = "\n".join(f"\n===== FILE: {m['relative']} | LOC: {m['lines']} =====\n{texts[m['project'], m['relative'], m['part_no'], m['lines'], m['tokens']][0]}"
+                         "\n===== END FILE =====" for m in sorted(rows, key=lambda m: m["pos"]))
+        if key[0] is not None:
+            last = max(c for p, c in chunks if p == key[0])
+            assert got[key]["prompt"] == (f"Project: {key[0]}\nReview chunk: {key[1]}/{last}\n\nPaths are relative to the project root.\n"
+                                          f"Review the following source files:\n{body}")
+    some = _prompts(files, 1500, n, "chunk_id % 3 = 1")
+    assert set(some) == {k for k in chunks if k[1] % 3 == 1} and all(some[k]["signature"] == heads[k][2] for k in some)
+
+
+def test_texts_move_once(spark, sf):
+    """The prompts' plan has one exchange with whole texts (the range of the
+    slices) and one of pieces; retry splits have none."""
+    from revlens.plans import queries as Q
+
+    def texts_exchanged(df):
+        said = spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        found = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: (\w+)", said)
+        assert found
+        return [kind for columns, kind in found if re.search(r"\b(text|body|part_text)#", columns)]
+
+    assert texts_exchanged(Q.d5_retry_split(spark, sf)) == []
+    # the one exchange is read twice (reused when it runs); the second time only pieces go on
+    assert texts_exchanged(Q.d6_prompts(spark, sf)) == ["rangepartitioning"] * 2
+
+
 def test_one_project_in_any_slices(spark, sf):
     """One project that holds all documents, in few and many slices."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -183,16 +237,16 @@ def test_packing_is_planned_without_a_job(spark, sf):
 def test_null_project_and_label_like_names(spark):
     rows = [(None, "a.py", "x" * 100), ("p", "x [part 1/2]", "whole"), ("p", "big.py", "😀\n" * 4000), (None, "b.py", "y" * 9000)]
     files = C.corpus_from_table(spark.createDataFrame(rows, "project string, relative string, text string"))
-    for kw in ({}, {"num_partitions": 2}):
-        members = D.pack_chunks(files, 1500, **kw)
-        got = D.member_text(members, files, 1500).collect()
+    for n in (None, 2):
+        members = D.pack_chunks(files, 1500, n)
+        got = D.member_texts(files, 1500).collect()
         assert len(got) == members.count()
         whole = {(r["project"], r["relative"]): r["text"] for r in got if r["part_no"] is None}
         assert whole == {(None, "a.py"): "x" * 100, ("p", "x [part 1/2]"): "whole"}
         for p, name, text in rows:
             parts = sorted((r["part_no"], r["text"]) for r in got if r["part_no"] and r["relative"].startswith(name + " [") and r["project"] == p)
             assert not parts or "".join(t for _, t in parts) == text
-        assert len({(r["project"], r["chunk_id"]) for r in got}) == D.render_prompts(D.member_text(members, files, 1500)).count()
+        assert members.select("project", "chunk_id").distinct().count() == len(_prompts(files, 1500, n))
 
 
 def test_signature_has_one_meaning_at_every_size(spark):

@@ -87,7 +87,7 @@ def test_flagship_replies_cover_every_chunk(spark, sf):
     r = offline_review(spark, sf)
     assert r.replies.count() == r.chunks.count() == r.members.select("project", "chunk_id").distinct().count()
     # every rule hit on a member's own text comes back as a finding of its chunk
-    mt = D.member_text(r.members, r.files, 3100)
+    mt = D.member_texts(r.files, 3100)
     hits = E.rule_findings(mt).select("project", "file", "line", "title").distinct().count()
     got = E.explode_findings(r.parsed).select("project", "file", "line", "title").distinct().count()
     assert got == hits
