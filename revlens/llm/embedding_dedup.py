@@ -10,8 +10,16 @@
    search from medoids, then expansion of everything within the range.  Each
    pair found is verified by its cosine in double precision.
 5. Parts send on counts and the links of local components, never all pairs.
-6. Recall is audited on ``AUDIT_MOST`` points against brute force over all
-   vectors; below ``RECALL_LEAST`` the search is repeated wider.
+6. Recall is audited against brute force over all vectors: the mean, over
+   sampled points that have a link, of the share of their links that was found,
+   so a large group of copies counts no more than a pair.  More points are drawn
+   until ``AUDIT_LINKED`` have a link.  Below ``RECALL_LEAST`` the search is
+   repeated wider; if it stays below ``RECALL_BOUND``, each point is compared with
+   all points of every shard that the triangle bound of angles does not exclude.
+   The reported recall is NULL where no sampled point has a link.
+7. Vectors are searched so by length.  Beyond the ``LENGTHS`` most frequent
+   lengths, those of at most ``SMALL`` points are compared in full, together in
+   one job, so any number of lengths is handled.
 
 Cases: vectors that are NULL, empty, zero or hold NULL or non-finite numbers
 link with nothing (0 links, their own component, kept); vectors of different
@@ -47,9 +55,9 @@ BEAM = 32
 STEP = 4
 MEDOIDS = 16
 BLOCK = 256
-AUDIT_MOST = 512
-RECALL_LEAST = 0.95
-DIMENSIONS_MOST = 64
+AUDIT_FIRST, AUDIT_MOST, AUDIT_LINKED = 512, 8192, 64
+RECALL_LEAST, RECALL_BOUND = 0.95, 0.9
+LENGTHS, SMALL = 64, 2048
 
 POINT = "shard int, home boolean, rep bigint, copies bigint, vec array<float>"
 FOUND = "rep bigint, found bigint, root bigint"
@@ -283,26 +291,114 @@ def _links(points: DataFrame, n: int, reach: float, overlap: int, beam: int) ->
     return node.groupBy("shard", "part", "block").cogroup(query.groupBy("q_shard", "q_part", "q_block")).applyInArrow(match, FOUND)
 
 
-def audit(points: DataFrame, found: DataFrame, reach: float) -> float:
-    """Share of the true links of ``AUDIT_MOST`` points that were found."""
-    rows = points.orderBy(F.xxhash64("rep", F.lit(2)), "rep").limit(AUDIT_MOST).collect()
-    if not rows:
-        return 1.0
-    ids, q = np.array([r["rep"] for r in rows]), _matrix(pa.array([r["vec"] for r in rows], pa.list_(pa.float32())))
+def audit(points: DataFrame, found: DataFrame, reach: float) -> tuple[float | None, bool]:
+    """Mean share of the true links found, over the sampled points that have
+    one (None: none has), and whether the sample was all points."""
+    most = AUDIT_FIRST
+    while True:
+        rows = points.orderBy(F.xxhash64("rep", F.lit(2)), "rep").limit(most).collect()
+        if not rows:
+            return None, True
+        ids, q = np.array([r["rep"] for r in rows]), _matrix(pa.array([r["vec"] for r in rows], pa.list_(pa.float32())))
+        step = max(64, (1 << 21) // len(ids))
+
+        def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(ids), dtype=np.int64)
+            for b in batches:
+                for lo in range(0, b.num_rows, step):
+                    p = b.slice(lo, step)
+                    near = (q @ _matrix(p.column(2)).T >= reach) & (ids[:, None] != p.column(0).to_numpy()[None, :])
+                    total += near @ p.column(1).to_numpy()
+            yield pa.record_batch([pa.array(ids), pa.array(total)], names=["rep", "n"])
+
+        true = points.mapInArrow(brute, "rep bigint, n bigint").groupBy("rep").agg(F.sum("n").alias("n")).where("n > 0")
+        got = found.groupBy("rep").agg(F.sum("found").alias("f"))
+        linked, share = true.join(got, "rep", "left").agg(F.count("*"), F.avg(F.least("n", F.coalesce("f", F.lit(0))) / F.col("n"))).first()
+        if linked >= AUDIT_LINKED or len(rows) < most or most >= AUDIT_MOST:
+            return share, len(rows) < most
+        most *= 4
+
+
+def _compared(x: np.ndarray, rep: np.ndarray, copies: np.ndarray, q: np.ndarray, ask: np.ndarray, reach: float) -> pa.Table:
+    """Rows of ``FOUND`` of all pairs of points and queries, by products of blocks."""
+    every = np.unique(np.concatenate([rep, ask]))
+    found = np.zeros(len(ask), dtype=np.int64)
+
+    def pairs():
+        for lo in range(0, len(q), BLOCK):
+            a, b = np.nonzero(q[lo:lo + BLOCK] @ x.T >= reach)
+            a += lo
+            other = rep[b] != ask[a]
+            a, b = a[other], b[other]
+            np.add.at(found, a, copies[b])
+            yield np.searchsorted(every, ask[a]), np.searchsorted(every, rep[b])
+
+    root = local_stars(len(every), pairs())
+    total = np.zeros(len(every), dtype=np.int64)
+    total[np.searchsorted(every, ask)] = found
+    return pa.table({"rep": pa.array(every), "found": pa.array(total), "root": pa.array(every[root])})
+
+
+def _links_of_small(points: DataFrame, reach: float) -> DataFrame:
+    """All links among points of one length, for lengths of few points."""
+
+    def match(table: pa.Table) -> pa.Table:
+        x, ids = _matrix(table["vec"]), table["rep"].to_numpy()
+        return _compared(x, ids, table["copies"].to_numpy(), x, ids, reach)
+
+    return points.withColumn("d", F.size("vec")).groupBy("d").applyInArrow(match, FOUND)
+
+
+def _links_exact(points: DataFrame, n: int, reach: float) -> DataFrame:
+    """All links: a point is compared with every shard that may hold a vector
+    within the angle of ``reach``.  A shard's angle is the largest of its
+    points to its centroid; the bound is the triangle inequality of angles."""
+    sample = _matrix(pa.array([r[0] for r in points.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_MOST).select("vec").collect()],
+                              pa.list_(pa.float32())))
+    k = min(max(SHARDS_LEAST, min(SHARDS_MOST, -(-n // SHARD_POINTS))), len(sample))
+    centre = centroids(sample, k)
 
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids), dtype=np.int64)
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 4000):
-                p = b.slice(lo, 4000)
-                near = (q @ _matrix(p.column(2)).T >= reach) & (ids[:, None] != p.column(0).to_numpy()[None, :])
-                total += near @ p.column(1).to_numpy()
-        yield pa.record_batch([pa.array(ids), pa.array(total)], names=["rep", "n"])
+            for lo in range(0, b.num_rows, 2000):
+                p = b.slice(lo, 2000)
+                s = np.clip(_matrix(p.column(2)) @ centre.T, -1, 1)
+                at = s.argmax(axis=1)
+                yield pa.record_batch([pa.array(at, pa.int32()), pa.array(np.arccos(s[np.arange(len(at)), at])), *p.columns],
+                                      names=["shard", "angle", "rep", "copies", "vec"])
+
+    homes = written(points.mapInArrow(home, "shard int, angle double, rep bigint, copies bigint, vec array<float>"), "homes")
+    sizes = homes.groupBy("shard").agg(F.max("angle").alias("a"), F.count("*").alias("n")).collect()     # at most SHARDS_MOST rows
+    radius = np.full(k, -np.inf)
+    parts = np.ones(k, dtype=np.int64)
+    for r in sizes:
+        radius[r["shard"]], parts[r["shard"]] = r["a"], -(-r["n"] // SHARD_MOST)
+    limit = radius + np.arccos(min(1.0, reach)) + 1e-6
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                p = b.slice(lo, 1000)
+                row, shard = np.nonzero(np.arccos(np.clip(_matrix(p.column(4)) @ centre.T, -1, 1)) <= limit)
+                times = parts[shard]
+                row, part = np.repeat(row, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                shard = np.repeat(shard, times)
+                yield pa.record_batch([pa.array(shard, pa.int32()), pa.array(part), p.column(2).take(pa.array(row)), p.column(4).take(pa.array(row))],
+                                      names=["q_shard", "q_part", "q_rep", "q_vec"])
 
-    true = points.mapInArrow(brute, "rep bigint, n bigint").groupBy("rep").agg(F.sum("n").alias("n"))
-    got = found.where(F.col("rep").isin(ids.tolist())).groupBy("rep").agg(F.sum("found").alias("f"))
-    r = true.join(got, "rep", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("f", F.lit(0))))).first()
-    return 1.0 if not r[0] else r[1] / r[0]
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"rep": right["q_rep"], "found": pa.array(np.zeros(len(right), np.int64)), "root": right["q_rep"]})
+        return _compared(_matrix(left["vec"]), left["rep"].to_numpy(), left["copies"].to_numpy(), _matrix(right["q_vec"]),
+                         right["q_rep"].to_numpy(), reach)
+
+    number = F.element_at(F.lit(parts.tolist()), F.col("shard") + 1)
+    # queries of a part come in blocks, each with its own copy of the part
+    blocks = max(1, -(-n // (SHARD_MOST * 16)))
+    node = homes.withColumn("part", F.pmod(F.xxhash64("rep"), number)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    query = homes.mapInArrow(ask, "q_shard int, q_part bigint, q_rep bigint, q_vec array<float>").withColumn(
+        "q_block", F.pmod(F.xxhash64("q_rep", F.lit(1)), F.lit(blocks)).cast("int"))
+    return node.groupBy("shard", "part", "block").cogroup(query.groupBy("q_shard", "q_part", "q_block")).applyInArrow(match, FOUND)
 
 
 def near_duplicates(vectors: DataFrame, reach: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -311,21 +407,25 @@ def near_duplicates(vectors: DataFrame, reach: float = THRESHOLD, id_col: str =
     v = v.withColumn("ok", _valid() & F.col("vec_id").isNotNull())
     points = written(v.where("ok").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "vec"),
                      "points")
-    lengths = {r["d"]: r["n"] for r in points.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).limit(DIMENSIONS_MOST + 1).collect()}
-    if len(lengths) > DIMENSIONS_MOST:
-        raise ValueError(f"vectors of more than {DIMENSIONS_MOST} different lengths")
-    recall, found = 1.0, None
-    for d, n in sorted(lengths.items()):
+    lengths = points.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n"))
+    often = lengths.orderBy(F.desc("n"), "d").limit(LENGTHS)
+    large = {r["d"]: r["n"] for r in often.unionByName(lengths.where(F.col("n") > SMALL)).collect()}
+    some = points if not large else points.where(~F.size("vec").isin(list(large)))
+    found = written(_links_of_small(some, reach), "links")
+    shares: list[float | None] = [] if large else [1.0]
+    for d, n in sorted(large.items()):
         part = points.where(F.size("vec") == d)
         for overlap, beam in ((OVERLAP, BEAM), (2 * OVERLAP, 2 * BEAM), (4 * OVERLAP, 4 * BEAM)):
             got = written(_links(part, n, reach, overlap, beam), "links")
-            share = audit(part, got, reach)
-            if share >= RECALL_LEAST:
+            share, whole = audit(part, got, reach)
+            if share is None or share >= RECALL_LEAST:
                 break
-        recall = min(recall, share)
-        found = got if found is None else found.unionByName(got)
-    if found is None:
-        found = points.select("rep", F.lit(0).cast("bigint").alias("found"), F.col("rep").alias("root")).where("false")
+        if share is not None and share < RECALL_BOUND:
+            got, share = written(_links_exact(part, n, reach), "links"), 1.0
+        shares.append(1.0 if share is None and whole else share)
+        found = found.unionByName(got)
+    # the least measured; NULL if a length could not be measured (no sampled point has a link)
+    recall = None if None in shares else min(shares)
     comp = components(found.where("rep != root").select("rep", "root"), "rep", "root")
     per = found.groupBy("rep").agg(F.sum("found").alias("found"))
     label = points.join(per, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -334,4 +434,4 @@ def near_duplicates(vectors: DataFrame, reach: float = THRESHOLD, id_col: str =
     joined = v.join(label, v["ok"] & (v["vec"] == label["v"]), "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
-                         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(recall).alias("audited_recall"))
+                         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("audited_recall"))

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from revlens.llm import decontaminate, embedding_dedup, lm_score, simhash, substring_dedup
 from revlens.llm.components import components
@@ -208,3 +209,68 @@ def test_embeddings(spark):
     assert found >= 0.95 * true
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(3000, 3007))
     assert embedding_dedup.near_duplicates(d.where("false")).collect() == []
+
+
+def _vectors(rng, pairs, alone, group):
+    """Isolated pairs at cosine 0.955, single vectors and one group of near copies."""
+    def unit(n):
+        x = rng.normal(size=(n, 24))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    a, b = unit(pairs), unit(pairs)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = unit(1) + rng.normal(scale=0.01, size=(group, 24))
+    return np.concatenate([a, 0.955 * a + np.sqrt(1 - 0.955 ** 2) * b, unit(alone), c]).astype(np.float32)
+
+
+def _true_links(x):
+    m = x.astype(np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T >= 0.95
+    np.fill_diagonal(near, False)
+    return near
+
+
+def test_recall_counts_isolated_pairs(spark, monkeypatch):
+    """Missed pairs show in the audit beside a large group, and lead to the exact way."""
+    x = _vectors(np.random.default_rng(4), 300, 800, 300)
+    near = _true_links(x)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    points = d.select(F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("vec")).cache()
+    group = len(x) - 300        # a search that finds the links of the group alone
+    found = spark.createDataFrame([(i, int(near[i].sum()) if i >= group else 0) for i in range(len(x))], "rep long, found long")
+    share, whole = embedding_dedup.audit(points, found, 0.95)
+    assert not whole and 0.2 < share < 0.5      # weighed by links it would be over 0.99
+    monkeypatch.setattr(embedding_dedup, "AUDIT_FIRST", 4096)
+    linked = near.any(axis=1)
+    assert embedding_dedup.audit(points, found, 0.95) == (pytest.approx(linked[group:].sum() / linked.sum()), True)
+    assert embedding_dedup.audit(points.where("rep < 300"), found, 0.95)[0] is None      # no link: not measured
+
+    monkeypatch.setattr(embedding_dedup, "RECALL_LEAST", 1.5)
+    monkeypatch.setattr(embedding_dedup, "RECALL_BOUND", 1.5)
+    root = _roots(len(x), list(zip(*np.nonzero(near))))
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(d).collect()}
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(len(x))] == [(int(near[i].sum()), root[i]) for i in range(len(x))]
+
+
+def test_graph_search_finds_isolated_pairs(spark):
+    x = _vectors(np.random.default_rng(5), 400, 1500, 300)
+    near = _true_links(x)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    rows = {r["vec_id"]: r for r in got.collect()}
+    linked = [i for i in range(800) if near[i].any()]
+    assert np.mean([rows[i]["n_links"] / near[i].sum() for i in linked]) >= 0.9
+    assert 0.9 <= rows[0]["audited_recall"] <= 1
+
+
+def test_many_vector_lengths(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LENGTHS", 2)
+    rng = np.random.default_rng(6)
+    rows = []
+    for n in range(1, 90):
+        v = rng.normal(size=n).astype(np.float32).tolist()
+        rows += [(len(rows) + k, v if k < 2 else (-np.array(v)).tolist()) for k in range(3)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {i: ((1, i - i % 3) if i % 3 < 2 else (0, i)) for i in range(len(rows))}
