@@ -9,12 +9,16 @@ broadcast by construction.
 
 from __future__ import annotations
 
+import posixpath
+from fnmatch import fnmatchcase
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions import constants as K
 from revlens.operators.review import evaluate_once
 from revlens.plans.prefix import ordinal
+from revlens.sources.corpus_tree import FileSystems, list_trees, open_file_system, read_contents
 
 
 def _vtype(v: Column) -> Column:
@@ -93,11 +97,29 @@ def normalize_catalog(payloads: DataFrame, provider: str = "provider", payload:
                     name.alias("name"), ctx.cast("bigint").alias("context"), F.lit(True).alias("active")))
 
 
+def read_catalogs(folders: DataFrame, pattern: str = "*.json", deep: bool = True,
+                  file_systems: FileSystems = open_file_system) -> DataFrame:
+    """A5: the model-list payload files (names like ``pattern``, one JSON
+    document each) of a table of folders (provider, folder), with ``deep`` at
+    any depth -> (provider, payload_id = file path, payload).  Tasks list the
+    folders and read the files; the driver has no list of files.  A file that
+    cannot be read fails the job."""
+    listed = list_trees(folders.select(F.col("provider").alias("project"), F.col("folder").alias("root")), file_systems,
+                        keep_name=lambda name: name[0] not in "._" and fnmatchcase(name, pattern),
+                        keep_dir=lambda name: deep and name[0] not in "._")
+    read = read_contents(listed, file_systems)
+    text = F.when(F.col("error").isNull(), F.col("content").cast("string")).otherwise(
+        F.raise_error(F.concat_ws(": ", "path", "error")).cast("string"))
+    return read.select(F.col("project").alias("provider"), F.col("path").alias("payload_id"), text.alias("payload"))
+
+
 def read_catalog(spark: SparkSession, path: str, provider: str) -> DataFrame:
-    """A5: model-list payload files (one JSON document per file) of one
-    provider -> (provider, payload_id = file path, payload)."""
-    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("payload_id"))
-    return raw.select(F.lit(provider).alias("provider"), "payload_id", F.col("value").alias("payload"))
+    """A5 of one provider: a folder, a file, or a folder and a name with
+    wildcards."""
+    folder, name = posixpath.split(path.rstrip("/"))
+    if not name.endswith(".json") and not set(name) & set("*?["):
+        folder, name = path, "*"
+    return read_catalogs(spark.createDataFrame([(provider, folder)], "provider string, folder string"), name, deep=False)
 
 
 def _penalty(model_id: Column) -> Column:

@@ -116,19 +116,20 @@ def a4_read_replies(spark, d):
 
 
 def a5_read_catalog(spark, d):
-    """Model-list payloads written one file each (per provider folder),
-    read back whole and normalised."""
+    """Model-list payloads written one file each (per provider folder, a
+    thousand ids to a sub-folder), read back whole and normalised."""
     from revlens.operators import catalog as G
-    from revlens.plans.session import scratch_path
+    from revlens.plans.session import scratch_path, shuffle_partitions
     from revlens.sources.corpus_tree import write_tree
     root = scratch_path(spark, "catalog")
-    cv = V.catalog_v(spark, d)
+    # a row is a file to write: dealt to all tasks, as a few row groups hold very many
+    cv = V.catalog_v(spark, d).repartition(shuffle_partitions(spark), "payload_id")
+    pid = F.col("payload_id")
     write_tree(cv.select(F.col("provider").alias("project"),
-                         F.concat(F.col("payload_id").cast("string"), F.lit(".json")).alias("relative"),
+                         F.concat(F.floor(pid / 1000).cast("string"), F.lit("/"), pid.cast("string"), F.lit(".json")).alias("relative"),
                          F.col("payload").alias("text")), root)
-    parts = [G.read_catalog(spark, f"{root}/{p}/*.json", p) for p in ("gemini", "ollama", "generic")]
-    raw = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return G.normalize_catalog(raw).select("provider", "id", "name", "context", "active")
+    folders = spark.createDataFrame([(p, f"{root}/{p}") for p in ("gemini", "ollama", "generic")], "provider string, folder string")
+    return G.normalize_catalog(G.read_catalogs(folders)).select("provider", "id", "name", "context", "active")
 
 
 def b1_prune_dirs(spark, d):

@@ -39,6 +39,8 @@ from revlens.plans.session import materialized, shuffle_partitions
 
 #: (URI) -> (file system, path on it)
 FileSystems = Callable[[str], tuple[pafs.FileSystem, str]]
+#: (file or folder name) -> whether it is listed or entered
+Names = Callable[[str], bool]
 
 LIST_BUDGET = 20_000
 BATCH_BYTES = 32 << 20
@@ -105,11 +107,11 @@ def _is_link(fs: pafs.FileSystem, path: str) -> bool:
     return fs.type_name == "local" and os.path.islink(path)
 
 
-def _unseen(fs: pafs.FileSystem, at: str, infos: list[pafs.FileInfo]) -> list[str]:
-    """Reviewable names of a local folder that its listing leaves out."""
+def _unseen(fs: pafs.FileSystem, at: str, infos: list[pafs.FileInfo], keep_name: Names) -> list[str]:
+    """Names to keep of a local folder that its listing leaves out."""
     if fs.type_name != "local":
         return []
-    return sorted(n for n in set(os.listdir(at)) - {posixpath.basename(i.path) for i in infos} if _keep_name(n))
+    return sorted(n for n in set(os.listdir(at)) - {posixpath.basename(i.path) for i in infos} if keep_name(n))
 
 
 _ENTRY = "project string, root string, path string, relative string, size bigint, kind string, error string"
@@ -117,7 +119,7 @@ _ENTRY_NAMES = [c.split()[0] for c in _ENTRY.split(", ")]
 _ENTRY_ARROW = pa.schema([(n, pa.int64() if n == "size" else pa.string()) for n in _ENTRY_NAMES])
 
 
-def _lister(file_systems: FileSystems, budget: int):
+def _lister(file_systems: FileSystems, budget: int, keep_name: Names, keep_dir: Names):
     """Walks down from the directories of a task; kind is file, dir (left to
     the next round) or error."""
 
@@ -142,14 +144,14 @@ def _lister(file_systems: FileSystems, budget: int):
                         entry(at, "error", error=f"not listed: {e}")
                         continue
                     seen += max(1, len(infos))
-                    for name in _unseen(fs, at, infos):
+                    for name in _unseen(fs, at, infos, keep_name):
                         entry(posixpath.join(at, name), "error", error="not listed: a link to nothing")
                     for i in infos:
                         name = posixpath.basename(i.path)
                         if i.type == pafs.FileType.Directory:
-                            if _keep_dir(name) and not _is_link(fs, i.path):
+                            if keep_dir(name) and not _is_link(fs, i.path):
                                 left.append(i.path)
-                        elif _keep_name(name):
+                        elif keep_name(name):
                             known = i.type == pafs.FileType.File
                             entry(i.path, "file" if known else "error", i.size, None if known else "not a readable file")
                 for path in left:
@@ -161,14 +163,15 @@ def _lister(file_systems: FileSystems, budget: int):
     return run
 
 
-def list_trees(roots: DataFrame, file_systems: FileSystems = open_file_system, budget: int = LIST_BUDGET) -> DataFrame:
+def list_trees(roots: DataFrame, file_systems: FileSystems = open_file_system, budget: int = LIST_BUDGET,
+               keep_name: Names = _keep_name, keep_dir: Names = _keep_dir) -> DataFrame:
     """Files and errors below the roots (project, root): columns project,
     root, path, relative, size, error."""
     n = shuffle_partitions(roots.sparkSession)
     frontier = roots.select("project", "root", F.lit(None).cast("string").alias("path"))
     found: DataFrame | None = None
     while True:
-        level = materialized(frontier.repartition(n, "root", "path").mapInArrow(_lister(file_systems, budget), _ENTRY), "tree-level")
+        level = materialized(frontier.repartition(n, "root", "path").mapInArrow(_lister(file_systems, budget, keep_name, keep_dir), _ENTRY), "tree-level")
         here = level.where("kind <> 'dir'").drop("kind")
         found = here if found is None else found.unionByName(here)
         frontier = level.where("kind = 'dir'").select("project", "root", "path")
@@ -209,14 +212,19 @@ def _reader(file_systems: FileSystems, batch_bytes: int):
     return run
 
 
+def read_contents(listed: DataFrame, file_systems: FileSystems = open_file_system, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """Listed files with their bytes (content), dealt to tasks by path."""
+    total = int(listed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    n = max(shuffle_partitions(listed.sparkSession), -(-total // partition_bytes))
+    return (listed.repartition(n, "path")
+            .mapInArrow(_reader(file_systems, BATCH_BYTES), _ENTRY.replace("kind string, ", "") + ", content binary"))
+
+
 def read_files(listed: DataFrame, file_systems: FileSystems = open_file_system, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """Listed files read and decoded -> project, path, relative, name, ext,
     size, lines, tokens, text, error.  Binary files are dropped; an error row
     has no text, lines and tokens."""
-    total = int(listed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-    n = max(shuffle_partitions(listed.sparkSession), -(-total // partition_bytes))
-    raw = (listed.repartition(n, "path")
-           .mapInArrow(_reader(file_systems, BATCH_BYTES), _ENTRY.replace("kind string, ", "") + ", content binary"))
+    raw = read_contents(listed, file_systems, partition_bytes)
     txt = raw.where(F.col("error").isNotNull() | ~is_binary(F.col("content"))).select(
         "project", "path", "relative", "size", decode_text(F.col("content")).alias("text"), "error")
     name = X.file_name(F.col("relative"))

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from revlens.operators import catalog as G
 
 
@@ -51,3 +53,19 @@ def test_rank_search_page(spark):
     hits = G.search_models(ranked, "M1").orderBy("match_rank").collect()
     assert len(hits) == 10 and all("m1" in r["id"] for r in hits)
     assert len(G.search_models(ranked, "m", limit=50).collect()) == 50
+
+
+def test_catalog_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """Flat or in sub-folders; no list of the files in the plan."""
+    for name in ("a/1.json", "a/2.json", "a/deep/3.json", "a/note.txt", "a/_4.json", "b/0/5.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(json.dumps([{"id": name}]))
+    folders = spark.createDataFrame([("generic", f"{tmp_path}/a"), ("other", f"file:{tmp_path}/b")], "provider string, folder string")
+    read = G.read_catalogs(folders)
+    assert "FileScan text" not in read._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["provider"], json.loads(r["payload"])[0]["id"]) for r in read.collect()) == [
+        ("generic", "a/1.json"), ("generic", "a/2.json"), ("generic", "a/deep/3.json"), ("other", "b/0/5.json")]
+    for path, n in ((f"{tmp_path}/a/*.json", 2), (f"{tmp_path}/a/", 3), (f"{tmp_path}/a/1.json", 1)):
+        assert G.read_catalog(spark, path, "generic").count() == n
+    with pytest.raises(Exception, match="not listed"):
+        G.read_catalog(spark, f"{tmp_path}/none/*.json", "generic").collect()
