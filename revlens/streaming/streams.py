@@ -14,9 +14,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from revlens.functions import text as X
 from revlens.operators import review as E
@@ -98,11 +100,38 @@ def review_bursts(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
                     F.date_format("s.end", TS_FMT).alias("session_end"), "user_id", "events", "value")
 
 
-def dedup_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of each key; a key is remembered until the watermark passes
-    its event time, and later rows than the watermark are dropped (Spark's own
-    operator).  Of equal keys in one batch the row a task reads first stays."""
-    return _event_time(rows).dropDuplicatesWithinWatermark(keys)
+def dedup_stream(rows: DataFrame, keys: list[str], order: list[str] | None = None, delay_minutes: int = 10) -> DataFrame:
+    """The first row of each key; a key is remembered until the watermark
+    passes its event time + delay, and rows later than the watermark are
+    dropped.  Of the rows of a key in one batch the earliest event stays (ties
+    by ``order``); ``dropDuplicatesWithinWatermark`` keeps whichever a task
+    reads first, so its rows, other than their keys, differ between runs."""
+    src = _event_time(rows)
+    cols, by, delay_ms = src.columns, ["ts", *(order or [])], delay_minutes * 60_000
+
+    def run(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        late, first = state.getCurrentWatermarkMs(), None
+        for pdf in batches:
+            if state.exists:
+                continue
+            pdf = pdf[_millis(pdf["ts"]) >= late]
+            if not pdf.empty:
+                first = pdf if first is None else pd.concat([first, pdf])
+                first = first.sort_values(by, kind="mergesort").head(1)
+        if first is not None:
+            ms = int(_millis(first["ts"]).iloc[0])
+            state.update((ms,))
+            state.setTimeoutTimestamp(max(ms + delay_ms, late + 1))
+            yield first[cols]
+
+    return src.groupBy(*keys).applyInPandasWithState(run, src.schema, "first_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _millis(ts: pd.Series) -> pd.Series:
+    return pd.to_datetime(ts, utc=True).dt.as_unit("ms").astype("int64")
 
 
 # ---------------------------------------------------------------- S5
@@ -243,8 +272,9 @@ def s3_review_bursts(spark: SparkSession, d: str) -> DataFrame:
 
 def s4_dedup_stream(spark: SparkSession, d: str) -> DataFrame:
     a = attempts_from_events(stream_table(spark, d, "events"))
-    out = dedup_stream(a, ["provider", "chunk_id", "attempt"])
-    return run_available(out.select("provider", "chunk_id", "attempt"), "s4")
+    a = a.select("ts", "event_id", "provider", "chunk_id", "attempt", "status")
+    out = dedup_stream(a, ["provider", "chunk_id", "attempt"], order=["event_id"])
+    return run_available(out.select("event_id", "provider", "chunk_id", "attempt", "status"), "s4")
 
 
 def s5_incremental_review(spark: SparkSession, d: str) -> DataFrame:

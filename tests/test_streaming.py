@@ -40,6 +40,17 @@ def test_dedup_and_late_rows(spark, tmp_path):
     assert got == [("a", 1), ("b", 3), ("d", 6)]      # a/2 and b/5 repeat keys; c/4 arrives after the watermark
 
 
+def test_the_earliest_attempt_stays(spark, sf):
+    """Whole rows, the same ones in every run: the first event of each key."""
+    a = V.attempts_v(spark, sf)
+    keys = ["provider", "chunk_id", "attempt"]
+    want = a.groupBy(*keys).agg(F.min(F.struct("ts", "event_id", "status")).alias("m")).select("m.event_id", *keys, "m.status")
+    got = S.s4_dedup_stream(spark, sf)
+    assert got.columns == want.columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted((tuple(r) for r in want.collect()), key=str)
+    assert want.count() < a.count() and want.where("status is null").count()
+
+
 def _batch_arrivals(docs):
     """What S5 finds, without a stream: the replies' findings, then the rules'."""
     p = E.parse_replies(S.chunks_from_documents(docs))
