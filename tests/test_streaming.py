@@ -121,3 +121,17 @@ def test_a_later_reply_completes_a_failed_chunk(spark, tmp_path):
     assert replies == [("p", 1, False), ("p", 1, False), ("p", 2, False), ("p", 3, True), ("p", 5, True), ("q", 5, True)]
     assert [(r["project"], r["chunk_id"]) for r in S.open_failures(arrivals).collect()] == [("p", 2)]
     assert sorted((r["project"], r["chunk_id"], r["pos"]) for r in spark.read.parquet(f"{out}/unique").collect()) == [("p", 3, 0), ("q", 5, 0)]
+
+
+def test_first_arrivals_of_a_batch(spark, monkeypatch):
+    """One row a key before the state is asked, whatever the order of rows."""
+    import random
+
+    monkeypatch.setattr(S, "FOLD_ROWS", 3)
+    big = 2**53 + 1
+    rows = [(p, k, c, i, big + c) for p in ("a", None) for k in ("x", "y") for c in (3, 1, 2) for i in (1, 0)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "project string, dedup_key string, chunk_id long, pos int, line long").repartition(3)
+    got = S.first_arrivals(df)
+    assert got.columns == df.columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(((p, k, 1, 0, big + 1) for p in ("a", None) for k in ("x", "y")), key=str)
