@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions import constants as K
 from revlens.operators import ranges as R
+from revlens.plans.session import materialized
 
 # --- Our parameters (the README names these features without numbers) ------
 GATE_MAX = {"Critical": 0, "High": 0, "Medium": 25}           # quality gate
@@ -50,7 +51,8 @@ def finding_history(current: DataFrame, earlier: DataFrame, moved: int = MOVED_L
     run has one of its file, category and title whose lines meet its own,
     ``moved`` lines allowed; so an edit above it or a wider range leave it the
     same.  Columns: project, file, category, title, lo, hi, severity, state."""
-    now, then = _ranges(current), _ranges(earlier)
+    # each side is read by every join below: the runs behind them go once
+    now, then = materialized(_ranges(current), "findings-now"), materialized(_ranges(earlier), "findings-then")
     keys = [*_PLACE]
 
     def judged(rows: DataFrame, others: DataFrame, alone: str, side: str) -> DataFrame:

@@ -4,10 +4,12 @@
 range of n lines belongs to the level of the least power of two not below n,
 and lies in at most two aligned bins of that level.  The shorter of two ranges
 looks for the longer one: it also lies in at most two bins of every higher
-level.  So each pair meets in an equi-join on (key, level, bin), in the bin of
-the later of the two starts and in no other.  A range has at most two rows a
-level, whatever its length, and the sides meet in two joins that split skewed
-keys like any other.
+level that the other table has.  So each pair meets in an equi-join on (key,
+level, bin), in the bin of the later of the two starts and in no other.  A range
+has at most two rows a level, whatever its length, and the sides meet in two
+joins that split skewed keys like any other.  The levels of a table are asked for
+when the join is built (a job on its ranges; at most 25 numbers come back), so
+pass tables that are cheap to read.
 
 ``range_groups`` joins chains of overlapping ranges of a key into groups by a
 running maximum of the ends over slices of a range partitioning, so that no
@@ -33,11 +35,16 @@ def _level(lo: Column, hi: Column) -> Column:
     return F.least(F.lit(LEVELS), F.ceil(F.log2((hi - lo + 1).cast("double")))).cast("int")
 
 
-def _bins(df: DataFrame, higher: bool) -> DataFrame:
-    """One row per (level, bin) of each range: of its own level, or of all
-    higher ones."""
+def _levels(df: DataFrame) -> list[int]:
+    """The levels that a table has ranges of."""
+    return sorted(r[0] for r in df.select(_level(F.col("_lo"), F.col("_hi")).alias("l")).distinct().collect())
+
+
+def _bins(df: DataFrame, higher: list[int] | None) -> DataFrame:
+    """One row per (level, bin) of each range: of its own level, or of those
+    of the levels ``higher`` above it."""
     own = _level(F.col("_lo"), F.col("_hi"))
-    levels = F.when(own < LEVELS, F.sequence(own + 1, F.lit(LEVELS))).otherwise(F.array().cast("array<int>")) if higher else F.array(own)
+    levels = F.array(own) if higher is None else F.filter(F.array(*[F.lit(x) for x in higher]).cast("array<int>"), lambda x: x > own)
     at = df.select("*", F.explode(levels).alias("_level"))
     width = F.pow(F.lit(2.0), F.col("_level")).cast("bigint")
     return at.select("*", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))).alias("_bin"),
@@ -68,8 +75,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ra
         return x.join(y, on).select(*left.columns, *rest)
 
     # left as long or longer: right looks in the levels from its own on; and the other way round, strictly
-    own_b, higher_b = _bins(b, False), _bins(b, True)
-    own_a, higher_a = _bins(a, False), _bins(a, True)
+    own_b, higher_b = _bins(b, None), _bins(b, _levels(a))
+    own_a, higher_a = _bins(a, None), _bins(a, _levels(b))
     return met(own_a, own_b.unionByName(higher_b)).unionByName(met(higher_a, own_b))
 
 

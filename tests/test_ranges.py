@@ -68,3 +68,20 @@ def test_moved_findings_persist(spark):
                                                      "project string, file string, category string, model string, line long, line_end long"))
     assert sorted(tuple(r) for r in agreed.collect()) == [("p", "a", "c", 1, 6, 2, 3), ("p", "a", "d", 1, 9, 1, 1)]
     assert agreed.where(F.col("models") > 1).count() == 1
+
+
+def test_only_levels_of_the_other_table(spark):
+    """Short ranges on both sides lie in few bins, not in those of all levels."""
+    short = spark.createDataFrame([("k", i, i + 2) for i in range(0, 400, 4)], "k string, _lo long, _hi long")
+    levels = R._levels(short)
+    assert levels == [2] and R._bins(short, levels).count() == 0
+    long = spark.createDataFrame([("k", 0, 1 << 20)], "k string, _lo long, _hi long")
+    assert R._bins(short, R._levels(long)).count() == 100
+
+
+def test_the_rules_run_once_a_side(spark, sf):
+    """The joins of the history read written ranges, not the documents."""
+    from revlens.plans import queries as Q
+
+    plan = Q.j2_finding_history(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan and "rlike" not in plan.lower()
