@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from revlens.functions import constants as K
 from revlens.operators.review import evaluate_once
 from revlens.plans.prefix import ordinal
+from revlens.plans.session import materialized, shuffle_partitions
 from revlens.sources.corpus_tree import FileSystems, list_trees, open_file_system, read_contents
 
 
@@ -50,6 +51,8 @@ def normalize_catalog(payloads: DataFrame, provider: str = "provider", payload:
       truthy of id / name / model; ``active = false`` or ``archived = true``
       dropped; context = first truthy of seven paths.
     """
+    # payloads are dealt to all tasks: a few row groups or files hold very many
+    payloads = payloads.repartition(shuffle_partitions(payloads.sparkSession), key)
     v = F.try_parse_json(F.col(payload))
     df = evaluate_once(payloads.withColumn("_v", v), ["_v"])
     pv = F.col("_v")
@@ -132,8 +135,11 @@ def _penalty(model_id: Column) -> Column:
 
 def rank_models(models: DataFrame) -> DataFrame:
     """Per provider: chat models first, larger context first, then
-    lower(id); ties keep arrival order.  Adds ``model_rank``."""
-    base = models.select("*", _penalty(F.col("id")).alias("penalty"),
+    lower(id); ties keep arrival order.  Adds ``model_rank``.  The models are
+    written before they are ordered: the bounds of the ranges and the ranges
+    both read them, and they come out of parsed payloads."""
+    base = materialized(models, "models")
+    base = base.select("*", _penalty(F.col("id")).alias("penalty"),
                          F.coalesce(F.col("context"), F.lit(0)).alias("ctx0"))
     return ordinal(base, "provider", [F.col("penalty"), -F.col("ctx0"), F.lower(F.col("id")),
                                       F.col("payload_id"), F.col("pos")], "model_rank").drop("ctx0")

@@ -69,3 +69,12 @@ def test_catalog_files_are_listed_and_read_by_tasks(spark, tmp_path):
         assert G.read_catalog(spark, path, "generic").count() == n
     with pytest.raises(Exception, match="not listed"):
         G.read_catalog(spark, f"{tmp_path}/none/*.json", "generic").collect()
+
+
+def test_payloads_are_dealt_and_parsed_once(spark):
+    rows = [(i, "generic", json.dumps([{"id": f"m{i}"}])) for i in range(200)]
+    df = spark.createDataFrame(rows, "payload_id long, provider string, payload string").coalesce(1)
+    models = G.normalize_catalog(df)
+    assert models.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the order reads models that are written, not the payloads
+    assert "parse_json" not in G.rank_models(models)._jdf.queryExecution().optimizedPlan().toString()
