@@ -80,20 +80,22 @@ def repack(files: DataFrame, changes: DataFrame, placed: DataFrame, headers: Dat
     and chunk headers (``chunking.chunk_headers``) of before."""
     width = max(K.MIN_SPLIT_CHARS, K.SPLIT_CHARS_PER_TOKEN * int(budget))
     changes = materialized(_key(changes.where("change <> 'unchanged'").select("project", "relative", "change")), "repack-changes")
+    # the rounds below read numbers that are written once, not the corpora again
+    placed = materialized(placed, "repack-before")
     blocks = materialized(_blocks(placed, width), "repack-blocks")
     of = blocks.select(F.col("project").alias("_p"), "chunk_id", "block")
     located = placed.join(of.withColumnRenamed("chunk_id", "_c"), (F.col("project") == F.col("_p")) & (F.col("chunk_id") == F.col("_c"))).drop("_p", "_c")
     # the numbers of changed and added files, and the block each falls into
     fresh_keys = changes.where("change <> 'removed'").select("project", "relative")
-    fresh = narrow_files(files).join(fresh_keys, ["project", "relative"], "left_semi")
-    added = _added_at(changes, blocks)
+    fresh = materialized(narrow_files(files).join(fresh_keys, ["project", "relative"], "left_semi"), "repack-fresh")
+    added = materialized(_added_at(changes, blocks), "repack-added")
     dirty = _dirty(located.join(changes.where("change <> 'added'").select("project", "relative"), ["project", "relative"]), added).select("project", F.col("block").alias("lo"), F.col("block").alias("hi"))
     last = blocks.groupBy("project").agg(F.max("block").alias("last"))
     changed_at = located.join(changes.where("change = 'changed'").select("project", "relative"), ["project", "relative"], "left_semi")
     homes = changed_at.select("project", "relative", "block").unionByName(added)
     stay = located.join(changes.select("project", "relative"), ["project", "relative"], "left_anti").select(
         "project", "relative", F.lower("relative").alias("lkey"), "size", "lines", "tokens", "chars", "block")
-    now = stay.unionByName(fresh.join(homes, ["project", "relative"]).select(*stay.columns))
+    now = materialized(stay.unionByName(fresh.join(homes, ["project", "relative"]).select(*stay.columns)), "repack-now")
     first_of = blocks.select("project", "relative", F.col("block").alias("first_of"))
 
     def packed_regions(regions: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def repack(files: DataFrame, changes: DataFrame, placed: DataFrame, headers: Dat
         chained = range_groups(cut, ["project"], "lo", "hi", slack=1, name="region")
         return chained.groupBy("project", "region").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
-    spans, more = dirty, 1
+    spans, more = materialized(dirty, "repack-dirty"), 1
     while True:
         regions = materialized(grown(spans), "repack-regions")
         made = materialized(packed_regions(regions), "repack-placed")
