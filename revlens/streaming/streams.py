@@ -12,7 +12,8 @@ under the session's checkpoint root; results land in a parquet sink there.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from revlens.functions import text as X
 from revlens.operators import review as E
@@ -55,14 +56,37 @@ def new_run_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
+_STORE = "spark.sql.streaming.stateStore"
+ROCKSDB = {f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: For a run that nothing goes on from: a batch commits its changes, not a copy of the store.
+CHANGES_ONLY = {f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true"}
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Streams started within have these settings of the session."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all available input into a parquet sink (own
     checkpoint folder) and return the sink as a batch DataFrame."""
     spark = df.sparkSession
     base = new_run_dir(spark, name)
-    q = (df.writeStream.format("parquet").option("path", f"{base}/out")
+    w = (df.writeStream.format("parquet").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/checkpoint").outputMode(mode)
-         .trigger(availableNow=True).start())
+         .trigger(availableNow=True))
+    # transformWithState runs on no other store
+    keyed = "TransformWithState" in df._jdf.queryExecution().analyzed().toString()
+    with _settings(spark, ROCKSDB | CHANGES_ONLY if keyed else {}):
+        q = w.start()
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
@@ -103,38 +127,105 @@ def review_bursts(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
                     F.date_format("s.end", TS_FMT).alias("session_end"), "user_id", "events", "value")
 
 
-def dedup_stream(rows: DataFrame, keys: list[str], order: list[str] | None = None, delay_minutes: int = 10) -> DataFrame:
-    """The first row of each key; a key is remembered until the watermark
-    passes its event time + delay, and rows later than the watermark are
-    dropped.  Of the rows of a key in one batch the earliest event stays (ties
-    by ``order``); ``dropDuplicatesWithinWatermark`` keeps whichever a task
-    reads first, so its rows, other than their keys, differ between runs."""
-    src = _event_time(rows)
-    cols, by, delay_ms = src.columns, ["ts", *(order or [])], delay_minutes * 60_000
-
-    def run(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        late, first = state.getCurrentWatermarkMs(), None
-        for pdf in batches:
-            if state.exists:
-                continue
-            pdf = pdf[_millis(pdf["ts"]) >= late]
-            if not pdf.empty:
-                first = pdf if first is None else pd.concat([first, pdf])
-                first = first.sort_values(by, kind="mergesort").head(1)
+#: Groups of keys that share a call of ``_Earliest``; the rows of a group go to it in blocks of so many bytes at most.
+KEY_GROUPS = 1024
+BLOCK_BYTES = 16 << 10
+#: Bytes of rows that a task holds before it deals them out into blocks.
+PACK_BYTES = 32 << 20
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each ``_group`` as blocks (Arrow streams) with their latest
+    ``ts``: a stateful function in Python pays by the row, whatever its size.
+    Rows without a time have blocks of their own, which are never late."""
+    def written(rows: pa.RecordBatch) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as w:
+            w.write_batch(rows)
+        return sink.getvalue().to_pybytes()
+
+    def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        of = t.column("_group").to_numpy().astype(np.int32) * 2 + t.column("ts").is_null().to_numpy()
+        order = np.argsort(of, kind="stable")
+        of, rows = of[order], t.drop_columns("_group").take(pa.array(order)).combine_chunks()
+        ts = rows.column("ts").cast(pa.int64()).fill_null(0).to_numpy()
+        step = max(1, BLOCK_BYTES * rows.num_rows // max(1, rows.nbytes))
+        cuts = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+        at = np.concatenate([np.arange(a, b, step) for a, b in zip(cuts[:-1], cuts[1:])])
+        latest = pa.array(np.maximum.reduceat(ts, at), mask=of[at] % 2 == 1).cast(t.schema.field("ts").type)
+        (body,) = rows.to_batches()
+        packed = [written(body.slice(a, b - a)) for a, b in zip(at, np.append(at[1:], len(of)))]
+        out = pa.table([pa.array(of[at] // 2, pa.int32()), latest, pa.array(packed, pa.binary())], names=["_group", "ts", "block"])
+        yield from out.to_batches(max_chunksize=1_000)
+
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size > PACK_BYTES:
+            yield from dealt(held)
+            held, size = [], 0
+    if held:
+        yield from dealt(held)
+
+
+class _Earliest(StatefulProcessor):
+    """The earliest row of each key among the blocks of a group, late rows left
+    out before.  It keeps no state, but only a stateful operator is told the
+    watermark.  ``_until`` is the event time moved by what a key is remembered
+    beyond the watermark's delay; that of a row without a time is the watermark."""
+
+    def __init__(self, keys: list[str], by: list[str], longer_us: int) -> None:
+        self.keys, self.by, self.longer_us = keys, by, longer_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1_000
+
+        def timely() -> Iterator[pa.RecordBatch]:
+            for block in (x for pdf in rows for x in pdf["block"]):
+                t = pa.ipc.open_stream(block).read_all()
+                ts = t.column("ts").cast(pa.int64())
+                # Spark may count a row at the watermark itself as late: others of its key go before it
+                t = t.append_column("_edge", pc.equal(ts, mark).fill_null(False))
+                yield from t.filter(pc.greater_equal(ts, mark).fill_null(True)).to_batches()
+
+        first = _first_rows(timely(), self.keys, ["_edge", *self.by])
         if first is not None:
-            ms = int(_millis(first["ts"]).iloc[0])
-            state.update((ms,))
-            state.setTimeoutTimestamp(max(ms + delay_ms, late + 1))
-            yield first[cols]
+            until = pc.add(first.column("ts").cast(pa.int64()).fill_null(mark + 1), self.longer_us)
+            first = first.drop_columns("_edge").append_column("_until", until.cast(first.schema.field("ts").type))
+            # in pandas NULL integers stay integers, and NaN is not NULL
+            floats = {t: pd.ArrowDtype(t) for t in (pa.float32(), pa.float64())}
+            yield first.to_pandas(integer_object_nulls=True, types_mapper=floats.get, maps_as_pydicts="strict")
 
-    return src.groupBy(*keys).applyInPandasWithState(run, src.schema, "first_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
 
 
-def _millis(ts: pd.Series) -> pd.Series:
-    return pd.to_datetime(ts, utc=True).dt.as_unit("ms").astype("int64")
+def dedup_stream(rows: DataFrame, keys: list[str], order: list[str] | None = None, delay_minutes: int = 10) -> DataFrame:
+    """The first row of each key; a key is remembered until the watermark
+    passes its event time + delay (that of the watermark at least), and rows
+    later than the watermark are dropped.  Of the rows of a key in one batch
+    the earliest event stays (ties by ``order``).
+
+    The keys seen are the state of Spark's ``dropDuplicatesWithinWatermark``.
+    That would keep whichever row a task reads first, so a batch is cut to the
+    earliest timely row of each key before: in groups of keys, since a call of
+    Python for each key costs far more than its rows do."""
+    longer = delay_minutes - int(WATERMARK.split()[0])
+    if longer < 0:
+        raise ValueError(f"a key is remembered for {WATERMARK} at least")
+    src = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    dealt = src.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(KEY_GROUPS)).cast("int"))
+    blocks = dealt.mapInArrow(_blocks, "_group int, ts timestamp, block binary").withWatermark("ts", WATERMARK)
+    first = blocks.groupBy("_group").transformWithStateInPandas(
+        _Earliest(keys, ["ts", *(order or [])], longer * 60_000_000), T.StructType([*src.schema, T.StructField("_until", T.TimestampType())]),
+        "append", "EventTime", eventTimeColumnName="_until")
+    return first.dropDuplicatesWithinWatermark(keys).drop("_until")
 
 
 # ---------------------------------------------------------------- S5
@@ -181,14 +272,16 @@ def _new_replies(rows: DataFrame) -> DataFrame:
 FOLD_ROWS = 20_000
 
 
-def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The row of least (chunk_id, pos) of each ``_key`` of a partition."""
+def _first_rows(batches: Iterable[pa.RecordBatch], keys: list[str], by: list[str]) -> pa.Table | None:
+    """The row of least ``by`` (NULL last) of each key."""
     def folded(rows: list[pa.RecordBatch]) -> pa.Table:
-        t = pa.Table.from_batches(rows)
-        order = pc.sort_indices(t, sort_keys=[(c, "ascending") for c in ("_key", "chunk_id", "pos")])
-        key = t.column("_key").take(order).combine_chunks()
-        head = pa.array(np.concatenate([[True], pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)]))
-        return t.take(order.filter(head)).combine_chunks()
+        t = pa.Table.from_batches(rows).combine_chunks()
+        order = pc.sort_indices(t, sort_keys=[(c, "ascending") for c in by]).to_numpy()
+        code = np.zeros(t.num_rows, np.int64)
+        for k in keys:
+            d = t.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+            code = np.unique(code * len(d.dictionary) + d.indices.to_numpy(), return_inverse=True)[1]
+        return t.take(pa.array(order[np.unique(code[order], return_index=True)[1]])).combine_chunks()
 
     held, n, kept = [], 0, 0
     for b in batches:
@@ -199,8 +292,14 @@ def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if n > FOLD_ROWS + 2 * kept:
             t = folded(held)
             held, n, kept = t.to_batches(), t.num_rows, t.num_rows
-    if held:
-        yield from folded(held).to_batches(max_chunksize=10_000)
+    return folded(held) if held else None
+
+
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The row of least (chunk_id, pos) of each ``_key`` of a partition."""
+    t = _first_rows(batches, ["_key"], ["chunk_id", "pos"])
+    if t is not None:
+        yield from t.to_batches(max_chunksize=10_000)
 
 
 def first_arrivals(found: DataFrame) -> DataFrame:
@@ -213,21 +312,12 @@ def first_arrivals(found: DataFrame) -> DataFrame:
     return keyed.mapInArrow(_least, keyed.schema).drop("_key").dropDuplicates(["project", "dedup_key"])
 
 
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
-
 def _start(rows: DataFrame, path: str, checkpoint: str, once: bool) -> StreamingQuery:
     """Into a parquet file sink (its log commits a batch once); keyed state
     grows with the keys seen, so it is in the RocksDB store."""
-    spark = rows.sparkSession
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
-    try:
+    with _settings(rows.sparkSession, ROCKSDB):
         w = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
         return (w.trigger(availableNow=True) if once else w).start()
-    finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
 def review_arrivals(chunks: DataFrame) -> DataFrame:

@@ -51,6 +51,76 @@ def test_the_earliest_attempt_stays(spark, sf):
     assert want.count() < a.count() and want.where("status is null").count()
 
 
+def test_rows_of_many_batches_go_by_the_watermark(spark, tmp_path):
+    """A late row hides no timely one of its key, a key is forgotten in time
+    though it was seen again, a row without a time stays, values stay as they are."""
+    import os
+
+    t0, big = dt.datetime(2024, 1, 1, 12), 2**60 + 1
+    schema = "ts timestamp_ntz, k string, v int, n long, x double"
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    batches = [[(at(0), "a", 1, big, None), (at(0), "m", 0, None, 0.5), (at(30), "b", 2, None, float("nan")), (at(30), None, 3, 1, 1.0)],
+               # the watermark is at 20
+               [(at(2), "c", 4, big, 1.0), (at(25), "c", 5, big, 1.0), (at(21), "a", 6, 1, 1.0), (at(50), "e", 7, 1, 1.0)],
+               # at 40: a is forgotten, b is known at the beginning; d is not later than the watermark
+               [(at(45), "a", 8, 1, 1.0), (at(41), "b", 9, 1, 1.0), (at(40), "d", 10, None, None), (None, "n", 11, 1, 1.0), (None, "e", 12, 1, 1.0)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/f{i}")
+        for f in os.listdir(tmp_path / f"in/f{i}"):
+            os.utime(tmp_path / f"in/f{i}/{f}", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = S.stream_dir(spark, f"{tmp_path}/in/*", spark.createDataFrame([], schema).schema, max_files=1)
+    out = S.run_available(S.dedup_stream(stream, ["k"], order=["v"]).select("v", "k", "n", F.col("x").cast("string")), "t-batches")
+    assert sorted(tuple(r) for r in out.collect()) == [
+        (0, "m", None, "0.5"), (1, "a", big, None), (2, "b", None, "NaN"), (3, None, 1, "1.0"), (5, "c", big, "1.0"),
+        (7, "e", 1, "1.0"), (8, "a", 1, "1.0"), (10, "d", None, None), (11, "n", 1, "1.0")]
+
+
+def test_a_key_is_remembered_for_the_delay(spark, tmp_path):
+    import os
+
+    import pytest
+
+    t0, schema = dt.datetime(2024, 1, 1, 12), "ts timestamp_ntz, k string, v int"
+    for i, rows in enumerate([[(0, "a", 1), (30, "z", 2)], [(60, "y", 3)], [(52, "a", 4), (53, "y", 5)]]):
+        rows = [(t0 + dt.timedelta(minutes=m), k, v) for m, k, v in rows]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/f{i}")
+        for f in os.listdir(tmp_path / f"in/f{i}"):
+            os.utime(tmp_path / f"in/f{i}/{f}", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = S.stream_dir(spark, f"{tmp_path}/in/*", spark.createDataFrame([], schema).schema, max_files=1)
+    for delay, want in ((10, [1, 2, 3, 4]), (60, [1, 2, 3])):
+        out = S.run_available(S.dedup_stream(stream, ["k"], delay_minutes=delay).select("v"), "t-delay")
+        assert sorted(r["v"] for r in out.collect()) == want
+    with pytest.raises(ValueError):
+        S.dedup_stream(stream, ["k"], delay_minutes=5)
+
+
+def test_no_call_for_each_key(spark, sf):
+    """Keys go to Python in groups, as blocks of rows; those seen are Spark's own state."""
+    a = V.attempts_from_events(S.stream_table(spark, sf, "events"))
+    plan = S.dedup_stream(a, ["provider", "chunk_id", "attempt"])._jdf.queryExecution().analyzed().toString()
+    assert "DeduplicateWithinWatermark" in plan and "FlatMapGroups" not in plan
+    (grouped,) = [x for x in plan.splitlines() if "TransformWithState" in x]
+    assert "transformWithStateUDF(_group#" in grouped and "block#" in grouped
+
+
+def test_blocks_hold_every_row_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(S, "PACK_BYTES", 60_000)
+    n = 5_000
+    ts = pa.array([None if i % 11 == 0 else 1_700_000_000_000_000 + i for i in range(n)], pa.timestamp("us", "UTC"))
+    t = pa.table({"ts": ts, "v": range(n), "_group": pa.array([i * i % 7 for i in range(n)], pa.int32())})
+    out = pa.Table.from_batches(S._blocks(iter([t.to_batches()[0].slice(0, 0), *t.to_batches(max_chunksize=500)])))
+    got = []
+    for g, latest, block in zip(*(out.column(c).to_pylist() for c in ("_group", "ts", "block"))):
+        rows = pa.ipc.open_stream(block).read_all().to_pylist()
+        assert all(r["v"] ** 2 % 7 == g for r in rows) and len(block) < 6_000
+        assert latest == (None if rows[0]["ts"] is None else max(r["ts"] for r in rows))
+        got += rows
+    assert sorted(got, key=lambda r: r["v"]) == t.drop_columns("_group").to_pylist() and 40 < out.num_rows < 200
+
+
 def _batch_arrivals(docs):
     """What S5 finds, without a stream: the replies' findings, then the rules'."""
     p = E.parse_replies(S.chunks_from_documents(docs))
